@@ -133,13 +133,18 @@ def _entropy_hits(content: Column, path: Column, config: ScanConfig, order: int)
         pattern = F.lit(flags(ignore_case=False) + fv.BARE_CANDIDATE)
         return _hit_struct("entropy", "entropy", order, content, pattern, 0, F.rlike(content, pattern))
     pattern = F.lit(flags(ignore_case=False) + fv.QUOTED_CANDIDATE)
-    low = F.lower(path)
-    wanted = ~(contains_any(low, fv.ENTROPY_PATH_SKIP) | low.endswith(".js"))
+    wanted = ~entropy_path_skipped(path)
     return _hit_struct(
         "entropy", "entropy", order, content, pattern, 1, wanted & F.rlike(content, pattern)
     )
 
 
+def entropy_path_skipped(path: Column) -> Column:
+    """Project, config, lock, minified and script files take no part in the entropy operator."""
+    low = F.lower(path)
+    return contains_any(low, fv.ENTROPY_PATH_SKIP) | low.endswith(".js")
+
+
 def _expand(content: Column, all_hits: Column, config: ScanConfig) -> Column:
     """Array of match structs of one text: position, groups, line, context."""
     window = text.bare_context if config.profile == "fast" else text.context_window
