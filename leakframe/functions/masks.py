@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leakframe import fixed_values as fv
+from leakframe.functions.regex import let
 from leakframe.functions.text import first_hit, sha256
 
 STYLES = ("keep_length", "report", "summary", "job", "task", "wide", "short")
@@ -79,22 +80,28 @@ def job_hash(value: Column, path: Column) -> Column:
 
 def shape(value: Column) -> Column:
     """Shape of a value that says nothing about its content, such as ``ghp_[alnum:36]``."""
-    prefix = F.coalesce(
-        first_hit((value.startswith(p), F.lit(p)) for p in fv.SHAPE_PREFIXES), F.lit("")
-    )
+    prefix = F.coalesce(first_hit((value.startswith(p), p) for p in fv.SHAPE_PREFIXES), F.lit(""))
     rest = F.substring(value, F.length(prefix) + 1, F.length(value))
+    return F.concat(prefix, let(rest, _rest_shape))
+
+
+def _rest_shape(rest: Column) -> Column:
     n = F.length(rest)
-    letters = n - F.length(F.regexp_replace(rest, r"\p{L}", ""))
-    digits = n - F.length(F.regexp_replace(rest, r"[\p{Nd}²³¹⁰-⁹₀-₉①-⑨]", ""))
-    special = n - letters - digits
-    kind = (
-        F.when((letters > 0) & (digits > 0), F.lit("alnum"))
-        .when(letters > 0, F.lit("alpha"))
-        .when(digits > 0, F.lit("digit"))
-        .otherwise(F.lit("mixed"))
+    counts = F.struct(
+        n.alias("all"),
+        (n - F.length(F.regexp_replace(rest, r"\p{L}", ""))).alias("letters"),
+        (n - F.length(F.regexp_replace(rest, r"[\p{Nd}²³¹⁰-⁹₀-₉①-⑨]", ""))).alias("digits"),
     )
-    body = F.concat(F.lit("["), kind, F.lit(":"), n.cast("string"), F.lit("]"))
-    tail = F.when(
-        special > 0, F.concat(F.lit("+[special:"), special.cast("string"), F.lit("]"))
-    ).otherwise(F.lit(""))
-    return F.concat(prefix, F.when(n > 0, F.concat(body, tail)).otherwise(F.lit("")))
+
+    def describe(c: Column) -> Column:
+        kind = (
+            F.when((c.letters > 0) & (c.digits > 0), "alnum")
+            .when(c.letters > 0, "alpha")
+            .when(c.digits > 0, "digit")
+            .otherwise("mixed")
+        )
+        special = c["all"] - c.letters - c.digits
+        tail = F.when(special > 0, F.format_string("+[special:%d]", special)).otherwise("")
+        return F.when(c["all"] > 0, F.concat(F.format_string("[%s:%d]", kind, c["all"]), tail)).otherwise("")
+
+    return let(counts, describe)

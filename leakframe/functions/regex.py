@@ -32,11 +32,16 @@ _NAMED_REF = re.compile(r"\(\?P=(\w+)\)")
 
 def to_java(pattern: str) -> str:
     """Rewrite a Python pattern as the Java pattern with the same meaning."""
+    return rewrite(pattern, _OUTSIDE, _INSIDE)
+
+
+def rewrite(pattern: str, outside: dict[str, str], inside: dict[str, str]) -> str:
+    """Walk a pattern and replace class escapes, named groups and loose braces."""
     out, i, in_class = [], 0, False
     while i < len(pattern):
         ch = pattern[i]
         if ch == "\\" and i + 1 < len(pattern):
-            table = _INSIDE if in_class else _OUTSIDE
+            table = inside if in_class else outside
             out.append(table.get(pattern[i + 1], pattern[i : i + 2]))
             i += 2
             continue
@@ -99,18 +104,19 @@ def any_of(patterns: list[str], ignore_case: bool = True) -> str:
 def hits(col: Column, patterns: list[str] | str, ignore_case: bool = True) -> Column:
     """True where at least one pattern is found.  The pattern is a foldable literal."""
     patterns = [patterns] if isinstance(patterns, str) else patterns
-    return F.rlike(col, F.lit(any_of(patterns, ignore_case)))
+    return col.rlike(any_of(patterns, ignore_case))
 
 
 def group(col: Column, pattern: str, idx: int = 1, ignore_case: bool = True) -> Column:
     """Group ``idx`` of the first match, NULL when there is no match or the group is empty."""
-    return F.nullif(
-        F.regexp_extract(col, flags(ignore_case) + to_java(pattern), idx), F.lit("")
-    )
+    found = F.regexp_extract(col, flags(ignore_case) + to_java(pattern), idx)
+    return F.when(found != "", found)
 
 
 def contains_any(col: Column, needles: list[str]) -> Column:
     """True where at least one literal is a substring."""
+    if len(needles) > 3:
+        return col.rlike("|".join(re.escape(n) for n in needles))
     return reduce(lambda a, b: a | b, [col.contains(n) for n in needles])
 
 

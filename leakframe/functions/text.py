@@ -89,10 +89,16 @@ def python_strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{space}+|{space}+$", "")
 
 
+def _sql_string(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def lookup(key: Column, table: dict[str, str]) -> Column:
     """Map lookup over a small fixed table, NULL when the key is absent."""
-    entries = [F.lit(x) for kv in table.items() for x in kv]
-    return F.try_element_at(F.create_map(*entries), key)
+    if any("${" in v for v in table.values()):  # SQL text would substitute it
+        return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+    entries = ", ".join(_sql_string(x) for kv in table.items() for x in kv)
+    return F.try_element_at(F.expr(f"map({entries})"), key)
 
 
 def first_hit(pairs) -> Column:
@@ -102,3 +108,36 @@ def first_hit(pairs) -> Column:
     for cond, val in pairs[1:]:
         out = out.when(cond, val)
     return out
+
+
+def json_location(lines: Column, value: Column) -> Column:
+    """STRUCT(json_section, json_key) of a value: key on the first line that holds it, and the
+    nearest object name above."""
+    key_rx, object_rx, open_rx = r'"([^"]+)"\s*:\s*', r'"([^"]+)"\s*:\s*\{', r'"([^"]+)"\s*:\s*$'
+
+    def locate(ls: Column) -> Column:
+        at = F.array_position(F.transform(ls, lambda line: line.contains(value)), F.lit(True)).cast("int")
+
+        def found(i: Column) -> Column:
+            key = F.nullif(F.regexp_extract(F.get(ls, i - 1), key_rx, 1), F.lit(""))
+            above = F.reverse(F.slice(ls, F.lit(1), F.greatest(i - 1, F.lit(0))))
+            previous = F.concat(F.slice(above, 2, 1 << 30), F.array(F.lit("")))
+            section = F.zip_with(
+                above,
+                previous,
+                lambda line, prev: F.when(
+                    line.contains("{"),
+                    F.coalesce(
+                        F.nullif(F.regexp_extract(line, object_rx, 1), F.lit("")),
+                        F.nullif(F.regexp_extract(F.trim(F.coalesce(prev, F.lit(""))), open_rx, 1), F.lit("")),
+                    ),
+                ),
+            )
+            return F.struct(
+                F.when(key.isNotNull(), F.get(F.array_compact(section), F.lit(0))).alias("json_section"),
+                key.alias("json_key"),
+            )
+
+        return let(at, lambda i: F.when(i > 0, found(i)))
+
+    return let(lines, locate)

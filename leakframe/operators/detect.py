@@ -97,7 +97,7 @@ def _has_literal(content_low: Column, odd_case: Column, literal: str | None) ->
 def _rule_hits(content: Column, rule: Rule, low: Column, odd: Column) -> Column:
     """Struct of all matches of one rule in one text, NULL when there is none."""
     pattern = F.lit(rule_ops.java_pattern(rule))
-    found = F.rlike(content, pattern)
+    found = content.rlike(rule_ops.java_pattern(rule))
     literal = _has_literal(low, odd, rule_ops.required_literal(rule))
     return _hit_struct("rule", rule.rule_id, rule.ord, content, pattern, rule.compiled().groups,
                        found if literal is None else literal & found)
@@ -165,6 +165,15 @@ def _expand(content: Column, all_hits: Column, config: ScanConfig) -> Column:
             ),
         )
 
+    def json_fields(lines: Column, m: Column) -> list[Column]:
+        if not config.with_json:
+            return []
+        split = (split_match_fast if config.profile == "fast" else split_match)(m.match_text, m.groups)
+        candidate = m.match_text if config.profile == "fast" else F.get(m.groups, F.lit(0))
+        value = F.when(m.detector == "rule", F.coalesce(split.actual_value, m.match_text)).otherwise(candidate)
+        at = let(value, lambda v: text.json_location(lines, v))
+        return [at.json_section.alias("json_section"), at.json_key.alias("json_key")]
+
     def with_lines(hs: Column) -> Column:
         return let(
             F.split(content, "\n", -1),
@@ -176,6 +185,7 @@ def _expand(content: Column, all_hits: Column, config: ScanConfig) -> Column:
                     F.element_at(lines, m.line_number).alias("line_text"),
                     (window(lines, m.line_number) if config.with_context else F.lit(None).cast("string"))
                     .alias("context"),
+                    *json_fields(lines, m),
                 ),
             ),
         )
@@ -223,6 +233,8 @@ def find_matches_large(
     literal and entropy is off, texts without any of them stay in the JVM.
     """
     rules = rule_ops.check(rules)
+    if config.with_json:
+        raise ValueError("use secrets.locate_in_json on the matches of a large catalog")
     body = F.col(content)
     keys = [c for c in files.columns if c != content]
     staged = files.where(body.isNotNull()).select(*keys, body.alias("_text"))
@@ -328,10 +340,8 @@ def classify_entropy(value: Column, line: Column, bits: Column) -> Column:
     shown = F.format_string("%.2f", F.bround(bits, 2))
 
     def verdict(severity: str, kind: str, wording: str) -> Column:
-        return F.struct(
-            F.lit(severity).alias("severity"),
-            F.lit(kind).alias("secret_type"),
-            F.concat(F.lit(f"{wording} detected (entropy: "), shown, F.lit(")")).alias("description"),
+        return F.expr(
+            f"named_struct('severity', '{severity}', 'secret_type', '{kind}', 'wording', '{wording}')"
         )
 
     pairs = [
@@ -347,7 +357,29 @@ def classify_entropy(value: Column, line: Column, bits: Column) -> Column:
     pairs.append(
         ((bits > 5.5) & (F.length(value) > 50), verdict("high", "generic_secret", generic))
     )
-    return text.first_hit(pairs + [(F.lit(True), verdict("medium", "generic_secret", generic))])
+    chosen = text.first_hit(pairs + [(F.lit(True), verdict("medium", "generic_secret", generic))])
+    return let(
+        chosen,
+        lambda c: F.struct(
+            c.severity.alias("severity"),
+            c.secret_type.alias("secret_type"),
+            F.concat(c.wording, F.lit(" detected (entropy: "), shown, F.lit(")")).alias("description"),
+        ),
+    )
+
+
+_CLASS = "struct<severity:string,secret_type:string,description:string>"
+
+
+def _entropy_class(config: ScanConfig, line: Column) -> Column:
+    """Class of entropy rows, NULL for rule rows."""
+    if not config.entropy_enabled:
+        return F.lit(None).cast(_CLASS)
+    if config.profile == "fast":
+        given = F.expr("named_struct('severity', 'medium', 'secret_type', 'generic_secret', 'description', '')")
+    else:
+        given = classify_entropy(F.col("value"), line, F.col("entropy"))
+    return F.when(F.col("detector") == "entropy", given)
 
 
 def entropy_excluded(value: Column) -> Column:
@@ -409,16 +441,7 @@ def judge(
     reasoned = _barrier(
         valued.where(keep),
         fp_reason=fp_reason(F.col("path"), tested, F.col("actual_value"), line, config),
-        _class=F.when(
-            ~is_rule,
-            F.struct(
-                F.lit("medium").alias("severity"),
-                F.lit("generic_secret").alias("secret_type"),
-                F.lit("").alias("description"),
-            )
-            if fast
-            else classify_entropy(F.col("value"), line, F.col("entropy")),
-        ),
+        _class=_entropy_class(config, line),
     )
 
     reasoned = _with_rule(reasoned, rules)

@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakframe import fixed_values as fv
-from leakframe.functions import masks, names
-from leakframe.functions.regex import let
+from leakframe.functions import masks, names, text
 from leakframe.operators.ranking import first_n
 from leakframe.operators.report import severity_counts
 
@@ -31,7 +30,7 @@ def fold(matches: DataFrame, key: str = "value_hash", order: list[str] | None =
     """
     order = order or ORDER
     firsts = [c for c in ("value", "exposed_value", "secret_type", "severity", "path", "rule_id",
-                          "suggested_variable", "json_section", "json_key") if c in matches.columns]
+                          "suggested_variable", "json_section", "json_key") if c in matches.columns and c != key]
     aggs = [
         F.min_by(F.struct(*firsts), _ord(matches, order)).alias("_first"),
         F.count(F.lit(1)).alias("n_matches"),
@@ -67,39 +66,6 @@ def name_secrets(secrets: DataFrame, prefix: str = "APP_") -> DataFrame:
     )
 
 
-def json_location(lines: Column, value: Column) -> Column:
-    """STRUCT(json_section, json_key) of a value: key on the first line that holds it, and the
-    nearest object name above."""
-    key_rx, object_rx, open_rx = r'"([^"]+)"\s*:\s*', r'"([^"]+)"\s*:\s*\{', r'"([^"]+)"\s*:\s*$'
-
-    def locate(ls: Column) -> Column:
-        at = F.array_position(F.transform(ls, lambda line: line.contains(value)), F.lit(True)).cast("int")
-
-        def found(i: Column) -> Column:
-            key = F.nullif(F.regexp_extract(F.get(ls, i - 1), key_rx, 1), F.lit(""))
-            above = F.reverse(F.slice(ls, F.lit(1), F.greatest(i - 1, F.lit(0))))
-            previous = F.concat(F.slice(above, 2, 1 << 30), F.array(F.lit("")))
-            section = F.zip_with(
-                above,
-                previous,
-                lambda line, prev: F.when(
-                    line.contains("{"),
-                    F.coalesce(
-                        F.nullif(F.regexp_extract(line, object_rx, 1), F.lit("")),
-                        F.nullif(F.regexp_extract(F.trim(F.coalesce(prev, F.lit(""))), open_rx, 1), F.lit("")),
-                    ),
-                ),
-            )
-            return F.struct(
-                F.when(key.isNotNull(), F.get(F.array_compact(section), F.lit(0))).alias("json_section"),
-                key.alias("json_key"),
-            )
-
-        return let(at, lambda i: F.when(i > 0, found(i)))
-
-    return let(lines, locate)
-
-
 def locate_in_json(files: DataFrame, matches: DataFrame) -> DataFrame:
     """Add json_section and json_key to matches.
 
@@ -113,7 +79,7 @@ def locate_in_json(files: DataFrame, matches: DataFrame) -> DataFrame:
         F.inline(
             F.transform(
                 "_values",
-                lambda v: F.struct(v.alias("value"), json_location(F.split("content", "\n", -1), v).alias("_at")),
+                lambda v: F.struct(v.alias("value"), text.json_location(F.split("content", "\n", -1), v).alias("_at")),
             )
         ),
     )

@@ -20,7 +20,7 @@ def families(
     path: Column, matched: Column, actual: Column, line: Column, config: ScanConfig
 ) -> list[tuple[str, Column]]:
     """Families of the full profile in the order they are tested."""
-    value = F.coalesce(F.nullif(actual, F.lit("")), matched)
+    value = F.coalesce(F.when(actual != "", actual), matched)
     low_path = F.lower(path)
     out: list[tuple[str, Column]] = []
 
@@ -106,7 +106,7 @@ def fast_families(
     path: Column, matched: Column, actual: Column, line: Column, config: ScanConfig
 ) -> list[tuple[str, Column]]:
     """Families of the fast profile, cheap tests first."""
-    value = F.coalesce(F.nullif(actual, F.lit("")), matched)
+    value = F.coalesce(F.when(actual != "", actual), matched)
     low_path = F.lower(path)
     script = low_path.endswith(".ts") | low_path.endswith(".js")
     return [
@@ -141,7 +141,7 @@ def fp_reason(
     config = config or ScanConfig()
     build = fast_families if config.profile == "fast" else families
     return text.first_hit(
-        (cond, F.lit(name)) for name, cond in build(path, matched, actual, line, config)
+        (cond, name) for name, cond in build(path, matched, actual, line, config)
     )
 
 

@@ -74,12 +74,6 @@ def dotnet_named(matches: DataFrame, prefix: str = "APP_") -> DataFrame:
     return matches.withColumn("env_var", name)
 
 
-def file_tree(blobs: DataFrame) -> DataFrame:
-    """Paths of the newest commit of each repo: the current tree for ``deleted_files``."""
-    newest = blobs.groupBy("repo").agg(F.max("commit_seq").alias("commit_seq"))
-    return blobs.select("repo", "commit_seq", "path").join(newest, ["repo", "commit_seq"]).select("repo", "path").distinct()
-
-
 def as_text_path(df: DataFrame, folder: str, name: str, ending: str = ".txt") -> DataFrame:
     """Give table rows a path, so that any text table can be scanned."""
     path = F.concat(F.col(folder).cast("string"), F.lit("/"), F.col(name).cast("string"), F.lit(ending))

@@ -61,6 +61,18 @@ def table(spark: SparkSession, path: str, columns: list[str] | None = None) -> D
     return df.select(*columns) if columns else df
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a small scan over all cores before CPU-bound text work.
+
+    Only for a plain scan with fewer splits than cores (then its text is at most a few
+    splits).  A large table has more splits than cores and is left as it is, unshuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.isStreaming or scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores)
+
+
 def history(blobs: DataFrame, branch: str | None = None) -> DataFrame:
     """Revision blobs with their text decoded; filter on branch before the text is touched."""
     kept = blobs.where(F.col("branch") == branch) if branch else blobs
