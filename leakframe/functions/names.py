@@ -9,6 +9,7 @@ from leakframe import fixed_values as fv
 from leakframe.functions import text
 from leakframe.functions.regex import group
 from leakframe.operators.ranking import number_within, prefix_sum
+from leakframe.session import cut_lineage
 
 
 def _stem_upper(path: Column) -> Column:
@@ -128,6 +129,7 @@ def make_unique(df: DataFrame, base: str, order: list, out: str = "env_var") ->
     A number is skipped when the numbered name is somebody's own name (``A_1`` in the input).
     Names are numbered range by range (see ``ranking``): one name may belong to any share of rows.
     """
+    df = cut_lineage(df)  # ranges are sampled first: without this the input would run twice
     numbered = number_within(df, [base], order, "_n")
     own = df.select(F.col(base).alias("_own")).distinct()
     form = r"(?s)^(.*)_([1-9][0-9]{0,8})$"

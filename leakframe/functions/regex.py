@@ -101,10 +101,55 @@ def any_of(patterns: list[str], ignore_case: bool = True) -> str:
     return flags(ignore_case) + "(?:" + "|".join(f"(?:{to_java(p)})" for p in patterns) + ")"
 
 
+# characters by how seldom they stand in ordinary text, most telling first
+_TELLING = "{}()[]<>|&;=@#$%^~!*+?\"':,\\/`-._"
+
+
+def required_runs(parsed) -> list[str]:
+    """Lowercase ASCII runs that every match of a parsed pattern must contain."""
+    runs, run = [], ""
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL" and arg < 128:
+            run += chr(arg).lower()
+            continue
+        if name == "AT":  # zero width: neighbours stay neighbours
+            continue
+        runs, run = runs + [run], ""
+        if name == "SUBPATTERN":
+            runs += required_runs(arg[3])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0:
+            runs += required_runs(arg[2])
+    return [r for r in runs + [run] if r]
+
+
+def guard(patterns: list[str]) -> str | None:
+    """A cheap test that is true wherever one of ``patterns`` may be found.
+
+    Each pattern gives one telling character, or one word, that its matches must hold.  Code
+    patterns backtrack over long words; the guard is one linear pass.  None if a pattern has
+    nothing that is required.
+    """
+    chars, words = "", []
+    for p in patterns:
+        runs = required_runs(re._parser.parse(p, re.IGNORECASE))
+        telling = [c for c in _TELLING if any(c in r for r in runs)]
+        if telling:
+            chars += telling[0] if telling[0] not in chars else ""
+        elif runs:
+            words.append(max(runs, key=len))
+        else:
+            return None
+    cls = ["[" + "".join("\\" + c for c in chars) + "]"] if chars else []
+    return flags() + "|".join(cls + [re.escape(w) for w in dict.fromkeys(words)])
+
+
 def hits(col: Column, patterns: list[str] | str, ignore_case: bool = True) -> Column:
     """True where at least one pattern is found.  The pattern is a foldable literal."""
     patterns = [patterns] if isinstance(patterns, str) else patterns
-    return col.rlike(any_of(patterns, ignore_case))
+    full = col.rlike(any_of(patterns, ignore_case))
+    cheap = guard(patterns) if len(patterns) > 3 else None
+    return full if cheap is None else col.rlike(cheap) & full
 
 
 def group(col: Column, pattern: str, idx: int = 1, ignore_case: bool = True) -> Column:

@@ -83,10 +83,17 @@ def sha256(value: Column) -> Column:
     return F.sha2(value.cast("binary"), 256)
 
 
+# what ``str.strip`` trims
+_WHITESPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def python_strip(text: Column) -> Column:
     """Trim the whitespace that ``str.strip`` trims."""
-    space = r"[\s\x1c-\x1f\x85\p{Z}]"
-    return F.regexp_replace(text, f"^{space}+|{space}+$", "")
+    return F.btrim(text, F.lit(_WHITESPACE))
 
 
 def _sql_string(value: str) -> str:

@@ -107,25 +107,8 @@ def required_literal(rule: Rule) -> str | None:
 
     It feeds a plain substring test that runs before the regex.
     """
-    return _required(re._parser.parse(rule.regex, re.IGNORECASE | re.MULTILINE)) or None
-
-
-def _required(parsed) -> str:
-    best = run = ""
-    for op, arg in parsed:
-        name = str(op)
-        if name == "LITERAL" and arg < 128:
-            run += chr(arg).lower()
-            best = max(best, run, key=len)
-            continue
-        if name == "AT":  # zero width: neighbours stay neighbours
-            continue
-        run = ""
-        if name == "SUBPATTERN":
-            best = max(best, _required(arg[3]), key=len)
-        elif name in ("MAX_REPEAT", "MIN_REPEAT") and arg[0] > 0:
-            best = max(best, _required(arg[2]), key=len)
-    return best
+    runs = rx.required_runs(re._parser.parse(rule.regex, re.IGNORECASE | re.MULTILINE))
+    return max(runs, key=len, default=None)
 
 
 # A small pack of our own; users bring their catalog as a table.

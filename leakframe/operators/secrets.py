@@ -146,7 +146,11 @@ def drop_covered_partials(secrets: DataFrame) -> DataFrame:
         F.substring("value", 1, _ANCHOR).alias("anchor"), F.length("value").alias("n")
     ).distinct()
     long = spots.withColumn("anchor", F.substring("full", F.col("at"), F.lit(_ANCHOR))).join(anchors, "anchor")
-    short = spots.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(_ANCHOR - 1))))
+    # at most _ANCHOR - 1 rows
+    lengths = parts.where(F.length("value") < _ANCHOR).select(F.length("value").alias("n")).distinct()
+    short = spots.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(_ANCHOR - 1)))).join(
+        F.broadcast(lengths), "n"
+    )
     windows = (
         long.select("full", "at", "n")
         .unionByName(short.select("full", "at", "n"))

@@ -14,6 +14,7 @@ from leakframe.operators.rules import ScanConfig
 from leakframe.plans import oracle as o
 from leakframe.plans import pipelines
 from leakframe.plans import tables as t
+from leakframe.session import cut_lineage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -421,7 +422,7 @@ def distinct_values(spark: SparkSession, d: str) -> DataFrame:
 
 @query(HIST_F + ", u AS (SELECT value_hash, path FROM f GROUP BY 1, 2), t AS (SELECT value_hash, arg_min(secret_type, (commit_seq, path, rule_ord, match_start)) AS secret_type FROM f GROUP BY 1) SELECT value_hash, u.path, secret_type FROM u JOIN t USING (value_hash)")
 def secrets_per_file(spark: SparkSession, d: str) -> DataFrame:
-    found = history_findings(spark, d).drop("repo")
+    found = cut_lineage(history_findings(spark, d).drop("repo"))
     return secrets.per_file(secrets.fold(found), secrets.places(found, "path")).select("value_hash", "path", "secret_type")
 
 
@@ -469,7 +470,7 @@ _EVEN = "commit_seq % 2 = 0"
 
 
 def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    found = history_findings(spark, d)
+    found = cut_lineage(history_findings(spark, d))
     return found.where("branch = 'main'"), found.where("branch <> 'main'")
 
 
@@ -546,7 +547,7 @@ def content_categories(spark: SparkSession, d: str) -> DataFrame:
 @query(CFG_F + f", g AS (SELECT {o.TYPE_CATEGORY} AS category, path, count(*) AS findings, list_sort(list_distinct(list(line_number))) AS ls FROM f GROUP BY 1, 2) "
        "SELECT category, path, findings, len(ls) AS distinct_lines, array_to_string(ls[1:10], ', ') AS lines FROM g")
 def lines_per_file(spark: SparkSession, d: str) -> DataFrame:
-    return report.lines_per_file(cfg_findings(spark, d, with_context=False))
+    return report.lines_per_file(cut_lineage(cfg_findings(spark, d, with_context=False)))
 
 
 @query(HIST_F + " SELECT count(DISTINCT value_hash) AS secrets, count(DISTINCT path) AS files, count(DISTINCT commit_hash) AS commits FROM f")

@@ -16,7 +16,7 @@ from leakframe.plans import tables as t
 from leakframe.plans.queries import (
     CFG_F, CFG_J, DOC_F, HIST_F, ITEMS, cfg_findings, cfg_judged, doc_findings, history_findings, query,
 )
-from leakframe.session import checkpoint_dir
+from leakframe.session import checkpoint_dir, cut_lineage
 from leakframe.sources import sinks
 from leakframe.streaming import streams
 
@@ -24,7 +24,7 @@ from leakframe.streaming import streams
 # ------------------------------------------------------------------ redaction
 @query(DOC_F + " SELECT DISTINCT value, '' AS replacement FROM f WHERE length(value) >= 8 AND NOT contains(value, chr(10))")
 def purge_list(spark: SparkSession, d: str) -> DataFrame:
-    return redact.select_purge(doc_findings(spark, d))
+    return redact.select_purge(cut_lineage(doc_findings(spark, d)))
 
 
 @query(HIST_F + ", u AS (SELECT repo, value_hash, any_value(value) AS value FROM f GROUP BY 1, 2) SELECT repo, value, '***REMOVED***' AS replacement FROM u WHERE length(value) >= 4")
@@ -56,7 +56,7 @@ def replacement_table(spark: SparkSession, d: str) -> DataFrame:
   x AS (SELECT d.repo, d.path, CASE WHEN vs IS NULL THEN content ELSE list_reduce(list_prepend(content, list_transform(vs, lambda q: q.value)), lambda acc, q: replace(acc, q, '***REMOVED***')) END AS content
   FROM ({o.DOCS}) d LEFT JOIN v ON d.repo = v.repo AND d.path = v.path) SELECT repo, path, sha256(content) AS content_hash, length(content) AS n_chars FROM x""")
 def redacted_text(spark: SparkSession, d: str) -> DataFrame:
-    found = doc_findings(spark, d)
+    found = cut_lineage(doc_findings(spark, d))
     purge = redact.select_purge(found).withColumn("replacement", F.lit(fv.REMOVED))
     values = redact.values_per_file(found, purge, ["repo", "path"])
     clean = redact.redact(t.documents(spark, d), values, ["repo", "path"])
@@ -68,7 +68,7 @@ def redacted_rescan(spark: SparkSession, d: str) -> DataFrame:
     from leakframe.operators import detect
     from leakframe.operators.rules import ScanConfig
 
-    found = doc_findings(spark, d)
+    found = cut_lineage(doc_findings(spark, d))
     purge = redact.select_purge(found).withColumn("replacement", F.lit(fv.REMOVED))
     clean = redact.redact(t.documents(spark, d), redact.values_per_file(found, purge, ["repo", "path"]), ["repo", "path"])
     again = detect.findings(detect.scan(clean, t.RULES, ScanConfig(entropy_enabled=False, with_context=False)))
@@ -197,7 +197,7 @@ def verification_summary(spark: SparkSession, d: str) -> DataFrame:
   x AS (SELECT f.severity, f.secret_type, CASE WHEN {_VERIFIER} IN ('github') THEN p.status ELSE {_format_sql(0)} END AS status FROM f JOIN p USING (custkey))
   SELECT severity, secret_type, count(*) AS findings, count(*) FILTER (status = 'verified_active') AS active, count(*) FILTER (status = 'verified_inactive') AS inactive FROM x GROUP BY 1, 2""")
 def scan_summary(spark: SparkSession, d: str) -> DataFrame:
-    found = cfg_findings(spark, d, with_context=False)
+    found = cut_lineage(cfg_findings(spark, d, with_context=False))
     answers = t.read(spark, d, "customer", "c_custkey", "c_acctbal").select(
         F.col("c_custkey").alias("custkey"), F.when(F.col("c_acctbal") > 5000, 200).otherwise(401).alias("http_status"), F.lit("").alias("body")
     )
