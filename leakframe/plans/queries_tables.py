@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakframe import fixed_values as fv
-from leakframe import schemas
 from leakframe.functions import masks
 from leakframe.operators import feedback, jobs, redact, report, secrets, verify
 from leakframe.plans import oracle as o
@@ -52,9 +51,12 @@ def replacement_table(spark: SparkSession, d: str) -> DataFrame:
     return redact.replacement_table(cfg_judged(spark, d, with_context=False))
 
 
-@query(DOC_F + f""", v AS (SELECT repo, path, list_sort(list_distinct(list(struct_pack(n := -length(value), value := value)))) AS vs FROM f WHERE length(value) >= 8 GROUP BY 1, 2),
+_REDACTED = DOC_F + f""", v AS (SELECT repo, path, list_sort(list_distinct(list(struct_pack(n := -length(value), value := value)))) AS vs FROM f WHERE length(value) >= 8 GROUP BY 1, 2),
   x AS (SELECT d.repo, d.path, CASE WHEN vs IS NULL THEN content ELSE list_reduce(list_prepend(content, list_transform(vs, lambda q: q.value)), lambda acc, q: replace(acc, q, '***REMOVED***')) END AS content
-  FROM ({o.DOCS}) d LEFT JOIN v ON d.repo = v.repo AND d.path = v.path) SELECT repo, path, sha256(content) AS content_hash, length(content) AS n_chars FROM x""")
+  FROM ({o.DOCS}) d LEFT JOIN v ON d.repo = v.repo AND d.path = v.path)"""
+
+
+@query(_REDACTED + " SELECT repo, path, sha256(content) AS content_hash, length(content) AS n_chars FROM x")
 def redacted_text(spark: SparkSession, d: str) -> DataFrame:
     found = cut_lineage(doc_findings(spark, d))
     purge = redact.select_purge(found).withColumn("replacement", F.lit(fv.REMOVED))
@@ -63,7 +65,11 @@ def redacted_text(spark: SparkSession, d: str) -> DataFrame:
     return clean.select("repo", "path", F.sha2("content", 256).alias("content_hash"), F.length("content").alias("n_chars"))
 
 
-@query("SELECT 0 AS left_over" )
+@query(
+    f"WITH p AS ({DOC_F} SELECT DISTINCT value FROM f WHERE length(value) >= 8), r AS (WITH "
+    + o.findings(_REDACTED + " SELECT repo, path, content, strlen(content) AS size_bytes FROM x", t.RULES)
+    + " SELECT value FROM f) SELECT count(*) AS left_over FROM r WHERE value IN (SELECT value FROM p)"
+)
 def redacted_rescan(spark: SparkSession, d: str) -> DataFrame:
     from leakframe.operators import detect
     from leakframe.operators.rules import ScanConfig
@@ -206,9 +212,6 @@ def scan_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ feedback
-_HINTS_SQL = o.case(
-    [("length(value) < 8", "1")], "0"
-)
 _ANON = (
     ITEMS + f", a AS (SELECT submission_id, received_at, value_hash, value, secret_type, severity, length(value) AS value_length, {o.shape('value')} AS value_pattern, "
     f"{o.SUFFIX} AS file_extension, {o.FILE_CLASS} AS file_type, is_true_positive, nullif(array_to_string(list_filter(["
@@ -308,7 +311,7 @@ def fp_by_hint(spark: SparkSession, d: str) -> DataFrame:
     return feedback.rate_by_hint(_items(spark, d))
 
 
-_KNOWN = "SELECT value_pattern AS pattern, 0.9 AS confidence FROM a WHERE is_true_positive GROUP BY 1 HAVING count(*) >= 3"
+_KNOWN = "SELECT value_pattern AS pattern, 0.9::DOUBLE AS confidence FROM a WHERE is_true_positive GROUP BY 1 HAVING count(*) >= 3"
 
 
 def _known(items: DataFrame) -> DataFrame:
@@ -322,7 +325,7 @@ def new_shapes(spark: SparkSession, d: str) -> DataFrame:
     return feedback.new_shapes(items, _known(items), min_uses=1)
 
 
-@query(_ANON + ", k AS (SELECT '[' || kind || '%' AS pattern, 0.5 AS confidence FROM (SELECT DISTINCT regexp_extract(value_pattern, '^\\[([a-z]+)', 1) AS kind FROM a)), k2 AS (SELECT * FROM k UNION ALL (" + _KNOWN + ")) "
+@query(_ANON + ", k AS (SELECT '[' || kind || '%' AS pattern, 0.5::DOUBLE AS confidence FROM (SELECT DISTINCT regexp_extract(value_pattern, '^\\[([a-z]+)', 1) AS kind FROM a)), k2 AS (SELECT * FROM k UNION ALL (" + _KNOWN + ")) "
        "SELECT pattern, confidence AS expected_fp_rate, round(100.0 * count(*) FILTER (NOT is_true_positive) / count(*), 2) AS actual_fp_rate, count(*) AS sample_size FROM k2 JOIN a ON a.value_pattern LIKE pattern GROUP BY 1, 2")
 def shape_like_known(spark: SparkSession, d: str) -> DataFrame:
     items = _items(spark, d)
