@@ -153,7 +153,7 @@ FP_ANDROID = [
     r"@(drawable|color|font|style|android:style)/",
     r"<(Linear|Relative|Frame|Constraint)Layout",
     r"<(item|shape|solid|corners|stroke|style|selector)[\s>]",
-    r"(match_parent|wrap_content)",
+    r"match_parent", r"wrap_content",
     r"android:state_",
     r"@\+id/",
 ]
@@ -245,7 +245,7 @@ ONE_WORD = [r"^[A-Za-z][A-Za-z0-9]*$"]
 ONE_WORD_MAX = 30
 ONE_WORD_ENTROPY = 3.5
 FP_FORMAT = [r"\{[0-9]+\}"]
-FP_NAMESPACE = [r"xmlns(:\w+)?=|http://schemas\.|http://www\.w3\.org/"]
+FP_NAMESPACE = [r"xmlns(:\w+)?=", r"http://schemas\.", r"http://www\.w3\.org/"]
 FP_ASSEMBLY = [
     r"PublicKeyToken=", r"Version=\d+\.\d+\.\d+\.\d+", r"Culture=neutral", r"\.dll",
     r"<Reference\s+Include=", r"<PackageReference",

@@ -23,6 +23,7 @@ from leakframe.functions.regex import any_of, contains_any, flags, group, hits,
 from leakframe.operators import rules as rule_ops
 from leakframe.operators.rules import Rule, ScanConfig
 from leakframe.operators.suppress import fp_reason
+from leakframe.session import built_once
 
 NATIVE_RULE_LIMIT = 200
 _BLOCK = 256  # matches are numbered in blocks, so that appending stays cheap for any count
@@ -190,7 +191,7 @@ def _expand(content: Column, all_hits: Column, config: ScanConfig) -> Column:
             ),
         )
 
-    return let(F.array_compact(all_hits), lambda hs: F.when(F.size(hs) > 0, with_lines(hs)))
+    return F.when(F.size(all_hits) > 0, with_lines(all_hits))
 
 
 def find_matches(
@@ -220,8 +221,10 @@ def find_matches(
         all_hits.append(_entropy_hits(t, F.col("path"), config, last))
     if not all_hits:
         raise ValueError("nothing to detect: no rules and entropy is off")
-    matches = _expand(t, F.array(*all_hits), config)
-    return staged.select(*keys, F.explode(matches).alias("_m")).select(*keys, "_m.*")
+    hit = staged.select(*keys, "_text", F.array_compact(F.array(*all_hits)).alias("_hits"))
+    expand = lambda: {"_m": F.explode(_expand(t, F.col("_hits"), config)).alias("_m")}
+    matches = built_once(f"expand {config!r}", expand)
+    return hit.select(*keys, matches["_m"]).select(*keys, "_m.*")
 
 
 def find_matches_large(
@@ -409,77 +412,80 @@ def judge(
     path.  Suppressed matches stay, with ``fp_reason`` set.
     """
     config = config or ScanConfig()
+    c = built_once(f"judge {config!r}", lambda: _judge_columns(config))
+    parted = _barrier(matches, _split=c["split"])
+    valued = _barrier(
+        parted, **{k: c[k] for k in ("variable_name", "actual_value", "value", "entropy")}
+    ).drop("_split")
+    reasoned = _barrier(valued.where(c["keep"]), fp_reason=c["fp_reason"], _class=c["class"])
+    own = [F.col(x) for x in matches.columns if x not in _MATCH_COLUMNS]
+    typed = _with_rule(reasoned, rules).withColumn("_type", c["type"])
+    return typed.select(*own, *[c[x] for x in _OUTPUT])
+
+
+_OUTPUT = [
+    "out detector", "out rule_id", "out rule_ord", "out match_start", "out line_number",
+    "column_start", "column_end", "secret_type", "severity", "exposed_value", "out_actual_value",
+    "out value", "out variable_name", "value_hash", "out entropy", "suggested_variable",
+    "out context", "description", "remediation", "false_positive", "out fp_reason", "finding_id",
+]
+
+
+def _judge_columns(config: ScanConfig) -> dict[str, Column]:
+    """The columns of ``judge``, by name of their inputs."""
     fast = config.profile == "fast"
     matched, groups, line = F.col("match_text"), F.col("groups"), F.col("line_text")
+    value, path = F.col("value"), F.col("path")
     is_rule = F.col("detector") == "rule"
+    pair = "struct<variable_name:string,actual_value:string>"
+    candidate = matched if fast else F.get(groups, F.lit(0))
     split = (split_match_fast if fast else split_match)(matched, groups)
-    candidate = matched if fast else F.element_at(groups, 1)
-    parted = _barrier(
-        matches,
-        _split=F.when(is_rule, split).otherwise(
-            F.struct(F.lit(None).cast("string"), candidate).cast(
-                "struct<variable_name:string,actual_value:string>"
-            )
-        ),
-    )
     actual = F.col("_split.actual_value")
-    value = F.coalesce(F.nullif(actual, F.lit("")), matched)
-    valued = _barrier(
-        parted,
-        variable_name=F.col("_split.variable_name"),
-        actual_value=actual,
-        value=value,
-        entropy=text.entropy(value),
-    ).drop("_split")
-
-    keep = is_rule | (
-        (F.length("value") >= config.min_length)
-        & (F.col("entropy") >= config.min_entropy)
-        & ((F.length(line) <= fv.FAST_MAX_LINE) if fast else ~entropy_excluded(F.col("value")))
-    )
-    tested = F.when(is_rule, matched).otherwise(F.col("value"))
-    reasoned = _barrier(
-        valued.where(keep),
-        fp_reason=fp_reason(F.col("path"), tested, F.col("actual_value"), line, config),
-        _class=_entropy_class(config, line),
-    )
+    tested = F.when(is_rule, matched).otherwise(value)
 
-    reasoned = _with_rule(reasoned, rules)
-    of_rule = lambda attr: F.col(f"_rule_{attr}")
-    kind = F.coalesce(F.col("_class.secret_type"), of_rule("secret_type"))
-    width = F.length(matched)
     start = F.col("column_start")
-    suggest = names.env_name_fast if fast else names.env_name
-    advice = "Review if this is a secret and use environment variables"
-    exposed = F.col("value") if fast else F.when(is_rule, matched).otherwise(F.col("value"))
-    digest = masks.value_hash(F.col("value"), config.profile)
-    own = [c for c in matches.columns if c not in _MATCH_COLUMNS]
-    rule_start = F.when(is_rule, start).otherwise(F.lit(0) if fast else start - 1)
-    return reasoned.select(
-        *own,
-        "detector", "rule_id", "rule_ord", "match_start", "line_number",
-        rule_start.alias("column_start"),
-        F.when(~is_rule & F.lit(fast), F.lit(0)).otherwise(rule_start + width).alias("column_end"),
-        kind.alias("secret_type"),
-        F.coalesce(F.col("_class.severity"), of_rule("severity")).alias("severity"),
-        exposed.alias("exposed_value"),
-        F.when(is_rule, F.col("actual_value")).alias("actual_value"),
-        "value",
-        "variable_name",
-        digest.alias("value_hash"),
-        "entropy",
-        F.when(is_rule, F.coalesce("variable_name", suggest(kind, F.col("path"), config.env_prefix)))
-        .otherwise(suggest(kind, F.col("path"), config.env_prefix) if fast else F.lit(None))
+    first = F.when(is_rule, start).otherwise(F.lit(0) if fast else start - 1)
+    last = first + F.length(matched)
+    suggest = (names.env_name_fast if fast else names.env_name)(F.col("_type"), path, config.env_prefix)
+    advice = "" if fast else "Review if this is a secret and use environment variables"
+    digest = masks.value_hash(value, config.profile)
+    place = F.concat_ws(":", path, F.col("line_number").cast("string"), first.cast("string"), "rule_id", digest)
+
+    columns = {
+        "split": F.when(is_rule, split).otherwise(
+            F.struct(F.lit(None).cast("string"), candidate).cast(pair)
+        ),
+        "variable_name": F.col("_split.variable_name"),
+        "actual_value": actual,
+        "value": F.coalesce(F.when(actual != "", actual), matched),
+        "keep": is_rule
+        | (
+            (F.length(value) >= config.min_length)
+            & (F.col("entropy") >= config.min_entropy)
+            & ((F.length(line) <= fv.FAST_MAX_LINE) if fast else ~entropy_excluded(value))
+        ),
+        "fp_reason": fp_reason(path, tested, F.col("actual_value"), line, config),
+        "class": _entropy_class(config, line),
+        "type": F.coalesce("_class.secret_type", "_rule_secret_type"),
+        "column_start": first.alias("column_start"),
+        "column_end": (F.when(is_rule, last).otherwise(F.lit(0)) if fast else last).alias("column_end"),
+        "secret_type": F.col("_type").alias("secret_type"),
+        "severity": F.coalesce("_class.severity", "_rule_severity").alias("severity"),
+        "exposed_value": (value if fast else tested).alias("exposed_value"),
+        "out_actual_value": F.when(is_rule, F.col("actual_value")).alias("actual_value"),
+        "value_hash": digest.alias("value_hash"),
+        "suggested_variable": F.when(is_rule, F.coalesce("variable_name", suggest))
+        .otherwise(suggest if fast else F.lit(None))
         .alias("suggested_variable"),
-        "context",
-        F.coalesce(F.col("_class.description"), of_rule("description")).alias("description"),
-        F.when(is_rule, of_rule("remediation")).otherwise(F.lit("" if fast else advice)).alias("remediation"),
-        F.col("fp_reason").isNotNull().alias("false_positive"),
-        "fp_reason",
-        masks.sha256(
-            F.concat_ws(":", F.col("path"), "line_number", "column_start", "rule_id", digest)
-        ).alias("finding_id"),
-    )
+        "description": F.coalesce("_class.description", "_rule_description").alias("description"),
+        "remediation": F.when(is_rule, F.col("_rule_remediation")).otherwise(advice).alias("remediation"),
+        "false_positive": F.col("fp_reason").isNotNull().alias("false_positive"),
+        "finding_id": masks.sha256(place).alias("finding_id"),
+    }
+    # entropy needs the value column, so it is added beside it from the same source
+    columns["entropy"] = text.entropy(columns["value"])
+    columns |= {o: F.col(o[4:]) for o in _OUTPUT if o.startswith("out ")}
+    return columns
 
 
 def _with_rule(df: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from leakframe import fixed_values as fv
 from leakframe.functions import text
-from leakframe.functions.regex import contains_any, hits
+from leakframe.functions.regex import contains_any, hits, line_hits
 from leakframe.operators.rules import ScanConfig, usable
 
 
@@ -31,7 +31,7 @@ def families(
     add("html_text", low_path.endswith(".html") & hits(value, fv.FP_HTML))
     add(
         "android_xml",
-        low_path.endswith(".xml") & (hits(value, fv.FP_ANDROID) | hits(line, fv.FP_ANDROID)),
+        low_path.endswith(".xml") & (hits(value, fv.FP_ANDROID) | line_hits(line, fv.FP_ANDROID)),
     )
     add("csharp_code", hits(value, fv.FP_CSHARP))
     add("public_url", hits(value, fv.FP_PUBLIC_URL) & ~hits(value, fv.URL_CREDENTIAL_6))
@@ -83,10 +83,10 @@ def families(
     for category, patterns in config.exclusions.items():
         patterns = usable(patterns)
         if patterns:
-            add(f"exclusion_{category}", hits(matched, patterns) | hits(line, patterns))
+            add(f"exclusion_{category}", hits(matched, patterns) | line_hits(line, patterns))
     add("format_template", hits(matched, fv.FP_FORMAT))
-    add("xml_namespace", hits(line, fv.FP_NAMESPACE))
-    add("assembly_reference", hits(line, fv.FP_ASSEMBLY))
+    add("xml_namespace", line_hits(line, fv.FP_NAMESPACE))
+    add("assembly_reference", line_hits(line, fv.FP_ASSEMBLY))
     add(
         "test_file",
         hits(path, fv.TEST_PATH)
@@ -114,7 +114,7 @@ def fast_families(
         ("noisy_file", hits(low_path, fv.FAST_SKIP_PATH)),
         (
             "android_xml",
-            low_path.endswith(".xml") & (hits(value, fv.FP_ANDROID) | hits(line, fv.FP_ANDROID)),
+            low_path.endswith(".xml") & (hits(value, fv.FP_ANDROID) | line_hits(line, fv.FP_ANDROID)),
         ),
         ("html_text", low_path.endswith(".html") & hits(value, fv.FAST_HTML + fv.FAST_ANGULAR)),
         (

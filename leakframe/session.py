@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame, SparkSession
 
 # AQE coalesces small shuffle partitions, splits skewed join partitions and swaps a join to
 # broadcast only after it has seen the real size of a side.
@@ -47,3 +50,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint(eager=True)
+
+
+_BUILT: dict[tuple[str, str], dict[str, Column]] = {}
+
+
+def built_once(key: str, build: Callable[[], dict[str, Column]]) -> dict[str, Column]:
+    """Columns that refer to their inputs by name are the same for every plan, so they are
+    built once per application: some hold hundreds of expressions."""
+    context = SparkContext._active_spark_context
+    full_key = (context.applicationId if context else "", key)
+    if full_key not in _BUILT:
+        _BUILT[full_key] = build()
+    return _BUILT[full_key]
