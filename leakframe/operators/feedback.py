@@ -190,8 +190,9 @@ def new_shapes(items: DataFrame, known: DataFrame, min_uses: int = 3) -> DataFra
 def known_effectiveness(items: DataFrame, known: DataFrame) -> DataFrame:
     """Expected and actual false-positive rate of each known LIKE pattern.
 
-    Items are counted per shape first; the pattern side is a small reviewed table.  Patterns
-    without wildcards join on equality, only real LIKE patterns are tested against shapes.
+    Items are counted per shape first.  Patterns without wildcards join on equality.  A LIKE
+    pattern can only match shapes that start with its literal prefix, so it joins on that prefix
+    and LIKE is tested on what is left, not on all pairs.
     """
     shapes = items.groupBy("value_pattern").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(_is_fp()).alias("fp")
@@ -201,7 +202,15 @@ def known_effectiveness(items: DataFrame, known: DataFrame) -> DataFrame:
     exact = shapes.join(
         known.where(~wild), F.col("value_pattern") == F.col("pattern")
     )
-    like = shapes.join(known.where(wild), F.expr("value_pattern LIKE pattern"))
+    prefix = F.regexp_extract("pattern", r"^[^%_\\]*", 0)
+    starts = F.sequence(F.lit(0), F.length("value_pattern"))
+    like = (
+        shapes.select("*", F.explode(starts).alias("_n"))
+        .select("value_pattern", "n", "fp", F.substring("value_pattern", F.lit(1), F.col("_n")).alias("_prefix"))
+        .join(known.where(wild).withColumn("_prefix", prefix), "_prefix")
+        .where(F.expr("value_pattern LIKE pattern"))
+        .drop("_prefix")
+    )
     return (
         exact.unionByName(like)
         .groupBy("pattern", F.col("confidence").alias("expected_fp_rate"))

@@ -9,6 +9,7 @@ from leakframe import fixed_values as fv
 from leakframe.functions import classify, names, text
 from leakframe.functions.regex import contains_any, escape, flags, to_java
 from leakframe.operators.secrets import drop_covered_partials
+from leakframe.session import small_side
 
 
 # ------------------------------------------------------------------ selection
@@ -90,6 +91,7 @@ def redact(files: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
     redacted = F.aggregate(
         "_values", F.col("content"), lambda acc, v: F.replace(acc, v.value, v.replacement)
     )
+    per_file = small_side(per_file)
     return files.join(per_file, keys, "left").withColumn("content", F.coalesce(redacted, "content")).drop("_values")
 
 
@@ -157,7 +159,7 @@ def plan_rewrites(files: DataFrame, requests: DataFrame, keys: list[str] = ["pat
     """
     asked = requests.groupBy(*keys).agg(F.collect_list(F.struct("line_number", "var_name")).alias("_asked"))
     lang = classify.language(F.col("path"))
-    found = files.join(asked, keys).select(
+    found = files.join(small_side(asked), keys).select(
         *keys,
         lang.alias("language"),
         F.size(_lines("content")).alias("n_lines"),
@@ -212,7 +214,7 @@ def apply_rewrites(files: DataFrame, rewrites: DataFrame, keys: list[str] = ["pa
         ),
     )
     return (
-        files.join(wanted, keys, "left")
+        files.join(small_side(wanted), keys, "left")
         .withColumn("content", F.when(F.col("_wanted").isNull(), F.col("content")).otherwise(F.array_join(edited, "\n")))
         .drop("_wanted")
     )

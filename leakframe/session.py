@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # AQE coalesces small shuffle partitions, splits skewed join partitions and swaps a join to
 # broadcast only after it has seen the real size of a side.
@@ -30,12 +31,15 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints: the one the cluster names, else a local one (tests only)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and spark.sparkContext.master.startswith("local"):
+    """Shared folder for checkpoints: the one the cluster names; a local one only in tests."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None and context.master.startswith("local"):
         named = tempfile.mkdtemp(prefix="leakframe-checkpoint-")
     if named is None:
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
     return named
 
 
@@ -45,13 +49,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Used where several outputs read one expensive intermediate (detected matches): it is
     computed once, and a lost executor costs a re-read instead of a new scan of all text.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_dir(spark))
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` if it is measured to be small, else leave the join to a shuffle.
+
+    For joins of a narrow table with wide text: by the time AQE knows the narrow side, the text
+    has been shuffled.  The narrow side is checkpointed, its bytes are summed, and only a side
+    below the limit is broadcast, so that the text stays where it is.
+    """
+    kept = cut_lineage(df)
+    size = F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("bytes")
+    measured = kept.agg(size).first()["bytes"] or 0
+    return F.broadcast(kept) if measured <= limit else kept
+
+
 _BUILT: dict[tuple[str, str], dict[str, Column]] = {}
 
 
