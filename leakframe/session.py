@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
-
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,18 +19,38 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
-    # text is wide: keep input splits modest so a task's rows fit in memory
-    "spark.sql.files.maxPartitionBytes": "128m",
 }
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Apply the settings to a running session."""
+    """Apply the settings to a running session and give its workers the package."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once per application.
+
+    Functions are pickled by reference, so workers must be able to import the package wherever
+    they start.  Spark copies the archive from the driver to each executor.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="leakframe-")) / "leakframe.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, str(source.relative_to(package.parent)))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints: the one the cluster names; a local one only in tests."""
     context = spark.sparkContext
