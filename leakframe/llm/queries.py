@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakframe.llm import embeddings, exact, language, minhash, mixing, packing, token_store
+from leakframe.llm import chat, embeddings, exact, language, minhash, mixing, packing, pii, token_store, url_tree
 from leakframe.llm.storage import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,76 @@ def query(sql: str | None = None):
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def _url_sql() -> str:
+    """Rules, then the tree level by level."""
+    steps, above = [], "host"
+    for i in (1, 2, 3):
+        own, whole = f"sum(n) OVER (PARTITION BY {above}, s{i})", f"sum(n) OVER (PARTITION BY {above})"
+        steps.append(
+            f"b{i} AS (SELECT *, CASE WHEN s{i} = '$' OR ({own} >= 3 AND {own} >= 0.02::DOUBLE * {whole}) THEN s{i} ELSE '*' END AS t{i} "
+            f"FROM {'a' if i == 1 else f'b{i - 1}'})"
+        )
+        above += f", t{i}"
+    steps.append("c0 AS (SELECT host, t1, t2, t3, sum(good) AS good, sum(bad) AS bad, '' AS branch FROM b3 GROUP BY host, t1, t2, t3)")
+    for i in (1, 2, 3):
+        steps.append(f"""n{i} AS (SELECT host, branch, t{i}, (sum(good) + sum(bad) + 2)::DOUBLE AS m, (sum(good) + 1)::DOUBLE / (sum(good) + sum(bad) + 2)::DOUBLE AS p
+  FROM c{i - 1} GROUP BY host, branch, t{i}),
+o{i} AS (SELECT *, lag(p) OVER w AS lp, lag(m) OVER w AS lm FROM n{i} WINDOW w AS (PARTITION BY host, branch ORDER BY p, t{i})),
+q{i} AS (SELECT *, (p * m + lp * lm) / (m + lm) AS pooled FROM o{i}),
+g{i} AS (SELECT host, branch, t{i}, branch || '/' || sum(CASE WHEN coalesce((p - lp) * (p - lp) > 1.64::DOUBLE * 1.64::DOUBLE * pooled * (1 - pooled) * (1 / m + 1 / lm), false)
+  THEN 1 ELSE 0 END) OVER (PARTITION BY host, branch ORDER BY p, t{i} ROWS UNBOUNDED PRECEDING) AS next FROM q{i}),
+c{i} AS (SELECT c.* EXCLUDE (branch), g.next AS branch FROM c{i - 1} c JOIN g{i} g ON c.host = g.host AND c.branch = g.branch AND c.t{i} = g.t{i})""")
+    cases = "".join(
+        f" WHEN (s.host = '{n.partition('/')[0]}' OR ends_with(s.host, '.{n.partition('/')[0]}')) AND starts_with(path, '/{n.partition('/')[2]}') THEN '{n}'"
+        for n, _ in sorted(URL_RULES, key=lambda r: -len(r[0]))
+    )
+    says = "".join(f" WHEN '{n}' THEN '{v}'" for n, v in URL_RULES)
+    return rf"""
+WITH p AS (
+  SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+), h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{url_tree.UPPER}', '{url_tree.LOWER}') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p
+), l AS (
+  SELECT doc_id, count(*) FILTER (quality = 1 AND toxic = 0) AS good, count(*) FILTER (NOT (quality = 1 AND toxic = 0)) AS bad
+  FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id
+), r AS (
+  SELECT h.*, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad,
+         list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''),
+                        lambda x: regexp_replace(regexp_replace(x, '^[0-9a-f-]{{16,}}\z', '{{x}}'), '[0-9]+', '{{n}}', 'g')) AS m
+  FROM h LEFT JOIN l ON l.doc_id = try_cast(regexp_extract(path, '/([0-9]+)[^/]*\z', 1) AS BIGINT)
+), s AS (
+  SELECT *, coalesce(m[1], '$') AS s1, coalesce(m[2], '$') AS s2, coalesce(m[3], '$') AS s3,
+         CASE WHEN len(m) > 3 THEN '**' || array_to_string(m[4:], '/') ELSE '$' END AS s4 FROM r
+), a AS (SELECT host, s1, s2, s3, s4, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM s GROUP BY host, s1, s2, s3, s4),
+{", ".join(steps)},
+e AS (SELECT (sum(good) + 1)::DOUBLE / (sum(good) + sum(bad) + 2)::DOUBLE AS e FROM c3),
+u AS (SELECT host, (sum(good) + 10.0::DOUBLE * any_value(e)) / (sum(good) + sum(bad) + 10.0::DOUBLE) AS hp FROM c3, e GROUP BY host),
+v AS (SELECT c3.host, branch, (sum(good) + 10.0::DOUBLE * any_value(hp)) / (sum(good) + sum(bad) + 10.0::DOUBLE) AS purity FROM c3 JOIN u ON u.host = c3.host GROUP BY c3.host, branch),
+x AS (SELECT c3.host, t1, t2, t3, purity FROM c3 JOIN v ON v.host = c3.host AND v.branch = c3.branch),
+y AS (SELECT b3.host, s1, s2, s3, s4, purity FROM b3 JOIN x ON x.host = b3.host AND x.t1 = b3.t1 AND x.t2 = b3.t2 AND x.t3 = b3.t3),
+z AS (SELECT page_id, s.host, path, CASE{cases} END AS rule, purity
+  FROM s JOIN y ON y.host = s.host AND y.s1 = s.s1 AND y.s2 = s.s2 AND y.s3 = s.s3 AND y.s4 = s.s4)
+SELECT page_id, host, path, rule, coalesce(CASE rule{says} END, CASE WHEN purity < 0.6::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict FROM z
+"""
+
+
+@query(_url_sql())
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled by the document whose number ends its path: good if of high quality and
+    not toxic."""
+    _, path = url_tree.split_url(F.col("url"))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract(path, r"/([0-9]+)[^/]*\z", 1).try_cast("bigint").alias("doc"))
+    fine = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    labels = table(spark, sf_dir, "labels").where("quality IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("doc")).agg(
+        F.count_if(fine).alias("good"), F.count_if(~fine).alias("bad")
+    )
+    judged = url_tree.judge_urls(pages.join(labels, "doc", "left"), URL_RULES, good_col="good", bad_col="bad")
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
 
 @query(r"""
 WITH d AS (
@@ -47,6 +117,39 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_store.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
     return token_store.read(spark, folder)
 
+_SQL_KINDS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda x: len(ltrim(x, '0')) > 3 OR coalesce(try_cast(ltrim(x, '0') AS INT), 0) > 255)) = 0"),
+    "card": (r"[0-9]([\x20-]?[0-9])+", """len(d) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, len(d) + 1), lambda i:
+        CASE WHEN i % 2 = 1 THEN d[len(d) - i + 1]::INT WHEN d[len(d) - i + 1]::INT > 4 THEN 2 * d[len(d) - i + 1]::INT - 9 ELSE 2 * d[len(d) - i + 1]::INT END)) % 10 = 0"""),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "len(d) BETWEEN 10 AND 15"),
+    "iban": (r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b", """list_reduce(
+        list_prepend(0, list_transform(string_split(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4), ''), lambda c: ascii(c)::BIGINT)),
+        lambda r, c: CASE WHEN c >= 65 THEN (r * 100 + c - 55) % 97 ELSE (r * 10 + c - 48) % 97 END) = 1"""),
+    "ssn": (r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", r"NOT regexp_matches(m, '^(000|666|9)|-00-|-0000$') AND regexp_matches(lower(right(gap, 48)), '\bssn\b|social security')"),
+}
+
+
+def _pii_sql() -> str:
+    ctes = []
+    for rank, (kind, (pattern, valid)) in enumerate(_SQL_KINDS.items()):
+        ctes.append(f"""{kind}_a AS (SELECT doc_id, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}') AS ms FROM t WHERE regexp_matches(t, '{pattern}')),
+{kind}_b AS (SELECT doc_id, i, ms[i] AS m, gaps[i] AS gap, regexp_replace(ms[i], '[^0-9]', '', 'g') AS d, gaps, ms FROM {kind}_a, unnest(range(1, len(ms) + 1)) AS u(i)),
+{kind} AS (SELECT doc_id, '{kind}' AS kind, {rank} AS rank, len(m) AS size,
+  list_sum(list_transform(gaps[:i], lambda x: len(x)))::BIGINT + coalesce(list_sum(list_transform(ms[:i - 1], lambda x: len(x))), 0)::BIGINT AS start FROM {kind}_b WHERE {valid})""")
+    every = " UNION ALL ".join(f"SELECT * FROM {k}" for k in _SQL_KINDS)
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}')::BIGINT AS n_{k}" for k in list(_SQL_KINDS)[:4])
+    said = "kind || ':' || start || ':' || (start + size)"
+    return f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {", ".join(ctes)}, s AS ({every})
+SELECT t.doc_id, {counts}, sha256(coalesce(string_agg({said}, ',' ORDER BY start, rank) FILTER (rank < 4), '')) AS base_sha256,
+       coalesce(string_agg({said}, ',' ORDER BY start, rank), '') AS spans
+FROM t LEFT JOIN s ON s.doc_id = t.doc_id GROUP BY t.doc_id"""
+
+
+@query(_pii_sql())
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
+
 
 @query()
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +158,27 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language.train(docs.where(~out))
     return language.predict(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
+@query(r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), f AS (
+  SELECT *, replace(replace(role, '~', '~~'), chr(10), '~n') AS r, '[<\[]~*(/?s>|/?INST\]|\|)' AS control FROM c
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(3 + length(r) + len(regexp_extract_all(r, control)) + 1 + length(text) + len(regexp_extract_all(text, control)) + 5)::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+""")
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    turns = turns.unionByName(extra).withColumn("parts", chat.text_part(F.col("text")))
+    return chat.read_back(chat.format_turns(turns)).drop("n_attachments", "attachment_tokens")
+
 
 @query(r"""
 WITH d AS (
