@@ -74,7 +74,7 @@ WITH p AS (
          CASE WHEN len(m) > 3 THEN '**' || array_to_string(m[4:], '/') ELSE '$' END AS s4 FROM r
 ), a AS (SELECT host, s1, s2, s3, s4, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM s GROUP BY host, s1, s2, s3, s4),
 {", ".join(steps)},
-e AS (SELECT (sum(good) + 1)::DOUBLE / (sum(good) + sum(bad) + 2)::DOUBLE AS e FROM c3),
+e AS (SELECT (sum(good) + 1)::DOUBLE / (sum(good) + sum(bad) + 1)::DOUBLE AS e FROM c3),
 u AS (SELECT host, (sum(good) + 10.0::DOUBLE * any_value(e)) / (sum(good) + sum(bad) + 10.0::DOUBLE) AS hp FROM c3, e GROUP BY host),
 v AS (SELECT c3.host, branch, (sum(good) + 10.0::DOUBLE * any_value(hp)) / (sum(good) + sum(bad) + 10.0::DOUBLE) AS purity FROM c3 JOIN u ON u.host = c3.host GROUP BY c3.host, branch),
 x AS (SELECT c3.host, t1, t2, t3, purity FROM c3 JOIN v ON v.host = c3.host AND v.branch = c3.branch),

@@ -101,7 +101,7 @@ def merged(tree: DataFrame) -> DataFrame:
 
 def purities(found: DataFrame) -> DataFrame:
     """Adds the smoothed ``purity`` of its branch to each template."""
-    everything = found.agg((F.sum("good") + 1) / (F.sum("good") + F.sum("bad") + 2)).scalar()
+    everything = found.agg((F.sum("good") + 1) / (F.sum("good") + F.sum("bad") + 1)).scalar()
     hosts = found.groupBy("host").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
     hosts = hosts.select("host", ((F.col("g") + PRIOR * everything) / (F.col("g") + F.col("b") + PRIOR)).alias("host_purity"))
     branches = found.groupBy("host", "branch").agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).join(hosts, "host")
