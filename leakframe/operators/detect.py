@@ -8,14 +8,10 @@ explode, so no text goes through a shuffle.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+import json
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from leakframe import fixed_values as fv
 from leakframe.functions import masks, names, text
@@ -25,7 +21,7 @@ from leakframe.operators.rules import Rule, ScanConfig
 from leakframe.operators.suppress import fp_reason
 from leakframe.session import built_once
 
-NATIVE_RULE_LIMIT = 200
+FOLDED_RULES = 24  # up to here each pattern is an expression of its own; the result is the same
 _BLOCK = 256  # matches are numbered in blocks, so that appending stays cheap for any count
 
 _SPOT = "struct<line:int,col:int,at:int>"
@@ -199,6 +195,7 @@ def find_matches(
     rules: list[Rule],
     config: ScanConfig | None = None,
     content: str = "content",
+    folded: int = FOLDED_RULES,
 ) -> DataFrame:
     """Every non-overlapping match of every rule (and entropy candidate) with its position.
 
@@ -206,8 +203,6 @@ def find_matches(
     """
     config = config or ScanConfig()
     rules = rule_ops.check(rules)
-    if len(rules) > NATIVE_RULE_LIMIT:
-        return find_matches_large(files, rules, config, content)
     body = F.col(content)
     keys = [c for c in files.columns if c != content]
     low, odd = F.lower(body), contains_any(body, ["ſ", "ı", "İ"])
@@ -215,89 +210,49 @@ def find_matches(
         *keys, body.alias("_text"), low.alias("_low"), odd.alias("_odd")
     )
     t = F.col("_text")
-    all_hits = [_rule_hits(t, r, F.col("_low"), F.col("_odd")) for r in rules]
+    if not rules and not config.entropy_enabled:
+        raise ValueError("nothing to detect: no rules and entropy is off")
+    large = len(rules) > folded
+    single = [] if large else [_rule_hits(t, r, F.col("_low"), F.col("_odd")) for r in rules]
     if config.entropy_enabled:
         last = max((r.ord for r in rules), default=0) + 1
-        all_hits.append(_entropy_hits(t, F.col("path"), config, last))
-    if not all_hits:
-        raise ValueError("nothing to detect: no rules and entropy is off")
-    hit = staged.select(*keys, "_text", F.array_compact(F.array(*all_hits)).alias("_hits"))
+        single.append(_entropy_hits(t, F.col("path"), config, last))
+    found = F.array_compact(F.array(*single)) if single else None
+    if large:
+        of_rules = _catalog_hits(t, rules, F.col("_low"), F.col("_odd"))
+        found = of_rules if found is None else F.concat(of_rules, found)
+    hit = staged.select(*keys, "_text", found.alias("_hits"))
     expand = lambda: {"_m": F.explode(_expand(t, F.col("_hits"), config)).alias("_m")}
     matches = built_once(f"expand {config!r}", expand)
     return hit.select(*keys, matches["_m"]).select(*keys, "_m.*")
 
 
-def find_matches_large(
-    files: DataFrame, rules: list[Rule], config: ScanConfig, content: str = "content"
-) -> DataFrame:
-    """Same output for catalogs too large to be one expression.
+_CATALOG = "array<struct<rule_id:string,ord:int,pattern:string,literal:string,groups:int>>"
 
-    Arrow batches of text go to ``re``, compiled once per task.  If every rule has a required
-    literal and entropy is off, texts without any of them stay in the JVM.
-    """
-    rules = rule_ops.check(rules)
-    if config.with_json:
-        raise ValueError("use secrets.locate_in_json on the matches of a large catalog")
-    body = F.col(content)
-    keys = [c for c in files.columns if c != content]
-    staged = files.where(body.isNotNull()).select(*keys, body.alias("_text"))
-    literals = {rule_ops.required_literal(r) for r in rules}
-    if None not in literals and not config.entropy_enabled:
-        some = F.rlike(F.lower("_text"), F.lit("|".join(re.escape(x) for x in sorted(literals))))
-        staged = staged.where(some | contains_any(F.col("_text"), ["ſ", "ı", "İ"]))
-    key_schema = staged.select(*keys).schema
-    schema = T.StructType(key_schema.fields + T._parse_datatype_string(MATCH_FIELDS).fields)
-    plain = [(r.regex, "rule", r.rule_id, r.ord) for r in rules]
-    last = max((r.ord for r in rules), default=0) + 1
-    fast = config.profile == "fast"
-    candidate = (fv.BARE_CANDIDATE if fast else fv.QUOTED_CANDIDATE, "entropy", "entropy", last)
-
-    def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [(re.compile(p, re.IGNORECASE | re.MULTILINE), *rest) for p, *rest in plain]
-        entropy = (re.compile(candidate[0]), *candidate[1:])
-        target = to_arrow_schema(schema)
-        for batch in batches:
-            texts = batch.column(len(keys)).to_pylist()
-            paths = batch.column(keys.index("path")).to_pylist() if "path" in keys else [""] * len(texts)
-            row_of, rows = [], []
-            for i, (body_text, path) in enumerate(zip(texts, paths)):
-                low = (path or "").lower()
-                looks = config.entropy_enabled and (
-                    fast or not (low.endswith(".js") or any(s in low for s in fv.ENTROPY_PATH_SKIP))
-                )
-                for m in _python_matches(body_text, compiled + [entropy] * looks, config):
-                    row_of.append(i)
-                    rows.append(m)
-            columns = [batch.column(k).take(pa.array(row_of, pa.int32())) for k in range(len(keys))]
-            for j, field in enumerate(target):
-                if j >= len(keys):
-                    columns.append(pa.array([r[j - len(keys)] for r in rows], field.type))
-            yield pa.RecordBatch.from_arrays(columns, names=target.names)
-
-    return staged.mapInArrow(scan_batches, schema=schema)
-
-
-def _python_matches(body: str, active: list, config: ScanConfig) -> Iterator[list]:
-    """MATCH_FIELDS of every match in one text."""
-    lines = None
-    for compiled, detector, rule_id, order in active:
-        line, seen = 1, 0
-        for m in compiled.finditer(body):
-            lines = body.split("\n") if lines is None else lines
-            line += body.count("\n", seen, m.start())
-            seen = m.start()
-            column = m.start() - body.rfind("\n", 0, m.start())
-            shown = _context(lines, line, config.profile == "fast") if config.with_context else None
-            groups = [g or "" for g in m.groups()]
-            yield [detector, rule_id, order, line, column, m.start(), m.group(0), groups,
-                   lines[line - 1], shown]
-
-
-def _context(lines: list[str], line: int, bare: bool) -> str:
-    around = range(max(1, line - 2), min(len(lines), line + 2) + 1)
-    if bare:
-        return "\n".join(lines[n - 1] for n in around)
-    return "\n".join(f"{'>>> ' if n == line else '    '}{n:4d} | {lines[n - 1]}" for n in around)
+
+def _catalog_hits(content: Column, rules: list[Rule], low: Column, odd: Column) -> Column:
+    """Array of the hits of a large catalog, as ``_rule_hits`` gives them one by one.
+
+    The catalog is one folded literal, so the plan does not grow with it.  A rule costs its
+    substring test; only texts that pass it pay for the pattern."""
+    rows = [
+        {"rule_id": r.rule_id, "ord": r.ord, "pattern": rule_ops.java_pattern(r), "literal": rule_ops.required_literal(r), "groups": r.compiled().groups}
+        for r in rules
+    ]
+    catalog = F.from_json(F.lit(json.dumps(rows)), _CATALOG)
+    may = lambda r: F.coalesce(F.contains(low, r["literal"]), F.lit(True)) | odd
+    active = F.filter(catalog, lambda r: may(r) & F.rlike(content, r["pattern"]))
+    none = F.array().cast("array<array<string>>")
+
+    def hit(r: Column) -> Column:
+        groups = F.transform(F.sequence(F.lit(1), r["groups"]), lambda g: F.regexp_extract_all(content, r["pattern"], g))
+        return F.struct(
+            F.lit("rule").alias("detector"), r["rule_id"].alias("rule_id"), r["ord"].alias("rule_ord"),
+            F.regexp_extract_all(content, r["pattern"], F.lit(0)).alias("texts"), F.split(content, r["pattern"], -1).alias("gaps"),
+            F.when(r["groups"] > 0, groups).otherwise(none).alias("groups"),
+        )
+
+    return F.transform(active, hit)
 
 
 def split_match(matched: Column, groups: Column) -> Column:
@@ -420,7 +375,9 @@ def judge(
     reasoned = _barrier(valued.where(c["keep"]), fp_reason=c["fp_reason"], _class=c["class"])
     own = [F.col(x) for x in matches.columns if x not in _MATCH_COLUMNS]
     typed = _with_rule(reasoned, rules).withColumn("_type", c["type"])
-    return typed.select(*own, *[c[x] for x in _OUTPUT])
+    where = [F.col(x) for x in ("repo", "branch", "commit_hash") if x in matches.columns]
+    identity = masks.sha256(F.concat_ws(":", *where, c["place"])).alias("finding_id")
+    return typed.select(*own, *[identity if x == "finding_id" else c[x] for x in _OUTPUT])
 
 
 _OUTPUT = [
@@ -480,7 +437,7 @@ def _judge_columns(config: ScanConfig) -> dict[str, Column]:
         "description": F.coalesce("_class.description", "_rule_description").alias("description"),
         "remediation": F.when(is_rule, F.col("_rule_remediation")).otherwise(advice).alias("remediation"),
         "false_positive": F.col("fp_reason").isNotNull().alias("false_positive"),
-        "finding_id": masks.sha256(place).alias("finding_id"),
+        "place": place,
     }
     # entropy needs the value column, so it is added beside it from the same source
     columns["entropy"] = text.entropy(columns["value"])
@@ -489,12 +446,12 @@ def _judge_columns(config: ScanConfig) -> dict[str, Column]:
 
 
 def _with_rule(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Add the catalog columns of the rule.  The catalog has at most MAX_RULES rows."""
+    """Add the catalog columns of the rule."""
     rows = [(r.rule_id, r.secret_type, r.severity, r.description, r.remediation) for r in rules]
     names_of = ["secret_type", "severity", "description", "remediation"]
     schema = "rule_id string, " + ", ".join(f"_rule_{n} string" for n in names_of)
     catalog = df.sparkSession.createDataFrame(rows, schema)
-    return df.join(F.broadcast(catalog), "rule_id", "left")
+    return df.join(catalog, "rule_id", "left")
 
 
 _MATCH_COLUMNS = [f.strip().split(" ")[0] for f in MATCH_FIELDS.split(", ")]

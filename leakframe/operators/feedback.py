@@ -328,30 +328,34 @@ def requests_last_hour(requests: DataFrame, buckets_per_hour: int = 60) -> DataF
     return joined.select(*requests.columns, n.alias("requests_last_hour"))
 
 
+HASHED = 64  # columns for the categories of shape class, secret type and file type
+
+
 def fp_classifier(items: DataFrame, trees: int = 100, seed: int = 7):
-    """Random forest on shape class, length, file type and test-file flag.  Returns a fitted
-    pipeline model; ``model.transform(items)`` scores."""
+    """Random forest on shape class, length, secret type, file type and test-file flag.  Returns a
+    fitted pipeline model; ``model.transform(classifier_features(items))`` scores.
+
+    Categories are hashed into a fixed number of columns, so any number of them will do.  Items
+    with equal features are fitted as one weighted row."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import StringIndexer, VectorAssembler
-
-    data = classifier_features(items)
-    indexers = [
-        StringIndexer(inputCol=c, outputCol=f"{c}_ix", handleInvalid="keep") for c in ("shape_class", "kind", "file_type")
-    ]
-    assembler = VectorAssembler(
-        inputCols=["value_length", "is_test_file", *[i.getOutputCol() for i in indexers]], outputCol="features"
-    )
+    from pyspark.ml.feature import FeatureHasher, VectorAssembler
+
+    names = ["shape_class", "kind", "file_type", "value_length", "is_test_file", "label"]
+    data = classifier_features(items).groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    hasher = FeatureHasher(inputCols=["shape_class", "kind", "file_type"], outputCol="hashed", numFeatures=HASHED)
+    assembler = VectorAssembler(inputCols=["value_length", "is_test_file", "hashed"], outputCol="features")
     forest = RandomForestClassifier(
-        labelCol="label", featuresCol="features", numTrees=trees, maxBins=128, seed=seed
+        labelCol="label", featuresCol="features", weightCol="weight", numTrees=trees, seed=seed
     )
-    return Pipeline(stages=[*indexers, assembler, forest]).fit(data)
+    return Pipeline(stages=[hasher, assembler, forest]).fit(data)
 
 
 def classifier_features(items: DataFrame) -> DataFrame:
     shape_class = F.regexp_extract("value_pattern", r"\[(\w+):", 1)
+    own = [c for c in items.columns if c not in ("kind", "label", "shape_class", "is_test_file")]
     return items.select(
-        *items.columns,
+        *own,
         shape_class.alias("shape_class"),
         F.col("secret_type").alias("kind"),
         F.col("file_type").contains("test").cast("double").alias("is_test_file"),

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakframe import fixed_values as fv
 from leakframe.functions import classify, names, text
 from leakframe.functions.regex import contains_any, escape, flags, to_java
+from leakframe.operators.ranking import prefix_sum
 from leakframe.operators.secrets import drop_covered_partials
-from leakframe.session import small_side
+from leakframe.session import cut_lineage, small_side
 
 
 # ------------------------------------------------------------------ selection
@@ -78,26 +83,95 @@ def replacement_table(findings: DataFrame, prefix: str = "APP_") -> DataFrame:
 
 
 # ------------------------------------------------------------------ redaction
-def redact(files: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
-    """Replace each value of a file in its text, longest first, then by value.
-
-    ``values`` has one row per (file keys, value, replacement).  Values of a file are listed
-    once; their number is bounded by the size of the file.  Files without values pass through.
-    """
-    listed = F.array_sort(
-        F.collect_set(F.struct((-F.length("value")).alias("n"), F.col("value"), F.col("replacement")))
-    )
-    per_file = values.groupBy(*keys).agg(listed.alias("_values"))
-    redacted = F.aggregate(
-        "_values", F.col("content"), lambda acc, v: F.replace(acc, v.value, v.replacement)
-    )
-    per_file = small_side(per_file)
-    return files.join(per_file, keys, "left").withColumn("content", F.coalesce(redacted, "content")).drop("_values")
-
-
-def values_per_file(findings: DataFrame, purge: DataFrame, keys: list[str]) -> DataFrame:
-    """Purge values with the files they were found in."""
-    return findings.select(*keys, "value").distinct().join(purge.select("value", "replacement"), "value")
+PURGE_CHUNK_BYTES = 4 * 1024 * 1024
+
+
+def _chunks(purge: DataFrame, limit: int) -> Iterator[list[tuple[str, str]]]:
+    """The purge list in order (longest first, then by value), in pieces of bounded size.
+
+    One automaton holds a piece, so a list of any length is worked off piece by piece."""
+    rows = purge.where(F.col("value") != "").groupBy("value").agg(
+        F.min(F.coalesce("replacement", F.lit("")) if "replacement" in purge.columns else F.lit("")).alias("replacement")
+    ).withColumn("n", F.length("value"))
+    order = [F.col("n").desc(), F.col("value")]
+    placed = cut_lineage(prefix_sum(rows, [], order, F.octet_length("value").cast("bigint"), "end").withColumn(
+        "chunk", F.floor((F.col("end") - 1) / limit)
+    ))
+    for (chunk,) in placed.select("chunk").distinct().orderBy("chunk").toLocalIterator():
+        yield [(r.value, r.replacement) for r in placed.where(F.col("chunk") == chunk).orderBy(*order).collect()]
+
+
+def automaton(values: list[str]):
+    """Finds all of many literals in one pass over a text; yields their places in the list."""
+    import ahocorasick
+
+    found = ahocorasick.Automaton()
+    for i, value in enumerate(values):
+        found.add_word(value, i)
+    found.make_automaton()
+    return found
+
+
+def replace_all(text_: str, search, pairs: list[tuple[str, str]]) -> str:
+    """Each value of the list in turn, everywhere; the same as a loop over the whole list.
+
+    Only values that occur are tried.  A replacement can bring a later value into being, so the
+    text is searched again after each."""
+    done = -1
+    while True:
+        later = [i for _, i in search.iter(text_) if i > done]
+        if not later:
+            return text_
+        done = min(later)
+        text_ = text_.replace(*pairs[done])
+
+
+def redact_everywhere(files: DataFrame, purge: DataFrame, content: str = "content", limit: int = PURGE_CHUNK_BYTES) -> DataFrame:
+    """Replace every purge value wherever it stands in any text, longest first, then by value.
+
+    A secret is removed also where no rule reported it.  Texts stay in their tasks: the list
+    goes to them, in pieces of bounded size, and each piece is one pass of a multi-pattern search
+    over the text.  Needs ``value`` and ``replacement`` (default: nothing)."""
+    schema, at = files.schema, files.columns.index(content)
+    for pairs in _chunks(purge, limit):
+        files = files.mapInArrow(_redactor(files.sparkSession.sparkContext.broadcast(pairs), at), schema)
+    return files
+
+
+def _redactor(pairs, at: int):
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = automaton([value for value, _ in pairs.value])
+        for batch in batches:
+            texts = [t if t is None else replace_all(t, search, pairs.value) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    return clean
+
+
+def literal_hits(files: DataFrame, purge: DataFrame, keys: list[str], content: str = "content", limit: int = PURGE_CHUNK_BYTES) -> DataFrame:
+    """Files (``keys``) and the purge values that stand in them, reported by a rule or not."""
+    narrow = files.select(*keys, F.col(content).alias("value"))
+    hits = [narrow.limit(0)]
+    for pairs in _chunks(purge, limit):
+        hits.append(narrow.mapInArrow(_searcher(files.sparkSession.sparkContext.broadcast([v for v, _ in pairs]), len(keys)), narrow.schema))
+    return reduce(DataFrame.unionByName, hits)
+
+
+def _searcher(values, at: int):
+    def search_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = automaton(values.value)
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                row, value = [], []
+                for i, body in enumerate(part.column(at).to_pylist()):
+                    for k in sorted({k for _, k in search.iter(body or "")}):
+                        row.append(i)
+                        value.append(values.value[k])
+                took = part.take(pa.array(row, pa.int32()))
+                yield took.set_column(at, part.schema.field(at), pa.array(value, part.schema.field(at).type))
+
+    return search_batches
 
 
 # ------------------------------------------------------------------ rewriting

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leakframe import fixed_values as fv
 from leakframe.functions import classify, text
 from leakframe.operators.ranking import first_n
-from leakframe.schemas import severity_dim
+from leakframe.schemas import file_key, severity_dim
 
 LEVELS = fv.SEVERITIES[:4]
 
@@ -39,8 +39,9 @@ def type_counts(findings: DataFrame, n: int | None = None) -> DataFrame:
 
 def file_counts(findings: DataFrame, n: int = 10) -> DataFrame:
     """Files with most findings, with the split by severity."""
-    counted = findings.groupBy("path").agg(F.count(F.lit(1)).alias("n"), *_severity_ifs())
-    return counted.orderBy(F.desc("n"), "path").limit(n)
+    key = file_key(findings)
+    counted = findings.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *_severity_ifs())
+    return counted.orderBy(F.desc("n"), *key).limit(n)
 
 
 def category_table(findings: DataFrame) -> DataFrame:
@@ -65,8 +66,8 @@ def lines_per_file(findings: DataFrame, n: int = 10) -> DataFrame:
     shuffle, so a file with any number of lines stays small.
     """
     category = classify.type_category(F.col("secret_type")).alias("category")
-    keys = ["category", "path"]
-    per_line = findings.select(category, "path", "line_number").groupBy(*keys, "line_number").agg(
+    keys = ["category", *file_key(findings)]
+    per_line = findings.select(category, *file_key(findings), "line_number").groupBy(*keys, "line_number").agg(
         F.count(F.lit(1)).alias("n")
     )
     totals = per_line.groupBy(*keys).agg(
@@ -84,7 +85,7 @@ def preclean_totals(matches: DataFrame) -> DataFrame:
     """One row: distinct secrets, files and commits."""
     return matches.agg(
         F.countDistinct("value_hash").alias("secrets"),
-        F.countDistinct("path").alias("files"),
+        F.countDistinct(*file_key(matches)).alias("files"),
         F.countDistinct("commit_hash").alias("commits"),
     )
 
@@ -93,7 +94,7 @@ def preclean_by_type(matches: DataFrame) -> DataFrame:
     """Per type: distinct secrets, files and commits, straight from the matches."""
     return matches.groupBy("secret_type").agg(
         F.countDistinct("value_hash").alias("secrets"),
-        F.countDistinct("path").alias("files"),
+        F.countDistinct(*file_key(matches)).alias("files"),
         F.countDistinct("commit_hash").alias("commits"),
     )
 
@@ -102,13 +103,14 @@ def preclean_top_files(matches: DataFrame, n: int = 20) -> DataFrame:
     """Files with most distinct secrets, with their types.
 
     Types per file are few (at most the catalog), so their set is bounded."""
+    key = file_key(matches)
     return (
-        matches.groupBy("path")
+        matches.groupBy(*key)
         .agg(
             F.countDistinct("value_hash").alias("secrets"),
             F.array_join(F.sort_array(F.collect_set("secret_type")), ", ").alias("types"),
         )
-        .orderBy(F.desc("secrets"), "path")
+        .orderBy(F.desc("secrets"), *key)
         .limit(n)
     )
 
@@ -117,7 +119,7 @@ def extension_counts(findings: DataFrame, n: int = 5) -> DataFrame:
     ext = F.coalesce(F.nullif(text.suffix(F.col("path")), F.lit("")), F.lit("other"))
     return (
         findings.groupBy(ext.alias("ext"))
-        .agg(F.countDistinct("path").alias("files"))
+        .agg(F.countDistinct(*file_key(findings)).alias("files"))
         .orderBy(F.desc("files"), "ext")
         .limit(n)
     )
@@ -185,7 +187,11 @@ def scan_summary(findings: DataFrame, verifications: DataFrame) -> DataFrame:
 
 
 def with_verification(findings: DataFrame, verifications: DataFrame) -> DataFrame:
-    return findings.join(verifications.select("finding_id", "status"), "finding_id", "left")
+    """One status per finding: the one that says most, where a finding was verified several times."""
+    order = ["unverified", "error", "rate_limited", "verified_inactive", "verified_active"]
+    rank = F.array_position(F.array(*[F.lit(x) for x in order]), F.col("status"))
+    best = verifications.groupBy("finding_id").agg(F.max_by("status", rank).alias("status"))
+    return findings.join(best, "finding_id", "left")
 
 
 def batch_summary(runs: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from leakframe import fixed_values as fv
 from leakframe.functions import masks, names, text
 from leakframe.operators.ranking import first_n
 from leakframe.operators.report import severity_counts
+from leakframe.schemas import file_key
 
 ORDER = ["commit_seq", "path", "rule_ord", "match_start"]
 
@@ -34,28 +35,34 @@ def fold(matches: DataFrame, key: str = "value_hash", order: list[str] | None =
     aggs = [
         F.min_by(F.struct(*firsts), _ord(matches, order)).alias("_first"),
         F.count(F.lit(1)).alias("n_matches"),
-        F.countDistinct("path").alias("n_files"),
+        F.countDistinct(*file_key(matches)).alias("n_files"),
     ]
     if "commit_hash" in matches.columns:
         aggs.append(F.countDistinct("commit_hash").alias("n_commits"))
     if "commit_ts" in matches.columns:
         aggs += [F.min("commit_ts").alias("first_seen"), F.max("commit_ts").alias("last_seen")]
-    keys = [key] if "repo" not in matches.columns else ["repo", key]
+    keys = _secret_key(matches, key)
     folded = matches.groupBy(*keys).agg(*aggs)
     rest = [c for c in folded.columns if c not in (*keys, "_first")]
     return folded.select(*keys, "_first.*", *rest)
 
 
+def _secret_key(df: DataFrame, key: str) -> list[str]:
+    """A secret is a value inside its repository, where the rows have one."""
+    return [c for c in ("repo", key) if c in df.columns]
+
+
 def places(matches: DataFrame, what: str, key: str = "value_hash", order: list[str] | None = None) -> DataFrame:
     """Long table (secret, file) or (secret, commit) with where it was first seen there."""
-    return matches.groupBy(key, what).agg(F.min(_ord(matches, order or ORDER)).alias("first_ord"))
+    return matches.groupBy(*_secret_key(matches, key), what).agg(F.min(_ord(matches, order or ORDER)).alias("first_ord"))
 
 
 def first_places(matches: DataFrame, what: str, n: int, key: str = "value_hash", order: list[str] | None = None) -> DataFrame:
     """The first n files or commits of each secret as a list, for reports that show n."""
-    top = first_n(places(matches, what, key, order), [key], ["first_ord", what], n)
+    keys = _secret_key(matches, key)
+    top = first_n(places(matches, what, key, order), keys, ["first_ord", what], n)
     listed = F.array_sort(F.collect_list(F.struct("first_ord", what)))
-    return top.groupBy(key).agg(F.transform(listed, lambda x: x[what]).alias(f"first_{what}s"))
+    return top.groupBy(*keys).agg(F.transform(listed, lambda x: x[what]).alias(f"first_{what}s"))
 
 
 def name_secrets(secrets: DataFrame, prefix: str = "APP_") -> DataFrame:
@@ -93,7 +100,8 @@ def value_fold(findings: DataFrame) -> DataFrame:
 
 def job_dedup(findings: DataFrame) -> DataFrame:
     """Dedup on (value, file) with a count of occurrences."""
-    return findings.groupBy(masks.job_hash(F.col("value"), F.col("path")).alias("secret_value_hash")).agg(
+    repo = [c for c in ("repo",) if c in findings.columns]
+    return findings.groupBy(*repo, masks.job_hash(F.col("value"), F.col("path")).alias("secret_value_hash")).agg(
         F.min("path").alias("path"),
         F.min("line_number").alias("line_number"),
         F.min_by("secret_type", F.struct("line_number", "rule_ord", "match_start")).alias("secret_type"),
@@ -113,7 +121,8 @@ def distinct_values(findings: DataFrame, order: list[str]) -> DataFrame:
 
 def per_file(secrets: DataFrame, secret_files: DataFrame, key: str = "value_hash") -> DataFrame:
     """Unique secrets back to one row per file; the first file comes first."""
-    return secrets.drop("path").join(secret_files.select(key, "path", "first_ord"), key)
+    keys = _secret_key(secret_files, key)
+    return secrets.drop("path").join(secret_files.select(*keys, "path", "first_ord"), keys)
 
 
 def deleted_files(findings: DataFrame, tracked: DataFrame) -> DataFrame:
@@ -217,11 +226,3 @@ def verify_clean(rescan: DataFrame, purged: DataFrame) -> DataFrame:
 def append_history(current: DataFrame, history: DataFrame) -> DataFrame:
     """Findings of the current tree and of history as one table."""
     return current.unionByName(history, allowMissingColumns=True)
-
-
-def known_shapes(items: DataFrame, known: DataFrame) -> DataFrame:
-    """Mark items whose shape or text a known false-positive pattern covers."""
-    exact = known.select(F.col("pattern").alias("value_pattern"), F.col("confidence").alias("known_confidence"), F.col("reason").alias("known_reason"))
-    return items.join(exact, "value_pattern", "left")
-
-

@@ -97,10 +97,10 @@ CONFIGS = (
 )
 ITEMS = (
     "SELECT source AS submission_id, TIMESTAMP '2024-01-01' + to_days(substr(source, 4)::INT) AS received_at, "
-    "regexp_extract(text, '^([^\\s]+)', 1) AS value, sha256(regexp_extract(text, '^([^\\s]+)', 1)) AS value_hash, "
+    "value, sha256(value) AS value_hash, "
     "CASE WHEN toxic = 1 THEN 'password' ELSE 'api_key' END AS secret_type, 'high' AS severity, "
-    "lang || '/' || doc_id || CASE WHEN toxic = 1 THEN '.yml' ELSE '.py' END AS path, "
-    "quality = 1 AS is_true_positive FROM documents JOIN labels USING (doc_id)"
+    "lang || '/' || doc_id || CASE WHEN toxic = 1 THEN '.yml' ELSE '.py' END AS path, quality = 1 AS is_true_positive "
+    "FROM (SELECT *, unnest(list_distinct(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))) AS value FROM documents JOIN labels USING (doc_id))"
 )
 JOBS = (
     "SELECT o_orderkey AS id, o_custkey AS user_id, CASE o_orderstatus WHEN 'F' THEN 'completed' "

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from leakframe.functions import names
 from leakframe.operators import detect, secrets
 from leakframe.operators.paths import history_skipped, keep_history, keep_scannable
 from leakframe.operators.rules import Rule, ScanConfig
+from leakframe.session import small_side
 from leakframe.sources.readers import decode_text, history
 
 
@@ -48,9 +51,17 @@ def scan_history_once(
 
 
 def split_blobs(blobs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(revisions, contents) from blobs with text in every row; the one shuffle of text."""
-    tagged = blobs.withColumn("blob_sha", F.sha2("content", 256))
-    return tagged.drop("content"), tagged.select("blob_sha", "content").dropDuplicates(["blob_sha"])
+    """(revisions, contents) from blobs with text in every row.
+
+    Texts are hashed where they are read.  One revision of each hash is picked on narrow rows,
+    and the texts of the picked revisions are read again; they are not shuffled while the list
+    of picks is measured to be small."""
+    key = [c for c in ("repo", "branch", "commit_hash", "path") if c in blobs.columns]
+    revisions = blobs.withColumn("blob_sha", F.sha2("content", 256)).drop("content")
+    picks = revisions.groupBy("blob_sha").agg(F.min(F.struct(*key)).alias("_pick")).select("blob_sha", "_pick.*")
+    same = [blobs[c].eqNullSafe(F.col(f"_{c}")) for c in key]
+    picked = small_side(picks.select(F.col("blob_sha"), *[F.col(c).alias(f"_{c}") for c in key]))
+    return revisions, blobs.join(picked, reduce(lambda a, b: a & b, same)).select("blob_sha", "content")
 
 
 def unique_secrets(judged: DataFrame, prefix: str = "APP_") -> DataFrame:
@@ -72,9 +83,3 @@ def dotnet_named(matches: DataFrame, prefix: str = "APP_") -> DataFrame:
         F.col("json_section"), F.col("json_key"), F.col("secret_type"), F.col("path"), prefix
     )
     return matches.withColumn("env_var", name)
-
-
-def as_text_path(df: DataFrame, folder: str, name: str, ending: str = ".txt") -> DataFrame:
-    """Give table rows a path, so that any text table can be scanned."""
-    path = F.concat(F.col(folder).cast("string"), F.lit("/"), F.col(name).cast("string"), F.lit(ending))
-    return df.withColumn("path", path)

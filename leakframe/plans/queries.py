@@ -76,10 +76,21 @@ def match_positions(spark: SparkSession, d: str) -> DataFrame:
     return found.select("path", "rule_id", "match_start", "line_number", "column_start", "match_text")
 
 
-@query("WITH " + o.matches(o.DOCS, t.RULES) + " SELECT path, rule_id, match_start, line_number, match_text FROM m")
+@query("SELECT 'part/' || p_partkey || '.txt' AS path, p_brand || '-' || p_size AS rule_id, length(p_name) + 1 AS match_start, 2 AS line_number, p_brand || ' size ' || p_size AS match_text, p_size::VARCHAR AS size FROM part")
 def match_rules_large_catalog(spark: SparkSession, d: str) -> DataFrame:
-    found = detect.find_matches_large(t.documents(spark, d), t.RULES, ScanConfig(entropy_enabled=False, with_context=False))
-    return found.select("path", "rule_id", "match_start", "line_number", "match_text")
+    """A rule for each brand and size that occurs, about a thousand, over a text for each part."""
+    parts = t.read(spark, d, "part", "p_partkey", "p_name", "p_brand", "p_size", "p_type")
+    kinds = parts.select("p_brand", "p_size").distinct().orderBy("p_brand", "p_size").collect()
+    rules = [
+        t.Rule(f"{b}-{n}", f"{b} {n}", rf"\b{b} size ({n})\b", "part", "low", ord=i) for i, (b, n) in enumerate(kinds)
+    ]
+    size = F.col("p_size").cast("string")
+    files = parts.select(
+        F.concat(F.lit("part/"), F.col("p_partkey").cast("string"), F.lit(".txt")).alias("path"),
+        F.concat("p_name", F.lit("\n"), "p_brand", F.lit(" size "), size, F.lit("\n"), "p_type").alias("content"),
+    )
+    found = detect.find_matches(files, rules, ScanConfig(entropy_enabled=False, with_context=False))
+    return found.select("path", "rule_id", "match_start", "line_number", "match_text", F.get("groups", F.lit(0)).alias("size"))
 
 
 @query(DOC_J + " SELECT path, rule_id, line_number, value, round(entropy, 4) AS entropy FROM j")
@@ -387,29 +398,29 @@ def history_scanned_once(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(HIST_F + " SELECT value_hash, commit_hash, min(commit_seq) AS commit_seq FROM f GROUP BY 1, 2")
+@query(HIST_F + " SELECT repo, value_hash, commit_hash, min(commit_seq) AS commit_seq FROM f GROUP BY 1, 2, 3")
 def secret_commits(spark: SparkSession, d: str) -> DataFrame:
     return secrets.places(history_findings(spark, d), "commit_hash").select(
-        "value_hash", "commit_hash", F.col("first_ord.commit_seq").alias("commit_seq")
+        "repo", "value_hash", "commit_hash", F.col("first_ord.commit_seq").alias("commit_seq")
     )
 
 
-@query(HIST_F + """, p AS (SELECT value_hash, path, min((commit_seq, path, rule_ord, match_start)) AS o FROM f GROUP BY 1, 2),
-  r AS (SELECT *, row_number() OVER (PARTITION BY value_hash ORDER BY o) AS k FROM p)
-  SELECT value_hash, string_agg(path, ', ' ORDER BY o) AS files FROM r WHERE k <= 3 GROUP BY 1""")
+@query(HIST_F + """, p AS (SELECT repo, value_hash, path, min((commit_seq, path, rule_ord, match_start)) AS o FROM f GROUP BY 1, 2, 3),
+  r AS (SELECT *, row_number() OVER (PARTITION BY repo, value_hash ORDER BY o) AS k FROM p)
+  SELECT repo, value_hash, string_agg(path, ', ' ORDER BY o) AS files FROM r WHERE k <= 3 GROUP BY 1, 2""")
 def first_files(spark: SparkSession, d: str) -> DataFrame:
     top = secrets.first_places(history_findings(spark, d), "path", 3)
-    return top.select("value_hash", F.array_join("first_paths", ", ").alias("files"))
+    return top.select("repo", "value_hash", F.array_join("first_paths", ", ").alias("files"))
 
 
-@query(DOC_F + """ SELECT value, arg_min(secret_type, (path, line_number, rule_ord, match_start)) AS secret_type,
-  arg_min(path, (path, line_number, rule_ord, match_start)) AS path, count(DISTINCT path) AS n_files FROM f GROUP BY 1""")
+@query(DOC_F + """ SELECT repo, value, arg_min(secret_type, (path, line_number, rule_ord, match_start)) AS secret_type,
+  arg_min(path, (path, line_number, rule_ord, match_start)) AS path, count(DISTINCT path) AS n_files FROM f GROUP BY 1, 2""")
 def value_fold(spark: SparkSession, d: str) -> DataFrame:
-    folded = secrets.fold(doc_findings(spark, d).drop("repo"), key="value", order=["path", "line_number", "rule_ord", "match_start"])
-    return folded.select("value", "secret_type", "path", "n_files")
+    folded = secrets.value_fold(doc_findings(spark, d))
+    return folded.select("repo", "value", "secret_type", "path", "n_files")
 
 
-@query(DOC_F + f" SELECT sha256(value || ':' || path) AS secret_value_hash, min(path) AS path, min(line_number) AS line_number, count(*) AS occurrence_count, min({o.mask('value', 'task')}) AS value_preview FROM f GROUP BY 1")
+@query(DOC_F + f" SELECT repo, sha256(value || ':' || path) AS secret_value_hash, min(path) AS path, min(line_number) AS line_number, count(*) AS occurrence_count, min({o.mask('value', 'task')}) AS value_preview FROM f GROUP BY 1, 2")
 def job_dedup(spark: SparkSession, d: str) -> DataFrame:
     return secrets.job_dedup(doc_findings(spark, d)).drop("secret_type")
 
@@ -420,10 +431,10 @@ def distinct_values(spark: SparkSession, d: str) -> DataFrame:
     return found.select("value", F.col("first_ord.path").alias("first_path"))
 
 
-@query(HIST_F + ", u AS (SELECT value_hash, path FROM f GROUP BY 1, 2), t AS (SELECT value_hash, arg_min(secret_type, (commit_seq, path, rule_ord, match_start)) AS secret_type FROM f GROUP BY 1) SELECT value_hash, u.path, secret_type FROM u JOIN t USING (value_hash)")
+@query(HIST_F + ", u AS (SELECT repo, value_hash, path FROM f GROUP BY 1, 2, 3), t AS (SELECT repo, value_hash, arg_min(secret_type, (commit_seq, path, rule_ord, match_start)) AS secret_type FROM f GROUP BY 1, 2) SELECT repo, value_hash, u.path, secret_type FROM u JOIN t USING (repo, value_hash)")
 def secrets_per_file(spark: SparkSession, d: str) -> DataFrame:
-    found = cut_lineage(history_findings(spark, d).drop("repo"))
-    return secrets.per_file(secrets.fold(found), secrets.places(found, "path")).select("value_hash", "path", "secret_type")
+    found = cut_lineage(history_findings(spark, d))
+    return secrets.per_file(secrets.fold(found), secrets.places(found, "path")).select("repo", "value_hash", "path", "secret_type")
 
 
 @query(HIST_F + " SELECT repo, path, count(*) AS n_findings FROM f WHERE NOT EXISTS (SELECT 1 FROM documents x JOIN labels l USING (doc_id) WHERE x.lang = f.repo AND 'docs/' || x.doc_id || '.md' = f.path) GROUP BY 1, 2")
@@ -460,7 +471,8 @@ def _partial_secrets(spark: SparkSession, d: str) -> DataFrame:
     return made.unionByName(t.read(spark, d, "supplier").select(F.col("s_name").alias("value"), F.lit("api_key").alias("secret_type")))
 
 
-@query(None)
+@query(_PARTIAL_SQL + f""" SELECT value, secret_type FROM s WHERE NOT (secret_type IN {o.in_list(sorted(fv.PARTIAL_VALUE_TYPES))} AND value <> ''
+  AND EXISTS (SELECT 1 FROM s b WHERE b.secret_type IN {o.in_list(sorted(fv.FULL_VALUE_TYPES))} AND length(b.value) > length(s.value) AND contains(b.value, s.value)))""")
 def partial_covered(spark: SparkSession, d: str) -> DataFrame:
     return secrets.drop_covered_partials(_partial_secrets(spark, d))
 
@@ -528,7 +540,7 @@ def top_types(spark: SparkSession, d: str) -> DataFrame:
     return report.type_counts(doc_findings(spark, d), 10)
 
 
-@query(DOC_F + " SELECT path, count(*) AS n, " + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in fv.SEVERITIES[:4]) + " FROM f GROUP BY 1 ORDER BY n DESC, path LIMIT 50")
+@query(DOC_F + " SELECT repo, path, count(*) AS n, " + ", ".join(f"count(*) FILTER (severity = '{s}') AS {s}" for s in fv.SEVERITIES[:4]) + " FROM f GROUP BY 1, 2 ORDER BY n DESC, repo, path LIMIT 50")
 def files_top(spark: SparkSession, d: str) -> DataFrame:
     return report.file_counts(doc_findings(spark, d), 50)
 
@@ -544,28 +556,28 @@ def content_categories(spark: SparkSession, d: str) -> DataFrame:
     return report.content_categories(cfg_findings(spark, d))
 
 
-@query(CFG_F + f", g AS (SELECT {o.TYPE_CATEGORY} AS category, path, count(*) AS findings, list_sort(list_distinct(list(line_number))) AS ls FROM f GROUP BY 1, 2) "
-       "SELECT category, path, findings, len(ls) AS distinct_lines, array_to_string(ls[1:10], ', ') AS lines FROM g")
+@query(CFG_F + f", g AS (SELECT {o.TYPE_CATEGORY} AS category, repo, path, count(*) AS findings, list_sort(list_distinct(list(line_number))) AS ls FROM f GROUP BY 1, 2, 3) "
+       "SELECT category, repo, path, findings, len(ls) AS distinct_lines, array_to_string(ls[1:10], ', ') AS lines FROM g")
 def lines_per_file(spark: SparkSession, d: str) -> DataFrame:
     return report.lines_per_file(cut_lineage(cfg_findings(spark, d, with_context=False)))
 
 
-@query(HIST_F + " SELECT count(DISTINCT value_hash) AS secrets, count(DISTINCT path) AS files, count(DISTINCT commit_hash) AS commits FROM f")
+@query(HIST_F + " SELECT count(DISTINCT value_hash) AS secrets, count(DISTINCT (repo, path)) AS files, count(DISTINCT commit_hash) AS commits FROM f")
 def preclean_totals(spark: SparkSession, d: str) -> DataFrame:
     return report.preclean_totals(history_findings(spark, d))
 
 
-@query(HIST_F + " SELECT secret_type, count(DISTINCT value_hash) AS secrets, count(DISTINCT path) AS files, count(DISTINCT commit_hash) AS commits FROM f GROUP BY 1")
+@query(HIST_F + " SELECT secret_type, count(DISTINCT value_hash) AS secrets, count(DISTINCT (repo, path)) AS files, count(DISTINCT commit_hash) AS commits FROM f GROUP BY 1")
 def by_type_distinct(spark: SparkSession, d: str) -> DataFrame:
     return report.preclean_by_type(history_findings(spark, d))
 
 
-@query(HIST_F + " SELECT path, count(DISTINCT value_hash) AS secrets, array_to_string(list_sort(list_distinct(list(secret_type))), ', ') AS types FROM f GROUP BY 1 ORDER BY secrets DESC, path LIMIT 20")
+@query(HIST_F + " SELECT repo, path, count(DISTINCT value_hash) AS secrets, array_to_string(list_sort(list_distinct(list(secret_type))), ', ') AS types FROM f GROUP BY 1, 2 ORDER BY secrets DESC, repo, path LIMIT 20")
 def preclean_top_files(spark: SparkSession, d: str) -> DataFrame:
     return report.preclean_top_files(history_findings(spark, d))
 
 
-@query(CFG_F + f" SELECT coalesce(nullif({o.SUFFIX}, ''), 'other') AS ext, count(DISTINCT path) AS files FROM f GROUP BY 1 ORDER BY files DESC, ext LIMIT 5")
+@query(CFG_F + f" SELECT coalesce(nullif({o.SUFFIX}, ''), 'other') AS ext, count(DISTINCT (repo, path)) AS files FROM f GROUP BY 1 ORDER BY files DESC, ext LIMIT 5")
 def extension_counts(spark: SparkSession, d: str) -> DataFrame:
     return report.extension_counts(cfg_findings(spark, d, with_context=False))
 

@@ -51,34 +51,46 @@ def replacement_table(spark: SparkSession, d: str) -> DataFrame:
     return redact.replacement_table(cfg_judged(spark, d, with_context=False))
 
 
-_REDACTED = DOC_F + f""", v AS (SELECT repo, path, list_sort(list_distinct(list(struct_pack(n := -length(value), value := value)))) AS vs FROM f WHERE length(value) >= 8 GROUP BY 1, 2),
-  x AS (SELECT d.repo, d.path, CASE WHEN vs IS NULL THEN content ELSE list_reduce(list_prepend(content, list_transform(vs, lambda q: q.value)), lambda acc, q: replace(acc, q, '***REMOVED***')) END AS content
-  FROM ({o.DOCS}) d LEFT JOIN v ON d.repo = v.repo AND d.path = v.path)"""
+_REDACTED = DOC_F + f""", v AS (SELECT list(value ORDER BY -length(value), value) AS vs FROM (SELECT DISTINCT value FROM f WHERE length(value) >= 8)),
+  x AS (SELECT d.repo, d.path, list_reduce(list_prepend(content, vs), lambda acc, q: replace(acc, q, '***REMOVED***')) AS content FROM ({o.DOCS}) d, v)"""
+
+
+def _cleaned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Purge list of the documents' findings, and all documents without its values."""
+    purge = cut_lineage(redact.select_purge(cut_lineage(doc_findings(spark, d))).withColumn("replacement", F.lit(fv.REMOVED)))
+    return purge, redact.redact_everywhere(t.documents(spark, d), purge)
 
 
 @query(_REDACTED + " SELECT repo, path, sha256(content) AS content_hash, length(content) AS n_chars FROM x")
 def redacted_text(spark: SparkSession, d: str) -> DataFrame:
-    found = cut_lineage(doc_findings(spark, d))
-    purge = redact.select_purge(found).withColumn("replacement", F.lit(fv.REMOVED))
-    values = redact.values_per_file(found, purge, ["repo", "path"])
-    clean = redact.redact(t.documents(spark, d), values, ["repo", "path"])
+    _, clean = _cleaned(spark, d)
     return clean.select("repo", "path", F.sha2("content", 256).alias("content_hash"), F.length("content").alias("n_chars"))
 
 
+@query(DOC_F + f", v AS (SELECT DISTINCT value FROM f WHERE length(value) >= 8) SELECT d.repo, d.path, value FROM ({o.DOCS}) d JOIN v ON contains(content, value)")
+def purge_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Where purge values stand, also in documents in which no rule reported them."""
+    purge = redact.select_purge(cut_lineage(doc_findings(spark, d)))
+    return redact.literal_hits(t.documents(spark, d), purge, ["repo", "path"])
+
+
 @query(
-    f"WITH p AS ({DOC_F} SELECT DISTINCT value FROM f WHERE length(value) >= 8), r AS (WITH "
-    + o.findings(_REDACTED + " SELECT repo, path, content, strlen(content) AS size_bytes FROM x", t.RULES)
-    + " SELECT value FROM f) SELECT count(*) AS left_over FROM r WHERE value IN (SELECT value FROM p)"
+    f"WITH p AS ({DOC_F} SELECT DISTINCT value FROM f WHERE length(value) >= 8), y AS ({_REDACTED} SELECT repo, path, content FROM x), r AS (WITH "
+    + o.findings("SELECT repo, path, content, strlen(content) AS size_bytes FROM y", t.RULES)
+    + " SELECT value FROM f) SELECT (SELECT count(*) FROM r WHERE value IN (SELECT value FROM p)) AS left_over, "
+    "(SELECT count(*) FROM y JOIN p ON contains(content, value)) AS literal_left"
 )
 def redacted_rescan(spark: SparkSession, d: str) -> DataFrame:
+    """A clean is verified twice: by the rules and by a search for the purged values themselves."""
     from leakframe.operators import detect
     from leakframe.operators.rules import ScanConfig
 
-    found = cut_lineage(doc_findings(spark, d))
-    purge = redact.select_purge(found).withColumn("replacement", F.lit(fv.REMOVED))
-    clean = redact.redact(t.documents(spark, d), redact.values_per_file(found, purge, ["repo", "path"]), ["repo", "path"])
+    purge, clean = _cleaned(spark, d)
     again = detect.findings(detect.scan(clean, t.RULES, ScanConfig(entropy_enabled=False, with_context=False)))
-    return secrets.verify_clean(again, purge).agg(F.count_if("was_purged").alias("left_over"))
+    left = secrets.verify_clean(again, purge).select(F.col("was_purged").cast("int").alias("left_over"), F.lit(0).alias("literal_left"))
+    literal = redact.literal_hits(clean, purge, ["repo", "path"]).select(F.lit(0).alias("left_over"), F.lit(1).alias("literal_left"))
+    sums = left.unionByName(literal).agg(F.sum("left_over").alias("a"), F.sum("literal_left").alias("b"))
+    return sums.select(F.coalesce("a", F.lit(0)).alias("left_over"), F.coalesce("b", F.lit(0)).alias("literal_left"))
 
 
 def _requests(spark: SparkSession, d: str) -> DataFrame:
@@ -216,12 +228,18 @@ _ANON = (
     ITEMS + f", a AS (SELECT submission_id, received_at, value_hash, value, secret_type, severity, length(value) AS value_length, {o.shape('value')} AS value_pattern, "
     f"{o.SUFFIX} AS file_extension, {o.FILE_CLASS} AS file_type, is_true_positive, nullif(array_to_string(list_filter(["
     "CASE WHEN starts_with(value, 'sha256/') OR starts_with(value, 'sha1/') THEN " + o.lit(fv.HINT_TEXT["pin"]) + " END, "
+    "CASE WHEN contains(value, '=') AND length(value) IN (44, 64, 88) AND regexp_full_match(replace(replace(replace(value, '+', ''), '/', ''), '=', ''), '[\\pL\\pN]+') "
+    f"AND (contains(lower(value), 'sha') OR contains(lower(path), 'certificate') OR contains(lower(path), 'pin')) THEN {o.lit(fv.HINT_TEXT['hash'])} END, "
     f"CASE WHEN (starts_with(lower(value), 'http://') OR starts_with(lower(value), 'https://')) AND {o.contains_any('lower(value)', fv.HINT_DOC_URL)} THEN {o.lit(fv.HINT_TEXT['doc_url'])} END, "
+    f"CASE WHEN {o.contains_any('lower(value)', ['schemas.android.com', 'xmlns'])} THEN {o.lit(fv.HINT_TEXT['namespace'])} END, "
+    f"CASE WHEN {o.contains_any('lower(value)', ['android.support.', 'androidx.'])} THEN {o.lit(fv.HINT_TEXT['library'])} END, "
+    f"CASE WHEN regexp_matches(lower(value), '^(com|org|net)\\.') AND (contains(value, 'host=') OR contains(value, 'package=')) THEN {o.lit(fv.HINT_TEXT['package'])} END, "
     f"CASE WHEN {o.contains_any('lower(value)', fv.HINT_CODE)} THEN {o.lit(fv.HINT_TEXT['code'])} END, "
     f"CASE WHEN lower(value) IN {o.in_list(fv.HINT_PLACEHOLDER)} THEN {o.lit(fv.HINT_TEXT['placeholder'])} END, "
     f"CASE WHEN length(value) < 8 THEN {o.lit(fv.HINT_TEXT['short'])} END, "
     f"CASE WHEN regexp_matches(value, '^(#|//|/\\*|\\*|--)') THEN {o.lit(fv.HINT_TEXT['comment'])} END, "
-    f"CASE WHEN {o.contains_any('lower(value)', ['adapter', 'instrumented', 'test'])} THEN {o.lit(fv.HINT_TEXT['test_class'])} END"
+    f"CASE WHEN {o.contains_any('lower(value)', ['adapter', 'instrumented', 'test'])} THEN {o.lit(fv.HINT_TEXT['test_class'])} END, "
+    f"CASE WHEN {o.contains_any('lower(value)', ['file_provider', 'fileprovider'])} THEN {o.lit(fv.HINT_TEXT['provider'])} END"
     "], lambda h: h IS NOT NULL), '; '), '') AS context_hint FROM items)"
 )
 
@@ -386,11 +404,15 @@ def requests_last_hour(spark: SparkSession, d: str) -> DataFrame:
     return feedback.requests_last_hour(_calls(spark, d)).select("event_id", "client_id", "requests_last_hour")
 
 
-@query(None)
+@query(_ANON + """, s AS (SELECT is_true_positive, ('0x' || left(value_hash, 2))::INT % 5 = 0 AS held_out FROM a)
+  SELECT held_out, is_true_positive, count(*) AS scored FROM s GROUP BY 1, 2""")
 def fp_classifier_scores(spark: SparkSession, d: str) -> DataFrame:
-    items = _items(spark, d)
-    model = feedback.fp_classifier(items, trees=20)
-    return model.transform(feedback.classifier_features(items)).select("value_hash", "is_true_positive", "prediction")
+    """Fit on four fifths of the values, score all; the test suite checks the held-out accuracy."""
+    out = F.conv(F.substring("value_hash", 1, 2), 16, 10).cast("int") % 5 == 0
+    items = cut_lineage(_items(spark, d).withColumn("held_out", out))
+    model = feedback.fp_classifier(items.where(~F.col("held_out")))
+    scored = model.transform(feedback.classifier_features(items)).where(F.col("prediction").isNotNull())
+    return scored.groupBy("held_out", "is_true_positive").agg(F.count(F.lit(1)).alias("scored"))
 
 
 # ------------------------------------------------------------------ jobs
@@ -560,7 +582,7 @@ def env_file(spark: SparkSession, d: str) -> DataFrame:
     return sinks.env_file_rows(_named(spark, d).withColumn("ord", F.col("value_hash")))
 
 
-@query(CFG_F + " SELECT path, count(*) AS n, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM f GROUP BY 1")
+@query(CFG_F + " SELECT repo, path, count(*) AS n, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM f GROUP BY 1, 2")
 def findings_by_file(spark: SparkSession, d: str) -> DataFrame:
     return sinks.by_file_rows(cfg_findings(spark, d, with_context=False))
 
@@ -589,10 +611,19 @@ def _to_table(stream: DataFrame, spark: SparkSession) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/data")
 
 
-@query("WITH h AS (SELECT event_type AS client_id, date_trunc('hour', ts) AS hour, count(*) AS requests FROM events GROUP BY 1, 2) SELECT client_id, hour, requests, requests > 4 AS over_limit FROM h WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
+@query("SELECT event_type AS client_id, date_trunc('hour', ts) AS hour, count(*) AS requests, count(*) > 4 AS over_limit FROM events GROUP BY 1, 2")
 def stream_hourly_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of open hours are there too: each batch upserts what changed, the last count holds."""
     calls = _event_stream(spark, d).withColumnRenamed("event_type", "client_id")
-    return _to_table(streams.hourly_requests(calls, limit=4), spark)
+    out, counts = _scratch(spark), streams.hourly_requests(calls, limit=4)
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/data/batch={number}")
+
+    _drain(counts.writeStream.outputMode("update").option("checkpointLocation", f"{out}/state").foreachBatch(upsert), spark)
+    rows = spark.read.parquet(f"{out}/data")
+    last = rows.groupBy("client_id", "hour").agg(F.max_by(F.struct("requests", "over_limit"), "batch").alias("x"))
+    return last.select("client_id", "hour", "x.*")
 
 
 @query(DOC_F + " SELECT path, rule_id, match_start, line_number, value_hash FROM f")
@@ -668,7 +699,16 @@ def stream_fresh(spark: SparkSession, d: str) -> DataFrame:
     return _to_table(fresh.select("event_id"), spark)
 
 
-@query(None)
+@query("""WITH RECURSIVE c AS (SELECT event_type AS client_id, event_id AS request_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts), event_id::VARCHAR) AS n FROM events),
+  w(client_id, request_id, us, n, kept, allowed) AS (
+    SELECT client_id, request_id, us, n, [us], true FROM c WHERE n = 1
+    UNION ALL
+    SELECT c.client_id, c.request_id, c.us, c.n,
+      CASE WHEN len(list_filter(w.kept, lambda x: x > c.us - 3600000000)) < 2 THEN list_append(list_filter(w.kept, lambda x: x > c.us - 3600000000), c.us)
+           ELSE list_filter(w.kept, lambda x: x > c.us - 3600000000) END,
+      len(list_filter(w.kept, lambda x: x > c.us - 3600000000)) < 2
+    FROM w JOIN c ON c.client_id = w.client_id AND c.n = w.n + 1)
+  SELECT client_id, request_id::VARCHAR AS request_id, us, allowed FROM w""")
 def stream_rate_limit(spark: SparkSession, d: str) -> DataFrame:
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",

@@ -85,3 +85,8 @@ def transition_dim(spark: SparkSession) -> DataFrame:
 
 def known_fp_defaults(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(fv.DEFAULT_KNOWN_FP, KNOWN_FP)
+
+
+def file_key(df) -> list[str]:
+    """What names a file: its path, inside its repository where the rows have one."""
+    return [c for c in ("repo", "path") if c in df.columns]

@@ -9,6 +9,7 @@ from leakframe import fixed_values as fv
 from leakframe import schemas
 from leakframe.functions import text
 from leakframe.operators import rules as rule_ops
+from leakframe.operators.paths import keep_scannable
 from leakframe.operators.rules import Rule, ScanConfig
 
 
@@ -34,7 +35,8 @@ def directory(
 ) -> DataFrame:
     """Files of a directory tree as ``schemas.FILES``.
 
-    The size filter reaches the file source, so large files are not read."""
+    The size filter reaches the file source, so large files are not read.  ``max_files`` counts
+    files that would be scanned, in path order."""
     config = config or ScanConfig()
     raw = (
         spark.read.format("binaryFile")
@@ -49,7 +51,7 @@ def directory(
         decode_lossy(F.col("content")).alias("content"),
         F.col("length").alias("size_bytes"),
     )
-    return files.limit(max_files) if max_files else files
+    return keep_scannable(files, config).orderBy("path").limit(max_files) if max_files else files
 
 
 def _quote(part: str) -> str:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from leakframe.functions import classify, masks, names
 from leakframe.operators.ranking import first_n
 from leakframe.operators.redact import purge_line
+from leakframe.schemas import file_key
 
 _ORDER = ["path", "line_number", "rule_ord", "match_start"]
 
@@ -200,7 +201,7 @@ def cleanup_rows(secrets: DataFrame) -> DataFrame:
 
 def by_file_rows(findings: DataFrame) -> DataFrame:
     """Findings grouped by file for a view: counts per severity and file."""
-    return findings.groupBy("path").agg(
+    return findings.groupBy(*file_key(findings)).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count_if(F.col("severity") == s).alias(s) for s in ("critical", "high", "medium", "low")],
     )

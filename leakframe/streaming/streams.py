@@ -5,9 +5,11 @@ Each function takes a streaming DataFrame and returns one, or a writer that is r
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -129,6 +131,8 @@ def rate_limited(requests: DataFrame, limit: int = 100) -> DataFrame:
     """Allowed or rejected, exactly, per client in time order.
 
     Needs client_id, request_id and ts.  Uses the state store, so set the RocksDB provider."""
+    # the processor also starts in a process that has no added files, so it travels by value
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     keyed = requests.select(
         F.col("client_id").cast("string").alias("client_id"),
         F.col("request_id").cast("string").alias("request_id"),

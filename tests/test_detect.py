@@ -75,7 +75,7 @@ def test_positions_and_groups_agree_with_python(spark, seed):
         (f"f{i}.py", f"r{j}", *m) for i, b in enumerate(bodies) for j, p in enumerate(PATTERNS) for m in models.matches(p, b)
     )
     assert got == want
-    large = detect.find_matches_large(df, rules, QUIET)
+    large = detect.find_matches(df, rules, QUIET, folded=0)
     assert sorted(map(str, found.collect())) == sorted(map(str, large.collect()))
 
 
@@ -155,3 +155,14 @@ def test_history_scanned_once_agrees(spark, rules):
     direct = pipelines.scan_history(blobs, rules).select(cols).collect()
     once = pipelines.scan_history_once(*pipelines.split_blobs(blobs), rules).select(cols).collect()
     assert sorted(map(str, direct)) == sorted(map(str, once)) and len(once) == 3
+
+
+@pytest.mark.parametrize("n", [24, 25, 199, 201, 3000])
+def test_catalogs_of_any_size_agree(spark, n):
+    rules = [Rule(f"r{i}", f"r{i}", rf"\bkey{i}=(\w+)", "api_key", "high", ord=i) for i in range(n)]
+    body = '{"a": {\n"key7=one", key23=two\nKEY7=three key99999=four}'
+    config = ScanConfig(with_json=True)
+    got = detect.scan(files(spark, ("a.json", body), ("b.json", "nothing")), rules, config).select("rule_id", "match_start", "line_number", "value", "context")
+    few = [r for r in rules if r.rule_id in ("r7", "r23")]
+    want = detect.scan(files(spark, ("a.json", body)), few, config).select("rule_id", "match_start", "line_number", "value", "context")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 3

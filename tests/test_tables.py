@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from leakframe import fixed_values as fv
@@ -94,13 +95,65 @@ def test_redact_then_rescan_finds_nothing(spark):
     files = spark.createDataFrame([("r", "a.txt", body), ("r", "b.txt", "nothing")], "repo string, path string, content string")
     hits = detect.findings(detect.scan(files, rule, quiet))
     purge = redact.select_purge(hits).withColumn("replacement", F.lit(fv.REMOVED))
-    clean = redact.redact(files, redact.values_per_file(hits, purge, ["repo", "path"]), ["repo", "path"])
+    clean = redact.redact_everywhere(files, purge)
     texts = {r.path: r.content for r in clean.collect()}
     assert texts["b.txt"] == "nothing" and texts["a.txt"].count(fv.REMOVED) == 3 and "Longer" not in texts["a.txt"]
     left = secrets.verify_clean(detect.findings(detect.scan(clean, rule, quiet)), purge)
     assert left.where("was_purged").count() == 0
 
 
+def test_a_bare_value_in_another_file_is_redacted_and_found(spark):
+    rule = [Rule("k", "k", r'token = "(\S+)"', "auth_token", "high", ord=1)]
+    files = spark.createDataFrame(
+        [("r", "a.py", 'token = "Zk93hfQ0pLm2"'), ("r", "b.txt", "bare Zk93hfQ0pLm2 here"), ("s", "c.txt", None)], "repo string, path string, content string"
+    )
+    hits = detect.findings(detect.scan(files, rule, ScanConfig(entropy_enabled=False)))
+    purge = redact.select_purge(hits)
+    assert sorted((r.path, r.value) for r in redact.literal_hits(files, purge, ["repo", "path"]).collect()) == [("a.py", "Zk93hfQ0pLm2"), ("b.txt", "Zk93hfQ0pLm2")]
+    clean = redact.redact_everywhere(files, purge)
+    assert {r.path: r.content for r in clean.collect()} == {"a.py": 'token = ""', "b.txt": "bare  here", "c.txt": None}
+    assert redact.literal_hits(clean, purge, ["repo", "path"]).count() == 0
+    plan = clean._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("limit", [9, 1 << 20])
+def test_redaction_in_pieces_equals_a_loop(spark, limit):
+    rng = random.Random(limit)
+    values = list({"".join(rng.choice("abAB") for _ in range(rng.randint(1, 6))) for _ in range(40)})
+    texts = ["".join(rng.choice("abAB ") for _ in range(rng.randint(0, 60))) for _ in range(50)]
+    purge = spark.createDataFrame([(v, "a" if i % 3 else "") for i, v in enumerate(values)], "value string, replacement string")
+    files = spark.createDataFrame(list(enumerate(texts)), "path int, content string")
+    order = sorted(purge.collect(), key=lambda r: (-len(r.value), r.value))
+    want = []
+    for text in texts:
+        for r in order:
+            text = text.replace(r.value, r.replacement)
+        want.append(text)
+    got = {r.path: r.content for r in redact.redact_everywhere(files, purge, limit=limit).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
+def test_repositories_keep_their_own_secrets(spark):
+    rows = [("r1", "a.py", "c1", 1, "v"), ("r2", "z.py", "c2", 2, "v"), ("r2", "z.py", "c3", 3, "v")]
+    df = spark.createDataFrame(rows, "repo string, path string, commit_hash string, commit_seq int, value string").select(
+        "*", F.sha2("value", 256).alias("value_hash"), F.lit(1).alias("rule_ord"), F.lit(0).alias("match_start"), F.lit("api_key").alias("secret_type"),
+        F.lit("high").alias("severity"), F.lit(1).alias("line_number"),
+    )
+    per = secrets.per_file(secrets.fold(df), secrets.places(df, "path"))
+    assert sorted((r.repo, r.path) for r in per.collect()) == [("r1", "a.py"), ("r2", "z.py")]
+    assert sorted((r.repo, r.path, r.n) for r in report.file_counts(df).collect()) == [("r1", "a.py", 1), ("r2", "z.py", 2)]
+
+
+def test_findings_of_several_commits_are_verified_once_each(spark):
+    rule = [Rule("k", "k", r"key=(\S+)", "api_key", "high", ord=1)]
+    rows = [("r1", "c1", "a", "key=Zx81-qQ7m-Lo"), ("r1", "c2", "a", "key=Zx81-qQ7m-Lo"), ("r2", "c1", "a", "key=Zx81-qQ7m-Lo")]
+    files = spark.createDataFrame(rows, "repo string, commit_hash string, path string, content string")
+    found = detect.findings(detect.scan(files, rule, ScanConfig(entropy_enabled=False)))
+    assert found.select("finding_id").distinct().count() == 3
+    assert report.with_verification(found, verify.verify(found).unionByName(verify.verify(found))).count() == 3
+
+
 def test_purge_selection(spark):
     rows = [("short", "api_key"), ("password", "api_key"), ("long-enough-1", "api_key"), ("two\nlines here", "api_key"), ("long-enough-1", "jwt")]
     got = redact.select_purge(spark.createDataFrame(rows, "value string, secret_type string")).collect()
@@ -201,3 +254,6 @@ def test_classifier_learns_a_plain_rule(spark):
     model = feedback.fp_classifier(df, trees=5)
     scored = model.transform(feedback.classifier_features(df))
     assert scored.where(F.col("prediction") == F.col("label")).count() > 50
+    many = [(f"[alpha:{n}]", n, "python", f"kind{n}", n % 2 == 0) for n in range(400)]
+    wide = feedback.fp_classifier(spark.createDataFrame(many, df.schema), trees=2)
+    assert wide.transform(feedback.classifier_features(df)).count() == df.count()
