@@ -132,11 +132,12 @@ def make_unique(df: DataFrame, base: str, order: list, out: str = "env_var") ->
     df = cut_lineage(df)  # ranges are sampled first: without this the input would run twice
     numbered = number_within(df, [base], order, "_n")
     own = df.select(F.col(base).alias("_own")).distinct()
-    form = r"(?s)^(.*)_([1-9][0-9]{0,8})$"
+    # no table has 10**18 rows, so a longer number is never given
+    form = r"(?s)^(.*)_([1-9][0-9]{0,17})\z"
     taken = (
         own.select(
             F.regexp_extract("_own", form, 1).alias(base),
-            F.try_to_number(F.regexp_extract("_own", form, 2), F.lit("999999999")).cast("bigint").alias("_hole"),
+            F.regexp_extract("_own", form, 2).try_cast("bigint").alias("_hole"),
         )
         .where(F.col("_hole").isNotNull())
         .join(own.select(F.col("_own").alias(base)), base, "left_semi")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leakframe import fixed_values as fv
 from leakframe.functions import classify, masks, text
-from leakframe.operators.ranking import first_n
+from leakframe.operators.ranking import first_n, prefix_sum
 from leakframe.operators.suppress import review_hints
 
 
@@ -287,45 +287,23 @@ def shape_alerts(items: DataFrame, known: DataFrame, min_samples: int = 20, abov
     return rates.join(known.select(F.col("pattern").alias("value_pattern")), "value_pattern", "left_anti")
 
 
-def requests_last_hour(requests: DataFrame, buckets_per_hour: int = 60) -> DataFrame:
+def requests_last_hour(requests: DataFrame) -> DataFrame:
     """Requests of the client in the hour up to and including each request.
 
-    A range window would sort all requests of a client in one task.  The hour is split
-    instead: whole minutes inside the hour come from per-minute counts, and the two edge
-    minutes from a window over one (client, minute) or the minute an hour before, so the
-    largest group is one minute of one client.
+    A range window would sort all requests of a client in one task.  Here each request is three
+    marks on the time line of its client: it enters, it asks, and an hour later it leaves.  The
+    answer is a running total over the marks, which is summed range by range (see ``ranking``),
+    so one client may hold any share of the requests.
     """
-    width = 3600 // buckets_per_hour
-    us = F.unix_micros("ts")
-    bucket = F.floor(us / F.lit(width * 1_000_000)).cast("bigint")
-    base = requests.withColumn("_us", us).withColumn("_b", bucket)
-    # rank of a request inside its minute, ties counted as present
-    here = Window.partitionBy("client_id", "_b").orderBy("_us").rangeBetween(Window.unboundedPreceding, 0)
-    own = base.withColumn("_own", F.count(F.lit(1)).over(here))
-    counts = base.groupBy("client_id", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    # minutes fully inside the hour: b-59 .. b-1
-    spread = counts.select(
-        "client_id",
-        F.explode(F.sequence(F.col("_b") + 1, F.col("_b") + buckets_per_hour - 1)).alias("_b"),
-        "_n",
+    at = F.unix_micros("ts")
+    row = F.struct(*requests.columns)
+    mark = lambda when, phase, add, own: F.struct(
+        when.alias("_at"), F.lit(phase).alias("_phase"), F.lit(add).cast("bigint").alias("_add"), own.alias("_row")
     )
-    whole = spread.groupBy("client_id", "_b").agg(F.sum("_n").alias("_whole"))
-    # the minute an hour before: requests at or after (ts - 1 hour)
-    shifted = base.select(
-        "client_id", (F.col("_b") + buckets_per_hour).alias("_b"),
-        (F.col("_us") + 3_600_000_000).alias("_us"), F.lit(1).alias("_edge"),
-    )
-    marks = own.select("client_id", "_b", "_us").distinct().withColumn("_edge", F.lit(0))
-    tail = Window.partitionBy("client_id", "_b").orderBy("_us").rangeBetween(0, Window.unboundedFollowing)
-    edge = (
-        marks.unionByName(shifted)
-        .withColumn("_old", F.sum("_edge").over(tail))
-        .where(F.col("_edge") == 0)
-        .select("client_id", "_b", "_us", "_old")
-    )
-    joined = own.join(whole, ["client_id", "_b"], "left").join(edge, ["client_id", "_b", "_us"], "left")
-    n = F.col("_own") + F.coalesce("_whole", F.lit(0)) + F.coalesce("_old", F.lit(0))
-    return joined.select(*requests.columns, n.alias("requests_last_hour"))
+    none = F.when(F.lit(False), row)
+    marks = requests.select("client_id", F.inline(F.array(mark(at, 0, 1, none), mark(at, 1, 0, row), mark(at + 3_600_000_000, 2, -1, none))))
+    summed = prefix_sum(marks, ["client_id"], ["_at", "_phase"], F.col("_add"), "_n")
+    return summed.where(F.col("_phase") == 1).select("_row.*", F.col("_n").alias("requests_last_hour"))
 
 
 HASHED = 64  # columns for the categories of shape class, secret type and file type

@@ -110,6 +110,22 @@ def outbox_split(outbox: DataFrame, now: Column, max_retries: int = 5, retention
     return outbox.withColumn("route", route)
 
 
+def after_publish(outbox: DataFrame, delivered: DataFrame, now: Column, max_retries: int = 5) -> DataFrame:
+    """The outbox after an attempt on every waiting event below the retry limit.
+
+    Events in ``delivered`` (column ``id``) are marked published; the other attempts count."""
+    done = delivered.select("id").distinct().withColumn("_done", F.lit(True))
+    tried = ~F.col("published") & (F.col("retry_count") < max_retries)
+    sent = tried & F.coalesce("_done", F.lit(False))
+    changed = outbox.join(done, "id", "left").select(
+        *[F.col(c) for c in outbox.columns if c not in ("published", "published_at", "retry_count")],
+        (F.col("published") | sent).alias("published"),
+        F.when(sent, now).otherwise(F.col("published_at")).alias("published_at"),
+        F.when(tried & ~sent, F.col("retry_count") + 1).otherwise(F.col("retry_count")).alias("retry_count"),
+    )
+    return changed.select(*outbox.columns)
+
+
 def audit_rows(actions: DataFrame) -> DataFrame:
     """Audit rows of actions, in the shape that is appended to ``audit_logs``."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("job_id", "user_id", "action", "created_at")]

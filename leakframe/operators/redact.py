@@ -186,12 +186,13 @@ def env_reference(language: Column, name: Column) -> Column:
 def rewrite_line(language: Column, name: Column, line: Column) -> Column:
     """Assignment with the value replaced by a reference to the variable.
 
-    Variable names are word characters, so they need no escaping inside a pattern."""
+    Names are quoted in patterns and in replacements, so any name is taken as it is."""
+    literal, name = escape(name), F.regexp_replace(name, r"([\\$])", r"\\$1")
     quoted = r"""["'][^"']*["']"""
     maybe_quoted = r"""["']?[^"':\n]*["']?"""
     ref = F.concat(F.lit('$1"\\${'), name, F.lit('}"'))
     exact, folded = flags(ignore_case=False), flags()
-    by_name = F.concat(F.lit(folded + "("), name, F.lit(to_java(rf"\s*[:=]\s*){maybe_quoted}")))
+    by_name = F.concat(F.lit(folded + "("), literal, F.lit(to_java(rf"\s*[:=]\s*){maybe_quoted}")))
 
     def fixed(pattern: str, before: str, after: str) -> Column:
         whole = exact + to_java(pattern + quoted)
@@ -202,7 +203,7 @@ def rewrite_line(language: Column, name: Column, line: Column) -> Column:
             language == "bash",
             F.regexp_replace(
                 line,
-                F.concat(F.lit(exact + "("), name, F.lit(to_java(r"""\s*=\s*)["']?[^"']*["']?"""))),
+                F.concat(F.lit(exact + "("), literal, F.lit(to_java(r"""\s*=\s*)["']?[^"']*["']?"""))),
                 ref,
             ),
         )
@@ -211,7 +212,7 @@ def rewrite_line(language: Column, name: Column, line: Column) -> Column:
             F.regexp_replace(
                 line,
                 F.concat(
-                    F.lit(folded + to_java(r"(\s*")), F.lower(name), F.lit(to_java(r"\s*=\s*)" + quoted))
+                    F.lit(folded + to_java(r"(\s*")), literal, F.lit(to_java(r"\s*=\s*)" + quoted))
                 ),
                 F.concat(F.lit("$1os.environ.get('"), name, F.lit("')")),
             ),

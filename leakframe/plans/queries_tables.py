@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from leakframe.operators import feedback, jobs, redact, report, secrets, verify
 from leakframe.plans import oracle as o
 from leakframe.plans import tables as t
 from leakframe.plans.queries import (
-    CFG_F, CFG_J, DOC_F, HIST_F, ITEMS, cfg_findings, cfg_judged, doc_findings, history_findings, query,
+    CFG_F, CFG_J, DOC_F, HIST_F, ITEMS, SEV, cfg_findings, cfg_judged, doc_findings, history_findings, query,
 )
 from leakframe.session import checkpoint_dir, cut_lineage
 from leakframe.sources import sinks
@@ -497,6 +498,39 @@ def outbox_batch(spark: SparkSession, d: str) -> DataFrame:
     return jobs.outbox_batch(t.outbox(spark, d)).select("id", "event_type", "created_at")
 
 
+@query(f"WITH x AS ({o.OUTBOX}), y AS (SELECT *, NOT published AND retry_count < 5 AS tried, NOT published AND retry_count < 5 AND id % 3 = 0 AS sent FROM x) "
+       "SELECT id, published OR sent AS published, CASE WHEN sent THEN TIMESTAMP '2024-02-01' ELSE published_at END AS published_at, (retry_count + CASE WHEN tried AND NOT sent THEN 1 ELSE 0 END)::INT AS retry_count FROM y")
+def outbox_after_publish(spark: SparkSession, d: str) -> DataFrame:
+    """A third of the attempts arrives."""
+    box = cut_lineage(t.outbox(spark, d))
+    after = jobs.after_publish(box, box.where("id % 3 = 0").select("id"), F.lit("2024-02-01").cast("timestamp"))
+    return after.select("id", "published", "published_at", F.col("retry_count").cast("int").alias("retry_count"))
+
+
+@query(HIST_F + f""" SELECT 'files' AS tab, repo, value_hash, path AS place FROM f GROUP BY ALL UNION ALL SELECT 'commits', repo, value_hash, commit_hash FROM f GROUP BY ALL
+  UNION ALL SELECT DISTINCT 'large_files', NULL, NULL, coalesce(path, sha) FROM ({o.OBJECTS}) WHERE type = 'blob' AND size_bytes > 4000""")
+def cleanup_places(spark: SparkSession, d: str) -> DataFrame:
+    """The long tables of the cleanup report in one."""
+    tables = sinks.cleanup_tables(cut_lineage(history_findings(spark, d)), report.large_objects(t.objects(spark, d), 4000))
+    row = lambda name, df, place: df.select(F.lit(name).alias("tab"), "repo", "value_hash", F.col(place).alias("place"))
+    none = F.lit(None).cast("string")
+    large = tables["large_files"].select(F.lit("large_files").alias("tab"), none.alias("repo"), none.alias("value_hash"), F.col("path").alias("place"))
+    return row("files", tables["files"], "path").unionByName(row("commits", tables["commits"], "commit_hash")).unionByName(large)
+
+
+_AUDIT = CFG_F + f""", c AS (SELECT {o.TYPE_CATEGORY} AS category FROM f)
+  SELECT 'severities' AS tab, count(*) AS rows FROM {SEV} UNION ALL SELECT 'types', count(DISTINCT secret_type) FROM f UNION ALL SELECT 'files', count(DISTINCT (repo, path)) FROM f
+  UNION ALL SELECT 'categories', count(DISTINCT category) FROM c UNION ALL SELECT 'lines', count(*) FROM (SELECT DISTINCT repo, path, {o.TYPE_CATEGORY} AS category FROM f)"""
+
+
+@query(_AUDIT)
+def audit_table_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """The report tables as one set; each is compared in full by a query of its own."""
+    tables = sinks.audit_tables(cut_lineage(cfg_findings(spark, d)))
+    sizes = [tables[n].agg(F.lit(n).alias("tab"), F.count(F.lit(1)).alias("rows")) for n in ("severities", "types", "files", "categories", "lines")]
+    return reduce(DataFrame.unionByName, sizes)
+
+
 @query(f"WITH x AS ({o.OUTBOX}) SELECT id, retry_count, CASE WHEN published AND published_at < TIMESTAMP '2024-01-20' - INTERVAL 72 HOUR THEN 'purge' WHEN published THEN 'keep' WHEN retry_count >= 5 THEN 'dead_letter' ELSE 'publish' END AS route FROM x")
 def outbox_routes(spark: SparkSession, d: str) -> DataFrame:
     return jobs.outbox_split(t.outbox(spark, d), F.lit("2024-01-20").cast("timestamp")).select("id", "retry_count", "route")
@@ -675,6 +709,39 @@ def stream_daily_partitions(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{out}/data").select("event_id", "day")
 
 
+@query(f"WITH x AS ({o.OUTBOX}), y AS (SELECT *, NOT published AND retry_count < 5 AS tried, NOT published AND retry_count < 5 AND id % 3 = 0 AS sent FROM x) "
+       "SELECT id, published OR sent AS published, CASE WHEN sent THEN TIMESTAMP '2024-02-01' ELSE published_at END AS published_at, (retry_count + CASE WHEN tried AND NOT sent THEN 1 ELSE 0 END)::INT AS retry_count FROM y")
+def outbox_after_publish(spark: SparkSession, d: str) -> DataFrame:
+    """A third of the attempts arrives."""
+    box = cut_lineage(t.outbox(spark, d))
+    after = jobs.after_publish(box, box.where("id % 3 = 0").select("id"), F.lit("2024-02-01").cast("timestamp"))
+    return after.select("id", "published", "published_at", F.col("retry_count").cast("int").alias("retry_count"))
+
+
+@query(HIST_F + f""" SELECT 'files' AS tab, repo, value_hash, path AS place FROM f GROUP BY ALL UNION ALL SELECT 'commits', repo, value_hash, commit_hash FROM f GROUP BY ALL
+  UNION ALL SELECT DISTINCT 'large_files', NULL, NULL, coalesce(path, sha) FROM ({o.OBJECTS}) WHERE type = 'blob' AND size_bytes > 4000""")
+def cleanup_places(spark: SparkSession, d: str) -> DataFrame:
+    """The long tables of the cleanup report in one."""
+    tables = sinks.cleanup_tables(cut_lineage(history_findings(spark, d)), report.large_objects(t.objects(spark, d), 4000))
+    row = lambda name, df, place: df.select(F.lit(name).alias("tab"), "repo", "value_hash", F.col(place).alias("place"))
+    none = F.lit(None).cast("string")
+    large = tables["large_files"].select(F.lit("large_files").alias("tab"), none.alias("repo"), none.alias("value_hash"), F.col("path").alias("place"))
+    return row("files", tables["files"], "path").unionByName(row("commits", tables["commits"], "commit_hash")).unionByName(large)
+
+
+_AUDIT = CFG_F + f""", c AS (SELECT {o.TYPE_CATEGORY} AS category FROM f)
+  SELECT 'severities' AS tab, count(*) AS rows FROM {SEV} UNION ALL SELECT 'types', count(DISTINCT secret_type) FROM f UNION ALL SELECT 'files', count(DISTINCT (repo, path)) FROM f
+  UNION ALL SELECT 'categories', count(DISTINCT category) FROM c UNION ALL SELECT 'lines', count(*) FROM (SELECT DISTINCT repo, path, {o.TYPE_CATEGORY} AS category FROM f)"""
+
+
+@query(_AUDIT)
+def audit_table_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """The report tables as one set; each is compared in full by a query of its own."""
+    tables = sinks.audit_tables(cut_lineage(cfg_findings(spark, d)))
+    sizes = [tables[n].agg(F.lit(n).alias("tab"), F.count(F.lit(1)).alias("rows")) for n in ("severities", "types", "files", "categories", "lines")]
+    return reduce(DataFrame.unionByName, sizes)
+
+
 @query(f"WITH x AS ({o.OUTBOX}) SELECT id, retry_count, CASE WHEN retry_count >= 5 THEN 'dead' ELSE 'published' END AS sent FROM x WHERE NOT published")
 def stream_outbox(spark: SparkSession, d: str) -> DataFrame:
     out = _scratch(spark)

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakframe.functions import classify, masks, names
+from leakframe.operators import report, secrets
 from leakframe.operators.ranking import first_n
-from leakframe.operators.redact import purge_line
+from leakframe.operators.redact import dry_run, purge_line, replacement_table
 from leakframe.schemas import file_key
 
 _ORDER = ["path", "line_number", "rule_ord", "match_start"]
@@ -199,6 +200,26 @@ def cleanup_rows(secrets: DataFrame) -> DataFrame:
     )
 
 
+def cleanup_tables(matches: DataFrame, large: DataFrame) -> dict[str, DataFrame]:
+    """The cleanup report of a history scan as tables: secrets, the files and commits of each
+    (keyed by repository and value hash), large files and the counters."""
+    found = secrets.name_secrets(secrets.fold(matches))
+    files, commits = secrets.places(matches, "path"), secrets.places(matches, "commit_hash")
+    return {
+        "secrets": cleanup_rows(found), "files": files.drop("first_ord"), "commits": commits.drop("first_ord"),
+        "large_files": large, "counters": dry_run(found, large),
+    }
+
+
+def audit_tables(findings: DataFrame) -> dict[str, DataFrame]:
+    """The tables of the audit reports over one scan."""
+    return {
+        "severities": report.severity_counts(findings), "types": report.type_counts(findings), "files": by_file_rows(findings),
+        "categories": report.category_table(findings), "lines": report.lines_per_file(findings), "extensions": report.extension_counts(findings),
+        "technologies": classify.technologies_in_findings(findings), "replacements": replacement_table(findings),
+    }
+
+
 def by_file_rows(findings: DataFrame) -> DataFrame:
     """Findings grouped by file for a view: counts per severity and file."""
     return findings.groupBy(*file_key(findings)).agg(

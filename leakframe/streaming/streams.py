@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from leakframe import schemas
-from leakframe.operators import detect, feedback
+from leakframe.operators import detect, feedback, jobs
 from leakframe.operators.paths import keep_scannable
 from leakframe.operators.rules import Rule, ScanConfig
 
@@ -155,15 +155,23 @@ def dedup_events(events: DataFrame, ts: str = "created_at", delay: str = HOUR) -
 
 
 def deliver(
-    outbox: DataFrame, publish: Callable[[DataFrame], None], dead: Callable[[DataFrame], None],
-    checkpoint: str, max_retries: int = 5,
+    outbox: DataFrame, publish: Callable[[DataFrame], DataFrame | None], dead: Callable[[DataFrame], None],
+    checkpoint: str, max_retries: int = 5, update: Callable[[DataFrame], None] | None = None,
 ) -> DataStreamWriter:
-    """Each batch: events below the retry limit to ``publish``, the rest to ``dead``."""
+    """Each batch: events below the retry limit to ``publish``, the rest to ``dead``.
+
+    ``publish`` returns the events that arrived (column ``id``), or nothing if all did.  ``update``
+    then gets the batch as it stands: arrived events are marked, the retries of the others rise."""
 
     def route(batch: DataFrame, _: int) -> None:
+        batch.persist()
         waiting = batch.where(~F.col("published"))
-        publish(waiting.where(F.col("retry_count") < max_retries))
+        tried = waiting.where(F.col("retry_count") < max_retries)
+        arrived = publish(tried)
         dead(waiting.where(F.col("retry_count") >= max_retries))
+        if update is not None:
+            update(jobs.after_publish(batch, tried if arrived is None else arrived, F.current_timestamp(), max_retries))
+        batch.unpersist()
 
     return outbox.writeStream.option("checkpointLocation", checkpoint).foreachBatch(route)
 
