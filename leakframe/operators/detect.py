@@ -446,12 +446,13 @@ def _judge_columns(config: ScanConfig) -> dict[str, Column]:
 
 
 def _with_rule(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Add the catalog columns of the rule."""
+    """Add the catalog columns of the rule.  The catalog is already part of the plan, so it goes
+    to every task in any case."""
     rows = [(r.rule_id, r.secret_type, r.severity, r.description, r.remediation) for r in rules]
     names_of = ["secret_type", "severity", "description", "remediation"]
     schema = "rule_id string, " + ", ".join(f"_rule_{n} string" for n in names_of)
     catalog = df.sparkSession.createDataFrame(rows, schema)
-    return df.join(catalog, "rule_id", "left")
+    return df.join(F.broadcast(catalog), "rule_id", "left")
 
 
 _MATCH_COLUMNS = [f.strip().split(" ")[0] for f in MATCH_FIELDS.split(", ")]
