@@ -12,7 +12,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakframe.functions import classify
+from leakframe.functions import classify, sql
 from leakframe.operators import redact, report, suppress, verify
 from leakframe.operators.rules import ScanConfig
 from leakframe.plans import oracle as o
@@ -249,6 +249,13 @@ def ci_report(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("s_suppkey", F.regexp_extract("env_var", "([0-9]+)$", 1).cast("bigint")).select("s_suppkey", *rows.columns)
 
 
+@query(f"SELECT c_custkey, round({o.entropy('c_name')}, 4) AS bits, {o.mask('c_name', 'report')} AS shown FROM customer")
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    sql.register(spark)
+    t.read(spark, d, "customer", "c_custkey", "c_name").createOrReplaceTempView("leakframe_customer")
+    return spark.sql("SELECT c_custkey, round(shannon_entropy(c_name), 4) AS bits, mask_secret(c_name) AS shown FROM leakframe_customer")
+
+
 # ------------------------------------------------------------------ readers
 def _folder(spark: SparkSession, name: str) -> str:
     import uuid
