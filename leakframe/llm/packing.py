@@ -61,23 +61,24 @@ def pieces(
         arrow = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
         if with_ids:
             arrow["ids"] = pa.binary()
+        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            ids, counts = encoder(tokenizer).encode(batch.column(1))
-            raw, end, at, rows = memoryview(ids.astype("<u4").tobytes()), np.array([end_id], "<u4").tobytes(), 0, []
-            for doc, n in zip(batch.column(0).to_pylist(), counts.tolist()):
-                start = 0
-                for number, length in enumerate(cut(n + 1, capacity)):
-                    part = raw[4 * (at + start):4 * min(at + start + length, at + n)]
-                    last = start + length == n + 1
-                    crc = zlib.crc32(end, zlib.crc32(part)) if last else zlib.crc32(part)
-                    row = (doc, number, start, length, crc)
-                    rows.append((*row, bytes(part) + end if last else bytes(part)) if with_ids else row)
-                    start += length
-                at += n
-            columns = zip(*rows) if rows else [[]] * len(arrow)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(columns, arrow.values())], names=list(arrow)
-            )
+            for first, stop, ids, counts in encoder(tokenizer).parts(batch.column(1)):
+                raw, at, rows = memoryview(ids.astype("<u4").tobytes()), 0, []
+                for doc, n in zip(batch.column(0).slice(first, stop - first).to_pylist(), counts.tolist()):
+                    start = 0
+                    for number, length in enumerate(cut(n + 1, capacity)):
+                        part = raw[4 * (at + start):4 * min(at + start + length, at + n)]
+                        last = start + length == n + 1
+                        crc = zlib.crc32(end, zlib.crc32(part)) if last else zlib.crc32(part)
+                        row = (doc, number, start, length, crc)
+                        rows.append((*row, bytes(part) + end if last else bytes(part)) if with_ids else row)
+                        start += length
+                    at += n
+                columns = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(c), t) for c, t in zip(columns, arrow.values())], names=list(arrow)
+                )
 
     return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(cut_batches, schema)
 

@@ -212,22 +212,22 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, _ARROW)], schema=_ARROW)
 
         for batch in batches:
-            ids, counts = encoder(tokenizer).encode(batch.column(1))
-            counts = counts + 1
-            ids = np.insert(ids.astype(np.uint32), np.cumsum(counts - 1), np.uint32(end_id))
-            bounds = np.concatenate([[0], np.cumsum(counts)]).tolist()
-            begin = 0
-            for i, doc in enumerate(batch.column(0).to_pylist()):
-                docs_.append(doc)
-                lengths.append(bounds[i + 1] - bounds[i])
-                held += lengths[-1]
-                if held >= segment:
-                    waiting.append(ids[bounds[begin]:bounds[i + 1]])
-                    yield flush()
-                    docs_, lengths, waiting, held, begin = [], [], [], 0, i + 1
-                    number += 1
-            if bounds[-1] > bounds[begin]:
-                waiting.append(ids[bounds[begin]:])
+            for first, stop, ids, counts in encoder(tokenizer).parts(batch.column(1)):
+                counts = counts + 1
+                ids = np.insert(ids.astype(np.uint32), np.cumsum(counts - 1), np.uint32(end_id))
+                bounds = np.concatenate([[0], np.cumsum(counts)]).tolist()
+                begin = 0
+                for i, doc in enumerate(batch.column(0).slice(first, stop - first).to_pylist()):
+                    docs_.append(doc)
+                    lengths.append(bounds[i + 1] - bounds[i])
+                    held += lengths[-1]
+                    if held >= segment:
+                        waiting.append(ids[bounds[begin]:bounds[i + 1]])
+                        yield flush()
+                        docs_, lengths, waiting, held, begin = [], [], [], 0, i + 1
+                        number += 1
+                if bounds[-1] > bounds[begin]:
+                    waiting.append(ids[bounds[begin]:])
         if held:
             yield flush()
 

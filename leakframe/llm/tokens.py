@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,8 @@ IRREGULAR = rf"[{_SPACE}][{_SPACE}]|\x01"
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PUNCTUATION = r"!-&(-/:-@\[-`{-~"  # ASCII without the apostrophe, which begins contractions
 PLAIN = re.compile(rf"( ?[{_LETTERS}]+)([{_PUNCTUATION}]*)")
-REMEMBERED = 600_000
+REMEMBERED = 300_000
+PART_BYTES = 8 << 20
 
 
 class Encoder:
@@ -72,28 +74,48 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[4 * a:4 * b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
 
-    def _learn(self, fresh: list[str]) -> None:
-        if len(self.pieces) + len(fresh) > self.remembered:
-            self.pieces.clear()
-        if len(self.words) > self.remembered:
-            self.words.clear()
+    def _values(self, found: list[str]) -> list[bytes]:
+        """Ids of distinct pieces.  What is new goes through the library once and is remembered
+        while there is room: frequent pieces come early."""
+        known, words = self.pieces, self.words
+        values = [known.get(p) for p in found]
         plain, other = [], []
-        for piece in fresh:
-            found = PLAIN.fullmatch(piece)
-            if found and (self.mode == "word" or piece[0] == " "):
-                word = found[1].lower() if self.mode == "word" else found[1]
-                plain.append((piece, word, found[2]))
-            else:
-                other.append(piece)
-        self.pieces.update(zip(other, self._library(other)))
-        new = list({word for _, word, _ in plain if word not in self.words})
-        for k in range(0, len(new), 20_000):
-            part = new[k:k + 20_000]
-            self.words.update(zip(part, self._joined(part)))
-        tails = list({tail for _, _, tail in plain if tail not in self.words})
-        self.words.update(zip(tails, self._library(tails)))
-        words = self.words
-        self.pieces.update((piece, words[word] + words[tail]) for piece, word, tail in plain)
+        for k, value in enumerate(values):
+            if value is None:
+                piece = found[k]
+                match = PLAIN.fullmatch(piece)
+                if match and (self.mode == "word" or piece[0] == " "):
+                    plain.append((k, match[1].lower() if self.mode == "word" else match[1], match[2]))
+                else:
+                    other.append(k)
+        for k, value in zip(other, self._library([found[k] for k in other])):
+            values[k] = value
+        new: dict[str, bytes] = {}
+        fresh = list({word for _, word, _ in plain if word not in words})
+        for at in range(0, len(fresh), 20_000):
+            part = fresh[at:at + 20_000]
+            new.update(zip(part, self._joined(part)))
+        tails = list({tail for _, _, tail in plain if tail not in words})
+        new.update(zip(tails, self._library(tails)))
+        if len(words) < self.remembered:
+            words.update(new)
+        for k, word, tail in plain:
+            values[k] = (words.get(word) or new[word]) + (words[tail] if tail in words else new[tail])
+        if len(known) < self.remembered:
+            known.update((found[k], values[k]) for k in other)
+            known.update((found[k], values[k]) for k, _, _ in plain)
+        return values
+
+    def parts(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Rows ``begin`` to ``end`` at a time, with their ids and counts: about ``PART_BYTES`` of
+        text, so that what is in memory does not depend on the size of a batch."""
+        ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+        begin = 0
+        while begin < len(texts):
+            before = ends[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, before + PART_BYTES, "right")))
+            yield (begin, end, *self.encode(texts.slice(begin, end - begin)))
+            begin = end
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order and the number of ids of each text.  A null text counts as empty."""
@@ -113,20 +135,15 @@ class Encoder:
         counts = pc.list_value_length(parts).to_numpy()
         coded = parts.flatten().dictionary_encode()
         pieces, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        known = self.pieces
-        fresh = [p for p in pieces if p not in known]
-        if fresh:
-            self._learn(fresh)
-            if len(known) < len(pieces):  # the memory was emptied for this batch
-                self._learn([p for p in pieces if p not in known])
-        values = [known[p] if p in known else self._library([p])[0] for p in pieces]
+        values = self._values(pieces)
         lengths = np.fromiter(map(len, values), np.int64, len(values)) // 4
         pool = np.frombuffer(b"".join(values), "<u4")
         begins = np.cumsum(lengths) - lengths
         sizes = lengths[index]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
-        ids = pool[np.repeat(begins[index] - ends + sizes, sizes) + np.arange(total)]
+        place = np.int32 if total < 1 << 31 and len(pool) < 1 << 31 else np.int64
+        ids = pool[np.repeat((begins[index] - ends + sizes).astype(place), sizes) + np.arange(total, dtype=place)]
         edges = np.concatenate([[0], np.cumsum(counts)])
         bounds = np.concatenate([[0], ends])[edges]
         n = np.diff(bounds)
