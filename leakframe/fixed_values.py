@@ -522,3 +522,15 @@ JOB_TRANSITIONS = {
 TERMINAL_STATES = ["completed", "failed", "cancelled"]
 ACTIVE_STATES = ["cloning", "scanning", "cleaning", "uploading", "pushing"]
 EXPIRY_EXEMPT_STATES = ["completed", "failed", "cancelled", "expired"]
+
+# --------------------------------------------------------------------------- line rewriting
+REWRITE_QUOTED = r"""["'][^"']*["']"""
+REWRITE_MAYBE_QUOTED = r"""["']?[^"':\n]*["']?"""
+REWRITE_BASH_VALUE = r"""["']?[^"']*["']?"""
+REWRITE_BEFORE = {  # what stays before the value
+    "javascript": r"((?:const|let|var)?\s*\w+\s*=\s*)",
+    "java": r"(\s*\w+\s+\w+\s*=\s*)",
+    "go": r"(\s*\w+\s*:?=\s*)",
+    "ruby": r"(\s*\w+\s*=\s*)",
+    "php": r"(\s*\$\w+\s*=\s*)",
+}

@@ -188,22 +188,21 @@ def rewrite_line(language: Column, name: Column, line: Column) -> Column:
 
     Names are quoted in patterns and in replacements, so any name is taken as it is."""
     literal, name = escape(name), F.regexp_replace(name, r"([\\$])", r"\\$1")
-    quoted = r"""["'][^"']*["']"""
-    maybe_quoted = r"""["']?[^"':\n]*["']?"""
+    quoted, maybe_quoted, before = fv.REWRITE_QUOTED, fv.REWRITE_MAYBE_QUOTED, fv.REWRITE_BEFORE
     ref = F.concat(F.lit('$1"\\${'), name, F.lit('}"'))
     exact, folded = flags(ignore_case=False), flags()
     by_name = F.concat(F.lit(folded + "("), literal, F.lit(to_java(rf"\s*[:=]\s*){maybe_quoted}")))
 
-    def fixed(pattern: str, before: str, after: str) -> Column:
+    def fixed(pattern: str, opens: str, closes: str) -> Column:
         whole = exact + to_java(pattern + quoted)
-        return F.regexp_replace(line, F.lit(whole), F.concat(F.lit("$1" + before), name, F.lit(after)))
+        return F.regexp_replace(line, F.lit(whole), F.concat(F.lit("$1" + opens), name, F.lit(closes)))
 
     return (
         F.when(
             language == "bash",
             F.regexp_replace(
                 line,
-                F.concat(F.lit(exact + "("), literal, F.lit(to_java(r"""\s*=\s*)["']?[^"']*["']?"""))),
+                F.concat(F.lit(exact + "("), literal, F.lit(to_java(r"\s*=\s*)" + fv.REWRITE_BASH_VALUE))),
                 ref,
             ),
         )
@@ -217,11 +216,11 @@ def rewrite_line(language: Column, name: Column, line: Column) -> Column:
                 F.concat(F.lit("$1os.environ.get('"), name, F.lit("')")),
             ),
         )
-        .when(language.isin("javascript", "typescript"), fixed(r"((?:const|let|var)?\s*\w+\s*=\s*)", "process.env.", ""))
-        .when(language == "java", fixed(r"(\s*\w+\s+\w+\s*=\s*)", 'System.getenv("', '")'))
-        .when(language == "go", fixed(r"(\s*\w+\s*:?=\s*)", 'os.Getenv("', '")'))
-        .when(language == "ruby", fixed(r"(\s*\w+\s*=\s*)", "ENV['", "']"))
-        .when(language == "php", fixed(r"(\s*\$\w+\s*=\s*)", "getenv('", "')"))
+        .when(language.isin("javascript", "typescript"), fixed(before["javascript"], "process.env.", ""))
+        .when(language == "java", fixed(before["java"], 'System.getenv("', '")'))
+        .when(language == "go", fixed(before["go"], 'os.Getenv("', '")'))
+        .when(language == "ruby", fixed(before["ruby"], "ENV['", "']"))
+        .when(language == "php", fixed(before["php"], "getenv('", "')"))
         .otherwise(F.regexp_replace(line, by_name, ref))
     )
 
