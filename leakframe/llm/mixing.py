@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakframe.llm.storage import stored
+from leakframe.session import small_side
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2.0
@@ -94,14 +95,15 @@ def mix(
     odds = (F.col("f") / (F.lit(1.0) - F.col("f"))) * F.col("weight")
     # documents that cannot be drawn have no quotient
     quotient = F.when((F.col("f") > 0) & (F.col("size") > 0), (u / (F.lit(1.0) - u)) / odds)
-    drawn = rows.join(goals, "source_key").withColumn("q", quotient)
+    # one row per source: broadcast if measured to be small, so that no source is a hot join key
+    drawn = rows.join(small_side(goals), "source_key").withColumn("q", quotient)
     place = F.col("q") / (F.lit(1.0) + F.col("q")) * F.lit(float(slots))
     drawn = drawn.withColumn("slot", F.floor(place)).withColumn("fine", F.floor((place - F.floor(place)) * F.lit(float(slots))))
     one = _reached(drawn.where("q IS NOT NULL"), "slot", "base")
-    drawn = drawn.join(one, "source_key", "left")
+    drawn = drawn.join(small_side(one), "source_key", "left")
     inside = drawn.where(F.col("slot") == F.col("slot_reached")).withColumn("rest", F.col("rest") - F.col("base"))
     two = _reached(inside, "fine", "fine_base")
-    drawn = drawn.join(two, "source_key", "left")
+    drawn = drawn.join(small_side(two), "source_key", "left")
     below = F.coalesce(F.col("slot") < F.coalesce("slot_reached", F.lit(slots + 1)), F.lit(False)) | F.coalesce(
         (F.col("slot") == F.col("slot_reached")) & (F.col("fine") < F.col("fine_reached")), F.lit(False)
     )
