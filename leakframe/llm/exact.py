@@ -25,6 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leakframe.llm.storage import stored
 from leakframe.session import small_side
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -93,7 +94,9 @@ def exact_groups(
             F.max("keep_id").alias("keep_id"),
             F.coalesce(one, F.raise_error(F.lit("one digest, two texts: use several=True")).cast("bigint")).alias("group_size"),
         )
-        joined = own.join(single, F.col("_digest") == F.col("digest"))
+        # a table of its own, so that both sides of the join are plain shuffles and a digest with
+        # any share of the rows can be split
+        joined = own.join(stored(single, "winners"), F.col("_digest") == F.col("digest"))
     return joined.select(
         F.col(id_col), "keep_id", F.col("group_size").cast("bigint"),
         F.col(id_col).eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256",
