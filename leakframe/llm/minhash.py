@@ -32,13 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakframe.llm.components import components
+from leakframe.llm.memory import hold
 from leakframe.llm.storage import stored
 from leakframe.llm.streams import grouped
 from leakframe.session import small_side
 
 BANDS, ROWS = 24, 5
 BLOCK = 1024
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 _CHUNK = 1 << 16
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -48,15 +49,19 @@ class _Words(dict):
     """64-bit hash of each word, remembered up to a fixed number of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(self) < REMEMBERED:  # frequent words come early
+            self[word] = value
         return value
 
 
 _WORDS = _Words()
 
 
+def _own_memory() -> None:
+    hold("words", _WORDS)
+
+
 def _mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _B
     x = (x ^ (x >> np.uint64(29))) * _C
@@ -126,6 +131,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int,
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _own_memory()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for at in range(0, len(ids), 512):
@@ -150,6 +156,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wo
     schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _own_memory()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 found = [shingles(t.as_py(), words).tobytes() for t in batch.column(1)[at:at + 512]]

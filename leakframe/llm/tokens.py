@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from leakframe.llm.memory import hold
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 CUT = "\x01"
@@ -163,6 +165,7 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder of a vocabulary file, kept between tasks."""
+    hold("tokens", _ENCODERS)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
