@@ -12,7 +12,9 @@ templates, learned from all urls:
 4. a template is rejected if its purity, the share of good labels smoothed towards its host, which
    is smoothed towards all hosts, is below ``MIN_PURITY``.
 
-Trees are ``LEVELS`` deep; what lies below is part of the template as a whole.
+Trees go down ``LEVELS`` segments everywhere, and on, segment by segment, in each branch that has
+labels and urls that still differ, until none is left.  A template names the segments down to there.
+A branch without labels has the purity of its host.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no rule, and is
 judged by the template of the empty host.  Labels with nulls say nothing.  Rows may repeat, and an
@@ -22,6 +24,8 @@ empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,14 +33,13 @@ from pyspark.sql import Window
 
 from leakframe.llm.storage import stored
 
-LEVELS = 3
+LEVELS = 3  # at least
 MIN_SHARE, MIN_COUNT = 0.02, 3
 SIMILAR = 1.64  # two proportions closer than this many standard errors are taken for one
 PRIOR = 10.0
 MIN_PURITY = 0.6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 END = "$"  # no more segments
-REST = "**"  # segments below the tree
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -58,49 +61,63 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
     return rule, verdict
 
 
-def segments(path: Column) -> list[Column]:
-    """Masked segments by level; ``END`` where the path is over, ``REST`` with what is left."""
+def masked(path: Column) -> Column:
+    """The path of masked segments, without empty ones."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    masked = F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, r"^[0-9a-f-]{16,}\z", "{x}"), "[0-9]+", "{n}"))
-    own = [F.coalesce(F.get(masked, F.lit(i)), F.lit(END)) for i in range(LEVELS)]
-    deeper = F.when(F.size(masked) > LEVELS, F.concat(F.lit(REST), F.array_join(F.slice(masked, LEVELS + 1, 1), "/")))
-    return own + [F.coalesce(deeper, F.lit(END))]
-
-
-def generalised(shapes: DataFrame) -> DataFrame:
-    """Adds the template segments ``t1`` .. to shapes (host, ``s1`` .., n, good, bad)."""
-    tree, above = shapes, ["host"]
-    for level in range(1, LEVELS + 1):
-        own = tree.groupBy(*above, f"s{level}").agg(F.sum("n").alias("_n"))
-        whole = tree.groupBy(*above).agg(F.sum("n").alias("_all"))
-        literal = (F.col(f"s{level}") == END) | ((F.col("_n") >= MIN_COUNT) & (F.col("_n") >= MIN_SHARE * F.col("_all")))
-        named = own.join(whole, above).select(*above, f"s{level}", F.when(literal, F.col(f"s{level}")).otherwise(F.lit("*")).alias(f"t{level}"))
-        tree = stored(tree.join(named, [*above, f"s{level}"]), f"tree{level}")
-        above = [*above, f"t{level}"]
-    return tree
-
-
-def merged(tree: DataFrame) -> DataFrame:
-    """Adds ``branch``: the merged template of a template.  A node has at most 1 / MIN_SHARE + 2
+    return F.array_join(F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, r"^[0-9a-f-]{16,}\z", "{x}"), "[0-9]+", "{n}")), "/")
+
+
+def generalised(tree: DataFrame, level: int) -> DataFrame:
+    """Takes the next segment off ``rest`` and adds it, or a wildcard, to ``template``; ``t`` is what it adds."""
+    s = F.when(F.col("rest") == "", F.lit(END)).otherwise(F.substring_index("rest", "/", 1))
+    tree = tree.withColumn("s", s).withColumn("rest", F.substring("rest", F.length("s") + 2, F.length("rest")))
+    above = ["host", "template"]
+    own = tree.groupBy(*above, "s").agg(F.sum("n").alias("_n"))
+    whole = tree.groupBy(*above).agg(F.sum("n").alias("_all"))
+    literal = (F.col("s") == END) | ((F.col("_n") >= MIN_COUNT) & (F.col("_n") >= MIN_SHARE * F.col("_all")))
+    named = own.join(whole, above).select(*above, "s", F.when(literal, F.col("s")).otherwise(F.lit("*")).alias("t"))
+    tree = tree.join(named, [*above, "s"]).drop("s")
+    return stored(tree.withColumn("template", F.concat("template", F.lit("/"), "t")), f"tree{level}")
+
+
+def merged(tree: DataFrame, level: int) -> DataFrame:
+    """Takes ``t`` into ``branch``, the merged template.  A node has at most 1 / MIN_SHARE + 2
     children, so its window is bounded."""
-    names = [f"t{i}" for i in range(1, LEVELS + 1)]
-    found = stored(tree.groupBy("host", *names).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).withColumn("branch", F.lit("")), "templates")
-    for name in names:
-        nodes = found.groupBy("host", "branch", name).agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
-        nodes = nodes.withColumn("m", F.col("g") + F.col("b") + 2).withColumn("p", (F.col("g") + 1) / F.col("m"))
-        order = Window.partitionBy("host", "branch").orderBy("p", name)
-        p, m = F.lag("p").over(order), F.lag("m").over(order)
-        pooled = (F.col("p") * F.col("m") + p * m) / (F.col("m") + m)
-        apart = (F.col("p") - p) * (F.col("p") - p) > SIMILAR * SIMILAR * pooled * (F.lit(1.0) - pooled) * (1 / F.col("m") + 1 / m)
-        nodes = nodes.withColumn("new", F.coalesce(apart, F.lit(False)).cast("int"))
-        nodes = nodes.withColumn("group", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        group = nodes.select("host", "branch", name, F.concat("branch", F.lit("/"), F.col("group").cast("string")).alias("next"))
-        found = stored(found.join(group, ["host", "branch", name]).drop("branch").withColumnRenamed("next", "branch"), "branches")
-    return found
+    nodes = tree.groupBy("host", "branch", "t").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
+    nodes = nodes.withColumn("m", F.col("g") + F.col("b") + 2).withColumn("p", (F.col("g") + 1) / F.col("m"))
+    order = Window.partitionBy("host", "branch").orderBy("p", "t")
+    p, m = F.lag("p").over(order), F.lag("m").over(order)
+    pooled = (F.col("p") * F.col("m") + p * m) / (F.col("m") + m)
+    apart = (F.col("p") - p) * (F.col("p") - p) > SIMILAR * SIMILAR * pooled * (F.lit(1.0) - pooled) * (1 / F.col("m") + 1 / m)
+    nodes = nodes.withColumn("new", F.coalesce(apart, F.lit(False)).cast("int"))
+    nodes = nodes.withColumn("group", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    group = nodes.select("host", "branch", "t", F.concat("branch", F.lit("/"), F.col("group").cast("string")).alias("next"))
+    return stored(tree.join(group, ["host", "branch", "t"]).drop("branch", "t").withColumnRenamed("next", "branch"), f"branches{level}")
+
+
+def grown(shapes: DataFrame) -> DataFrame:
+    """Adds ``template`` and ``branch`` to shapes (host, shape, n, good, bad).
+
+    From ``LEVELS`` on a branch ends where nothing below could tell its urls apart: all have the same
+    rest, or none has a label.  The others go on, so the rounds are as many as the deepest of them needs.
+    """
+    live = shapes.withColumn("rest", F.col("shape")).withColumn("template", F.lit("")).withColumn("branch", F.lit(""))
+    ended, node = [], ["host", "branch"]
+    for level in count(1):
+        live = merged(generalised(live, level), level)
+        if level < LEVELS:
+            continue
+        parts = (F.min("rest") != F.max("rest")) & (F.sum(F.col("good") + F.col("bad")) > 0)
+        going = stored(live.groupBy(*node).agg(parts.alias("_parts")).where("_parts").select(*node), f"going{level}")
+        if going.isEmpty():
+            break
+        ended.append(stored(live.join(going, node, "left_anti"), f"ended{level}"))
+        live = live.join(going, node, "left_semi")
+    return reduce(DataFrame.unionByName, ended, live)
 
 
 def purities(found: DataFrame) -> DataFrame:
-    """Adds the smoothed ``purity`` of its branch to each template."""
+    """Adds the smoothed ``purity`` of its branch to each shape."""
     everything = found.agg((F.sum("good") + 1) / (F.sum("good") + F.sum("bad") + 1)).scalar()
     hosts = found.groupBy("host").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
     hosts = hosts.select("host", ((F.col("g") + PRIOR * everything) / (F.col("g") + F.col("b") + PRIOR)).alias("host_purity"))
@@ -124,15 +141,11 @@ def judge_urls(
         (F.coalesce(F.col(good_col).cast("bigint"), zero) if good_col else zero).alias("good"),
         (F.coalesce(F.col(bad_col).cast("bigint"), zero) if bad_col else zero).alias("bad"),
     )
-    levels = [f"s{i}" for i in range(1, LEVELS + 2)]
-    rows = rows.select("*", *[s.alias(n) for s, n in zip(segments(F.col("path")), levels)])
-    shapes = stored(rows.groupBy("host", *levels).agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad")), "shapes")
-    names = [f"t{i}" for i in range(1, LEVELS + 1)]
-    tree = generalised(shapes)
-    pure = purities(merged(tree)).select("host", *names, "purity")
-    judged = tree.join(pure, ["host", *names]).select("host", *levels, F.concat(F.lit("/"), F.concat_ws("/", *names)).alias("template"), "purity")
+    rows = rows.withColumn("shape", masked(F.col("path")))
+    shapes = stored(rows.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad")), "shapes")
+    judged = purities(grown(shapes)).select("host", "shape", "template", "purity")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("purity") < min_purity, F.lit("block")).otherwise(F.lit("allow"))
-    return rows.join(judged, ["host", *levels]).select(
+    return rows.join(judged, ["host", "shape"]).select(
         id_col, "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "template", "purity"
     )

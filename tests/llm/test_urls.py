@@ -33,6 +33,23 @@ def test_impure_templates_are_rejected(spark):
             assert r.verdict == "allow" and r.template == "/user/u{n}x/photos"
 
 
+def test_branches_part_at_any_depth(spark):
+    rows, names = [], [chr(97 + i % 26) + chr(97 + i // 26) for i in range(100)]
+    for i, name in enumerate(names):
+        for top in ("user/u1x/x", f"blog/a/b/{name}", "s/a/b/c/d/e/f"):  # they part at the segments 4, 5 and 8
+            rows += [(f"http://h.org/{top}/ads/{i}", 0, 1), (f"http://h.org/{top}/photos/{i}", 1, 0)]
+        rows += [(f"http://h.org/s/a/b/c/d/e/f/photos/{i}/{name}/x", None, None), ("http://h.org/" + "s/" * i, None, None)]
+    urls = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id int, url string, g int, b int")
+    got = url_tree.judge_urls(urls, [], good_col="g", bad_col="b").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if "/ads/" in r.path:
+            assert r.verdict == "block" and r.purity < 0.1 and r.template.endswith("/ads")
+        elif "/photos/" in r.path and rows[r.page_id][1]:
+            assert r.verdict == "allow" and r.purity > 0.9 and "/photos" in r.template
+    assert {r.template for r in got if "/blog/" in r.path} == {"/blog/a/b/*/ads", "/blog/a/b/*/photos"}
+
+
 def test_variable_segments_become_wildcards(spark):
     names = [chr(97 + i % 26) + chr(97 + i // 26) for i in range(300)]
     urls = spark.createDataFrame([(i, f"http://h.org/{n}/profile") for i, n in enumerate(names)], "page_id int, url string")
