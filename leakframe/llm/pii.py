@@ -7,8 +7,10 @@ alone says little (social security numbers) needs such words.
 The patterns run once over a text to see whether it has any hit, and only then to take them.  They
 are written so that no text makes them backtrack: a run of characters is entered at its beginning
 only and never given back.  Offsets are sums of the lengths of gaps and hits, kept in blocks, so
-the cost stays near linear for any number of hits, and the context of a hit is the end of the gap
-before it.
+the cost stays near linear for any number of hits.
+
+Words are looked for in ``CONTEXT`` code points before and after a hit.  Hits of one kind with at most
+that much between them, confirmed or not, are a list and share their words, however long it is.
 
 Defined results: a null text is an empty one and has no spans.  Spans of different kinds may
 overlap.  Rows may repeat, and an empty table gives an empty result.
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 256
-CONTEXT = 48  # code points before a hit
+CONTEXT = 48  # code points before and after a hit, and between those of a list
 BONUS = 0.35
 LEAST_SCORE = 0.5
 
@@ -90,14 +92,14 @@ KINDS = (
     Kind("iban", r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9_])",
          lambda m: mod97(F.translate(m, " ", "")), 0.9, "iban|account|bank|konto", base=False),
     Kind("ssn", r"(?<![A-Za-z0-9_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9_])",
-         lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), 0.3, r"\bssn\b|social security", base=False),
+         lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), 0.3, r"\bssns?\b|social security", base=False),
 )
-_HIT = "struct<at:int,text:string,near:string>"
+_HIT = "struct<at:int,text:string>"
 _STATE = f"struct<at:int,done:array<array<{_HIT}>>,block:array<{_HIT}>>"
 
 
 def located(gaps: Column, texts: Column) -> Column:
-    """Offset, text and context of each hit, in order."""
+    """Offset and text of each hit, in order."""
     pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(texts)), texts, lambda g, t: F.struct(g.alias("g"), t.alias("t")))
     zero = F.struct(
         F.lit(0).alias("at"), F.array().cast(f"array<array<{_HIT}>>").alias("done"), F.array().cast(f"array<{_HIT}>").alias("block")
@@ -105,7 +107,7 @@ def located(gaps: Column, texts: Column) -> Column:
 
     def step(s: Column, p: Column) -> Column:
         at = s["at"] + F.length(p["g"])
-        hit = F.struct(at.alias("at"), p["t"].alias("text"), F.right(p["g"], F.lit(CONTEXT)).alias("near"))
+        hit = F.struct(at.alias("at"), p["t"].alias("text"))
         return F.struct((at + F.length(p["t"])).alias("at"), s["done"].alias("done"), F.concat(s["block"], F.array(hit)).alias("block"))
 
     def close(s: Column) -> Column:
@@ -115,14 +117,50 @@ def located(gaps: Column, texts: Column) -> Column:
     return F.flatten(F.aggregate(blocks, zero, lambda s, b: F.aggregate(b, s, step, close), lambda s: s["done"]))
 
 
+def carried(sides: Column) -> Column:
+    """Of structs ``said``, ``close``: whether it or one before, with only close ones from there on, has said it."""
+    zero = F.struct(F.lit(False).alias("on"), F.array().cast("array<array<boolean>>").alias("done"), F.array().cast("array<boolean>").alias("block"))
+
+    def step(s: Column, side: Column) -> Column:
+        on = side["said"] | (side["close"] & s["on"])
+        return F.struct(on.alias("on"), s["done"].alias("done"), F.concat(s["block"], F.array(on)).alias("block"))
+
+    def close(s: Column) -> Column:
+        return F.struct(s["on"].alias("on"), F.concat(s["done"], F.array(s["block"])).alias("done"), F.array().cast("array<boolean>").alias("block"))
+
+    blocks = F.transform(F.sequence(F.lit(1), F.size(sides), F.lit(BLOCK)), lambda i: F.slice(sides, i, F.lit(BLOCK)))
+    return F.flatten(F.aggregate(blocks, zero, lambda s, b: F.aggregate(b, s, step, close), lambda s: s["done"]))
+
+
+def told(gaps: Column, words: str) -> Column:
+    """Whether the words stand near each hit or near its list; ``gaps`` has one more than there are hits."""
+
+    def side(cut: Callable[[Column, Column], Column]) -> Callable[[Column], Column]:
+        return lambda g: F.struct(
+            F.lower(cut(g, F.lit(CONTEXT))).rlike(words).alias("said"), (F.length(g) <= CONTEXT).alias("close")
+        )
+
+    def both(g: Column) -> Column:
+        n = F.size(g) - 1
+        before = carried(F.transform(F.slice(g, F.lit(1), n), side(F.right)))
+        after = F.reverse(carried(F.transform(F.reverse(F.slice(g, F.lit(2), n)), side(F.left))))
+        return F.zip_with(before, after, lambda a, b: a | b)
+
+    return F.transform(F.array(gaps), both)[0]  # both ways read one split
+
+
 def hits(text: Column, kind: Kind) -> Column:
     """Array of confirmed spans of one kind: start, rank, end, kind, score, base."""
     pattern = F.lit(kind.pattern)
-    found = located(F.split(text, kind.pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)))
+    gaps = F.split(text, kind.pattern, -1)
+    found = F.zip_with(
+        located(gaps, F.regexp_extract_all(text, pattern, F.lit(0))), told(gaps, kind.words),
+        lambda h, near: F.struct(h["at"].alias("at"), h["text"].alias("text"), near.alias("near")),
+    )
     rank = KINDS.index(kind) if kind in KINDS else len(KINDS)
 
     def span(h: Column) -> Column:
-        bonus = F.when(F.lower(h["near"]).rlike(kind.words), F.lit(BONUS)).otherwise(F.lit(0.0))
+        bonus = F.when(h["near"], F.lit(BONUS)).otherwise(F.lit(0.0))
         return F.struct(
             h["at"].alias("start"), F.lit(rank).alias("rank"), (h["at"] + F.length(h["text"])).alias("end"), F.lit(kind.name).alias("kind"),
             F.least(F.lit(1.0), F.lit(kind.score) + bonus).alias("score"), F.lit(kind.base).alias("base"),

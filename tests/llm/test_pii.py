@@ -71,6 +71,24 @@ def test_validators_and_context(spark):
     assert pii.personal_data(spark.createDataFrame([], "doc_id int, text string")).count() == 0
 
 
+def test_words_of_a_list_hold_for_all_of_it(spark):
+    def number(i):
+        return f"{100 + i % 500}-{10 + i % 89}-{1000 + i}"
+
+    far = " and so on" * 8
+    rows = [
+        (1, "SSN: 123-45-6789, 234-56-7891, 345-67-8912", 3), (2, "123-45-6789 (SSN)", 1), (3, "SSNs: 123-45-6789", 1),
+        (4, "SSNs\n" + "\n".join(f"Mr. É{i}: {number(i)}" for i in range(1000)), 1000), (5, ", ".join(map(number, range(600))) + " are social security numbers", 600),
+        (6, f"ssn{far} 123-45-6789", 0), (7, f"123-45-6789{far} ssn", 0), (8, f"ssn 123-45-6789, 000-11-2222, 234-56-7891{far} 345-67-8912", 2),
+        (9, "classns 123-45-6789", 0), (10, f"123-45-6789{far} 234-56-7891, 345-67-8912 ssn", 2),
+    ]
+    found = pii.personal_data(spark.createDataFrame(rows, "doc_id int, text string, want int"))
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "ssn"] for r in found.collect()}
+    for i, text, want in rows:
+        every = [m.span() for m in re.finditer(r"\b(?!000)\d{3}-\d\d-\d{4}\b", text)]
+        assert len(got[i]) == want and got[i] == (every[-want:] if i == 10 else every[:want])
+
+
 def test_no_python_and_no_shuffle(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id int, text string")
     plan = pii.digest(pii.personal_data(docs))._jdf.queryExecution().executedPlan().toString()
