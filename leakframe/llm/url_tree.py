@@ -6,7 +6,8 @@ templates, learned from all urls:
 1. digits and long hexadecimal words in a segment are masked, and urls are counted by host and
    masked path (a partial aggregation, so a host with any share of the urls is no hot key);
 2. going down, a segment stays literal where it holds at least ``MIN_SHARE`` of the urls below its
-   parent, and becomes a wildcard elsewhere; so a node has a bounded number of children;
+   parent, or has ``KEEP_LABELS`` labels that can be told apart from its parent's, and becomes a
+   wildcard elsewhere;
 3. going down again, siblings whose labels cannot be told apart by a two-proportion test become one
    branch, so that their children pool their labels;
 4. a template is rejected if its purity, the share of good labels smoothed towards its host, which
@@ -36,6 +37,8 @@ from leakframe.llm.storage import stored
 LEVELS = 3  # at least
 MIN_SHARE, MIN_COUNT = 0.02, 3
 SIMILAR = 1.64  # two proportions closer than this many standard errors are taken for one
+KEEP_LABELS = 30
+SLOTS = 1024
 PRIOR = 10.0
 MIN_PURITY = 0.6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -67,32 +70,58 @@ def masked(path: Column) -> Column:
     return F.array_join(F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, r"^[0-9a-f-]{16,}\z", "{x}"), "[0-9]+", "{n}")), "/")
 
 
+def told_apart(p: Column, m: Column, q: Column, k: Column) -> Column:
+    """The proportions ``p`` of ``m`` and ``q`` of ``k`` differ."""
+    pooled = (p * m + q * k) / (m + k)
+    return (p - q) * (p - q) > SIMILAR * SIMILAR * pooled * (F.lit(1.0) - pooled) * (1 / m + 1 / k)
+
+
+def with_proportion(df: DataFrame, p: str = "p", m: str = "m") -> DataFrame:
+    return df.withColumn(m, F.col("g") + F.col("b") + 2).withColumn(p, (F.col("g") + 1) / F.col(m)).drop("g", "b")
+
+
 def generalised(tree: DataFrame, level: int) -> DataFrame:
     """Takes the next segment off ``rest`` and adds it, or a wildcard, to ``template``; ``t`` is what it adds."""
     s = F.when(F.col("rest") == "", F.lit(END)).otherwise(F.substring_index("rest", "/", 1))
     tree = tree.withColumn("s", s).withColumn("rest", F.substring("rest", F.length("s") + 2, F.length("rest")))
     above = ["host", "template"]
-    own = tree.groupBy(*above, "s").agg(F.sum("n").alias("_n"))
-    whole = tree.groupBy(*above).agg(F.sum("n").alias("_all"))
-    literal = (F.col("s") == END) | ((F.col("_n") >= MIN_COUNT) & (F.col("_n") >= MIN_SHARE * F.col("_all")))
+    sums = [F.sum("good").alias("g"), F.sum("bad").alias("b")]
+    own = with_proportion(tree.groupBy(*above, "s").agg(F.sum("n").alias("_n"), *sums))
+    whole = with_proportion(tree.groupBy(*above).agg(F.sum("n").alias("_all"), *sums), "q", "k")
+    large = (F.col("_n") >= MIN_COUNT) & (F.col("_n") >= MIN_SHARE * F.col("_all"))
+    own_way = (F.col("m") - 2 >= KEEP_LABELS) & told_apart(F.col("p"), F.col("m"), F.col("q"), F.col("k"))
+    literal = (F.col("s") == END) | large | own_way
     named = own.join(whole, above).select(*above, "s", F.when(literal, F.col("s")).otherwise(F.lit("*")).alias("t"))
     tree = tree.join(named, [*above, "s"]).drop("s")
     return stored(tree.withColumn("template", F.concat("template", F.lit("/"), "t")), f"tree{level}")
 
 
 def merged(tree: DataFrame, level: int) -> DataFrame:
-    """Takes ``t`` into ``branch``, the merged template.  A node has at most 1 / MIN_SHARE + 2
-    children, so its window is bounded."""
-    nodes = tree.groupBy("host", "branch", "t").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
-    nodes = nodes.withColumn("m", F.col("g") + F.col("b") + 2).withColumn("p", (F.col("g") + 1) / F.col("m"))
-    order = Window.partitionBy("host", "branch").orderBy("p", "t")
-    p, m = F.lag("p").over(order), F.lag("m").over(order)
-    pooled = (F.col("p") * F.col("m") + p * m) / (F.col("m") + m)
-    apart = (F.col("p") - p) * (F.col("p") - p) > SIMILAR * SIMILAR * pooled * (F.lit(1.0) - pooled) * (1 / F.col("m") + 1 / m)
-    nodes = nodes.withColumn("new", F.coalesce(apart, F.lit(False)).cast("int"))
-    nodes = nodes.withColumn("group", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    group = nodes.select("host", "branch", "t", F.concat("branch", F.lit("/"), F.col("group").cast("string")).alias("next"))
-    return stored(tree.join(group, ["host", "branch", "t"]).drop("branch", "t").withColumnRenamed("next", "branch"), f"branches{level}")
+    """Takes ``t`` into ``branch``, the merged template.
+
+    Siblings are compared with the one before by ``p`` and name.  Those of one ``p`` are never apart, so
+    they are one row with the first and the last of their ``m``.  The rows of a node are dealt by ``p``
+    into ``SLOTS``, put in order inside each, and then the slots, so no window holds all of them.
+    """
+    node = ["host", "branch"]
+    nodes = with_proportion(tree.groupBy(*node, "t").agg(F.sum("good").alias("g"), F.sum("bad").alias("b")))
+    slot = F.floor(F.col("p") * SLOTS).alias("slot")
+    values = nodes.groupBy(*node, "p", slot).agg(F.min_by("m", "t").alias("m"), F.max_by("m", "t").alias("last"))
+    inside = Window.partitionBy(*node, "slot").orderBy("p")
+    new = told_apart(F.col("p"), F.col("m"), F.lag("p").over(inside), F.lag("last").over(inside))
+    values = values.withColumn("new", F.coalesce(new, F.lit(False)).cast("int"))
+    slots = values.groupBy(*node, "slot").agg(
+        F.min("p").alias("p"), F.min_by("m", "p").alias("m"), F.max("p").alias("end"), F.max_by("last", "p").alias("last"), F.sum("new").alias("more")
+    )
+    order = Window.partitionBy(*node).orderBy("slot")
+    new = told_apart(F.col("p"), F.col("m"), F.lag("end").over(order), F.lag("last").over(order))
+    slots = slots.withColumn("first", F.coalesce(new, F.lit(False)).cast("int"))
+    upto = F.sum(F.col("first") + F.col("more")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    slots = slots.select(*node, "slot", (upto - F.col("more")).alias("base"))
+    values = values.withColumn("run", F.sum("new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    values = values.join(slots, [*node, "slot"]).select(*node, "p", (F.col("base") + F.col("run")).alias("group"))
+    group = nodes.join(values, [*node, "p"]).select(*node, "t", F.concat("branch", F.lit("/"), F.col("group").cast("string")).alias("next"))
+    return stored(tree.join(group, [*node, "t"]).drop("branch", "t").withColumnRenamed("next", "branch"), f"branches{level}")
 
 
 def grown(shapes: DataFrame) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 from leakframe.llm import url_tree
 from leakframe.llm.queries import URL_RULES
 
@@ -63,6 +65,35 @@ def test_similar_siblings_pool_their_labels(spark):
     assert got["/a/x/$"] == got["/b/x/$"] > 0.9 and got["/c/x/$"] < 0.3
 
 
+def test_a_small_section_keeps_its_own_labels(spark):
+    rows = [(f"http://h.org/{chr(97 + k % 26)}{chr(97 + k // 26)}/{i}", int(k != 70), int(k == 70)) for k in range(100) for i in range(40)]
+    urls = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id int, url string, g int, b int")
+    for r in url_tree.judge_urls(urls, [], good_col="g", bad_col="b").collect():
+        own = r.path.startswith("/sc/")
+        assert (r.verdict, r.template) == (("block", "/sc/{n}/$") if own else ("allow", "/*/{n}/$"))
+
+
+def test_siblings_of_any_number_are_grouped_in_order(spark):
+    rnd = random.Random(5)
+    nodes = [(h, f"t{i}", rnd.choice([0, 3, 40, 500]), rnd.choice([0, 1, 30, 900])) for h in "ab" for i in range(700)]
+    nodes += [("c", f"t{i}", 2 ** i, 4 ** (12 - i)) for i in range(12)]
+    tree = spark.createDataFrame([("", *n) for n in nodes], "branch string, host string, t string, good long, bad long")
+    got = {}
+    for r in url_tree.merged(tree.withColumn("name", tree.t), 1).collect():
+        got.setdefault((r.host, r.branch), set()).add(r.name)
+    want = []
+    for host in "abc":
+        last = None
+        for p, name, m in sorted(((g + 1) / (g + b + 2), t, g + b + 2) for h, t, g, b in nodes if h == host):
+            if last:
+                pooled = (p * m + last[0] * last[1]) / (m + last[1])
+            if not last or (p - last[0]) ** 2 > 1.64 ** 2 * pooled * (1 - pooled) * (1 / m + 1 / last[1]):
+                want.append(set())
+            want[-1].add(name)
+            last = p, m
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want)) and len(want) > 6
+
+
 def test_no_python(spark):
     urls = spark.createDataFrame([(1, "http://a.b/c", 1)], "page_id int, url string, g int")
     plan = url_tree.judge_urls(urls, URL_RULES, good_col="g", bad_col="g")._jdf.queryExecution().executedPlan().toString()
