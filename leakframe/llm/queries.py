@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakframe.llm import chat, embeddings, exact, language, minhash, mixing, packing, pii, token_store, url_tree
+from leakframe.llm import chat, embeddings, exact, hash_tree, language, minhash, mixing, packing, periodic, pii, token_store, url_tree, whitening
 from leakframe.llm.storage import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -267,3 +267,71 @@ def op9_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.pack(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query()
+def op11_whitened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def _draws(path: str, weights: list[float]) -> str:
+    """The child below ``path`` with the greatest draw."""
+    u = f"((('0x' || substr(md5('{path}' || c || ':' || key), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE)"
+    return f"list_sort(list_transform(range({len(weights)}), lambda c: {{'v': ln({u}) / {weights}[c + 1], 'c': c}}))[-1].c"
+
+
+def _tree_sql() -> str:
+    """Regions of 12, racks of 4; the grown tree has a third region with one shard."""
+    size = hash_tree.RACKS * hash_tree.SHARDS
+    whole = [float(size)] * hash_tree.REGIONS
+
+    def below(region: str) -> tuple[str, str]:
+        path = f"/region' || {region} || '/rack"
+        rack = _draws(path, [float(hash_tree.SHARDS)] * hash_tree.RACKS)
+        shard = _draws(f"/region' || {region} || '/rack' || r.rack || '/shard", [1.0] * hash_tree.SHARDS)
+        return rack, shard
+
+    rack, shard = below("region")
+    rack2, shard2 = below("grown")
+    shard2 = shard2.replace("r.rack", "r.rack2")
+    remainders = "list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda r, i: CASE WHEN r % 2 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END))"
+    # the UTF-8 bytes of a text, from its code points
+    tail = "128 + (o >> {0}) % 64"
+    utf8 = (
+        "flatten(list_transform(string_split(coalesce(text, ''), ''), lambda x: list_transform([unicode(x)::BIGINT], lambda o: CASE WHEN o < 128 THEN [o] "
+        f"WHEN o < 2048 THEN [192 + (o >> 6), {tail.format(0)}] WHEN o < 65536 THEN [224 + (o >> 12), {tail.format(6)}, {tail.format(0)}] "
+        f"ELSE [240 + (o >> 18), {tail.format(12)}, {tail.format(6)}, {tail.format(0)}] END)[1]))"
+    )
+    return f"""
+WITH t AS MATERIALIZED (SELECT {remainders} AS t),
+d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS key, coalesce(text, '') AS text FROM documents),
+b AS (SELECT doc_id, key, strlen(text)::BIGINT + 8 AS size, CASE WHEN text = '' THEN [] ELSE {utf8} END AS bytes FROM d),
+c AS (SELECT doc_id, key, size, xor(list_reduce(list_prepend(4294967295, bytes), lambda r, x: xor(r >> 8, t[xor(r % 256, x) + 1])), 4294967295)::BIGINT AS text_crc32 FROM b, t),
+g AS (SELECT *, {_draws("/region", whole)} AS region, {_draws("/region", whole + [1.0])} AS grown FROM c),
+r AS (SELECT *, {rack} AS rack, {rack2} AS rack2 FROM g),
+s AS (SELECT *, (region * {size} + rack * {hash_tree.SHARDS} + {shard})::INT AS shard,
+  (CASE WHEN grown = {hash_tree.REGIONS} THEN {size * hash_tree.REGIONS} ELSE grown * {size} + rack2 * {hash_tree.SHARDS} + {shard2} END)::INT AS grown_shard FROM r)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size)::BIGINT - 1 AS slot, grown_shard FROM s
+"""
+
+
+@query(_tree_sql())
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two regions of three racks of four shards; the 25th shard opens a region of its own."""
+    root = hash_tree.tree()
+    placed = hash_tree.assign(table(spark, sf_dir, "documents"), root, hash_tree.with_region(root))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", periodic.with_planted_runs(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic.collapse_runs(docs)
+    found = found.withColumn("best", periodic.best_run(F.col("runs")))
+    said = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(said.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )

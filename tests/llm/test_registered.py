@@ -25,8 +25,8 @@ def test_same_result_in_sql(spark, duck, name):  # noqa: F811
 
 def test_all_are_registered():
     names = entry.queries()
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)} and "pipeline" in names
-    assert set(queries.QUERIES) - set(queries.ORACLES) == {"op3_token_files", "op5_language", "op10_packed"}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)} and "pipeline" in names
+    assert set(queries.QUERIES) - set(queries.ORACLES) == {"op3_token_files", "op5_language", "op10_packed", "op11_whitened", "op13_periodic_runs"}
     assert set(queries.QUERIES) <= set(names)
 
 
