@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakframe.llm import exact, language, minhash, mixing, packing
-from leakframe.llm.storage import stored
+from leakframe.llm.storage import stored, unused
 from leakframe.session import small_side
 
 ORACLE_SQL = None
@@ -30,8 +30,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays.  Rows without an id stay."""
-    gone = minhash.near_groups(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(small_side(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    name, = unused(docs, "_gone")
+    gone = minhash.near_groups(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(small_side(gone), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leakframe.llm.storage import stored
+from leakframe.llm.storage import stored, unused
 from leakframe.session import small_side
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -110,12 +110,13 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     digest; they are few, so the texts need no shuffle unless that list is measured to be large.
     """
     groups = exact_groups(docs, id_col, text_col, salts)
-    odd = groups.groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_digest")).agg(
-        F.bool_or("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")
-    ).where(~F.col("_kept") | (F.col("_rows") > 1)).select("_id", "_digest", "_kept")
+    id_, digest, kept, sum_ = unused(docs, "_id", "_digest", "_kept", "_sum")
+    odd = groups.groupBy(F.col(id_col).alias(id_), F.col("text_sha256").alias(digest)).agg(
+        F.bool_or("kept").alias(kept), F.count(F.lit(1)).alias("rows")
+    ).where(~F.col(kept) | (F.col("rows") > 1)).select(id_, digest, kept)
     odd = small_side(odd)
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (sha256(normalised(F.col(text_col))) == F.col("_digest"))
+    same = F.col(id_col).eqNullSafe(F.col(id_)) & (sha256(normalised(F.col(text_col))) == F.col(digest))
     stay = docs.join(odd, same, "left_anti")
     # one row of those that repeat; the table of the others is the same one, filtered
-    again = docs.join(odd.where("_kept"), same, "left_semi").withColumn("_sum", sha256(normalised(F.col(text_col))))
-    return stay.unionByName(again.dropDuplicates([id_col, "_sum"]).drop("_sum"))
+    again = docs.join(odd.where(kept), same, "left_semi").withColumn(sum_, sha256(normalised(F.col(text_col))))
+    return stay.unionByName(again.dropDuplicates([id_col, sum_]).drop(sum_))

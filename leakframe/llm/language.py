@@ -19,7 +19,6 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leakframe.llm.memory import hold
+
 ORDER = 3
 SAMPLE_ROWS = 400
 MOST_BITS = 6.5  # a uniform code has 8; the languages learned take 2 to 4
-MAX_LANGUAGES = 1000
-LETTER = re.compile(r"[^\W\d_]")
 _FOLD = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 _PIECE = 1 << 19
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -42,6 +41,11 @@ def held_out(id_column: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_column.cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is of a Unicode category L*; numbers and number forms are none."""
+    return any(map(str.isalpha, text))
+
+
 def folded(text: str) -> bytes:
     return text.lower().encode("utf-8", "replace").translate(_FOLD)
 
@@ -187,9 +191,7 @@ def _count(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordB
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from the labelled ``docs``.  What reaches the driver is the trees of the bounded sample."""
     labelled = docs.where(F.col(lang_col).isNotNull())
-    sizes = labelled.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = labelled.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).collect()
     if not sizes:
         return Model([], [])
     whole = 1 << 40
@@ -211,43 +213,58 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """``id_col``, ``lang_pred``, ``score`` and ``bits``: the mean code length of a byte."""
     kind = dict(docs.dtypes)[id_col]
     names = [id_col, "lang_pred", "score", "bits"]
+    judge = _judge(docs, model)
 
-    def judged(batch: pa.RecordBatch, best: list[str], score: list[float], bits: list[float]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=names)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = judge()
+        for batch in batches:
+            best, score, bits = known(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())], names=names)
 
-    rows = docs.select(id_col, text_col)
-    return rows.mapInArrow(_judge(docs, model, 1, judged), f"`{id_col}` {kind}, lang_pred string, score double, bits double")
+    return docs.select(id_col, text_col).mapInArrow(work, f"`{id_col}` {kind}, lang_pred string, score double, bits double")
 
 
 def identified(docs: DataFrame, model: Model, text_col: str = "text", most_bits: float = MOST_BITS) -> DataFrame:
     """The documents in a learned language, with all their columns.  Those judged ``und`` go, and
-    those that even the best language codes in more than ``most_bits`` a byte.  Rows stay in their
-    tasks: nothing is joined or shuffled."""
+    those that even the best language codes in more than ``most_bits`` a byte.  Only texts go to
+    Python and only verdicts come back; nothing is joined or shuffled."""
+    judge = _judge(docs, model)
 
-    def kept(batch: pa.RecordBatch, best: list[str], _: list[float], bits: list[float]) -> pa.RecordBatch:
-        return batch.filter(pa.array([b != "und" and x <= most_bits for b, x in zip(best, bits)], pa.bool_()))
+    @F.arrow_udf("boolean")
+    def keeps(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known = judge()
+        for part in texts:
+            best, _, bits = known(part)
+            yield pa.array([b != "und" and x <= most_bits for b, x in zip(best, bits)], pa.bool_())
 
-    return docs.mapInArrow(_judge(docs, model, docs.columns.index(text_col), kept), docs.schema)
+    return docs.where(keeps(F.col(text_col)))
 
 
-def _judge(docs: DataFrame, model: Model, column: int, result: Callable) -> Callable:
+def _judge(docs: DataFrame, model: Model) -> Callable:
+    """For a task: a function of a column of texts that gives the best language of each, its
+    probability, and its code length a byte."""
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, [(x.cost, x.escape, x.keys, x.contexts) for x in model.levels]))
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge() -> Callable:
+        hold("language", {})
         languages, tables = shared.value
         known = Model(languages, [Level(*t) for t in tables])
-        for batch in batches:
-            texts = batch.column(column).to_pylist()
-            rows = [i for i, t in enumerate(texts) if languages and t and LETTER.search(t)]
-            best, score, mean = ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
-            for at in range(0, len(rows), 256):
-                part = rows[at:at + 256]
-                raw = [folded(texts[i]) for i in part]
+
+        def of(column: pa.Array) -> tuple[list[str], list[float], list[float]]:
+            best, score, mean = ["und"] * len(column), [0.0] * len(column), [0.0] * len(column)
+            for at in range(0, len(column), 256):
+                texts = column.slice(at, 256).to_pylist()
+                rows = [i for i, t in enumerate(texts) if languages and t and has_letter(t)]
+                if not rows:
+                    continue
+                raw = [folded(texts[i]) for i in rows]
                 bits = known.code_lengths(raw)
                 more = bits - bits.min(1, keepdims=True)
                 sure = 1 / np.exp2(-np.minimum(more, 1000)).sum(1)
-                for i, k, s, b, t in zip(part, bits.argmin(1).tolist(), sure.tolist(), bits.min(1).tolist(), raw):
-                    best[i], score[i], mean[i] = languages[k], s, b / len(t)
-            yield result(batch, best, score, mean)
+                for i, k, s, b, t in zip(rows, bits.argmin(1).tolist(), sure.tolist(), bits.min(1).tolist(), raw):
+                    best[at + i], score[at + i], mean[at + i] = languages[k], s, b / len(t)
+            return best, score, mean
+
+        return of
 
     return judge

@@ -1,17 +1,33 @@
 """What a Python worker remembers between tasks.
 
 Spark uses a worker again for other stages, so the memory of one operator would stay beside that
-of the next.  A worker holds one such memory at a time.
+of the next.  A worker holds one such memory at a time, and what it frees goes back to the system.
 """
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
+
 _HELD: dict[str, dict] = {}
 
 
 def hold(owner: str, cache: dict) -> None:
     """Keep ``cache`` and empty those of other owners."""
-    for other, held in _HELD.items():
-        if other != owner:
-            held.clear()
+    others = [held for other, held in _HELD.items() if other != owner and held]
+    for held in others:
+        held.clear()
+    if _HELD.get(owner) is not cache or others:
+        give_back()
     _HELD[owner] = cache
+
+
+def give_back() -> None:
+    """Return freed memory: Python's objects, Arrow's pool, then what the C library keeps."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)

@@ -26,8 +26,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leakframe.llm.storage import stored
-from leakframe.session import small_side
+from leakframe.llm.storage import stored, unused
+from leakframe.operators.ranking import number_within
+from leakframe.session import cut_lineage, small_side
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2.0
@@ -74,27 +75,40 @@ def _reached(rows: DataFrame, slot: str, base: str) -> DataFrame:
     ).select("source_key", F.col(f"x.{slot}").alias(f"{slot}_reached"), F.col("x.before").alias(base))
 
 
-def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = "mix",
-    weight_col: str | None = None, slots: int = SLOTS,
-) -> DataFrame:
-    """``id_col``, ``size``, ``source_size``, ``target``, ``copies``, ``taken`` for every row."""
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
-    weight = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(1.0)), F.lit(1e-9))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), weight.alias("weight"))
-    # a null source is a source: its key cannot be that of any other
-    rows = stored(rows.withColumn("source_key", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))), "sizes")
+def _source_key(source: Column) -> Column:
+    """A null source is a source: its key cannot be that of any other."""
+    return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
+
+
+def _size(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+def _weight(docs: DataFrame, weight_col: str | None) -> Column:
+    return F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(docs[weight_col].cast("double"), F.lit(1.0)), F.lit(1e-9))
+
+
+def _quotient(id_: Column, key: Column, size: Column, weight: Column, f: Column, seed: str) -> Column:
+    """The odds of a random number over the inclusion odds.  Documents that cannot be drawn have none."""
+    u = uniform(seed, F.coalesce(id_.cast("string"), F.concat(F.lit("null:"), key, size.cast("string"))))
+    return F.when((f > 0) & (size > 0), (u / (F.lit(1.0) - u)) / ((f / (F.lit(1.0) - f)) * weight))
+
+
+def _draw(
+    docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple, share: float, cap: float, seed: str,
+    weight_col: str | None, slots: int,
+) -> tuple[DataFrame, DataFrame]:
+    """Narrow rows with ``id``, ``size``, ``q`` and whether they are ``chosen``; and one row per source."""
+    rows = docs.select(
+        docs[id_col].alias("id"), docs[source_col].alias("source"), _size(docs[text_col]).alias("size"), _weight(docs, weight_col).alias("weight")
+    )
+    rows = stored(rows.withColumn("source_key", _source_key(F.col("source"))), "sizes")
     goals = targets(rows.groupBy("source_key", "source").agg(F.sum("size").alias("source_size")).drop("source_key"), weights, share, cap)
-    goals = goals.withColumn("source_key", F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), "source"))).drop("source")
+    goals = goals.withColumn("source_key", _source_key(F.col("source"))).drop("source")
     certain = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
     goals = goals.withColumn("certain", certain).withColumn("rest", F.col("target") - F.col("certain") * F.col("source_size"))
     goals = goals.withColumn("f", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(F.lit(0.0)))
-    named = F.coalesce(F.col("id").cast("string"), F.concat(F.lit("null:"), F.col("source_key"), F.col("size").cast("string")))
-    u = uniform(seed, named)
-    odds = (F.col("f") / (F.lit(1.0) - F.col("f"))) * F.col("weight")
-    # documents that cannot be drawn have no quotient
-    quotient = F.when((F.col("f") > 0) & (F.col("size") > 0), (u / (F.lit(1.0) - u)) / odds)
+    quotient = _quotient(F.col("id"), F.col("source_key"), F.col("size"), F.col("weight"), F.col("f"), seed)
     # one row per source: broadcast if measured to be small, so that no source is a hot join key
     drawn = rows.join(small_side(goals), "source_key").withColumn("q", quotient)
     place = F.col("q") / (F.lit(1.0) + F.col("q")) * F.lit(float(slots))
@@ -112,15 +126,58 @@ def mix(
     words = F.col("base") + F.col("fine_base") + F.sum("size").over(run)
     last = drawn.where(edge).withColumn("chosen", (2 * words - F.col("size") <= 2 * F.col("rest")).cast("bigint"))
     every = drawn.where(~edge).withColumn("chosen", below.cast("bigint")).unionByName(last)
+    return every, goals
+
+
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = "mix",
+    weight_col: str | None = None, slots: int = SLOTS,
+) -> DataFrame:
+    """``id_col``, ``size``, ``source_size``, ``target``, ``copies``, ``taken`` for every row."""
+    every, _ = _draw(docs, id_col, text_col, source_col, weights, share, cap, seed, weight_col, slots)
     copies = F.col("certain") + F.col("chosen")
     return every.select(
         F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents of the mix with all their columns, each as often as it is taken.  Ids must be
-    unique; rows that repeat one are each given its copies."""
-    counts = mix(docs, id_col, **options).where("copies > 0").groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").alias("_copies"))
-    joined = docs.join(counts, F.col(id_col).eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+def mixed(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = "mix",
+    weight_col: str | None = None, slots: int = SLOTS,
+) -> DataFrame:
+    """The documents of the mix with all their columns, each as often as it is taken.
+
+    A source takes what lies below a cut in the order of quotient and id.  The cuts, one row per
+    source, go to the documents, which find their own quotient again: no text is joined or
+    shuffled.  Rows that lie together on a cut (repeated or null ids) are told apart by number.
+    """
+    every, goals = _draw(docs, id_col, text_col, source_col, weights, share, cap, seed, weight_col, slots)
+    order = F.struct("q", "id")
+    cuts = small_side(every.where("chosen = 1").groupBy("source_key").agg(F.max(order).alias("cut")))
+    on_cut = every.join(cuts, "source_key").where(F.col("q").eqNullSafe(F.col("cut.q")) & F.col("id").eqNullSafe(F.col("cut.id")))
+    on_cut = on_cut.groupBy("source_key").agg(F.first("cut").alias("cut"), F.count(F.lit(1)).alias("rows"), F.sum("chosen").alias("take"))
+    decided = cut_lineage(goals.join(on_cut, "source_key", "left").select("source_key", "certain", "f", "cut", "rows", "take"))
+    split = not decided.where("take < rows").isEmpty()
+
+    key, of, q, id_ = unused(docs, "_key", "_of", "_q", "_id")
+    decided = decided.select(F.col("source_key").alias(key), F.struct("certain", "f", "cut", "rows", "take").alias(of))
+    source = _source_key(docs[source_col])
+    rows = docs.join(small_side(decided), source == F.col(key))
+    rows = rows.withColumn(id_, docs[id_col]).withColumn(
+        q, _quotient(docs[id_col], source, _size(docs[text_col]), _weight(docs, weight_col), F.col(of)["f"], seed)
+    )
+    cut = F.col(of)["cut"]
+    here = F.coalesce((F.col(q) == cut["q"]) & F.col(id_).eqNullSafe(cut["id"]), F.lit(False))
+    below = F.coalesce((F.col(q) < cut["q"]) | ((F.col(q) == cut["q"]) & (F.struct(q, id_) < F.struct(cut["q"].alias(q), cut["id"].alias(id_)))), F.lit(False))
+    certain, take = F.col(of)["certain"], F.col(of)["take"]
+    row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row")
+    parted = here & (take < F.col(of)["rows"]) if split else F.lit(False)
+    whole = rows.where(~parted).select(row, (certain + (below | here).cast("bigint")).alias("n"))
+    if split:
+        some = rows.where(parted).select(row, F.col(key).alias("key"), certain.alias("certain"), take.alias("take"), F.xxhash64(docs[text_col]).alias("hash"))
+        some = number_within(some, ["key"], ["hash"], "number")
+        whole = whole.unionByName(some.select("row", (F.col("certain") + (F.col("number") < F.col("take")).cast("bigint")).alias("n")))
+    copies = whole.where("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    return copies.select("row.*")

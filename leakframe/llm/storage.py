@@ -14,6 +14,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    return ["_" * next(n for n in range(len(taken) + 1) if ("_" * n + name).lower() not in taken) + name for name in names]
+
+
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 

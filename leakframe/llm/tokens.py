@@ -4,7 +4,8 @@ Running the library over every occurrence of every word costs far more than the
 its merges take microseconds a word.  Texts are therefore cut where the vocabulary's own rules
 always cut, the distinct pieces of a batch are found by Arrow, and only pieces not seen before go
 through the library.  Texts in which those cuts could matter (adjacent white space, the separator
-itself) are encoded whole.  Seen pieces stay in the worker up to a fixed number.
+itself) are encoded whole.  Seen pieces stay in the worker up to a fixed number of
+bytes.  A text is encoded at once, so a worker needs memory for its longest one.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,9 @@ IRREGULAR = rf"[{_SPACE}][{_SPACE}]|\x01"
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PUNCTUATION = r"!-&(-/:-@\[-`{-~"  # ASCII without the apostrophe, which begins contractions
 PLAIN = re.compile(rf"( ?[{_LETTERS}]+)([{_PUNCTUATION}]*)")
-REMEMBERED = 300_000
-PART_BYTES = 8 << 20
+REMEMBERED_BYTES = 24 << 20  # of pieces and words together, with what Python adds to each
+ENTRY_BYTES = 200
+PART_BYTES = 4 << 20
 
 
 class Encoder:
@@ -38,7 +40,7 @@ class Encoder:
     drops white space and marks word ends, ``byte`` keeps a space with the word after it, and
     ``whole`` (any other file) takes no short cut."""
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
+    def __init__(self, path: str, remembered: int = REMEMBERED_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -60,6 +62,7 @@ class Encoder:
         self.marks, self.remembered = marks, remembered
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.held = 0
 
     def _library(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -99,15 +102,23 @@ class Encoder:
             new.update(zip(part, self._joined(part)))
         tails = list({tail for _, _, tail in plain if tail not in words})
         new.update(zip(tails, self._library(tails)))
-        if len(words) < self.remembered:
-            words.update(new)
+        self._remember(words, new.items())
         for k, word, tail in plain:
             values[k] = (words.get(word) or new[word]) + (words[tail] if tail in words else new[tail])
-        if len(known) < self.remembered:
-            known.update((found[k], values[k]) for k in other)
-            known.update((found[k], values[k]) for k, _, _ in plain)
+        self._remember(known, ((found[k], values[k]) for k in other))
+        self._remember(known, ((found[k], values[k]) for k, _, _ in plain))
         return values
 
+    def _remember(self, memory: dict[str, bytes], entries: Iterable[tuple[str, bytes]]) -> None:
+        """Entries while there is room.  Very long pieces are rare and would fill it."""
+        for piece, ids in entries:
+            size = ENTRY_BYTES + 4 * len(piece) + len(ids)
+            if self.held + size > self.remembered:
+                return
+            if size < 4 * ENTRY_BYTES:
+                memory[piece] = ids
+                self.held += size
+
     def parts(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Rows ``begin`` to ``end`` at a time, with their ids and counts: about ``PART_BYTES`` of
         text, so that what is in memory does not depend on the size of a batch."""

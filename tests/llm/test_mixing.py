@@ -81,3 +81,25 @@ def test_rows_of_the_mix(spark):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mixed(docs.limit(0)).count() == 0
     same = spark.createDataFrame([(7, "a b", "s", None)] * 10, SCHEMA)
     assert sum(r.taken for r in mixing.mix(same).collect()) == 30
+
+
+def test_rows_on_a_cut_and_clashing_names(spark):
+    """Null and repeated ids are told apart row by row; internal names may be columns."""
+    rows = [(None if i % 3 else i, "one two three", "a" if i % 2 else "b", "t") for i in range(240)]
+    rows += [(7, "w " * 5, "a", "t")] * 60
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for name in ("_copies", "_copy", "_id", "_key", "_of", "_q", "_number", "q", "cut", "size", "id", "source_key", "f", "rows", "_value", "a.b"):
+        docs = docs.withColumn(name, mixing.F.lit(1))
+    counted = mixing.mix(docs, share=0.7).collect()
+    taken = mixing.mixed(docs, share=0.7)
+    assert taken.columns == docs.columns
+    words = [(r["source"], len(r["text"].split())) for r in taken.collect()]
+    for source in ("a", "b"):
+        target = {r.target for r in counted if r.source_size == sum(len(t.split()) for _, t, s, _ in rows if s == source)}
+        assert abs(sum(n for s, n in words if s == source) - target.pop()) <= 5
+
+
+def test_the_mix_joins_no_text(spark):
+    docs = spark.createDataFrame([(i, "one two", "a", "t") for i in range(40)], SCHEMA)
+    plan = mixing.mixed(docs, share=0.5)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
