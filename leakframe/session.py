@@ -19,6 +19,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # batches to Python by bytes: ten thousand long texts would be too many
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
 
 
