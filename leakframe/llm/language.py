@@ -33,7 +33,7 @@ ORDER = 3
 SAMPLE_ROWS = 400
 MOST_BITS = 6.5  # a uniform code has 8; the languages learned take 2 to 4
 _FOLD = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
-_PIECE = 1 << 19
+_PIECE = 1 << 17
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

@@ -26,6 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leakframe.functions.regex import let
 from leakframe.llm.storage import stored, unused
 from leakframe.operators.ranking import number_within
 from leakframe.session import cut_lineage, small_side
@@ -91,7 +92,8 @@ def _weight(docs: DataFrame, weight_col: str | None) -> Column:
 def _quotient(id_: Column, key: Column, size: Column, weight: Column, f: Column, seed: str) -> Column:
     """The odds of a random number over the inclusion odds.  Documents that cannot be drawn have none."""
     u = uniform(seed, F.coalesce(id_.cast("string"), F.concat(F.lit("null:"), key, size.cast("string"))))
-    return F.when((f > 0) & (size > 0), (u / (F.lit(1.0) - u)) / ((f / (F.lit(1.0) - f)) * weight))
+    quotient = let(u, lambda u: (u / (F.lit(1.0) - u)) / ((f / (F.lit(1.0) - f)) * weight))
+    return F.when((f > 0) & (size > 0), quotient)
 
 
 def _draw(
@@ -161,23 +163,28 @@ def mixed(
     decided = cut_lineage(goals.join(on_cut, "source_key", "left").select("source_key", "certain", "f", "cut", "rows", "take"))
     split = not decided.where("take < rows").isEmpty()
 
-    key, of, q, id_ = unused(docs, "_key", "_of", "_q", "_id")
+    key, of = unused(docs, "_key", "_of")
     decided = decided.select(F.col("source_key").alias(key), F.struct("certain", "f", "cut", "rows", "take").alias(of))
-    source = _source_key(docs[source_col])
+    source, id_ = _source_key(docs[source_col]), docs[id_col]
     rows = docs.join(small_side(decided), source == F.col(key))
-    rows = rows.withColumn(id_, docs[id_col]).withColumn(
-        q, _quotient(docs[id_col], source, _size(docs[text_col]), _weight(docs, weight_col), F.col(of)["f"], seed)
-    )
-    cut = F.col(of)["cut"]
-    here = F.coalesce((F.col(q) == cut["q"]) & F.col(id_).eqNullSafe(cut["id"]), F.lit(False))
-    below = F.coalesce((F.col(q) < cut["q"]) | ((F.col(q) == cut["q"]) & (F.struct(q, id_) < F.struct(cut["q"].alias(q), cut["id"].alias(id_)))), F.lit(False))
-    certain, take = F.col(of)["certain"], F.col(of)["take"]
+    cut, certain, take, number = (F.col(of)[c] for c in ("cut", "certain", "take", "rows"))
+    # words are counted and hashed once a row, whatever reads the quotient
+    quotient = let(_size(docs[text_col]), lambda size: _quotient(id_, source, size, _weight(docs, weight_col), F.col(of)["f"], seed))
+
+    def on_it(q: Column) -> Column:
+        return F.coalesce((q == cut["q"]) & id_.eqNullSafe(cut["id"]), F.lit(False))
+
+    def copies(q: Column) -> Column:
+        before = (q < cut["q"]) | ((q == cut["q"]) & (F.struct(q, id_) <= F.struct(cut["q"], cut["id"])))
+        return certain + (F.coalesce(before, F.lit(False)) | on_it(q)).cast("bigint")
+
+    def repeated(n: Column) -> Column:
+        return F.explode(let(n, lambda n: F.when(n > 0, F.sequence(F.lit(1), n.cast("int")))))
+
     row = F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row")
-    parted = here & (take < F.col(of)["rows"]) if split else F.lit(False)
-    whole = rows.where(~parted).select(row, (certain + (below | here).cast("bigint")).alias("n"))
-    if split:
-        some = rows.where(parted).select(row, F.col(key).alias("key"), certain.alias("certain"), take.alias("take"), F.xxhash64(docs[text_col]).alias("hash"))
-        some = number_within(some, ["key"], ["hash"], "number")
-        whole = whole.unionByName(some.select("row", (F.col("certain") + (F.col("number") < F.col("take")).cast("bigint")).alias("n")))
-    copies = whole.where("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    return copies.select("row.*")
+    if not split:
+        return rows.select(row, repeated(let(quotient, copies))).select("row.*")
+    parted = let(quotient, on_it) & (take < number)
+    some = rows.where(parted).select(row, F.col(key).alias("key"), certain.alias("certain"), take.alias("take"), F.xxhash64(docs[text_col]).alias("hash"))
+    some = number_within(some, ["key"], ["hash"], "number").select("row", repeated(F.col("certain") + (F.col("number") < F.col("take")).cast("bigint")))
+    return rows.where(~parted).select(row, repeated(let(quotient, copies))).unionByName(some).select("row.*")

@@ -32,7 +32,7 @@ _PUNCTUATION = r"!-&(-/:-@\[-`{-~"  # ASCII without the apostrophe, which begins
 PLAIN = re.compile(rf"( ?[{_LETTERS}]+)([{_PUNCTUATION}]*)")
 REMEMBERED_BYTES = 24 << 20  # of pieces and words together, with what Python adds to each
 ENTRY_BYTES = 200
-PART_BYTES = 4 << 20
+PART_BYTES = 2 << 20
 
 
 class Encoder:
