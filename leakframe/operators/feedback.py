@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from leakframe import fixed_values as fv
 from leakframe.functions import classify, masks, text
+from leakframe.operators.patterns import like_join
 from leakframe.operators.ranking import first_n, prefix_sum
 from leakframe.operators.suppress import review_hints
+from leakframe.session import cut_lineage
 
 
 def _is_fp() -> Column:
@@ -108,14 +110,67 @@ def explode_items(submissions: DataFrame) -> DataFrame:
     return submissions.select(*keys, F.explode(tagged).alias("t")).select(*keys, "t.is_true_positive", "t.i.*")
 
 
+# ------------------------------------------------------------------ folds
+REVIEWS = "reviews"  # in folded tables: how many reviews a row stands for
+
+
+def fold_shapes(reviews: DataFrame) -> DataFrame:
+    """``value_pattern``, ``is_true_positive``, ``reviews``.
+
+    Equal values are counted before the shape is made, so a value that is reviewed a million times
+    is shaped once, and a hot value is combined in the map tasks."""
+    values = reviews.groupBy("value", "is_true_positive").agg(F.count(F.lit(1)).alias(REVIEWS))
+    shaped = values.select(masks.shape(F.col("value")).alias("value_pattern"), "is_true_positive", REVIEWS)
+    return shaped.groupBy("value_pattern", "is_true_positive").agg(F.sum(REVIEWS).alias(REVIEWS))
+
+
+def fold_hints(reviews: DataFrame) -> DataFrame:
+    """``context_hint``, ``is_true_positive``, ``reviews``.  Of a path only two words matter."""
+    low = F.lower(F.coalesce(F.col("path"), F.lit("")))
+    said = F.concat_ws(" ", *[F.when(low.contains(word), F.lit(word)) for word in ("certificate", "pin")])
+    values = reviews.groupBy("value", said.alias("said"), "is_true_positive").agg(F.count(F.lit(1)).alias(REVIEWS))
+    hint = F.nullif(review_hints(F.col("value"), F.col("said")), F.lit(""))
+    return values.select(hint.alias("context_hint"), "is_true_positive", REVIEWS).groupBy("context_hint", "is_true_positive").agg(F.sum(REVIEWS).alias(REVIEWS))
+
+
+def fold_dimensions(reviews: DataFrame) -> DataFrame:
+    """``dimension`` (value_pattern, file_type, secret_type), ``verdict``, ``name``, ``n``.
+
+    One pass counts equal values, paths and types; only what is distinct is shaped and classified."""
+    raw = {"value_pattern": "value", "file_type": "path", "secret_type": "secret_type"}
+    flat = reviews.select(*raw.values(), _verdict().alias("verdict"))
+    counted = flat.groupingSets([[c, "verdict"] for c in raw.values()], *raw.values(), "verdict").agg(
+        *[F.grouping(c).alias(f"_{c}") for c in raw.values()], F.count(F.lit(1)).alias("n")
+    )
+    path = F.coalesce(F.col("path"), F.lit(""))
+    named = {
+        "value_pattern": masks.shape(F.col("value")),
+        "file_type": F.when(path == "", F.lit("unknown")).otherwise(classify.file_class(path)),
+        "secret_type": F.col("secret_type"),
+    }
+    own = lambda d: F.col(f"_{raw[d]}") == 0
+    dimension = F.coalesce(*[F.when(own(d), F.lit(d)) for d in raw])
+    name = F.coalesce(*[F.when(own(d), named[d]) for d in raw], F.lit("unknown"))
+    return counted.select(dimension.alias("dimension"), "verdict", name.alias("name"), "n").groupBy("dimension", "verdict", "name").agg(F.sum("n").alias("n"))
+
+
 # ------------------------------------------------------------------ rates
+# Counts below take single reviews or folded ones, which have a column ``reviews``.
+def _n(items: DataFrame) -> Column:
+    return F.sum(REVIEWS) if REVIEWS in items.columns else F.count(F.lit(1))
+
+
+def _n_fp(items: DataFrame) -> Column:
+    return F.coalesce(F.sum(F.when(_is_fp(), F.col(REVIEWS))), F.lit(0)) if REVIEWS in items.columns else F.count_if(_is_fp())
+
+
+def _verdict() -> Column:
+    return F.when(_is_fp(), F.lit("false_positives")).otherwise(F.lit("true_positives"))
+
+
 def totals(items: DataFrame) -> DataFrame:
-    fp = F.count_if(_is_fp())
-    return items.agg(
-        F.count(F.lit(1)).alias("total_items"),
-        fp.alias("false_positives"),
-        _percent(fp, F.nullif(F.count(F.lit(1)), F.lit(0))).alias("fp_rate_percent"),
-    )
+    fp, n = _n_fp(items), _n(items)
+    return items.agg(n.alias("total_items"), fp.alias("false_positives"), _percent(fp, F.nullif(n, F.lit(0))).alias("fp_rate_percent"))
 
 
 def dimension_counts(items: DataFrame, n: int = 20) -> DataFrame:
@@ -123,24 +178,25 @@ def dimension_counts(items: DataFrame, n: int = 20) -> DataFrame:
 
     One pass over three grouping sets; ranking limits groups before the shuffle."""
     dims = ["value_pattern", "file_type", "secret_type"]
-    verdict = F.when(_is_fp(), F.lit("false_positives")).otherwise(F.lit("true_positives"))
-    flat = items.select(*[F.coalesce(F.col(d), F.lit("unknown")).alias(d) for d in dims], verdict.alias("verdict"))
+    flat = items.select(*[F.coalesce(F.col(d), F.lit("unknown")).alias(d) for d in dims], _verdict().alias("verdict"))
     counted = flat.groupingSets([[d, "verdict"] for d in dims], *dims, "verdict").agg(
         *[F.grouping(d).alias(f"_{d}") for d in dims], F.count(F.lit(1)).alias("n")
     )
     dimension = F.coalesce(*[F.when(F.col(f"_{d}") == 0, F.lit(d)) for d in dims])
     name = F.coalesce(*[F.when(F.col(f"_{d}") == 0, F.col(d)) for d in dims])
-    long = counted.select(dimension.alias("dimension"), "verdict", name.alias("name"), "n")
-    return first_n(long, ["dimension", "verdict"], [F.desc("n"), "name"], n)
+    return top_names(counted.select(dimension.alias("dimension"), "verdict", name.alias("name"), "n"), n)
+
+
+def top_names(counts: DataFrame, n: int = 20) -> DataFrame:
+    return first_n(counts, ["dimension", "verdict"], [F.desc("n"), "name"], n)
 
 
 def known_false_positives(items: DataFrame, min_samples: int = 10, above: float = 0.8) -> DataFrame:
     """Shapes that reviewers reject: enough samples and a rate strictly above the cut."""
     shape = F.coalesce("value_pattern", F.lit("unknown"))
-    fp, n = F.count_if(_is_fp()), F.count(F.lit(1))
     return (
         items.groupBy(shape.alias("pattern"))
-        .agg(n.alias("sample_count"), fp.alias("_fp"))
+        .agg(_n(items).alias("sample_count"), _n_fp(items).alias("_fp"))
         .where((F.col("sample_count") >= min_samples) & (F.col("_fp") / F.col("sample_count") > above))
         .select(
             "pattern",
@@ -152,7 +208,7 @@ def known_false_positives(items: DataFrame, min_samples: int = 10, above: float
 
 
 def _rate_by(items: DataFrame, key: str, total: str = "total") -> DataFrame:
-    fp, n = F.count_if(_is_fp()), F.count(F.lit(1))
+    fp, n = _n_fp(items), _n(items)
     return items.groupBy(key).agg(
         n.alias(total), fp.alias("false_positives"), _percent(fp, n).alias("fp_rate")
     )
@@ -181,7 +237,7 @@ def new_shapes(items: DataFrame, known: DataFrame, min_uses: int = 3) -> DataFra
     counted = (
         items.where(_is_fp())
         .groupBy("value_pattern")
-        .agg(F.count(F.lit(1)).alias("occurrences"))
+        .agg(_n(items).alias("occurrences"))
         .where(F.col("occurrences") >= min_uses)
     )
     return counted.join(known.select(F.col("pattern").alias("value_pattern")), "value_pattern", "left_anti")
@@ -190,27 +246,14 @@ def new_shapes(items: DataFrame, known: DataFrame, min_uses: int = 3) -> DataFra
 def known_effectiveness(items: DataFrame, known: DataFrame) -> DataFrame:
     """Expected and actual false-positive rate of each known LIKE pattern.
 
-    Items are counted per shape first.  Patterns without wildcards join on equality.  A LIKE
-    pattern can only match shapes that start with its literal prefix, so it joins on that prefix
-    and LIKE is tested on what is left, not on all pairs.
+    Items are counted per shape first.  Patterns without wildcards join on equality, the others
+    through an index of their literal pieces (see ``patterns``).
     """
-    shapes = items.groupBy("value_pattern").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(_is_fp()).alias("fp")
-    )
+    shapes = cut_lineage(items.groupBy("value_pattern").agg(_n(items).alias("n"), _n_fp(items).alias("fp")))
     wild = F.rlike("pattern", F.lit(r"[%_\\]"))
     known = known.select("pattern", "confidence")
-    exact = shapes.join(
-        known.where(~wild), F.col("value_pattern") == F.col("pattern")
-    )
-    prefix = F.regexp_extract("pattern", r"^[^%_\\]*", 0)
-    starts = F.sequence(F.lit(0), F.length("value_pattern"))
-    like = (
-        shapes.select("*", F.explode(starts).alias("_n"))
-        .select("value_pattern", "n", "fp", F.substring("value_pattern", F.lit(1), F.col("_n")).alias("_prefix"))
-        .join(known.where(wild).withColumn("_prefix", prefix), "_prefix")
-        .where(F.expr("value_pattern LIKE pattern"))
-        .drop("_prefix")
-    )
+    exact = shapes.join(known.where(~wild), F.col("value_pattern") == F.col("pattern"))
+    like = like_join(shapes, "value_pattern", known.where(wild), "pattern")
     return (
         exact.unionByName(like)
         .groupBy("pattern", F.col("confidence").alias("expected_fp_rate"))
@@ -238,7 +281,7 @@ def filter_known(detections: DataFrame, known: DataFrame, defaults: list = fv.DE
 
 def label_balance(items: DataFrame) -> DataFrame:
     """Share of each label.  Counts come first, the window runs over two rows."""
-    counted = items.groupBy("is_true_positive").agg(F.count(F.lit(1)).alias("n"))
+    counted = items.groupBy("is_true_positive").agg(_n(items).alias("n"))
     share = _percent(F.col("n"), F.sum("n").over(Window.partitionBy(F.lit(1))))
     return counted.select("is_true_positive", "n", share.alias("percentage"))
 
@@ -307,11 +350,44 @@ def requests_last_hour(requests: DataFrame) -> DataFrame:
 
 
 HASHED = 64  # columns for the categories of shape class, secret type and file type
+FEATURES = ["shape_class", "kind", "file_type", "value_length", "is_test_file"]
+
+
+def classifier_features(items: DataFrame) -> DataFrame:
+    shape_class = F.regexp_extract("value_pattern", r"\[(\w+):", 1)
+    own = [c for c in items.columns if c not in ("kind", "label", "shape_class", "is_test_file")]
+    return items.select(
+        *own,
+        shape_class.alias("shape_class"),
+        F.col("secret_type").alias("kind"),
+        F.col("file_type").contains("test").cast("double").alias("is_test_file"),
+        F.col("is_true_positive").cast("double").alias("label"),
+    )
+
+
+def held_out(value_hash: Column, part: int = 5) -> Column:
+    """One ``part`` of the values, by their hash: all reviews of a value are on one side."""
+    return F.conv(F.substring(value_hash, 1, 2), 16, 10).cast("int") % part == 0
+
+
+def fold_features(reviews: DataFrame) -> DataFrame:
+    """``held_out``, the ``FEATURES``, ``label`` and ``reviews``.
+
+    Values are counted with their type, file class and verdict before any is shaped; then values with
+    equal features are one row, however many reviews there are."""
+    path = F.coalesce(F.col("path"), F.lit(""))
+    file_type = F.when(path == "", F.lit("unknown")).otherwise(classify.file_class(path))
+    paths = reviews.groupBy("value", "value_hash", "secret_type", "path", "is_true_positive").agg(F.count(F.lit(1)).alias(REVIEWS))
+    values = paths.groupBy("value", "value_hash", "secret_type", file_type.alias("file_type"), "is_true_positive").agg(F.sum(REVIEWS).alias(REVIEWS))
+    rows = values.withColumn("value_length", F.length("value")).withColumn("value_pattern", masks.shape(F.col("value")))
+    rows = classifier_features(rows.withColumn("held_out", held_out(F.col("value_hash"))))
+    return rows.groupBy("held_out", *FEATURES, "label").agg(F.sum(REVIEWS).alias(REVIEWS))
 
 
 def fp_classifier(items: DataFrame, trees: int = 100, seed: int = 7):
-    """Random forest on shape class, length, secret type, file type and test-file flag.  Returns a
-    fitted pipeline model; ``model.transform(classifier_features(items))`` scores.
+    """Random forest on shape class, length, secret type, file type and test-file flag.  Takes
+    anonymised items or a folded feature table.  Returns a fitted pipeline model, which scores
+    rows of ``classifier_features`` or ``fold_features``.
 
     Categories are hashed into a fixed number of columns, so any number of them will do.  Items
     with equal features are fitted as one weighted row."""
@@ -319,8 +395,8 @@ def fp_classifier(items: DataFrame, trees: int = 100, seed: int = 7):
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import FeatureHasher, VectorAssembler
 
-    names = ["shape_class", "kind", "file_type", "value_length", "is_test_file", "label"]
-    data = classifier_features(items).groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    rows = items if "label" in items.columns else classifier_features(items)
+    data = rows.groupBy(*FEATURES, "label").agg(_n(rows).cast("double").alias("weight"))
     hasher = FeatureHasher(inputCols=["shape_class", "kind", "file_type"], outputCol="hashed", numFeatures=HASHED)
     assembler = VectorAssembler(inputCols=["value_length", "is_test_file", "hashed"], outputCol="features")
     forest = RandomForestClassifier(
@@ -329,13 +405,51 @@ def fp_classifier(items: DataFrame, trees: int = 100, seed: int = 7):
     return Pipeline(stages=[hasher, assembler, forest]).fit(data)
 
 
-def classifier_features(items: DataFrame) -> DataFrame:
-    shape_class = F.regexp_extract("value_pattern", r"\[(\w+):", 1)
-    own = [c for c in items.columns if c not in ("kind", "label", "shape_class", "is_test_file")]
-    return items.select(
-        *own,
-        shape_class.alias("shape_class"),
-        F.col("secret_type").alias("kind"),
-        F.col("file_type").contains("test").cast("double").alias("is_test_file"),
-        F.col("is_true_positive").cast("double").alias("label"),
+def chance_of_rejection(model, features: DataFrame) -> DataFrame:
+    """``features`` with ``false_positive_chance``; the model's label 0 is a false positive."""
+    from pyspark.ml.functions import vector_to_array
+
+    scored = model.transform(features)
+    return scored.select(*features.columns, F.round(vector_to_array("probability")[0], 6).alias("false_positive_chance"))
+
+
+def confusion(scored: DataFrame) -> DataFrame:
+    """One row for each chance that occurs, from the highest: what a threshold there would reject.
+    ``caught`` false positives, ``lost`` secrets, ``precision``, ``recall``."""
+    weighted = lambda label: F.coalesce(F.sum(F.when(F.col("label") == label, F.col(REVIEWS))), F.lit(0))
+    steps = scored.groupBy("false_positive_chance").agg(weighted(0.0).alias("_caught"), weighted(1.0).alias("_lost"))
+    # as many rows as the forest has different answers for distinct features
+    above = Window.partitionBy(F.lit(1)).orderBy(F.desc("false_positive_chance")).rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy(F.lit(1))
+    counted = steps.select(
+        "false_positive_chance", F.sum("_caught").over(above).alias("caught"), F.sum("_lost").over(above).alias("lost"), F.sum("_caught").over(every).alias("_all")
+    )
+    return counted.select(
+        F.col("false_positive_chance").alias("threshold"), "caught", "lost",
+        (F.col("caught") / F.nullif(F.col("caught") + F.col("lost"), F.lit(0))).alias("precision"),
+        (F.col("caught") / F.nullif(F.col("_all"), F.lit(0))).alias("recall"),
+    )
+
+
+def choose_threshold(scored: DataFrame, min_precision: float = 0.9) -> float | None:
+    """The lowest chance at which rejections of the training part are precise enough; None if none is."""
+    return confusion(scored).where(F.col("precision") >= min_precision).agg(F.min("threshold")).first()[0]
+
+
+def evaluate(features: DataFrame, trees: int = 100, min_precision: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """Fit on the rows that are not held out, choose the threshold on them, and judge all.
+
+    Returns the judged features (``false_positive_chance``, ``rejected``) and, for both parts, the
+    confusion counts.  Without a precise threshold nothing is rejected."""
+    rows = cut_lineage(features)
+    scored = cut_lineage(chance_of_rejection(fp_classifier(rows.where(~F.col("held_out")), trees), rows))
+    threshold = choose_threshold(scored.where(~F.col("held_out")), min_precision)
+    rejected = F.lit(False) if threshold is None else F.col("false_positive_chance") >= threshold
+    judged = scored.withColumn("rejected", rejected)
+    part = lambda fp, out: F.coalesce(F.sum(F.when((F.col("label") == (0.0 if fp else 1.0)) & (F.col("rejected") == F.lit(out)), F.col(REVIEWS))), F.lit(0))
+    counts = judged.groupBy("held_out").agg(
+        part(True, True).alias("caught"), part(True, False).alias("missed"), part(False, True).alias("lost"), part(False, False).alias("kept")
+    )
+    return judged, counts.withColumn("precision", F.round(F.col("caught") / F.nullif(F.col("caught") + F.col("lost"), F.lit(0)), 4)).withColumn(
+        "recall", F.round(F.col("caught") / F.nullif(F.col("caught") + F.col("missed"), F.lit(0)), 4)
     )

@@ -245,6 +245,13 @@ _ANON = (
 )
 
 
+# distinct values with their shapes, and reviews counted by shape and verdict
+_FOLDED = (
+    ITEMS + f", v AS (SELECT value, {o.shape('value')} AS value_pattern FROM (SELECT DISTINCT value FROM items)), "
+    "f AS (SELECT value_pattern, is_true_positive, count(*) AS reviews FROM items JOIN v USING (value) GROUP BY 1, 2)"
+)
+
+
 def _items(spark: SparkSession, d: str) -> DataFrame:
     return feedback.anonymise(t.feedback_items(spark, d))
 
@@ -307,17 +314,17 @@ def fp_rate(spark: SparkSession, d: str) -> DataFrame:
   CASE WHEN is_true_positive THEN 'true_positives' ELSE 'false_positives' END AS verdict FROM a), c AS (SELECT x.d AS dimension, verdict, x.n AS name, count(*) AS n FROM l GROUP BY ALL)
   SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY dimension, verdict ORDER BY n DESC, name) <= 20""")
 def feedback_dimensions(spark: SparkSession, d: str) -> DataFrame:
-    return feedback.dimension_counts(_items(spark, d))
+    return feedback.top_names(feedback.fold_dimensions(t.feedback_items(spark, d)))
 
 
 @query(_ANON + f" SELECT value_pattern AS pattern, round(count(*) FILTER (NOT is_true_positive) / count(*), 2) AS confidence, count(*) AS sample_count, {o.lit(fv.KNOWN_FP_REASON)} AS reason FROM a GROUP BY 1 HAVING count(*) >= 2 AND count(*) FILTER (NOT is_true_positive) / count(*) > 0.3")
 def known_fp(spark: SparkSession, d: str) -> DataFrame:
-    return feedback.known_false_positives(_items(spark, d), 2, 0.3)
+    return feedback.known_false_positives(_shapes(spark, d), 2, 0.3)
 
 
 @query(_ANON + " SELECT value_pattern, count(*) AS occurrences, count(*) FILTER (NOT is_true_positive) AS false_positives, round(100.0 * count(*) FILTER (NOT is_true_positive) / count(*), 2) AS fp_rate FROM a GROUP BY 1 HAVING count(*) >= 5 ORDER BY fp_rate DESC, occurrences DESC, value_pattern LIMIT 10")
 def fp_top_shapes(spark: SparkSession, d: str) -> DataFrame:
-    return feedback.top_shapes(_items(spark, d))
+    return feedback.top_shapes(_shapes(spark, d))
 
 
 @query(_ANON + " SELECT file_type, count(*) AS total, round(100.0 * count(*) FILTER (NOT is_true_positive) / count(*), 2) AS fp_rate FROM a GROUP BY 1")
@@ -327,37 +334,57 @@ def fp_by_type(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_ANON + " SELECT context_hint, count(*) AS total, round(100.0 * count(*) FILTER (NOT is_true_positive) / count(*), 2) AS fp_rate FROM a WHERE context_hint IS NOT NULL GROUP BY 1")
 def fp_by_hint(spark: SparkSession, d: str) -> DataFrame:
-    return feedback.rate_by_hint(_items(spark, d))
+    return feedback.rate_by_hint(feedback.fold_hints(t.feedback_items(spark, d)))
 
 
 _KNOWN = "SELECT value_pattern AS pattern, 0.9::DOUBLE AS confidence FROM a WHERE is_true_positive GROUP BY 1 HAVING count(*) >= 3"
 
 
-def _known(items: DataFrame) -> DataFrame:
-    confirmed = items.where("is_true_positive").groupBy(F.col("value_pattern").alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
-    return confirmed.where("n >= 3").select("pattern", F.lit(0.9).alias("confidence"), F.lit("seen").alias("reason"))
+def _shapes(spark: SparkSession, d: str) -> DataFrame:
+    return feedback.fold_shapes(t.feedback_items(spark, d))
+
+
+def _known(shapes: DataFrame) -> DataFrame:
+    confirmed = shapes.where("is_true_positive AND reviews >= 3")
+    return confirmed.select(F.col("value_pattern").alias("pattern"), F.lit(0.9).alias("confidence"), F.lit("seen").alias("reason"))
 
 
 @query(_ANON + f", k AS ({_KNOWN}) SELECT value_pattern, count(*) AS occurrences FROM a WHERE NOT is_true_positive AND value_pattern NOT IN (SELECT pattern FROM k) GROUP BY 1 HAVING count(*) >= 1")
 def new_shapes(spark: SparkSession, d: str) -> DataFrame:
-    items = _items(spark, d)
-    return feedback.new_shapes(items, _known(items), min_uses=1)
+    shapes = cut_lineage(_shapes(spark, d))
+    return feedback.new_shapes(shapes, _known(shapes), min_uses=1)
 
 
 @query(_ANON + ", k AS (SELECT '[' || kind || '%' AS pattern, 0.5::DOUBLE AS confidence FROM (SELECT DISTINCT regexp_extract(value_pattern, '^\\[([a-z]+)', 1) AS kind FROM a)), k2 AS (SELECT * FROM k UNION ALL (" + _KNOWN + ")) "
        "SELECT pattern, confidence AS expected_fp_rate, round(100.0 * count(*) FILTER (NOT is_true_positive) / count(*), 2) AS actual_fp_rate, count(*) AS sample_size FROM k2 JOIN a ON a.value_pattern LIKE pattern GROUP BY 1, 2")
 def shape_like_known(spark: SparkSession, d: str) -> DataFrame:
-    items = _items(spark, d)
-    kinds = items.select(F.regexp_extract("value_pattern", r"^\[([a-z]+)", 1).alias("kind")).distinct()
+    shapes = cut_lineage(_shapes(spark, d))
+    kinds = shapes.select(F.regexp_extract("value_pattern", r"^\[([a-z]+)", 1).alias("kind")).distinct()
     wide = kinds.select(F.concat(F.lit("["), "kind", F.lit("%")).alias("pattern"), F.lit(0.5).alias("confidence"))
-    return feedback.known_effectiveness(items, wide.unionByName(_known(items).select("pattern", "confidence")))
-
-
-@query(_ANON + f", k AS ({_KNOWN}) SELECT value_hash, a.value_pattern, k.confidence AS known_confidence FROM a LEFT JOIN k ON k.pattern = a.value_pattern")
+    return feedback.known_effectiveness(shapes, wide.unionByName(_known(shapes).select("pattern", "confidence")))
+
+
+@query(_FOLDED + r""", e AS (SELECT DISTINCT regexp_extract(value_pattern, ':([0-9]+)\]$', 1) AS k FROM f),
+  k AS (SELECT unnest(['%:' || k || ']', '%+[special:' || k || ']', '_al%:' || k || '%', repeat('_', k::INT) || '%']) AS pattern FROM e WHERE k <> '')
+  SELECT pattern, 0.5::DOUBLE AS expected_fp_rate, round(100.0 * coalesce(sum(reviews) FILTER (NOT is_true_positive), 0) / sum(reviews), 2) AS actual_fp_rate, sum(reviews)::BIGINT AS sample_size
+  FROM (SELECT DISTINCT pattern FROM k) JOIN f ON value_pattern LIKE pattern GROUP BY 1""")
+def shape_like_endings(spark: SparkSession, d: str) -> DataFrame:
+    """Patterns without a prefix: endings, single wildcards inside, and wildcards alone."""
+    shapes = cut_lineage(_shapes(spark, d))
+    k = F.col("k")
+    ends = shapes.select(F.regexp_extract("value_pattern", r":([0-9]+)\]$", 1).alias("k")).where("k <> ''").distinct()
+    made = F.array(F.concat(F.lit("%:"), k, F.lit("]")), F.concat(F.lit("%+[special:"), k, F.lit("]")), F.concat(F.lit("_al%:"), k, F.lit("%")), F.expr("repeat('_', cast(k AS INT)) || '%'"))
+    patterns = ends.select(F.explode(made).alias("pattern")).distinct().withColumn("confidence", F.lit(0.5))
+    return feedback.known_effectiveness(shapes, patterns)
+
+
+@query(_FOLDED + """, k AS (SELECT value_pattern FROM f WHERE is_true_positive AND reviews >= 3)
+  SELECT value_hash, v.value_pattern, CASE WHEN k.value_pattern IS NOT NULL THEN 0.9::DOUBLE END AS known_confidence
+  FROM items JOIN v USING (value) LEFT JOIN k ON k.value_pattern = v.value_pattern""")
 def known_fp_filter(spark: SparkSession, d: str) -> DataFrame:
     raw = t.feedback_items(spark, d)
     shaped = raw.withColumn("value_pattern", masks.shape(F.col("value")))
-    marked = feedback.filter_known(shaped, _known(_items(spark, d)))
+    marked = feedback.filter_known(shaped, _known(_shapes(spark, d)))
     return marked.select("value_hash", "value_pattern", "known_confidence")
 
 
@@ -391,8 +418,8 @@ def weekly_alerts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_ANON + f", k AS ({_KNOWN}) SELECT value_pattern, count(*) AS samples, count(*) FILTER (NOT is_true_positive) AS false_positives, round(100.0 * count(*) FILTER (NOT is_true_positive) / count(*), 2) AS fp_rate FROM a WHERE value_pattern NOT IN (SELECT pattern FROM k) GROUP BY 1 HAVING count(*) > 1 AND 100.0 * count(*) FILTER (NOT is_true_positive) / count(*) > 30")
 def shape_alerts(spark: SparkSession, d: str) -> DataFrame:
-    items = _items(spark, d)
-    return feedback.shape_alerts(items, _known(items), 1, 30.0)
+    shapes = cut_lineage(_shapes(spark, d))
+    return feedback.shape_alerts(shapes, _known(shapes), 1, 30.0)
 
 
 def _calls(spark: SparkSession, d: str) -> DataFrame:
@@ -408,12 +435,35 @@ def requests_last_hour(spark: SparkSession, d: str) -> DataFrame:
 @query(_ANON + """, s AS (SELECT is_true_positive, ('0x' || left(value_hash, 2))::INT % 5 = 0 AS held_out FROM a)
   SELECT held_out, is_true_positive, count(*) AS scored FROM s GROUP BY 1, 2""")
 def fp_classifier_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Fit on four fifths of the values, score all; the test suite checks the held-out accuracy."""
-    out = F.conv(F.substring("value_hash", 1, 2), 16, 10).cast("int") % 5 == 0
-    items = cut_lineage(_items(spark, d).withColumn("held_out", out))
-    model = feedback.fp_classifier(items.where(~F.col("held_out")))
-    scored = model.transform(feedback.classifier_features(items)).where(F.col("prediction").isNotNull())
-    return scored.groupBy("held_out", "is_true_positive").agg(F.count(F.lit(1)).alias("scored"))
+    """Fit on four fifths of the values and score all: how many reviews of each part got a score.
+    The scores themselves are in ``fp_classifier_predictions``."""
+    judged, _ = feedback.evaluate(feedback.fold_features(t.feedback_items(spark, d)))
+    scored = judged.where(F.col("false_positive_chance").isNotNull())
+    return scored.groupBy("held_out", (F.col("label") == 1).alias("is_true_positive")).agg(F.sum("reviews").alias("scored"))
+
+
+@query(_FOLDED + f""", x AS (SELECT value, value_hash, secret_type, is_true_positive, {o.FILE_CLASS} AS file_type FROM items),
+  y AS (SELECT ('0x' || left(value_hash, 2))::INT % 5 = 0 AS held_out, regexp_extract(v.value_pattern, '\\[(\\w+):', 1) AS shape_class, secret_type AS kind, file_type,
+    length(value)::INT AS value_length, CASE WHEN contains(file_type, 'test') THEN 1.0 ELSE 0.0 END::DOUBLE AS is_test_file, CASE WHEN is_true_positive THEN 1.0 ELSE 0.0 END::DOUBLE AS label
+    FROM x JOIN v USING (value))
+  SELECT held_out, shape_class, kind, file_type, value_length, is_test_file, label, count(*) AS reviews FROM y GROUP BY ALL""")
+def classifier_features(spark: SparkSession, d: str) -> DataFrame:
+    return feedback.fold_features(t.feedback_items(spark, d))
+
+
+@query()
+def fp_classifier_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """The chance that a review with these features is a false positive, and whether the threshold
+    chosen on the training part rejects it."""
+    judged, _ = feedback.evaluate(feedback.fold_features(t.feedback_items(spark, d)), min_precision=0.1)
+    return judged
+
+
+@query()
+def fp_classifier_confusion(spark: SparkSession, d: str) -> DataFrame:
+    """Confusion counts of the training and the held-out part."""
+    _, counts = feedback.evaluate(feedback.fold_features(t.feedback_items(spark, d)), min_precision=0.1)
+    return counts
 
 
 # ------------------------------------------------------------------ jobs
