@@ -96,6 +96,11 @@ def java_rule(pattern: str) -> str:
     return flags(multiline=True) + to_java(pattern)
 
 
+def escape_literal(value: str) -> str:
+    """A literal as a Java pattern, also inside a class."""
+    return "".join(c if c.isascii() and c.isalnum() else f"\\x{{{ord(c):x}}}" for c in value)
+
+
 def any_of(patterns: list[str], ignore_case: bool = True) -> str:
     """One Java alternation that finds what any of ``patterns`` finds."""
     return flags(ignore_case) + "(?:" + "|".join(f"(?:{to_java(p)})" for p in patterns) + ")"

@@ -1,9 +1,9 @@
 """Detection: rule matches and high-entropy candidates, in one pass over the text.
 
-Per row, each rule adds one conditional struct with its match texts and the gaps between
-them; both come from built-in regex functions on a literal pattern.  Gap and match lengths
-give exact positions.  Only matched rows pay for that, and ``content`` is dropped at the
-explode, so no text goes through a shuffle.
+Per row, an index of the catalog names the rules that may match, and each that does adds a
+struct with its match texts and the gaps between them, from built-in regex functions.  Gap and
+match lengths give exact positions.  Only matched rows pay for that, and ``content`` is dropped at
+the explode, so no text goes through a shuffle.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from leakframe.operators.rules import Rule, ScanConfig
 from leakframe.operators.suppress import fp_reason
 from leakframe.session import built_once
 
-FOLDED_RULES = 24  # up to here each pattern is an expression of its own; the result is the same
 _BLOCK = 256  # matches are numbered in blocks, so that appending stays cheap for any count
 
 _SPOT = "struct<line:int,col:int,at:int>"
@@ -87,19 +86,6 @@ def positions(gaps: Column, texts: Column) -> Column:
     return let(pieces, walk)
 
 
-def _has_literal(content_low: Column, odd_case: Column, literal: str | None) -> Column | None:
-    return None if literal is None else content_low.contains(literal) | odd_case
-
-
-def _rule_hits(content: Column, rule: Rule, low: Column, odd: Column) -> Column:
-    """Struct of all matches of one rule in one text, NULL when there is none."""
-    pattern = F.lit(rule_ops.java_pattern(rule))
-    found = content.rlike(rule_ops.java_pattern(rule))
-    literal = _has_literal(low, odd, rule_ops.required_literal(rule))
-    return _hit_struct("rule", rule.rule_id, rule.ord, content, pattern, rule.compiled().groups,
-                       found if literal is None else literal & found)
-
-
 def _hit_struct(
     detector: str, rule_id: str, order: int, content: Column, pattern: Column, n_groups: int, cond: Column
 ) -> Column:
@@ -195,7 +181,6 @@ def find_matches(
     rules: list[Rule],
     config: ScanConfig | None = None,
     content: str = "content",
-    folded: int = FOLDED_RULES,
 ) -> DataFrame:
     """Every non-overlapping match of every rule (and entropy candidate) with its position.
 
@@ -212,15 +197,13 @@ def find_matches(
     t = F.col("_text")
     if not rules and not config.entropy_enabled:
         raise ValueError("nothing to detect: no rules and entropy is off")
-    large = len(rules) > folded
-    single = [] if large else [_rule_hits(t, r, F.col("_low"), F.col("_odd")) for r in rules]
+    found = []
+    if rules:
+        found.append(_catalog_hits(t, rules, F.col("_low"), F.col("_odd")))
     if config.entropy_enabled:
         last = max((r.ord for r in rules), default=0) + 1
-        single.append(_entropy_hits(t, F.col("path"), config, last))
-    found = F.array_compact(F.array(*single)) if single else None
-    if large:
-        of_rules = _catalog_hits(t, rules, F.col("_low"), F.col("_odd"))
-        found = of_rules if found is None else F.concat(of_rules, found)
+        found.append(F.array_compact(F.array(_entropy_hits(t, F.col("path"), config, last))))
+    found = F.concat(*found)
     hit = staged.select(*keys, "_text", found.alias("_hits"))
     expand = lambda: {"_m": F.explode(_expand(t, F.col("_hits"), config)).alias("_m")}
     matches = built_once(f"expand {config!r}", expand)
@@ -231,17 +214,30 @@ _CATALOG = "array<struct<rule_id:string,ord:int,pattern:string,literal:string,gr
 
 
 def _catalog_hits(content: Column, rules: list[Rule], low: Column, odd: Column) -> Column:
-    """Array of the hits of a large catalog, as ``_rule_hits`` gives them one by one.
+    """Array of the hits of all rules, in the order of the catalog.
 
-    The catalog is one folded literal, so the plan does not grow with it.  A rule costs its
-    substring test; only texts that pass it pay for the pattern."""
+    Catalog and index are folded literals, so the plan does not grow with them.  One search finds
+    the anchors that the text holds, each anchor names its rules by a table lookup, and only those
+    rules run: the cost follows the text and its hits, not the number of rules.  Rules without an
+    anchor share one alternation, and run where that is found."""
     rows = [
         {"rule_id": r.rule_id, "ord": r.ord, "pattern": rule_ops.java_pattern(r), "literal": rule_ops.required_literal(r), "groups": r.compiled().groups}
         for r in rules
     ]
     catalog = F.from_json(F.lit(json.dumps(rows)), _CATALOG)
+    index = rule_ops.index(rules)
+    numbers = lambda found: F.from_json(F.lit(json.dumps(found)), "array<int>")
+    named = [numbers(index.always)]
+    if index.by_anchor:
+        table = F.from_json(F.lit(json.dumps(index.buckets())), "array<array<int>>")
+        bucket = lambda anchor: F.get(table, F.pmod(F.crc32(anchor.cast("binary")), F.lit(index.size())).cast("int"))
+        anchors = F.regexp_extract_all(low, F.lit(index.search()), F.lit(1))
+        named.append(F.flatten(F.transform(F.array_distinct(anchors), bucket)))
+    if index.loose:
+        named.append(F.when(F.rlike(content, F.lit(rule_ops.any_rule(rules, index.loose))), numbers(index.loose)).otherwise(numbers([])))
+    chosen = F.when(odd, numbers(list(range(len(rules))))).otherwise(F.array_sort(F.array_distinct(F.concat(*named))))
     may = lambda r: F.coalesce(F.contains(low, r["literal"]), F.lit(True)) | odd
-    active = F.filter(catalog, lambda r: may(r) & F.rlike(content, r["pattern"]))
+    active = F.filter(F.transform(chosen, lambda i: F.get(catalog, i)), lambda r: may(r) & F.rlike(content, r["pattern"]))
     none = F.array().cast("array<array<string>>")
 
     def hit(r: Column) -> Column:

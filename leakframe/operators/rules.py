@@ -1,16 +1,20 @@
 """Rule catalog: validation and the options of a scan.
 
-A catalog is configuration, some hundred rows at most, so it is read to the driver once and
-becomes literals in the plan.  (A regex that is a column value instead of a literal would be
-compiled again for every row.)
+A scan takes its catalog as literals in the plan: rules, and an index from the literal text that a
+match must hold to the rules.  A text finds its rules through the index, so that a rule whose
+text is not there costs nothing.  ``checked`` judges a table of rules as a table, without the driver;
+``from_table`` brings a catalog to the driver, which a scan needs.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from leakframe import fixed_values as fv
 from leakframe.functions import regex as rx
@@ -71,14 +75,9 @@ def usable(patterns: list[str]) -> list[str]:
 def check(rules: list[Rule]) -> list[Rule]:
     """Validate a catalog and return it in order.  A bad rule raises, an empty match is bad."""
     for rule in rules:
-        try:
-            compiled = rule.compiled()
-        except re.error as err:
-            raise RuleError(f"rule {rule.name!r} does not compile: {err}") from err
-        if compiled.search("") is not None:
-            raise RuleError(f"rule {rule.name!r} matches the empty string")
-        if rule.severity not in fv.SEVERITIES:
-            raise RuleError(f"rule {rule.name!r} has unknown severity {rule.severity!r}")
+        problem = _problem(rule.regex, rule.severity)
+        if problem:
+            raise RuleError(f"rule {rule.name!r} {problem}")
     return sorted(rules, key=lambda r: r.ord)
 
 
@@ -107,6 +106,89 @@ def required_literal(rule: Rule) -> str | None:
     return max(runs, key=len, default=None)
 
 
+ANCHOR = 4  # characters; an anchor is found by one search for all of them
+
+
+@dataclass(frozen=True)
+class Index:
+    """Rule numbers ``by_anchor``; those without one that are found by an alternation (``loose``),
+    and those that no cheap test covers (``always``)."""
+
+    by_anchor: dict[str, list[int]]
+    loose: list[int]
+    always: list[int]
+
+    def size(self) -> int:
+        """Buckets of the lookup table: a power of two."""
+        return 1 << (2 * len(self.by_anchor)).bit_length()
+
+    def buckets(self) -> list[list[int]]:
+        """By the checksum of an anchor.  Two anchors of one bucket only add rules to try."""
+        table: list[list[int]] = [[] for _ in range(self.size())]
+        for anchor, found in self.by_anchor.items():
+            table[zlib.crc32(anchor.encode()) % len(table)] += found
+        return table
+
+    def search(self) -> str:
+        """A regex whose group 1 is the anchor at a place, at every place that has one.  Anchors
+        are of one length, so none hides another; shared beginnings are tested once."""
+
+        def branch(anchors: list[str]) -> str:
+            if len(anchors) == 1:
+                return rx.escape_literal(anchors[0])
+            firsts = sorted({a[0] for a in anchors})
+            return "(?:" + "|".join(rx.escape_literal(c) + branch([a[1:] for a in anchors if a[0] == c]) for c in firsts) + ")"
+
+        first = "".join(rx.escape_literal(c) for c in sorted({a[0] for a in self.by_anchor}))
+        return f"(?=[{first}])(?=({branch(sorted(self.by_anchor))}))"
+
+
+def index(rules: list[Rule]) -> Index:
+    """Each rule by the part of its required literal that the fewest rules have so far."""
+    by_anchor: dict[str, list[int]] = {}
+    loose, always = [], []
+    for number, rule in enumerate(rules):
+        literal = required_literal(rule) or ""
+        parts = [literal[i:i + ANCHOR] for i in range(len(literal) - ANCHOR + 1)]
+        if parts:
+            by_anchor.setdefault(min(parts, key=lambda p: len(by_anchor.get(p, ()))), []).append(number)
+        elif _REFERS.search(rule.regex):
+            always.append(number)  # numbered groups would shift in an alternation
+        else:
+            loose.append(number)
+    return Index(by_anchor, loose, always)
+
+
+_REFERS = re.compile(r"\\[1-9]|\(\?P=|\(\?\(")
+
+
+def any_rule(rules: list[Rule], numbers: list[int]) -> str:
+    """One Java pattern that finds what any of these rules finds."""
+    parts = [re.sub(r"\(\?<[A-Za-z]\w*>", "(", rx.to_java(rules[i].regex)) for i in numbers]
+    return rx.flags(multiline=True) + "|".join(f"(?:{p})" for p in parts)
+
+
+def checked(catalog: DataFrame) -> DataFrame:
+    """A rules table (schemas.RULES) with ``problem``: why ``check`` would refuse the rule, null if it
+    would not.  Rules stay where they are."""
+
+    @F.arrow_udf("string")
+    def refused(regex: pa.Array, severity: pa.Array) -> pa.Array:
+        return pa.array([_problem(r, s) for r, s in zip(regex.to_pylist(), severity.to_pylist())], pa.string())
+
+    return catalog.withColumn("problem", refused("regex", "severity"))
+
+
+def _problem(regex: str | None, severity: str | None) -> str | None:
+    try:
+        compiled = re.compile(regex or "", re.IGNORECASE | re.MULTILINE)
+    except re.error as err:
+        return f"does not compile: {err}"
+    if compiled.search("") is not None:
+        return "matches the empty string"
+    return None if severity in fv.SEVERITIES else f"has unknown severity {severity!r}"
+
+
 # A small pack of our own; users bring their catalog as a table.
 STARTER_RULES = [
     Rule("aws_access_key", "AWS Access Key", r"AKIA[A-Z0-9]{16}", "aws_access_key", "critical",

@@ -291,8 +291,18 @@ def read_rules(spark: SparkSession, d: str) -> DataFrame:
         F.lit("api_key").alias("secret_type"), F.lit("high").alias("severity"), F.col("s_suppkey").cast("int").alias("ord"),
     )
     rows.write.json(path)
-    found = [(r.ord, r.rule_id, r.regex, r.severity, r.description) for r in readers.rules(spark, path)]
-    return spark.createDataFrame(found, "ord int, rule_id string, regex string, severity string, description string")
+    return readers.rule_table(spark, path).where("problem IS NULL").select("ord", "rule_id", "regex", "severity", "description")
+
+
+@query("SELECT s_suppkey::INT AS ord, CASE s_suppkey % 5 WHEN 1 THEN 'matches the empty string' WHEN 2 THEN 'has unknown severity ' || chr(39) || 'worst' || chr(39) WHEN 3 THEN 'does not compile' END AS problem FROM supplier")
+def rule_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Three fifths of the suppliers with an empty match, an unknown severity or a pattern that does not compile."""
+    path, case = _folder(spark, "rules"), F.col("s_suppkey") % 5
+    regex = F.when(case == 1, F.concat(F.lit("(k"), _key(), F.lit(")?"))).when(case == 3, F.concat(F.lit("(k"), _key())).otherwise(F.concat(F.lit("k"), _key()))
+    severity = F.when(case == 2, F.lit("worst")).otherwise(F.lit("high"))
+    rows = t.read(spark, d, "supplier", "s_suppkey").select(F.col("s_suppkey").cast("int").alias("ord"), regex.alias("regex"), severity.alias("severity"))
+    rows.write.json(path)
+    return readers.rule_table(spark, path).select("ord", F.regexp_replace("problem", ":.*", "").alias("problem"))
 
 
 @query("SELECT s_name AS name, 'org/' || s_name AS full_name, NULL::VARCHAR AS branch FROM supplier")

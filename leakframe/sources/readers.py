@@ -86,10 +86,19 @@ def staged_changes(changes: DataFrame) -> DataFrame:
     return changes.where(F.col("change_type").isin("A", "C", "M", "R"))
 
 
-def rules(spark: SparkSession, path: str) -> list[Rule]:
-    """Rule catalog from JSON lines or Parquet, validated."""
+def _rule_rows(spark: SparkSession, path: str) -> DataFrame:
     reader = spark.read.schema(schemas.RULES)
-    return rule_ops.from_table(reader.parquet(path) if path.endswith(".parquet") else reader.json(path))
+    return reader.parquet(path) if path.endswith(".parquet") else reader.json(path)
+
+
+def rule_table(spark: SparkSession, path: str) -> DataFrame:
+    """Rules from JSON lines or Parquet, each with the ``problem`` that a scan would have with it."""
+    return rule_ops.checked(_rule_rows(spark, path).fillna("", ["description", "remediation"]))
+
+
+def rules(spark: SparkSession, path: str) -> list[Rule]:
+    """Rule catalog for a scan: validated, on the driver."""
+    return rule_ops.from_table(_rule_rows(spark, path))
 
 
 def baseline(spark: SparkSession, path: str) -> DataFrame:

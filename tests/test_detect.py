@@ -75,8 +75,6 @@ def test_positions_and_groups_agree_with_python(spark, seed):
         (f"f{i}.py", f"r{j}", *m) for i, b in enumerate(bodies) for j, p in enumerate(PATTERNS) for m in models.matches(p, b)
     )
     assert got == want
-    large = detect.find_matches(df, rules, QUIET, folded=0)
-    assert sorted(map(str, found.collect())) == sorted(map(str, large.collect()))
 
 
 def test_many_matches_in_one_text(spark):
@@ -166,3 +164,36 @@ def test_catalogs_of_any_size_agree(spark, n):
     few = [r for r in rules if r.rule_id in ("r7", "r23")]
     want = detect.scan(files(spark, ("a.json", body)), few, config).select("rule_id", "match_start", "line_number", "value", "context")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 3
+
+
+def test_the_index_finds_what_every_rule_finds(spark):
+    """Anchors that overlap or share beginnings, rules without an anchor, references, names, odd letters."""
+    patterns = [
+        r"pass(word)?=\w+", r"password=\w+", r"assw\w+", r"sword", r"\d{3}-\d{3}", r"[a-f]{5}", r"(\w)\1\1", r"(?P<name>x[yz])-(?P=name)",
+        r"(?P<name>q\d)!", r"ab", r"k\.ey:", r"[%$]{2}", r"KELVIN", r"\bend$",
+    ]
+    rules = [Rule(f"r{i}", f"r{i}", p, "api_key", "high", ord=i) for i, p in enumerate(patterns)]
+    texts = [
+        "password=one pass=two", "xpasswordx=", "123-456 abcde", "aaa bbb", "xy-xy xz-xy", "q1! ab", "K.EY: k.ey:", "$%", "\u212aelvin Kelvin",
+        "the END\nend\nended", "pa\u017f\u017fword=x", "", "nothing", "😀password=y😀 😀sword",
+    ]
+    found = detect.find_matches(files(spark, *((str(i), t) for i, t in enumerate(texts))), rules, ScanConfig(entropy_enabled=False, with_context=False))
+    got = sorted((int(r.path), r.rule_id, r.match_start, r.match_text) for r in found.collect())
+    want = sorted((i, r.rule_id, m.start(), m[0]) for i, t in enumerate(texts) for r in rules for m in r.compiled().finditer(t))
+    assert got == want and len({g[1] for g in got}) == len(rules)
+    index = rule_ops.index(rules)
+    assert index.loose and index.always and len(index.by_anchor) == 5
+    assert all(re.compile(index.search()).search(a) for a in index.by_anchor)
+
+
+def test_checked_rules_stay_a_table(spark):
+    from leakframe import schemas
+
+    rows = [("a", "a", "k+", "t", "high", "", "", 1), ("b", "b", "(k", "t", "high", "", "", 2), ("c", "c", "k*", "t", "high", "", "", 3), ("d", "d", "k", "t", None, "", "", 4), ("e", "e", None, "t", "low", "", "", 5)]
+    table = rule_ops.checked(spark.createDataFrame(rows, schemas.RULES))
+    problems = {r.rule_id: r.problem for r in table.collect()}
+    assert problems["a"] is None and problems["b"].startswith("does not compile")
+    assert problems["c"] == problems["e"] == "matches the empty string" and "severity" in problems["d"]
+    for row in rows[1:4]:
+        with pytest.raises(RuleError):
+            rule_ops.check([Rule(*row)])
