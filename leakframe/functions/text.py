@@ -117,34 +117,46 @@ def first_hit(pairs) -> Column:
     return out
 
 
-def json_location(lines: Column, value: Column) -> Column:
+_BLOCK = 256  # lines are folded in blocks, so that appending stays cheap for any count
+_FOLD = "struct<last:string,done:array<array<string>>,block:array<string>>"
+
+
+def json_sections(lines: Column) -> Column:
+    """For each line the name of the nearest object that opens above it, in one fold over the lines.
+
+    An opening brace takes the name before it on its line, or at the end of the line above."""
+    object_rx, open_rx = r'"([^"]+)"\s*:\s*\{', r'"([^"]+)"\s*:\s*$'
+    above = F.concat(F.array(F.lit("")), F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0))))
+    opened = F.zip_with(lines, above, lambda line, prev: F.when(line.contains("{"), F.coalesce(
+        F.nullif(F.regexp_extract(line, object_rx, 1), F.lit("")),
+        F.nullif(F.regexp_extract(F.trim(prev), open_rx, 1), F.lit("")),
+    )))
+
+    def step(s: Column, name: Column) -> Column:
+        return F.struct(F.coalesce(name, s["last"]).alias("last"), s["done"].alias("done"), F.concat(s["block"], F.array(s["last"])).alias("block"))
+
+    def close(s: Column) -> Column:
+        return F.struct(s["last"].alias("last"), F.concat(s["done"], F.array(s["block"])).alias("done"), F.array().cast("array<string>").alias("block"))
+
+    zero = F.struct(F.lit(None).cast("string").alias("last"), F.array().cast("array<array<string>>").alias("done"), F.array().cast("array<string>").alias("block")).cast(_FOLD)
+
+    def fold(names: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(names)), F.lit(_BLOCK))
+        blocks = F.transform(starts, lambda i: F.slice(names, i, F.lit(_BLOCK)))
+        return F.flatten(F.aggregate(blocks, zero, lambda s, b: F.aggregate(b, s, step, close), lambda s: s["done"]))
+
+    return let(opened, fold)
+
+
+def json_location(content: Column, lines: Column, sections: Column, value: Column) -> Column:
     """STRUCT(json_section, json_key) of a value: key on the first line that holds it, and the
-    nearest object name above."""
-    key_rx, object_rx, open_rx = r'"([^"]+)"\s*:\s*', r'"([^"]+)"\s*:\s*\{', r'"([^"]+)"\s*:\s*$'
-
-    def locate(ls: Column) -> Column:
-        at = F.array_position(F.transform(ls, lambda line: line.contains(value)), F.lit(True)).cast("int")
-
-        def found(i: Column) -> Column:
-            key = F.nullif(F.regexp_extract(F.get(ls, i - 1), key_rx, 1), F.lit(""))
-            above = F.reverse(F.slice(ls, F.lit(1), F.greatest(i - 1, F.lit(0))))
-            previous = F.concat(F.slice(above, 2, 1 << 30), F.array(F.lit("")))
-            section = F.zip_with(
-                above,
-                previous,
-                lambda line, prev: F.when(
-                    line.contains("{"),
-                    F.coalesce(
-                        F.nullif(F.regexp_extract(line, object_rx, 1), F.lit("")),
-                        F.nullif(F.regexp_extract(F.trim(F.coalesce(prev, F.lit(""))), open_rx, 1), F.lit("")),
-                    ),
-                ),
-            )
-            return F.struct(
-                F.when(key.isNotNull(), F.get(F.array_compact(section), F.lit(0))).alias("json_section"),
-                key.alias("json_key"),
-            )
-
-        return let(at, lambda i: F.when(i > 0, found(i)))
-
-    return let(lines, locate)
+    nearest object name above (``sections``, once for a text).  The first line is found by one
+    search of the text; a value that spans lines is on none."""
+    key_rx = r'"([^"]+)"\s*:\s*'
+    at = F.when(~value.contains("\n"), F.nullif(F.position(value, content), F.lit(0)))
+
+    def found(i: Column) -> Column:
+        key = F.nullif(F.regexp_extract(F.get(lines, i), key_rx, 1), F.lit(""))
+        return F.struct(F.when(key.isNotNull(), F.get(sections, i)).alias("json_section"), key.alias("json_key"))
+
+    return let(at, lambda p: F.when(p.isNotNull(), let(newlines(F.substring(content, F.lit(1), p - 1)), found)))

@@ -148,19 +148,18 @@ def _expand(content: Column, all_hits: Column, config: ScanConfig) -> Column:
             ),
         )
 
-    def json_fields(lines: Column, m: Column) -> list[Column]:
-        if not config.with_json:
+    def json_fields(lines: Column, sections: Column | None, m: Column) -> list[Column]:
+        if sections is None:
             return []
         split = (split_match_fast if config.profile == "fast" else split_match)(m.match_text, m.groups)
         candidate = m.match_text if config.profile == "fast" else F.get(m.groups, F.lit(0))
         value = F.when(m.detector == "rule", F.coalesce(split.actual_value, m.match_text)).otherwise(candidate)
-        at = let(value, lambda v: text.json_location(lines, v))
+        at = let(value, lambda v: text.json_location(content, lines, sections, v))
         return [at.json_section.alias("json_section"), at.json_key.alias("json_key")]
 
     def with_lines(hs: Column) -> Column:
-        return let(
-            F.split(content, "\n", -1),
-            lambda lines: F.transform(
+        def described(lines: Column, sections: Column | None) -> Column:
+            return F.transform(
                 F.flatten(F.transform(hs, per_rule)),
                 lambda m: F.struct(
                     m.detector, m.rule_id, m.rule_ord, m.line_number, m.column_start,
@@ -168,10 +167,14 @@ def _expand(content: Column, all_hits: Column, config: ScanConfig) -> Column:
                     F.element_at(lines, m.line_number).alias("line_text"),
                     (window(lines, m.line_number) if config.with_context else F.lit(None).cast("string"))
                     .alias("context"),
-                    *json_fields(lines, m),
+                    *json_fields(lines, sections, m),
                 ),
-            ),
-        )
+            )
+
+        def located(lines: Column) -> Column:
+            return let(text.json_sections(lines), lambda sections: described(lines, sections)) if config.with_json else described(lines, None)
+
+        return let(F.split(content, "\n", -1), located)
 
     return F.when(F.size(all_hits) > 0, with_lines(all_hits))
 

@@ -101,11 +101,13 @@ def check_items(items: DataFrame) -> DataFrame:
 
 
 def explode_items(submissions: DataFrame) -> DataFrame:
-    """Submissions to one row per reviewed item."""
-    tagged = F.concat(
-        F.transform("confirmed_secrets", lambda i: F.struct(F.lit(True).alias("is_true_positive"), i.alias("i"))),
-        F.transform("false_positives", lambda i: F.struct(F.lit(False).alias("is_true_positive"), i.alias("i"))),
-    )
+    """Submissions to one row per reviewed item; a missing list is an empty one."""
+
+    def tag(name: str, verdict: bool) -> Column:
+        listed = F.coalesce(name, F.array().cast(submissions.schema[name].dataType))
+        return F.transform(listed, lambda i: F.struct(F.lit(verdict).alias("is_true_positive"), i.alias("i")))
+
+    tagged = F.concat(tag("confirmed_secrets", True), tag("false_positives", False))
     keys = [c for c in ("submission_id", "client_id", "received_at") if c in submissions.columns]
     return submissions.select(*keys, F.explode(tagged).alias("t")).select(*keys, "t.is_true_positive", "t.i.*")
 

@@ -9,6 +9,7 @@ from leakframe import fixed_values as fv
 from leakframe.functions import classify, text
 from leakframe.operators.ranking import first_n
 from leakframe.schemas import file_key, severity_dim
+from leakframe.session import cut_lineage
 
 LEVELS = fv.SEVERITIES[:4]
 
@@ -53,6 +54,48 @@ def category_table(findings: DataFrame) -> DataFrame:
     )
 
 
+AUDIT = "tab, name, repo, path, n, critical, high, medium, low, priority, distinct_lines, lines"
+
+
+def audit_rows(findings: DataFrame) -> DataFrame:
+    """The tables of the audit report as one set of rows (columns of ``AUDIT``): counts by severity
+    with zeros, by type, by file, by category with its priority, and by category and file.
+
+    Findings are counted once, into a narrow stored table of distinct places; the five tables are
+    grouping sets over it, told apart by their grouping id."""
+    category = classify.type_category(F.col("secret_type")).alias("category")
+    key = file_key(findings)
+    places = ["severity", "secret_type", "category", *key, "line_number"]
+    counted = cut_lineage(findings.select("severity", "secret_type", category, *key, "line_number").groupBy(*places).agg(F.count(F.lit(1)).alias("n")))
+    flat = counted.withColumn("level", F.col("severity")).withColumn("line", F.when(F.col("line_number") > 0, F.col("line_number")))
+    own = ["severity", "secret_type", "category", *key]
+    sets = {"severities": ["severity"], "types": ["secret_type"], "files": key, "categories": ["category"], "lines": ["category", *key]}
+    levels = [F.sum(F.when(F.col("level") == s, F.col("n")).otherwise(0)).alias(s) for s in LEVELS]
+    rows = flat.groupingSets(list(sets.values()), *own).agg(
+        F.grouping_id().alias("_id"), F.sum("n").alias("n"), *levels, F.count_distinct("line").alias("distinct_lines")
+    )
+    number = {tab: sum(1 << (len(own) - 1 - i) for i, c in enumerate(own) if c not in cols) for tab, cols in sets.items()}
+    tab = F.create_map(*[F.lit(x) for t, i in number.items() for x in (i, t)])[F.col("_id").cast("int")]
+    rows = rows.withColumn("tab", tab).withColumn("priority", classify.priority(F.col("critical"), F.col("high")))
+    only = lambda column, *tabs: F.when(F.col("tab").isin(*tabs), F.col(column))
+    shown = rows.select(
+        "tab", F.coalesce(only("severity", "severities"), only("secret_type", "types"), only("category", "categories", "lines")).alias("name"),
+        *key, "n", *[only(s, "files", *(["categories"] if s in LEVELS[:2] else [])).alias(s) for s in LEVELS],
+        only("priority", "categories").alias("priority"), only("distinct_lines", "lines").alias("distinct_lines"),
+    ).where(~((F.col("tab") == "severities") & ~F.coalesce(F.col("name").isin(LEVELS), F.lit(False))))
+    # the first lines of each category and file, from the same stored places
+    per_line = counted.groupBy("category", *key, "line_number").agg(F.lit(1).alias("one"))
+    first = first_n(per_line.where("line_number > 0"), ["category", *key], ["line_number"], 10).groupBy("category", *key).agg(
+        F.array_join(F.sort_array(F.collect_list("line_number")), ", ").alias("lines")
+    )
+    same = [F.lit("lines") == shown.tab, shown.name.eqNullSafe(first.category), *[shown[c].eqNullSafe(first[c]) for c in key]]
+    full = shown.join(first, same, "left").select(*[shown[c] for c in shown.columns], F.when(shown.tab == "lines", F.coalesce("lines", F.lit(""))).alias("lines"))
+    zeros = severity_dim(findings.sparkSession).where(F.col("severity").isin(LEVELS)).select(F.lit("severities").alias("tab"), F.col("severity").alias("name"), F.lit(0).cast("bigint").alias("n"))
+    zeros = zeros.join(full.select("tab", "name"), ["tab", "name"], "left_anti")
+    full = full.unionByName(zeros, allowMissingColumns=True)
+    return full.select(*[F.col(c) if c in full.columns else F.lit(None).cast("string").alias(c) for c in AUDIT.split(", ")])
+
+
 def content_categories(findings: DataFrame) -> DataFrame:
     """Findings per content category."""
     category = classify.finding_category(F.col("secret_type"), F.col("context"), F.col("exposed_value"))

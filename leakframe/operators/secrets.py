@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from leakframe import fixed_values as fv
 from leakframe.functions import masks, names, text
+from leakframe.functions.regex import let
 from leakframe.operators.ranking import first_n
 from leakframe.operators.report import severity_counts
 from leakframe.schemas import file_key
@@ -77,19 +78,18 @@ def locate_in_json(files: DataFrame, matches: DataFrame) -> DataFrame:
     """Add json_section and json_key to matches.
 
     Texts join to their matches on the file, once per file, not once per match: distinct
-    values of a file travel as a list bounded by the file size limit.
+    values of a file travel as a list bounded by the file size limit.  The lines of a file are
+    folded to their sections once, whatever the number of values.
     """
     on = [c for c in ("repo", "commit_hash", "path") if c in files.columns and c in matches.columns]
     wanted = matches.groupBy(*on).agg(F.collect_set("value").alias("_values"))
-    located = files.join(wanted, on).select(
-        *on,
-        F.inline(
-            F.transform(
-                "_values",
-                lambda v: F.struct(v.alias("value"), text.json_location(F.split("content", "\n", -1), v).alias("_at")),
-            )
-        ),
-    )
+    content = F.col("content")
+
+    def located_in(lines: Column) -> Column:
+        one = lambda sections: F.transform("_values", lambda v: F.struct(v.alias("value"), text.json_location(content, lines, sections, v).alias("_at")))
+        return let(text.json_sections(lines), one)
+
+    located = files.join(wanted, on).select(*on, F.inline(let(F.split(content, "\n", -1), located_in)))
     return matches.join(located.select(*on, "value", "_at.*"), [*on, "value"], "left")
 
 

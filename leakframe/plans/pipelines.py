@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakframe.functions import names
 from leakframe.operators import detect, secrets
+from leakframe.operators.bloom import Bloom
 from leakframe.operators.paths import history_skipped, keep_history, keep_scannable
 from leakframe.operators.rules import Rule, ScanConfig
-from leakframe.session import small_side
+from leakframe.session import cut_lineage
 from leakframe.sources.readers import decode_text, history
 
 
@@ -36,13 +35,15 @@ def scan_history_once(
     """History scan where each distinct text is matched once.
 
     ``revisions`` is narrow (repo, branch, commit_hash, commit_seq, commit_ts, path, blob_sha);
-    ``contents`` holds each text once (blob_sha, content).  Texts are matched without a
+    ``contents`` holds each text at least once (blob_sha, content).  Texts are matched without a
     shuffle; only matches join the revisions, and path rules apply after that.  Path-dependent
     parts of the entropy operator are applied to the joined rows.
     """
     config = config or ScanConfig()
     texts = contents.select("blob_sha", F.lit("").alias("path"), decode_text(F.col("content")).alias("content"))
     found = detect.find_matches(texts, rules, config).drop("path")
+    # a text that came twice has the same matches twice
+    found = found.dropDuplicates(["blob_sha", "detector", "rule_ord", "rule_id", "match_start"])
     kept = revisions.where(~history_skipped(F.col("path")))
     placed = kept.join(found, "blob_sha")
     if config.profile != "fast":
@@ -53,15 +54,24 @@ def scan_history_once(
 def split_blobs(blobs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(revisions, contents) from blobs with text in every row.
 
-    Texts are hashed where they are read.  One revision of each hash is picked on narrow rows,
-    and the texts of the picked revisions are read again; they are not shuffled while the list
-    of picks is measured to be small."""
+    Texts are hashed where they are read, and one revision of each hash is picked on narrow rows.
+    Two filters of bounded size go to the texts: the hashes that occur more than once, and the picked
+    revisions of those.  A text outside the first is the only one of its kind; a text inside it
+    stays if its revision is in the second.  So no text is shuffled or sorted, whatever the number of
+    texts.  Filters err on one side: now and then a text comes twice, none is ever lost."""
     key = [c for c in ("repo", "branch", "commit_hash", "path") if c in blobs.columns]
-    revisions = blobs.withColumn("blob_sha", F.sha2("content", 256)).drop("content")
-    picks = revisions.groupBy("blob_sha").agg(F.min(F.struct(*key)).alias("_pick")).select("blob_sha", "_pick.*")
-    same = [blobs[c].eqNullSafe(F.col(f"_{c}")) for c in key]
-    picked = small_side(picks.select(F.col("blob_sha"), *[F.col(c).alias(f"_{c}") for c in key]))
-    return revisions, blobs.join(picked, reduce(lambda a, b: a & b, same)).select("blob_sha", "content")
+    sha = F.sha2("content", 256)
+    # null parts of a key differ from empty ones
+    revision = F.sha2(F.concat_ws("\n", F.col("blob_sha"), *[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in key]), 256)
+    revisions = blobs.withColumn("blob_sha", sha).drop("content")
+    picks = cut_lineage(
+        revisions.withColumn("_revision", revision).groupBy("blob_sha").agg(F.min("_revision").alias("_pick"), F.count(F.lit(1)).alias("_n"))
+    )
+    repeated = Bloom(picks.where("_n > 1"), "blob_sha")
+    picked = Bloom(repeated.mark(picks, F.col("blob_sha"), "_maybe").where("_maybe"), "_pick")
+    texts = blobs.select(*key, "content").withColumn("blob_sha", sha).withColumn("_revision", revision)
+    texts = picked.mark(repeated.mark(texts, F.col("blob_sha"), "_maybe"), F.col("_revision"), "_mine")
+    return revisions, texts.where(~F.col("_maybe") | F.col("_mine")).select("blob_sha", "content")
 
 
 def unique_secrets(judged: DataFrame, prefix: str = "APP_") -> DataFrame:

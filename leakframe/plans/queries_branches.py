@@ -12,12 +12,12 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakframe.functions import classify, sql
-from leakframe.operators import redact, report, suppress, verify
+from leakframe.functions import classify, sql, text
+from leakframe.operators import feedback, paths, redact, report, suppress, verify
 from leakframe.operators.rules import ScanConfig
 from leakframe.plans import oracle as o
 from leakframe.plans import tables as t
-from leakframe.plans.queries import query
+from leakframe.plans.queries import CFG_F, cfg_findings, query
 from leakframe.session import checkpoint_dir
 from leakframe.sources import readers, sinks
 
@@ -336,6 +336,58 @@ def read_exported_secrets(spark: SparkSession, d: str) -> DataFrame:
     return readers.exported_secrets(spark, path).select("value_hash", "value", "secret_type", "severity", "env_var")
 
 
+@query("""WITH g AS (SELECT s_suppkey // 25 AS g, string_agg(s_name, chr(10) ORDER BY s_name) || chr(10) AS content FROM supplier GROUP BY 1)
+  SELECT 'shop' AS repo, g, content, length(content)::BIGINT AS size_bytes FROM g WHERE g % 4 <> 3""")
+def read_directory(spark: SparkSession, d: str) -> DataFrame:
+    """A tree of folders with a text file for 25 suppliers each; a fourth of the folders is excluded."""
+    path = _folder(spark, "tree")
+    names = t.read(spark, d, "supplier", "s_suppkey", "s_name").groupBy(F.floor(F.col("s_suppkey") / 25).alias("g")).agg(F.array_join(F.sort_array(F.collect_list("s_name")), "\n").alias("value"))
+    kind = F.when(F.col("g") % 4 == 3, F.lit("vendor")).otherwise(F.lit("src"))
+    names.withColumn("kind", kind).write.partitionBy("kind", "g").text(path)
+    found = paths.keep_scannable(readers.directory(spark, path, "shop"), ScanConfig(file_excludes=["**/kind=vendor/**"]))
+    return found.select("repo", F.regexp_extract("path", "^kind=src/g=([0-9]+)/", 1).cast("bigint").alias("g"), "content", "size_bytes")
+
+
+@query("SELECT c_custkey, 'clé ' || c_name || ' ñ€'[:CASE WHEN c_custkey % 2 = 0 THEN 3 ELSE 2 END] AS content FROM customer")
+def read_revisions(spark: SparkSession, d: str) -> DataFrame:
+    """Revisions in UTF-8 and, every second one, in Latin-1."""
+    said, even = F.concat(F.lit("clé "), F.col("c_name"), F.lit(" ñ")), F.col("c_custkey") % 2 == 0
+    raw = F.when(even, F.encode(F.concat(said, F.lit("€")), "UTF-8")).otherwise(F.encode(said, "ISO-8859-1"))
+    blobs = t.read(spark, d, "customer", "c_custkey", "c_name").select("c_custkey", F.lit("main").alias("branch"), raw.alias("content"))
+    return readers.history(blobs, "main").select("c_custkey", "content")
+
+
+@query(CFG_F + " SELECT secret_type AS type, severity, path AS file_path, line_number, CASE WHEN coalesce(value, '') <> '' THEN true ELSE false END AS has_value FROM f")
+def read_findings_report(spark: SparkSession, d: str) -> DataFrame:
+    """A report that the library wrote, read back."""
+    path = _folder(spark, "report")
+    sinks.write_json(sinks.findings_rows(cfg_findings(spark, d)), path)
+    return readers.findings_report(spark, path).select("type", "severity", "file_path", "line_number", (F.coalesce("actual_value", F.lit("")) != "").alias("has_value"))
+
+
+@query("SELECT event_id::VARCHAR AS client_id, ts::DATE AS day, event_type = 'click' AS is_true_positive, event_type AS value_pattern FROM events")
+def read_feedback(spark: SparkSession, d: str) -> DataFrame:
+    """Submissions as JSON lines, a folder for each day, read back and opened to their items."""
+    path, day = _folder(spark, "feedback"), F.col("ts").cast("date")
+    item = F.array(F.struct(F.sha2(F.col("event_id").cast("string"), 256).alias("value_hash"), F.col("event_type").alias("value_pattern")))
+    click = F.col("event_type") == "click"
+    rows = t.events(spark, d).select(
+        F.col("event_id").cast("string").alias("client_id"), F.col("ts").alias("received_at"), day.alias("day"),
+        F.when(click, item).alias("confirmed_secrets"), F.when(~click, item).alias("false_positives"),
+    )
+    rows.repartition("day").write.partitionBy("day").json(path)
+    found = feedback.explode_items(readers.feedback(spark, path))
+    return found.select("client_id", F.col("received_at").cast("date").alias("day"), "is_true_positive", "value_pattern")
+
+
+@query(CFG_F + ", x AS (SELECT path, rule_id, line_number, string_split(content, chr(10)) AS ls FROM f) SELECT path, rule_id, line_number, array_to_string(ls[greatest(1, line_number - 2):line_number + 2], chr(10)) AS context FROM x")
+def context_bare(spark: SparkSession, d: str) -> DataFrame:
+    """The context of the fast profile: two lines either side, bare."""
+    files = t.config_files(spark, d).select("path", "content")
+    found = cfg_findings(spark, d, with_context=False).select("path", "rule_id", "line_number").join(files, "path")
+    return found.select("path", "rule_id", "line_number", text.bare_context(F.split("content", "\n", -1), F.col("line_number")).alias("context"))
+
+
 @query("SELECT s_suppkey, 'src/' || s_suppkey AS path FROM supplier WHERE s_suppkey % 5 <> 4")
 def read_staged_changes(spark: SparkSession, d: str) -> DataFrame:
     kind = F.element_at(F.array(*[F.lit(c) for c in "ACMRD"]), (F.col("s_suppkey") % 5 + 1).cast("int"))

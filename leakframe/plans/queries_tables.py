@@ -581,6 +581,20 @@ def audit_table_sizes(spark: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, sizes)
 
 
+@query(CFG_F + f""", c AS (SELECT *, {o.TYPE_CATEGORY} AS category FROM f),
+  g AS (SELECT category, count(*) AS n, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high FROM c GROUP BY 1),
+  l AS (SELECT category, repo, path, count(*) AS n, list_sort(list_distinct(list(line_number) FILTER (line_number > 0))) AS ls FROM c GROUP BY 1, 2, 3),
+  r AS (SELECT 'severities' AS tab, v.severity AS name, NULL::VARCHAR AS repo, NULL::VARCHAR AS path, count(f.severity) AS n, NULL::BIGINT AS critical, NULL::BIGINT AS high, NULL::BIGINT AS medium,
+    NULL::BIGINT AS low, NULL::VARCHAR AS priority, NULL::BIGINT AS distinct_lines, NULL::VARCHAR AS lines FROM {SEV} LEFT JOIN f ON f.severity = v.severity GROUP BY v.severity
+  UNION ALL SELECT 'types', secret_type, NULL, NULL, count(*), NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM f GROUP BY secret_type
+  UNION ALL SELECT 'files', NULL, repo, path, count(*), {", ".join(f"count(*) FILTER (severity = '{s}')" for s in fv.SEVERITIES[:4])}, NULL, NULL, NULL FROM f GROUP BY repo, path
+  UNION ALL SELECT 'categories', category, NULL, NULL, n, critical, high, NULL, NULL, CASE WHEN critical > 0 THEN 'urgent' WHEN high > 0 THEN 'high' ELSE 'medium' END, NULL, NULL FROM g
+  UNION ALL SELECT 'lines', category, repo, path, n, NULL, NULL, NULL, NULL, NULL, len(ls), array_to_string(ls[1:10], ', ') FROM l) SELECT * FROM r""")
+def audit_report(spark: SparkSession, d: str) -> DataFrame:
+    """The five tables of the audit report in full."""
+    return report.audit_rows(cfg_findings(spark, d))
+
+
 @query(f"WITH x AS ({o.OUTBOX}) SELECT id, retry_count, CASE WHEN published AND published_at < TIMESTAMP '2024-01-20' - INTERVAL 72 HOUR THEN 'purge' WHEN published THEN 'keep' WHEN retry_count >= 5 THEN 'dead_letter' ELSE 'publish' END AS route FROM x")
 def outbox_routes(spark: SparkSession, d: str) -> DataFrame:
     return jobs.outbox_split(t.outbox(spark, d), F.lit("2024-01-20").cast("timestamp")).select("id", "retry_count", "route")
@@ -654,6 +668,16 @@ def variable_mapping(spark: SparkSession, d: str) -> DataFrame:
     return sinks.mapping_rows(_named(spark, d))
 
 
+@query(_named_sql() + f""" SELECT env_var, '# Type: ' || secret_type || ', Severity: ' || severity || chr(10) || env_var || '=' || chr(39) || replace({o.mask('value', 'keep_length')}, chr(39), chr(39) || chr(92) || chr(39) || chr(39)) || chr(39) || chr(10) AS line FROM u""")
+def variable_mapping_env(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.mapping_rows(_named(spark, d), "env")
+
+
+@query(_named_sql() + " SELECT env_var, '        ' || replace(env_var, 'APP_', '') || ': ${{ secrets.' || env_var || ' }}' AS line FROM u")
+def variable_mapping_ci(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.mapping_rows(_named(spark, d), "ci")
+
+
 @query(_named_sql() + " SELECT secret_type AS type, severity, env_var, CASE WHEN length(value) > 20 THEN left(value, 20) || '...' ELSE value END AS value_preview, n_files, n_commits, '${' || env_var || '}' AS replacement FROM u")
 def cleanup_rows(spark: SparkSession, d: str) -> DataFrame:
     return sinks.cleanup_rows(_named(spark, d))
@@ -759,39 +783,6 @@ def stream_daily_partitions(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{out}/data").select("event_id", "day")
 
 
-@query(f"WITH x AS ({o.OUTBOX}), y AS (SELECT *, NOT published AND retry_count < 5 AS tried, NOT published AND retry_count < 5 AND id % 3 = 0 AS sent FROM x) "
-       "SELECT id, published OR sent AS published, CASE WHEN sent THEN TIMESTAMP '2024-02-01' ELSE published_at END AS published_at, (retry_count + CASE WHEN tried AND NOT sent THEN 1 ELSE 0 END)::INT AS retry_count FROM y")
-def outbox_after_publish(spark: SparkSession, d: str) -> DataFrame:
-    """A third of the attempts arrives."""
-    box = cut_lineage(t.outbox(spark, d))
-    after = jobs.after_publish(box, box.where("id % 3 = 0").select("id"), F.lit("2024-02-01").cast("timestamp"))
-    return after.select("id", "published", "published_at", F.col("retry_count").cast("int").alias("retry_count"))
-
-
-@query(HIST_F + f""" SELECT 'files' AS tab, repo, value_hash, path AS place FROM f GROUP BY ALL UNION ALL SELECT 'commits', repo, value_hash, commit_hash FROM f GROUP BY ALL
-  UNION ALL SELECT DISTINCT 'large_files', NULL, NULL, coalesce(path, sha) FROM ({o.OBJECTS}) WHERE type = 'blob' AND size_bytes > 4000""")
-def cleanup_places(spark: SparkSession, d: str) -> DataFrame:
-    """The long tables of the cleanup report in one."""
-    tables = sinks.cleanup_tables(cut_lineage(history_findings(spark, d)), report.large_objects(t.objects(spark, d), 4000))
-    row = lambda name, df, place: df.select(F.lit(name).alias("tab"), "repo", "value_hash", F.col(place).alias("place"))
-    none = F.lit(None).cast("string")
-    large = tables["large_files"].select(F.lit("large_files").alias("tab"), none.alias("repo"), none.alias("value_hash"), F.col("path").alias("place"))
-    return row("files", tables["files"], "path").unionByName(row("commits", tables["commits"], "commit_hash")).unionByName(large)
-
-
-_AUDIT = CFG_F + f""", c AS (SELECT {o.TYPE_CATEGORY} AS category FROM f)
-  SELECT 'severities' AS tab, count(*) AS rows FROM {SEV} UNION ALL SELECT 'types', count(DISTINCT secret_type) FROM f UNION ALL SELECT 'files', count(DISTINCT (repo, path)) FROM f
-  UNION ALL SELECT 'categories', count(DISTINCT category) FROM c UNION ALL SELECT 'lines', count(*) FROM (SELECT DISTINCT repo, path, {o.TYPE_CATEGORY} AS category FROM f)"""
-
-
-@query(_AUDIT)
-def audit_table_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """The report tables as one set; each is compared in full by a query of its own."""
-    tables = sinks.audit_tables(cut_lineage(cfg_findings(spark, d)))
-    sizes = [tables[n].agg(F.lit(n).alias("tab"), F.count(F.lit(1)).alias("rows")) for n in ("severities", "types", "files", "categories", "lines")]
-    return reduce(DataFrame.unionByName, sizes)
-
-
 @query(f"WITH x AS ({o.OUTBOX}) SELECT id, retry_count, CASE WHEN retry_count >= 5 THEN 'dead' ELSE 'published' END AS sent FROM x WHERE NOT published")
 def stream_outbox(spark: SparkSession, d: str) -> DataFrame:
     out = _scratch(spark)

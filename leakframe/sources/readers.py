@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlparse
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +46,8 @@ def directory(
         .load(root)
         .where(F.col("length") <= config.max_file_size)
     )
-    prefix = "^(?:file:)?/*" + "/".join(_quote(p) for p in root.split("/") if p) + "/"
+    # listed paths have a scheme, and maybe a host, whether or not the root was given with them
+    prefix = r"^(?:[A-Za-z][\w+.-]*:(?://[^/]*)?)?/*" + "/".join(_quote(p) for p in urlparse(root).path.split("/") if p) + "/"
     files = raw.select(
         F.lit(repo).alias("repo"),
         F.regexp_replace("path", F.lit(prefix), F.lit("")).alias("path"),

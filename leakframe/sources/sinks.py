@@ -6,7 +6,7 @@ sort, so the part files in name order are the ordered document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from leakframe.functions import classify, masks, names
@@ -220,6 +220,19 @@ def audit_tables(findings: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def write_audit(findings: DataFrame, path: str) -> dict:
+    """The audit tables as JSON below ``path/tab=...`` and the numbers of the header, which are
+    observed while the rows are written."""
+    seen = Observation("audit")
+    of = lambda name, when: F.coalesce(F.sum(F.when((F.col("tab") == "severities") & when, F.col("n"))), F.lit(0)).alias(name)
+    rows = report.audit_rows(findings).observe(
+        seen, of("findings", F.lit(True)), of("critical", F.col("name") == "critical"),
+        F.count_if(F.col("tab") == "files").alias("files"), F.count_if(F.col("tab") == "types").alias("types"),
+    )
+    rows.write.partitionBy("tab").json(path)
+    return seen.get
+
+
 def by_file_rows(findings: DataFrame) -> DataFrame:
     """Findings grouped by file for a view: counts per severity and file."""
     return findings.groupBy(*file_key(findings)).agg(
