@@ -43,13 +43,15 @@ def _url_sql() -> str:
         above += f", t{i}"
     steps.append("c0 AS (SELECT host, t1, t2, t3, sum(good) AS good, sum(bad) AS bad, '' AS branch FROM b3 GROUP BY host, t1, t2, t3)")
     for i in (1, 2, 3):
-        steps.append(f"""n{i} AS (SELECT host, branch, t{i}, (sum(good) + sum(bad) + 2)::DOUBLE AS m, (sum(good) + 1)::DOUBLE / (sum(good) + sum(bad) + 2)::DOUBLE AS p
-  FROM c{i - 1} GROUP BY host, branch, t{i}),
-o{i} AS (SELECT *, lag(p) OVER w AS lp, lag(m) OVER w AS lm FROM n{i} WINDOW w AS (PARTITION BY host, branch ORDER BY p, t{i})),
-q{i} AS (SELECT *, (p * m + lp * lm) / (m + lm) AS pooled FROM o{i}),
-g{i} AS (SELECT host, branch, t{i}, branch || '/' || sum(CASE WHEN coalesce((p - lp) * (p - lp) > 1.64::DOUBLE * 1.64::DOUBLE * pooled * (1 - pooled) * (1 / m + 1 / lm), false)
-  THEN 1 ELSE 0 END) OVER (PARTITION BY host, branch ORDER BY p, t{i} ROWS UNBOUNDED PRECEDING) AS next FROM q{i}),
-c{i} AS (SELECT c.* EXCLUDE (branch), g.next AS branch FROM c{i - 1} c JOIN g{i} g ON c.host = g.host AND c.branch = g.branch AND c.t{i} = g.t{i})""")
+        steps.append(f"""n{i}_0 AS (SELECT host, branch, t{i}, sum(good) AS g, sum(bad) AS b, CASE WHEN sum(good) + sum(bad) > 0 THEN '' ELSE 'none' END AS grp FROM c{i - 1} GROUP BY host, branch, t{i})""")
+        for r in range(1, url_tree.ROUNDS + 1):
+            steps.append(f"""o{i}_{r} AS (SELECT *, (g + b + 2)::DOUBLE AS m, (g + 1)::DOUBLE / (g + b + 2)::DOUBLE AS p, sum(g) OVER w - g AS og, sum(b) OVER w - b AS ob
+  FROM n{i}_{r - 1} WINDOW w AS (PARTITION BY host, branch, grp)),
+p{i}_{r} AS (SELECT *, (og + ob + 2)::DOUBLE AS k, (og + 1)::DOUBLE / (og + ob + 2)::DOUBLE AS q FROM o{i}_{r}),
+q{i}_{r} AS (SELECT *, (p * m + q * k) / (m + k) AS pooled FROM p{i}_{r}),
+n{i}_{r} AS (SELECT host, branch, t{i}, g, b, CASE WHEN grp = 'none' THEN grp WHEN NOT (p - q) * (p - q) > 1.64::DOUBLE * 1.64::DOUBLE * pooled * (1 - pooled) * (1 / m + 1 / k) THEN grp || '='
+  WHEN p < q THEN grp || '-' ELSE grp || '+' END AS grp FROM q{i}_{r})""")
+        steps.append(f"""c{i} AS (SELECT c.* EXCLUDE (branch), c.branch || '/' || n.grp AS branch FROM c{i - 1} c JOIN n{i}_{url_tree.ROUNDS} n ON c.host = n.host AND c.branch = n.branch AND c.t{i} = n.t{i})""")
     cases = "".join(
         f" WHEN (s.host = '{n.partition('/')[0]}' OR ends_with(s.host, '.{n.partition('/')[0]}')) AND starts_with(path, '/{n.partition('/')[2]}') THEN '{n}'"
         for n, _ in sorted(URL_RULES, key=lambda r: -len(r[0]))

@@ -8,8 +8,8 @@ templates, learned from all urls:
 2. going down, a segment stays literal where it holds at least ``MIN_SHARE`` of the urls below its
    parent, or has ``KEEP_LABELS`` labels that can be told apart from its parent's, and becomes a
    wildcard elsewhere;
-3. going down again, siblings whose labels cannot be told apart by a two-proportion test become one
-   branch, so that their children pool their labels;
+3. going down again, siblings whose labels cannot be told apart from those of the others of their
+   group by a two-proportion test become one branch, so that their children pool their labels;
 4. a template is rejected if its purity, the share of good labels smoothed towards its host, which
    is smoothed towards all hosts, is below ``MIN_PURITY``.
 
@@ -38,7 +38,7 @@ LEVELS = 3  # at least
 MIN_SHARE, MIN_COUNT = 0.02, 3
 SIMILAR = 1.64  # two proportions closer than this many standard errors are taken for one
 KEEP_LABELS = 30
-SLOTS = 1024
+ROUNDS = 3  # in which a group of siblings may part
 PRIOR = 10.0
 MIN_PURITY = 0.6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -99,28 +99,26 @@ def generalised(tree: DataFrame, level: int) -> DataFrame:
 def merged(tree: DataFrame, level: int) -> DataFrame:
     """Takes ``t`` into ``branch``, the merged template.
 
-    Siblings are compared with the one before by ``p`` and name.  Those of one ``p`` are never apart, so
-    they are one row with the first and the last of their ``m``.  The rows of a node are dealt by ``p``
-    into ``SLOTS``, put in order inside each, and then the slots, so no window holds all of them.
+    The siblings of a node begin as one group.  In each of ``ROUNDS`` rounds every sibling is compared with
+    the others of its group together, and those that can be told apart from them leave it, the worse
+    and the better ones into groups of their own.  So a group holds siblings that are alike, however
+    many there are between its purest and its least pure one.  Siblings without labels are one group.
+
+    Siblings with equal counts of labels are one row of the windows, which see no urls and no names.
     """
     node = ["host", "branch"]
-    nodes = with_proportion(tree.groupBy(*node, "t").agg(F.sum("good").alias("g"), F.sum("bad").alias("b")))
-    slot = F.floor(F.col("p") * SLOTS).alias("slot")
-    values = nodes.groupBy(*node, "p", slot).agg(F.min_by("m", "t").alias("m"), F.max_by("m", "t").alias("last"))
-    inside = Window.partitionBy(*node, "slot").orderBy("p")
-    new = told_apart(F.col("p"), F.col("m"), F.lag("p").over(inside), F.lag("last").over(inside))
-    values = values.withColumn("new", F.coalesce(new, F.lit(False)).cast("int"))
-    slots = values.groupBy(*node, "slot").agg(
-        F.min("p").alias("p"), F.min_by("m", "p").alias("m"), F.max("p").alias("end"), F.max_by("last", "p").alias("last"), F.sum("new").alias("more")
-    )
-    order = Window.partitionBy(*node).orderBy("slot")
-    new = told_apart(F.col("p"), F.col("m"), F.lag("end").over(order), F.lag("last").over(order))
-    slots = slots.withColumn("first", F.coalesce(new, F.lit(False)).cast("int"))
-    upto = F.sum(F.col("first") + F.col("more")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    slots = slots.select(*node, "slot", (upto - F.col("more")).alias("base"))
-    values = values.withColumn("run", F.sum("new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    values = values.join(slots, [*node, "slot"]).select(*node, "p", (F.col("base") + F.col("run")).alias("group"))
-    group = nodes.join(values, [*node, "p"]).select(*node, "t", F.concat("branch", F.lit("/"), F.col("group").cast("string")).alias("next"))
+    nodes = tree.groupBy(*node, "t").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
+    values = nodes.groupBy(*node, "g", "b").agg(F.count(F.lit(1)).alias("alike")).repartition(*node)
+    values = values.withColumn("group", F.when(F.col("g") + F.col("b") > 0, F.lit("")).otherwise(F.lit("none")))
+    for _ in range(ROUNDS):
+        inside = Window.partitionBy(*node, "group")
+        others = lambda c: (F.sum(F.col(c) * F.col("alike")).over(inside) - F.col(c)).alias(f"other_{c}")
+        values = values.select(*node, "g", "b", "alike", "group", others("g"), others("b"))
+        m, k = F.col("g") + F.col("b") + 2, F.col("other_g") + F.col("other_b") + 2
+        p, q = (F.col("g") + 1) / m, (F.col("other_g") + 1) / k
+        side = F.when(~told_apart(p, m, q, k), F.lit("=")).when(p < q, F.lit("-")).otherwise(F.lit("+"))
+        values = values.select(*node, "g", "b", "alike", F.when(F.col("group") == "none", F.col("group")).otherwise(F.concat("group", side)).alias("group"))
+    group = nodes.join(values, [*node, "g", "b"]).select(*node, "t", F.concat("branch", F.lit("/"), F.col("group")).alias("next"))
     return stored(tree.join(group, [*node, "t"]).drop("branch", "t").withColumnRenamed("next", "branch"), f"branches{level}")
 
 

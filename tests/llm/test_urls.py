@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from leakframe.llm import url_tree
 from leakframe.llm.queries import URL_RULES
 
@@ -73,7 +75,7 @@ def test_a_small_section_keeps_its_own_labels(spark):
         assert (r.verdict, r.template) == (("block", "/sc/{n}/$") if own else ("allow", "/*/{n}/$"))
 
 
-def test_siblings_of_any_number_are_grouped_in_order(spark):
+def test_groups_by_brute_force(spark):
     rnd = random.Random(5)
     nodes = [(h, f"t{i}", rnd.choice([0, 3, 40, 500]), rnd.choice([0, 1, 30, 900])) for h in "ab" for i in range(700)]
     nodes += [("c", f"t{i}", 2 ** i, 4 ** (12 - i)) for i in range(12)]
@@ -81,17 +83,44 @@ def test_siblings_of_any_number_are_grouped_in_order(spark):
     got = {}
     for r in url_tree.merged(tree.withColumn("name", tree.t), 1).collect():
         got.setdefault((r.host, r.branch), set()).add(r.name)
+
+    def parted(group):
+        sides = {}
+        for _, name, g, b in group:
+            og, ob = sum(x[2] for x in group) - g, sum(x[3] for x in group) - b
+            m, k = g + b + 2, og + ob + 2
+            p, q = (g + 1) / m, (og + 1) / k
+            pooled = (p * m + q * k) / (m + k)
+            apart = (p - q) ** 2 > 1.64 ** 2 * pooled * (1 - pooled) * (1 / m + 1 / k)
+            sides.setdefault((p > q) - (p < q) if apart else 0, []).append(("", name, g, b))
+        return list(sides.values())
+
     want = []
     for host in "abc":
-        last = None
-        for p, name, m in sorted(((g + 1) / (g + b + 2), t, g + b + 2) for h, t, g, b in nodes if h == host):
-            if last:
-                pooled = (p * m + last[0] * last[1]) / (m + last[1])
-            if not last or (p - last[0]) ** 2 > 1.64 ** 2 * pooled * (1 - pooled) * (1 / m + 1 / last[1]):
-                want.append(set())
-            want[-1].add(name)
-            last = p, m
-    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want)) and len(want) > 6
+        groups = [[n for n in nodes if n[0] == host and n[2] + n[3]]]
+        for _ in range(3):
+            groups = [x for g in groups for x in parted(g)]
+        want += [sorted(n[1] for n in g) for g in groups + [[n for n in nodes if n[0] == host and not n[2] + n[3]]] if g]
+    assert sorted(map(sorted, got.values())) == sorted(want) and len(want) > 6
+
+
+@pytest.mark.parametrize("sections", [40, 1000])
+def test_many_sections_of_rising_purity_are_not_chained(spark, sections):
+    """Neighbours are alike, the ends are not: the good sections are allowed and the bad ones blocked."""
+    rows = []
+    for k in range(sections):
+        name = "".join(chr(97 + k // 26 ** i % 26) for i in range(3))
+        good = round(50 * k / (sections - 1))
+        rows += [(f"http://h.org/{name}/{i}", int(i < good), int(i >= good)) for i in range(50)]
+    urls = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id int, url string, g int, b int")
+    by = {}
+    for r in url_tree.judge_urls(urls, [], good_col="g", bad_col="b").collect():
+        by.setdefault(r.path.split("/")[1], set()).add((r.verdict, round(r.purity, 3)))
+    assert all(len(v) == 1 for v in by.values())
+    verdicts = [min(by["".join(chr(97 + k // 26 ** i % 26) for i in range(3))]) for k in range(sections)]
+    fifth = sections // 5
+    assert {v for v, _ in verdicts[:fifth]} == {"block"} and {v for v, _ in verdicts[-fifth:]} == {"allow"}
+    assert verdicts[0][1] < 0.25 and verdicts[-1][1] > 0.85 and len({p for _, p in verdicts}) >= 3
 
 
 def test_no_python(spark):
