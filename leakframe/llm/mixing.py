@@ -3,11 +3,12 @@
 Sources in code-point order, null last, weigh ``weights`` in turn and share ``share`` times the
 words of all documents.  A target stops at ``cap`` times the words of its source; the excess goes
 to the others by weight until none is above.  Every document of a source is taken whole as often
-as the target allows (certain copies).  The rest of the target is drawn: each document gets the
-odds of its random number, u / (1 - u), divided by its inclusion odds, f / (1 - f), where f is the
-drawn share of the source times an optional weight of the document; the smallest quotients are
-taken until the words reach the rest, to the nearest document.  So the sample has a fixed size in
-words, and inclusion is unequal between sources and by weight.
+as the target allows (certain copies).  The rest of the target is drawn with unequal probabilities:
+a document is included in proportion to its size, f = min(1, c size), where c makes the expected
+words of the source equal to the rest.  The longest documents may so be certain once more.  Each
+document gets the odds of its random number, u / (1 - u), divided by its inclusion odds, f / (1 - f)
+times an optional weight; the smallest quotients are taken until the words reach the rest, to the
+nearest document.  So the sample has a fixed size in words.
 
 A running total over a source would send it to one task.  Quotients are dealt instead into
 ``SLOTS`` slots of a source, summed, and only the slot where the total reaches the rest is looked
@@ -89,11 +90,26 @@ def _weight(docs: DataFrame, weight_col: str | None) -> Column:
     return F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(docs[weight_col].cast("double"), F.lit(1.0)), F.lit(1e-9))
 
 
-def _quotient(id_: Column, key: Column, size: Column, weight: Column, f: Column, seed: str) -> Column:
+def calibrated(rows: DataFrame, goals: DataFrame) -> DataFrame:
+    """``goals`` with the factor ``c`` of their source: sizes from 1 / c on are certain, and
+    the words expected from all are ``rest``.  It comes from how often each size occurs, which is
+    as many rows as there are sizes."""
+    sizes = rows.where("size > 0").groupBy("source_key", "size").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.join(small_side(goals.select("source_key", "rest")), "source_key")
+    falling = Window.partitionBy("source_key").orderBy(F.desc("size"))
+    longer = F.coalesce(F.sum(F.col("n") * F.col("size")).over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    squares = F.sum((F.col("n") * F.col("size")).cast("decimal(19,0)") * F.col("size").cast("decimal(19,0)")).over(falling.rowsBetween(0, Window.unboundedFollowing))
+    factor = (F.col("rest") - longer) / squares.cast("double")
+    first = sizes.select("source_key", "size", factor.alias("c")).where(F.col("c") * F.col("size") < 1)
+    return goals.join(first.groupBy("source_key").agg(F.max_by("c", "size").alias("c")), "source_key", "left")
+
+
+def _quotient(id_: Column, key: Column, size: Column, weight: Column, c: Column, seed: str) -> Column:
     """The odds of a random number over the inclusion odds.  Documents that cannot be drawn have none."""
+    f = c * size
     u = uniform(seed, F.coalesce(id_.cast("string"), F.concat(F.lit("null:"), key, size.cast("string"))))
     quotient = let(u, lambda u: (u / (F.lit(1.0) - u)) / ((f / (F.lit(1.0) - f)) * weight))
-    return F.when((f > 0) & (size > 0), quotient)
+    return F.when((size > 0) & (f >= 1), F.lit(0.0)).when((size > 0) & (f > 0), quotient)
 
 
 def _draw(
@@ -109,8 +125,8 @@ def _draw(
     goals = goals.withColumn("source_key", _source_key(F.col("source"))).drop("source")
     certain = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
     goals = goals.withColumn("certain", certain).withColumn("rest", F.col("target") - F.col("certain") * F.col("source_size"))
-    goals = goals.withColumn("f", F.when(F.col("source_size") > 0, F.col("rest") / F.col("source_size")).otherwise(F.lit(0.0)))
-    quotient = _quotient(F.col("id"), F.col("source_key"), F.col("size"), F.col("weight"), F.col("f"), seed)
+    goals = cut_lineage(calibrated(rows, goals))
+    quotient = _quotient(F.col("id"), F.col("source_key"), F.col("size"), F.col("weight"), F.col("c"), seed)
     # one row per source: broadcast if measured to be small, so that no source is a hot join key
     drawn = rows.join(small_side(goals), "source_key").withColumn("q", quotient)
     place = F.col("q") / (F.lit(1.0) + F.col("q")) * F.lit(float(slots))
@@ -160,16 +176,16 @@ def mixed(
     cuts = small_side(every.where("chosen = 1").groupBy("source_key").agg(F.max(order).alias("cut")))
     on_cut = every.join(cuts, "source_key").where(F.col("q").eqNullSafe(F.col("cut.q")) & F.col("id").eqNullSafe(F.col("cut.id")))
     on_cut = on_cut.groupBy("source_key").agg(F.first("cut").alias("cut"), F.count(F.lit(1)).alias("rows"), F.sum("chosen").alias("take"))
-    decided = cut_lineage(goals.join(on_cut, "source_key", "left").select("source_key", "certain", "f", "cut", "rows", "take"))
+    decided = cut_lineage(goals.join(on_cut, "source_key", "left").select("source_key", "certain", "c", "cut", "rows", "take"))
     split = not decided.where("take < rows").isEmpty()
 
     key, of = unused(docs, "_key", "_of")
-    decided = decided.select(F.col("source_key").alias(key), F.struct("certain", "f", "cut", "rows", "take").alias(of))
+    decided = decided.select(F.col("source_key").alias(key), F.struct("certain", "c", "cut", "rows", "take").alias(of))
     source, id_ = _source_key(docs[source_col]), docs[id_col]
     rows = docs.join(small_side(decided), source == F.col(key))
     cut, certain, take, number = (F.col(of)[c] for c in ("cut", "certain", "take", "rows"))
     # words are counted and hashed once a row, whatever reads the quotient
-    quotient = let(_size(docs[text_col]), lambda size: _quotient(id_, source, size, _weight(docs, weight_col), F.col(of)["f"], seed))
+    quotient = let(_size(docs[text_col]), lambda size: _quotient(id_, source, size, _weight(docs, weight_col), F.col(of)["c"], seed))
 
     def on_it(q: Column) -> Column:
         return F.coalesce((q == cut["q"]) & id_.eqNullSafe(cut["id"]), F.lit(False))

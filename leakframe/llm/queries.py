@@ -201,13 +201,18 @@ t AS (
   FROM r LEFT JOIN f ON true
 ), g AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS certain FROM t
-), q AS (
-  SELECT d.doc_id, d.size, g.*, target - certain * source_size AS left_words,
-         (target - certain * source_size) / source_size AS f,
+), z AS (
+  SELECT d.source, d.size, target - certain * source_size AS rest, count(*) AS n FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source WHERE d.size > 0 GROUP BY ALL
+), y AS (
+  SELECT source, size, (rest - coalesce(sum(n * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / (sum(n * size * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS c FROM z
+), k AS (SELECT source, arg_max(c, size) AS c FROM y WHERE c * size < 1 GROUP BY source),
+q AS (
+  SELECT d.doc_id, d.size, g.*, target - certain * source_size AS left_words, k.c * d.size AS f,
          (('0x' || substr(md5('mix:' || d.doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source LEFT JOIN k ON d.source IS NOT DISTINCT FROM k.source
 ), o AS (
-  SELECT *, CASE WHEN f > 0 AND size > 0 THEN (u / (1.0::DOUBLE - u)) / (f / (1.0::DOUBLE - f)) END AS quotient FROM q
+  SELECT *, CASE WHEN size > 0 AND f >= 1 THEN 0 WHEN f > 0 AND size > 0 THEN (u / (1.0::DOUBLE - u)) / (f / (1.0::DOUBLE - f)) END AS quotient FROM q
 ), n AS (
   SELECT *, sum(CASE WHEN quotient IS NULL THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY quotient NULLS LAST, doc_id ROWS UNBOUNDED PRECEDING) AS words FROM o
 )

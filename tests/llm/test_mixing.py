@@ -9,6 +9,17 @@ from leakframe.llm import mixing
 SCHEMA = "doc_id long, text string, source string, target string"
 
 
+def factor(sizes, rest):
+    """Inclusion min(1, c n) with ``rest`` words expected: the longest are certain one by one."""
+    left, sizes = rest, sorted(sizes, reverse=True)
+    for i, n in enumerate(sizes):
+        c = left / sum(x * x for x in sizes[i:])
+        if c * n < 1:
+            return c
+        left -= n
+    return 0.0
+
+
 def brute(rows, weights=(5, 2, 1), share=1.5, cap=2.0, seed="mix"):
     sized = [(d, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")), s) for d, t, s, _ in rows]
     sources = sorted({s for _, _, s in sized}, key=lambda s: (s is None, s or ""))
@@ -29,13 +40,15 @@ def brute(rows, weights=(5, 2, 1), share=1.5, cap=2.0, seed="mix"):
     for s in sources:
         certain = int(target[s] // size[s]) if size[s] else 0
         rest = target[s] - certain * size[s]
-        f = rest / size[s] if size[s] else 0
-        queue = []
+        c, queue = factor([n for _, n, x in sized if x == s and n], rest), []
         for d, n, x in sized:
             if x == s:
                 taken[d] = certain * n
                 u = (int(hashlib.md5(f"{seed}:{d}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-                if f > 0 and n > 0:
+                f = c * n
+                if f >= 1:
+                    queue.append((0.0, d, n))
+                elif f > 0:
                     queue.append((u / (1 - u) / (f / (1 - f)), d, n))
         words = 0
         for _, d, n in sorted(queue):
@@ -103,3 +116,27 @@ def test_the_mix_joins_no_text(spark):
     docs = spark.createDataFrame([(i, "one two", "a", "t") for i in range(40)], SCHEMA)
     plan = mixing.mixed(docs, share=0.5)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_inclusion_follows_size(spark):
+    """Over many seeds a document is drawn about as often as its share says; the longest always."""
+    sizes = [1, 2, 3, 5, 8, 8, 13, 21, 34, 55, 89, 144]
+    rows = [(i, "w " * n, "s", None) for i, n in enumerate(sizes)]
+    rest = 0.7 * sum(sizes)
+    c = factor(sizes, rest)
+    seeds = 400
+    drawn = [0] * len(sizes)
+    for seed in range(seeds):
+        _, _, taken = brute(rows, share=0.7, seed=f"seed{seed}")
+        for i in range(len(sizes)):
+            drawn[i] += taken[i] > 0
+    wanted = [min(1.0, c * n) for n in sizes]
+    assert wanted[-1] == 1.0 and wanted[0] < 0.05 and drawn[-1] == seeds
+    assert abs(sum(f * n for f, n in zip(wanted, sizes)) - rest) < 1e-9
+    # the words of a sample are fixed to the nearest document, which bends the odds of the longest a little
+    assert all(abs(d / seeds - f) < 0.16 for d, f in zip(drawn, wanted))
+    assert drawn[0] < drawn[4] < drawn[7] < drawn[9]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for seed in ("seed1", "seed2"):
+        got = {r.doc_id: r.taken for r in mixing.mix(docs, share=0.7, seed=seed).collect()}
+        assert got == brute(rows, share=0.7, seed=seed)[2]
