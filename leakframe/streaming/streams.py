@@ -6,6 +6,7 @@ Each function takes a streaming DataFrame and returns one, or a writer that is r
 from __future__ import annotations
 
 import sys
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -65,17 +66,55 @@ def known_from_counts(counts: DataFrame, min_samples: int = 10, above: float = 0
 
 
 def write_known(items: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """After each batch, replace the known-pattern table from the complete counts."""
-
-    def refresh(batch: DataFrame, _: int) -> None:
-        known_from_counts(batch).write.mode("overwrite").parquet(path)
-
+    """Keep the table of shape counts up to date; readers use ``known_table``.
+
+    A batch brings the new counts of the shapes it changed; they are merged with the last version
+    into a folder of their own, and one row added to the folder ``versions`` makes it the current
+    one (a write of Spark is all or nothing).  Readers never see a folder that is written.  A batch
+    that runs again after a failure before that row starts from the version before it; after that
+    row it changes nothing.  One table belongs to one checkpoint; old versions stay."""
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = current_version(spark, path)
+        if batch_id <= before:
+            batch.write.format("noop").mode("overwrite").save()  # the counters must move on
+            return
+        changed = batch.where(F.col("dimension") == "value_pattern").persist()
+        rows = changed
+        if before >= 0:
+            last = spark.read.schema(changed.schema).parquet(f"{path}/counts-{before}")
+            rows = last.join(changed, ["dimension", "verdict", "name"], "left_anti").unionByName(changed)
+        rows.write.mode("overwrite").parquet(f"{path}/counts-{batch_id}")
+        publish_version(spark, path, batch_id)
+        changed.unpersist()
+
+    publish_version(items.sparkSession, path, -1)  # readers may come before the first batch
     return (
-        running_counts(items).writeStream.outputMode("complete")
-        .option("checkpointLocation", checkpoint).foreachBatch(refresh)
+        running_counts(items).writeStream.outputMode("update")
+        .option("checkpointLocation", checkpoint).foreachBatch(upsert)
     )
 
 
+def current_version(spark: SparkSession, path: str) -> int:
+    """The last version that was made current; -1 before the first."""
+    return spark.read.schema("version bigint").parquet(f"{path}/versions").agg(F.max("version")).first()[0]
+
+
+def publish_version(spark: SparkSession, path: str, version: int) -> None:
+    """Make a written version the one that readers see."""
+    spark.range(version, version + 1).select(F.col("id").alias("version")).write.mode("append").parquet(f"{path}/versions")
+
+
+def known_table(spark: SparkSession, path: str, min_samples: int = 10, above: float = 0.8) -> DataFrame:
+    """Known false positives of the current version that ``write_known`` published."""
+    schema = "dimension string, verdict string, name string, n bigint"
+    version = current_version(spark, path)
+    if version < 0:
+        return known_from_counts(spark.createDataFrame([], schema), min_samples, above)
+    return known_from_counts(spark.read.schema(schema).parquet(f"{path}/counts-{version}"), min_samples, above)
+
+
 def fresh(events: DataFrame, ts: str = "ts", now: Column | None = None) -> DataFrame:
     """Drop events more than an hour old or in the future; the watermark bounds later state.
 
@@ -98,51 +137,133 @@ def hourly_requests(events: DataFrame, client: str = "client_id", ts: str = "ts"
 
 
 class RateLimit(StatefulProcessor):
-    """Exact limit: a request counts only if it was allowed; state is at most ``limit`` times."""
+    """Exact limit: a request counts only if it was allowed.
+
+    The requests of a client in one batch may be any number, and they come in pieces that are not
+    in the order of time.  Each piece is put away in the state store by time bucket; then the
+    buckets are decided from the oldest on, a piece at a time, so that memory holds one piece, the
+    times of allowed requests (``limit`` at most) and the candidates of one bucket.
+
+    A bucket is no longer than the window, so whoever is allowed in it stays in the window to its
+    end.  The k-th place comes free at a known time, and who takes it is among the first k
+    requests from that time on: those are the candidates.  A second reading tells the rest."""
 
     def __init__(self, limit: int = 100, window_seconds: int = 3600):
         self.limit = limit
-        self.window_us = window_seconds * 1_000_000
+        self.window = window_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.seen = handle.getListState("seen", "us bigint")
+        self.pieces = handle.getMapState("pieces", "bucket bigint, number bigint", "us array<bigint>, ids array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["us", "request_id"])
-        kept = [r[0] for r in self.seen.get()]
-        out = []
-        for us, request_id in zip(batch["us"], batch["request_id"]):
-            kept = [t for t in kept if t > us - self.window_us]
-            allowed = len(kept) < self.limit
-            if allowed:
-                kept.append(int(us))
-            out.append((key[0], str(request_id), int(us), allowed))
+        count: dict[int, int] = {}
+        for frame in rows:
+            for bucket, part in frame.groupby(frame["us"] // self.window):
+                number = count.get(int(bucket), 0)
+                self.pieces.updateValue((int(bucket), number), (part["us"].tolist(), part["request_id"].tolist()))
+                count[int(bucket)] = number + 1
+        kept = sorted(r[0] for r in self.seen.get())
+        for bucket in sorted(count):
+            names = [(bucket, number) for number in range(count[bucket])]
+            allowed, kept = self._decide(names, kept)
+            taken = set(allowed)
+            for name in names:
+                us, ids = self.pieces.getValue(name)
+                self.pieces.removeKey(name)
+                frame = pd.DataFrame({"client_id": key[0], "request_id": ids, "us": us})
+                frame["allowed"] = [request in taken for request in zip(us, ids)]
+                yield frame
         if kept:
-            self.seen.put([(t,) for t in kept])
+            self.seen.put([(us,) for us in kept])
+            self.handle.registerTimer((kept[-1] + self.window) // 1000 + 1)
+
+    def _decide(self, names: list, kept: list[int]) -> tuple[list, list[int]]:
+        """Allowed requests of a bucket, and the times that hold a place after it."""
+        free = self.limit - len(kept)
+        opens = [None] * free + [us + self.window for us in kept]
+        first: dict[int | None, list] = {}  # the time a place comes free: the first requests from then on
+        wanted = {at: k + 1 for k, at in enumerate(opens)}
+        for name in names:
+            piece = sorted(zip(*self.pieces.getValue(name)))
+            for at, k in wanted.items():
+                start = 0 if at is None else bisect_left(piece, (at, ""))
+                if start < len(piece):
+                    first[at] = sorted(first.get(at, []) + piece[start:start + k])[:k]
+        allowed: list = []
+        for request in sorted({r for held in first.values() for r in held}):
+            if len(allowed) < self.limit and (opens[len(allowed)] is None or opens[len(allowed)] <= request[0]):
+                allowed.append(request)
+        used = max(len(allowed) - free, 0)
+        return allowed, sorted(kept[used:] + [us for us, _ in allowed])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        kept = [r[0] for r in self.seen.get() if r[0] + self.window > now]
+        if kept:  # a later request set a later timer
+            self.seen.put([(us,) for us in kept])
         else:
             self.seen.clear()
-        yield pd.DataFrame(out, columns=["client_id", "request_id", "us", "allowed"])
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def rate_limited(requests: DataFrame, limit: int = 100) -> DataFrame:
+def rate_limited(requests: DataFrame, limit: int = 100, delay: str = HOUR) -> DataFrame:
     """Allowed or rejected, exactly, per client in time order.
 
-    Needs client_id, request_id and ts.  Uses the state store, so set the RocksDB provider."""
+    Needs client_id, request_id (unique for a client and time) and ts.  Uses the state store, so
+    set the RocksDB provider.  No request is dropped: one that comes more than ``delay`` late is
+    decided by the state that is left.  The state of a client ends with the window of its last
+    allowed request, by a timer on the watermark.  Rows without ts or request_id are left out."""
     # the processor also starts in a process that has no added files, so it travels by value
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    keyed = requests.select(
+    # the watermark moves the timers; ``us`` does not carry it, so late rows are not filtered
+    at = F.col("ts").cast("timestamp")
+    keyed = requests.withColumn("ts", at).withWatermark("ts", delay).select(
         F.col("client_id").cast("string").alias("client_id"),
         F.col("request_id").cast("string").alias("request_id"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
-    )
+        F.unix_micros("ts").alias("us"),
+    ).where(F.col("us").isNotNull() & F.col("request_id").isNotNull())
     return keyed.groupBy("client_id").transformWithStateInPandas(
         RateLimit(limit),
         outputStructType="client_id string, request_id string, us bigint, allowed boolean",
         outputMode="append",
-        timeMode="none",
+        timeMode="eventTime",
+    )
+
+
+class Retained(StatefulProcessor):
+    """The first row of a key; the key is forgotten when the retention is over."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getValueState("known", "known boolean", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if not self.known.exists():
+            self.known.update((True,))
+            yield pd.DataFrame({"id": [key[0]]})
+        for _ in rows:  # Spark wants the input read to its end; a piece at a time is held
+            pass
+
+    def close(self) -> None:
+        pass
+
+
+def first_within_retention(rows: DataFrame, id_col: str, hours: float) -> DataFrame:
+    """Ids that were not delivered within the retention, once each (column ``id``).
+
+    State is one flag per id with a time to live, so it holds one retention's ids and no more.
+    With the trigger ``availableNow`` set ``spark.sql.streaming.noDataMicroBatches.enabled`` to false:
+    Spark runs batches without data for clocks of its own, and would not come to an end."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    return rows.select(F.col(id_col).cast("string").alias("id")).groupBy("id").transformWithStateInPandas(
+        Retained(int(hours * 3_600_000)), outputStructType="id string", outputMode="append", timeMode="processingTime"
     )
 
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ def test_known_patterns_equal_the_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, "value_pattern string, file_type string, secret_type string, is_true_positive boolean")
     stream = arriving(spark, df, str(tmp_path / "in"))
     drain(streams.write_known(stream, str(tmp_path / "known"), str(tmp_path / "ck")))
-    got = {(r.pattern, r.confidence, r.sample_count) for r in spark.read.parquet(str(tmp_path / "known")).collect()}
+    got = {(r.pattern, r.confidence, r.sample_count) for r in streams.known_table(spark, str(tmp_path / "known")).collect()}
     assert got == {(r.pattern, r.confidence, r.sample_count) for r in feedback.known_false_positives(df).collect()} == {("x", 0.9, 10)}
 
 
@@ -62,6 +63,131 @@ def test_exact_rate_limit(spark, tmp_path):
     assert got == want and not all(got.values())
 
 
+@pytest.fixture
+def one_store(spark):
+    """One state store of the provider that stateful processors need."""
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.shuffle.partitions": "1",
+    }
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def _to_files(stream, tmp_path):
+    drain(stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")))
+
+
+def _allowed(requests, limit):
+    """Requests (second, id) that a plain replay in time order allows."""
+    kept, out = [], set()
+    for s, name in sorted(requests):
+        kept = [t for t in kept if t > s - 3600]
+        if len(kept) < limit:
+            kept.append(s)
+            out.add(name)
+    return out
+
+
+def test_one_client_comes_in_pieces(spark, one_store, tmp_path):
+    """10,000 requests of one client, out of order and with ties, in pieces of 500 and two batches."""
+    start = dt.datetime(2024, 1, 1)
+    seconds = [(i * 7919) % 10_000 // 3 * 3 for i in range(10_000)]
+    rows = [("hot", f"{i:05d}", start + dt.timedelta(seconds=s)) for i, s in enumerate(seconds)]
+    schema = "client_id string, request_id string, ts timestamp"
+    late = [("hot", "late", start + dt.timedelta(seconds=9_000)), ("cold", "c", start)]
+    folder = str(tmp_path / "in")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(folder)
+        source = spark.readStream.schema(schema).parquet(folder)
+        _to_files(streams.rate_limited(source, limit=100), tmp_path)
+        spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(folder)
+        _to_files(streams.rate_limited(source, limit=100), tmp_path)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    want = _allowed([(s, f"{i:05d}") for i, s in enumerate(seconds)], 100)
+    assert len(got) == 10_002
+    assert {r.request_id for r in got if r.allowed and r.client_id == "hot"} == want
+    assert [r.allowed for r in got if r.request_id == "c"] == [True]
+
+
+def test_state_of_the_rate_limit_expires(spark, one_store, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    schema = "client_id string, request_id string, ts timestamp"
+    folder = str(tmp_path / "in")
+    held = lambda: {
+        r.key.client_id for r in spark.read.format("statestore").option("stateVarName", "seen").load(str(tmp_path / "ck")).collect()
+    }
+    spark.createDataFrame([("old", "a", start)], schema).write.parquet(folder)
+    source = spark.readStream.schema(schema).parquet(folder)
+    _to_files(streams.rate_limited(source, limit=2), tmp_path)
+    assert held() == {"old"}
+    spark.createDataFrame([("new", "b", start + dt.timedelta(hours=5))], schema).write.mode("append").parquet(folder)
+    _to_files(streams.rate_limited(source, limit=2), tmp_path)
+    assert held() == {"new"}
+    assert spark.read.parquet(str(tmp_path / "out")).where("allowed").count() == 2
+
+
+@pytest.mark.parametrize("hours,delivered", [(1, 1), (0.2 / 3600, 2)])
+def test_ids_are_forgotten_after_the_retention(spark, one_store, tmp_path, hours, delivered):
+    folder = str(tmp_path / "in")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        for _ in range(2):
+            spark.createDataFrame([("e",), ("e",)], "id string").coalesce(1).write.mode("append").parquet(folder)
+            source = spark.readStream.schema("id string").parquet(folder)
+            _to_files(streams.first_within_retention(source, "id", hours), tmp_path)
+            time.sleep(0.5)
+    finally:
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    assert [r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["e"] * delivered
+
+
+def test_a_failed_batch_of_known_patterns_runs_again(spark, tmp_path, monkeypatch):
+    """A failure between the write of a version and the switch: readers keep the last version, and
+    the batch that runs again changes each count once."""
+    schema = "value_pattern string, file_type string, secret_type string, is_true_positive boolean"
+    folder, known, ck = (str(tmp_path / n) for n in ("in", "known", "ck"))
+    items = lambda shape, n: spark.createDataFrame([(shape, "python", "api_key", False)] * n, schema)
+    shown = lambda: {(r.pattern, r.sample_count) for r in streams.known_table(spark, known).collect()}
+    items("x", 10).write.parquet(folder)
+    source = spark.readStream.schema(schema).parquet(folder)
+    drain(streams.write_known(source, known, ck))
+    assert shown() == {("x", 10)}
+
+    items("y", 12).union(items("x", 1)).write.mode("append").parquet(folder)
+    publish = streams.publish_version
+    writer = streams.write_known(source, known, ck)
+
+    def fails(*_):
+        raise RuntimeError("lost before the switch")
+
+    monkeypatch.setattr(streams, "publish_version", fails)
+    with pytest.raises(Exception, match="lost before the switch"):
+        drain(writer)
+    assert shown() == {("x", 10)}
+
+    def twice(*args):
+        publish(*args)
+        raise RuntimeError("lost after the switch")
+
+    monkeypatch.setattr(streams, "publish_version", twice)
+    with pytest.raises(Exception, match="lost after the switch"):
+        drain(writer)
+    assert shown() == {("x", 11), ("y", 12)}
+    monkeypatch.setattr(streams, "publish_version", publish)
+    drain(streams.write_known(source, known, ck))
+    assert shown() == {("x", 11), ("y", 12)}
+
+
 def test_dedup_and_outbox(spark, tmp_path):
     now = dt.datetime(2024, 1, 1)
     rows = [("e1", now, False, 0), ("e1", now, False, 0), ("e2", now, False, 5), ("e3", now, True, 0)]
