@@ -18,7 +18,9 @@ No bucket is cut: a large one is dealt over pairs of blocks of ``BLOCK`` classes
 Defined results: a null text, an empty text or one of white space alone has no shingles and links
 with nothing.  Shorter texts than ``words`` are one shingle.  Rows without an id are not linked
 through; they report the component of their text's class, or null.  Rows that repeat an id and a
-text agree.  An empty table gives an empty result.
+text agree; an id that stands on several texts is a document for each of them, and no text's links
+are lost: classes have numbers of their own and are told apart by the digest of their shingles.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -126,14 +128,20 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def digest(shingle_set: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(shingle_set.tobytes())
+
+
 def signed(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int, rows: int) -> DataFrame:
-    """``id``, number of shingles, digest of the set, and the band keys."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """``id``, 64-bit hash of the text, number of shingles, digest of the set, and the band keys."""
+    schema = pa.schema([
+        ("id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64())),
+    ])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _own_memory()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, texts, hashes = batch.columns
             for at in range(0, len(ids), 512):
                 sets = [shingles(t.as_py(), words) for t in texts[at:at + 512]]
                 full = [i for i, s in enumerate(sets) if len(s)]
@@ -141,29 +149,34 @@ def signed(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int,
                 if full:
                     keys[full] = band_keys(signatures([sets[i] for i in full], bands * rows), bands, rows)
                 yield pa.RecordBatch.from_arrays([
-                    ids[at:at + 512].cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
+                    ids[at:at + 512], hashes[at:at + 512], pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(map(digest, sets), pa.binary()),
                     pa.ListArray.from_arrays(np.arange(0, bands * len(sets) + 1, bands, dtype=np.int32), pa.array(keys.reshape(-1))),
                 ], schema=schema)
 
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(
-        sign, "id bigint, n bigint, digest binary, bands array<bigint>"
+    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col), F.xxhash64(text_col)).mapInArrow(
+        sign, "id bigint, text_hash bigint, n bigint, digest binary, bands array<bigint>"
     )
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``id`` and the sorted shingles of the ``wanted`` (column ``id``) documents, read again."""
-    schema = pa.schema([("id", pa.int64()), ("shingles", pa.binary())])
+    """``node`` and its sorted shingles for the ``wanted`` classes (``node``, ``digest``, and ``id``
+    of a document), read again.  Other texts of the ids are told by their digest and left out."""
+    schema = pa.schema([("digest", pa.binary()), ("shingles", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _own_memory()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                found = [shingles(t.as_py(), words).tobytes() for t in batch.column(1)[at:at + 512]]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at:at + 512].cast(pa.int64()), pa.array(found, pa.binary())], schema=schema)
+                found = [shingles(t.as_py(), words) for t in batch.column(0)[at:at + 512]]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(map(digest, found), pa.binary()), pa.array([s.tobytes() for s in found], pa.binary()),
+                ], schema=schema)
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return texts.join(small_side(wanted), "id", "left_semi").mapInArrow(sets, "id bigint, shingles binary").dropDuplicates(["id"])
+    again = texts.join(small_side(wanted.select("id").distinct()), "id", "left_semi").select("text")
+    found = again.mapInArrow(sets, "digest binary, shingles binary").dropDuplicates(["digest"])
+    return found.join(wanted.select("node", "digest"), "digest").select("node", "shingles")
 
 
 def linked(inter: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
@@ -197,19 +210,22 @@ def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80,
     bands: int = BANDS, rows: int = ROWS, block: int = BLOCK,
 ) -> DataFrame:
-    """``id_col``, ``n_shingles``, ``component_id``, ``kept`` for every row."""
+    """``id_col``, ``n_shingles``, ``component_id``, ``kept`` and ``text_hash`` (xxhash64 of the text) for every row."""
     signs = stored(signed(docs, id_col, text_col, words, bands, rows), "signatures")
-    classes = signs.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("rep"))
-    first = signs.join(classes, "digest").where(F.col("id") == F.col("rep")).dropDuplicates(["rep"])
-    hits = first.select("rep", F.explode("bands").alias("bucket"))
-    sizes = hits.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("lead")).where("size > 1")
-    members = stored(hits.join(sizes, "bucket").select("bucket", "rep", "size", "lead"), "buckets")
+    classes = signs.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy("digest").agg(
+        F.min("id").alias("rep"), F.first("bands").alias("bands")  # equal sets have equal bands
+    )
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    hits = classes.select("node", F.explode("bands").alias("bucket"))
+    sizes = hits.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("lead")).where("size > 1")
+    members = stored(hits.join(sizes, "bucket").select("bucket", "node", "size", "lead"), "buckets")
 
     # 1. each class with the first class of its largest bucket
     best = F.max(F.struct("size", (-F.col("lead")).alias("lead")))
-    pairs = members.where(F.col("rep") != F.col("lead")).groupBy("rep").agg(best.alias("b"))
-    pairs = pairs.select("rep", (-F.col("b.lead")).alias("lead"))
-    sets = stored(full_sets(docs, members.select(F.col("rep").alias("id")).distinct(), id_col, text_col, words), "sets", "none")
+    pairs = members.where(F.col("node") != F.col("lead")).groupBy("node").agg(best.alias("b"))
+    pairs = pairs.select("node", (-F.col("b.lead")).alias("lead"))
+    wanted = classes.join(members.select("node").distinct(), "node").select("node", "digest", F.col("rep").alias("id"))
+    sets = stored(full_sets(docs, wanted, id_col, text_col, words), "sets", "none")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,35 +235,35 @@ def near_groups(
                 keep.append(bool(linked(len(np.intersect1d(a, b, assume_unique=True)), len(a) + len(b), percent)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    own = sets.select(F.col("id").alias("rep"), F.col("shingles").alias("own"))
-    other = sets.select(F.col("id").alias("lead"), F.col("shingles").alias("other"))
-    links = pairs.join(own, "rep").join(other, "lead").select("rep", "lead", "own", "other").mapInArrow(verify, "a bigint, b bigint")
+    own = sets.select("node", F.col("shingles").alias("own"))
+    other = sets.select(F.col("node").alias("lead"), F.col("shingles").alias("other"))
+    links = pairs.join(own, "node").join(other, "lead").select("node", "lead", "own", "other").mapInArrow(verify, "a bigint, b bigint")
     links = stored(links, "links1")
 
     # 2. buckets that still hold several components, each distinct set of members once
     parts = components(links, "a", "b")
-    placed = members.join(parts, members.rep == parts.node, "left").select(
-        "bucket", "rep", F.coalesce("component", "rep").alias("part")
+    placed = members.join(parts, "node", "left").select(
+        "bucket", "node", F.coalesce("component", "node").alias("part")
     )
     open_ = placed.groupBy("bucket").agg(
         F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("size"),
-        F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum"), F.min("rep").alias("rep"),
-    ).where("low < high").groupBy("size", "sum", "rep").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
+        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.min("node").alias("node"),
+    ).where("low < high").groupBy("size", "sum", "node").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
     blocks = F.ceil(F.col("size") / block).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = placed.join(open_, "bucket").withColumn("blocks", blocks).withColumn("mine", mine).withColumn(
         "with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     )
     dealt = dealt.select(
         F.xxhash64("bucket", F.least("mine", "with"), F.greatest("mine", "with")).alias("task"),
-        (F.col("mine") <= F.col("with")).alias("upper"), "rep", "part",
-    ).join(sets.withColumnRenamed("id", "rep"), "rep").repartition("task").sortWithinPartitions("task")
+        (F.col("mine") <= F.col("with")).alias("upper"), "node", "part",
+    ).join(sets, "node").repartition("task").sortWithinPartitions("task")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, "task"):
             upper = group.column("upper").to_numpy(zero_copy_only=False)
             order = np.concatenate([np.flatnonzero(upper), np.flatnonzero(~upper)])
-            rep, part = (group.column(c).to_numpy()[order] for c in ("rep", "part"))
+            node, part = (group.column(c).to_numpy()[order] for c in ("node", "part"))
             if len(np.unique(part)) < 2:
                 continue
             raw = group.column("shingles")
@@ -258,13 +274,16 @@ def near_groups(
             i, j = np.nonzero(near)
             if len(i):  # a link for each pair of components, whichever documents give it
                 _, one = np.unique(np.stack([np.minimum(part[i], part[j]), np.maximum(part[i], part[j])]), axis=1, return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(rep[i[one]]), pa.array(rep[j[one]])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[i[one]]), pa.array(node[j[one]])], names=["a", "b"])
 
-    more = dealt.select("task", "upper", "rep", "part", "shingles").mapInArrow(compare, "a bigint, b bigint")
+    more = dealt.select("task", "upper", "node", "part", "shingles").mapInArrow(compare, "a bigint, b bigint")
     joined = components(links.unionByName(more), "a", "b")
-    classes = classes.join(joined, classes.rep == joined.node, "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = signs.select("id", "n", "digest").join(classes, "digest", "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False))
+    placed = classes.select("digest", "rep", "node").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    names = placed.groupBy("component").agg(F.min("rep").alias("name"))
+    named = placed.join(names, "component").select("digest", "name")
+    out = signs.select("id", "text_hash", "n", "digest").join(named, "digest", "left")
+    component = F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("id"))
+    return out.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
+        F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"), "text_hash",
     )

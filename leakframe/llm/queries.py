@@ -267,7 +267,7 @@ c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT n.doc_id, n.n::BIGINT AS n_shingles, component_id, n.doc_id = component_id AS kept FROM n JOIN c USING (doc_id)
 """)
 def op9_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_groups(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return minhash.near_groups(table(spark, sf_dir, "documents"), words=3, percent=85).drop("text_hash")
 
 
 @query()

@@ -137,3 +137,29 @@ def test_first_shared_table_counts_a_pair_once(spark):
     frame = spark.createDataFrame([(i, [1.0, 0.001 * i], 3) for i in range(6)] + [(None, [1.0, 0.0005], 3)], "vec_id long, embedding array<double>, label int")
     got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(frame).collect()}
     assert got == {None: (6, 0)} | {i: (6, 0) for i in range(6)}
+
+
+def test_an_id_on_two_texts_loses_no_link(spark):
+    """Id 1 stands on two texts; documents 2 and 3 are each near one of them."""
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    docs = spark.createDataFrame(
+        [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, "else"), (None, a)], "doc_id bigint, text string"
+    )
+    got = minhash.near_groups(docs, words=3, percent=85).collect()
+    assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in got) == [
+        (0, 1, False), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)
+    ]
+
+
+def test_a_text_of_its_own_stays_when_its_id_is_dropped_elsewhere(spark):
+    """Id 5 stands on a copy of document 1, which goes, and on a text of its own, which stays;
+    columns with the names that the stage uses are kept as they are."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    a = " ".join(f"a{i}" for i in range(60))
+    rows = [(1, a), (5, a + " more"), (5, "a text of its own"), (None, a), (6, None), (7, "")]
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id bigint, text string, _gone int, _hash int, node int, digest int")
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id or 0, r.text or "") for r in got.collect())) == sorted(
+        [(0, a), (1, a), (5, "a text of its own"), (6, ""), (7, "")]
+    )
