@@ -29,10 +29,14 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays.  Rows without an id stay."""
-    name, = unused(docs, "_gone")
-    gone = minhash.near_groups(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(small_side(gone), F.col("doc_id") == F.col(name), "left_anti")
+    """One document of each group of near-duplicates stays.  Rows without an id stay.  A row goes by
+    its id and the hash of its text, so another text with the id of a dropped one stays."""
+    gone, text_hash = unused(docs, "_gone", "_hash")
+    lost = minhash.near_groups(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(
+        F.col("doc_id").alias(gone), F.col("text_hash").alias(text_hash)
+    ).distinct()
+    same = (F.col("doc_id") == F.col(gone)) & (F.xxhash64("text") == F.col(text_hash))
+    return docs.join(small_side(lost), same, "left_anti")
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
