@@ -54,7 +54,8 @@ def test_registry():
     own = set(entry.registered.QUERIES)
     queries, sql = {k: queries[k] for k in own}, {k: v for k, v in sql.items() if k in own}
     assert set(sql) <= set(queries) and len(queries) > 120
-    assert set(queries) == set(sql)
+    # a trained model's predictions have no SQL; test_feedback.py holds them to a held-out part
+    assert set(queries) - set(sql) == {"fp_classifier_predictions", "fp_classifier_confusion"}
 
 
 def test_entry(spark):
