@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakframe import fixed_values as fv
 from leakframe.functions import classify, names, text
 from leakframe.functions.regex import contains_any, escape, flags, to_java
-from leakframe.operators.ranking import prefix_sum
+from leakframe.operators.bloom import Bloom
 from leakframe.operators.secrets import drop_covered_partials
-from leakframe.session import cut_lineage, small_side
+from leakframe.session import BROADCAST_BYTES, cut_lineage, measured, small_side, written
 
 
 # ------------------------------------------------------------------ selection
@@ -83,95 +81,126 @@ def replacement_table(findings: DataFrame, prefix: str = "APP_") -> DataFrame:
 
 
 # ------------------------------------------------------------------ redaction
-PURGE_CHUNK_BYTES = 4 * 1024 * 1024
-
-
-def _chunks(purge: DataFrame, limit: int) -> Iterator[list[tuple[str, str]]]:
-    """The purge list in order (longest first, then by value), in pieces of bounded size.
-
-    One automaton holds a piece, so a list of any length is worked off piece by piece."""
-    rows = purge.where(F.col("value") != "").groupBy("value").agg(
-        F.min(F.coalesce("replacement", F.lit("")) if "replacement" in purge.columns else F.lit("")).alias("replacement")
-    ).withColumn("n", F.length("value"))
-    order = [F.col("n").desc(), F.col("value")]
-    placed = cut_lineage(prefix_sum(rows, [], order, F.octet_length("value").cast("bigint"), "end").withColumn(
-        "chunk", F.floor((F.col("end") - 1) / limit)
-    ))
-    for (chunk,) in placed.select("chunk").distinct().orderBy("chunk").toLocalIterator():
-        yield [(r.value, r.replacement) for r in placed.where(F.col("chunk") == chunk).orderBy(*order).collect()]
-
-
-def automaton(values: list[str]):
-    """Finds all of many literals in one pass over a text; yields their places in the list."""
-    import ahocorasick
-
-    found = ahocorasick.Automaton()
-    for i, value in enumerate(values):
-        found.add_word(value, i)
-    found.make_automaton()
-    return found
-
-
-def replace_all(text_: str, search, pairs: list[tuple[str, str]]) -> str:
-    """Each value of the list in turn, everywhere; the same as a loop over the whole list.
+ANCHOR = 8  # characters that find a value in a text
+HEAD = 128  # characters of a value that are compared where its anchor stands
+PIECE = 512  # least size of the pieces that texts are searched in
+
+
+def _listed(purge: DataFrame) -> DataFrame:
+    """The values of a purge list, each once: ``value``, ``replacement`` and its length ``n``."""
+    replacement = F.coalesce("replacement", F.lit("")) if "replacement" in purge.columns else F.lit("")
+    rows = purge.where(F.col("value") != "").groupBy("value").agg(F.min(replacement).alias("replacement"))
+    return cut_lineage(rows.withColumn("n", F.length("value")))
+
+
+def _held(rows: DataFrame, key: str, side: DataFrame, limit: int, how: str) -> DataFrame:
+    """``rows`` joined with a narrow ``side``, which is broadcast up to ``limit`` bytes.  Beyond it a
+    Bloom filter of bounded size goes to the rows, and only rows that it lets pass are shuffled."""
+    kept, size = measured(side)
+    if size <= limit:
+        return rows.join(F.broadcast(kept), key, how)
+    marked = Bloom(kept.select(key), key).mark(rows, F.col(key), "_may")
+    joined = marked.where("_may").drop("_may").join(kept, key, how)
+    if how == "inner":
+        return joined
+    return joined.unionByName(marked.where("NOT _may").drop("_may"), allowMissingColumns=True)
+
+
+def _windows(body: Column, size: int) -> Column:
+    """All windows of ``size`` characters in order, in time linear in the text."""
+    return F.regexp_extract_all(body, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+
+
+def occurrences(texts: DataFrame, values: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Distinct ``key`` and ``value``: which of the ``values`` (``value``, ``n``) stand in ``texts`` (``key``, ``body``).
+
+    Neither pairs of texts and values are built nor texts shuffled.  Texts are cut into pieces that
+    overlap.  A window of ``ANCHOR`` characters that begins some value asks for one window of each
+    length that values with this beginning have, whatever their number, and those meet the values by
+    equality.  Of long values the first ``HEAD`` characters meet, then the whole value is searched.
+    Values shorter than an anchor are windows themselves."""
+    head = F.substring("value", 1, HEAD)
+    heads = values.select("value", "n", head.alias("head"), F.length(head).alias("m"))
+    sizes = heads.agg(F.max("m").alias("most"), F.collect_set(F.when(F.col("m") < ANCHOR, F.col("m"))).alias("short")).first()
+    most, short = sizes["most"] or 0, sorted(sizes["short"] or [])
+    step = max(PIECE, most)
+    cut = F.regexp_extract_all("body", F.lit(f"(?s)(?=(.{{1,{step + most}}})).{{1,{step}}}"), F.lit(1))
+    pieces = texts.select("key", F.explode(cut).alias("piece"))
+
+    found = [texts.select("key", F.lit("").alias("head")).limit(0)]
+    if most >= ANCHOR:
+        anchors = heads.where(F.col("m") >= ANCHOR).select(F.xxhash64(F.substring("value", 1, ANCHOR)).alias("anchor"), "m").distinct()
+        spots = pieces.select("key", "piece", F.posexplode(_windows(F.col("piece"), ANCHOR)).alias("at", "window"))
+        spots = spots.select("key", "piece", "at", F.xxhash64("window").alias("anchor"))
+        found.append(_held(spots, "anchor", anchors, limit, "inner").select("key", F.substring("piece", F.col("at") + 1, F.col("m")).alias("head")))
+    if short:
+        own = F.concat(*[_windows(F.col("piece"), n) for n in short])
+        wanted = heads.where(F.col("m") < ANCHOR).select("head")
+        found.append(_held(pieces.select("key", F.explode(F.array_distinct(own)).alias("head")), "head", wanted, limit, "inner").select("key", "head"))
+    met = cut_lineage(reduce(DataFrame.unionByName, found).distinct().join(heads, "head").select("key", "value", "n"))
+    if most < HEAD:
+        return met.select("key", "value")
+    long = met.where(F.col("n") > HEAD).select("key", "value")
+    whole = _held(texts, "key", long, limit, "inner").where(F.col("body").contains(F.col("value"))).select("key", "value")
+    return met.where(F.col("n") <= HEAD).select("key", "value").unionByName(whole.distinct())
+
+
+def literal_hits(files: DataFrame, purge: DataFrame, keys: list[str], content: str = "content", limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Files (``keys``) and the purge values that stand in them, reported by a rule or not."""
+    texts = files.select(F.sha2(content, 256).alias("key"), F.col(content).alias("body"))
+    hits = occurrences(texts, _listed(purge), limit)
+    return files.select(*keys, F.sha2(content, 256).alias("_text")).join(
+        hits.withColumnRenamed("key", "_text"), "_text"
+    ).select(*keys, "value")
+
+
+def _replaced(body: Column, values: Column, longest: int) -> Column:
+    """``text`` after all replacements in turn, and ``around``: what stands around each of them, wide
+    enough to hold any value that a replacement brings into being."""
+    reach = longest - 1
+
+    def one(state: Column, pair: Column) -> Column:
+        parts = F.split(state["text"], escape(pair["value"]), -1)
+        ends = F.transform(parts, lambda p: F.when(
+            F.length(p) > 2 * reach, F.concat(F.substring(p, 1, reach), F.right(p, F.lit(reach)))
+        ).otherwise(p))
+        after = F.struct(
+            F.replace(state["text"], pair["value"], pair["replacement"]).alias("text"),
+            F.concat(state["around"], F.array(F.call_function("array_join", ends, pair["replacement"]))).alias("around"),
+        )
+        return F.when(state["text"].contains(pair["value"]), after).otherwise(state)
 
-    Only values that occur are tried.  A replacement can bring a later value into being, so the
-    text is searched again after each."""
-    done = -1
-    while True:
-        later = [i for _, i in search.iter(text_) if i > done]
-        if not later:
-            return text_
-        done = min(later)
-        text_ = text_.replace(*pairs[done])
+    none = F.array().cast("array<string>")
+    start = F.struct(body.alias("text"), none.alias("around"))
+    return F.when(values.isNull(), start).otherwise(F.aggregate(values, start, one))
 
 
-def redact_everywhere(files: DataFrame, purge: DataFrame, content: str = "content", limit: int = PURGE_CHUNK_BYTES) -> DataFrame:
+def redact_everywhere(files: DataFrame, purge: DataFrame, content: str = "content", limit: int = BROADCAST_BYTES) -> DataFrame:
     """Replace every purge value wherever it stands in any text, longest first, then by value.
 
-    A secret is removed also where no rule reported it.  Texts stay in their tasks: the list
-    goes to them, in pieces of bounded size, and each piece is one pass of a multi-pattern search
-    over the text.  Needs ``value`` and ``replacement`` (default: nothing)."""
-    schema, at = files.schema, files.columns.index(content)
-    for pairs in _chunks(purge, limit):
-        files = files.mapInArrow(_redactor(files.sparkSession.sparkContext.broadcast(pairs), at), schema)
-    return files
-
-
-def _redactor(pairs, at: int):
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = automaton([value for value, _ in pairs.value])
-        for batch in batches:
-            texts = [t if t is None else replace_all(t, search, pairs.value) for t in batch.column(at).to_pylist()]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-
-    return clean
-
-
-def literal_hits(files: DataFrame, purge: DataFrame, keys: list[str], content: str = "content", limit: int = PURGE_CHUNK_BYTES) -> DataFrame:
-    """Files (``keys``) and the purge values that stand in them, reported by a rule or not."""
-    narrow = files.select(*keys, F.col(content).alias("value"))
-    hits = [narrow.limit(0)]
-    for pairs in _chunks(purge, limit):
-        hits.append(narrow.mapInArrow(_searcher(files.sparkSession.sparkContext.broadcast([v for v, _ in pairs]), len(keys)), narrow.schema))
-    return reduce(DataFrame.unionByName, hits)
-
-
-def _searcher(values, at: int):
-    def search_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = automaton(values.value)
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 256):
-                part = batch.slice(begin, 256)
-                row, value = [], []
-                for i, body in enumerate(part.column(at).to_pylist()):
-                    for k in sorted({k for _, k in search.iter(body or "")}):
-                        row.append(i)
-                        value.append(values.value[k])
-                took = part.take(pa.array(row, pa.int32()))
-                yield took.set_column(at, part.schema.field(at), pa.array(value, part.schema.field(at).type))
-
-    return search_batches
+    A secret is removed also where no rule reported it.  The result is that of a loop over the whole
+    list, but a text tries only values that stand in it (``occurrences``).  A replacement can bring
+    another value into being: what stands around the replacements is searched again, and as long as
+    this finds values that a text did not try, the texts are cleaned anew with them.  Texts stay in
+    their tasks and are stored when clean, since sinks and both checks read them.  Needs ``value``
+    and ``replacement`` (default: nothing)."""
+    values = _listed(purge)
+    longest = values.agg(F.max("n")).first()[0]
+    if longest is None:
+        return files
+    keyed = files.withColumn("_text", F.sha2(content, 256))
+    texts = keyed.select(F.col("_text").alias("key"), F.col(content).alias("body"))
+    found = cut_lineage(occurrences(texts, values, limit))
+    order = F.struct((-F.col("n")).alias("n"), "value", "replacement")
+    while True:
+        lists = found.join(values, "value").groupBy(F.col("key").alias("_text")).agg(F.array_sort(F.collect_list(order)).alias("_values"))
+        done = _held(keyed, "_text", lists, limit, "left").withColumn("_done", _replaced(F.col(content), F.col("_values"), longest))
+        clean = written(done.drop("_values"), "redacted")
+        around = clean.select(F.col("_text").alias("key"), F.explode("_done.around").alias("body"))
+        more = cut_lineage(occurrences(around, values, limit).join(found, ["key", "value"], "left_anti"))
+        if more.isEmpty():
+            return clean.select(*[F.col("_done.text").alias(c) if c == content else F.col(c) for c in files.columns])
+        found = cut_lineage(found.unionByName(more))
 
 
 # ------------------------------------------------------------------ rewriting

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -76,9 +77,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Like ``cut_lineage`` for wide rows: a compressed table in the shared folder, read back."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
+def measured(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` behind a checkpoint, and the bytes of its rows."""
+    kept = cut_lineage(df)
+    size = F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("bytes")
+    return kept, kept.agg(size).first()["bytes"] or 0
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Broadcast ``df`` if it is measured to be small, else leave the join to a shuffle.
 
@@ -86,10 +101,8 @@ def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     has been shuffled.  The narrow side is checkpointed, its bytes are summed, and only a side
     below the limit is broadcast, so that the text stays where it is.
     """
-    kept = cut_lineage(df)
-    size = F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("bytes")
-    measured = kept.agg(size).first()["bytes"] or 0
-    return F.broadcast(kept) if measured <= limit else kept
+    kept, size = measured(df)
+    return F.broadcast(kept) if size <= limit else kept
 
 
 _BUILT: dict[tuple[str, str], dict[str, Column]] = {}
