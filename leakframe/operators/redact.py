@@ -107,8 +107,9 @@ def _held(rows: DataFrame, key: str, side: DataFrame, limit: int, how: str) -> D
 
 
 def _windows(body: Column, size: int) -> Column:
-    """All windows of ``size`` characters in order, in time linear in the text."""
-    return F.regexp_extract_all(body, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
+    """All windows of ``size`` characters in order, in time linear in the text.  Each match takes a
+    character, since an empty one would also stop inside of surrogate pairs."""
+    return F.regexp_extract_all(body, F.lit(f"(?s)(?=(.{{{size}}}))."), F.lit(1))
 
 
 def occurrences(texts: DataFrame, values: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -134,6 +134,47 @@ def test_redaction_in_pieces_equals_a_loop(spark, limit):
     assert [got[i] for i in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 26])
+def test_long_values_and_all_characters_are_found(spark, limit):
+    """Values on piece borders, longer than what is compared first, with characters outside the BMP,
+    with a shared beginning, in empty, null and repeated texts; broadcast and Bloom filter agree."""
+    shared = "postgres://user:" + "x" * redact.HEAD
+    values = [shared + "one", shared + "two", "postgres", "\U0001f511key\U0001f511\U0001f511!\n.*", "ab", "(a|b)\\E$1", "never there"]
+    pad = "\U0001f600p" * (redact.PIECE // 2 - 3)
+    texts = ["", None, pad + values[3] + pad + values[5], shared + "on", values[1] * 3, "cabc", "cabc", pad + "postgre" + pad + "postgres"]
+    files = spark.createDataFrame(list(enumerate(texts)), "path int, content string")
+    purge = spark.createDataFrame([(v,) for v in values + ["", None]], "value string")
+    got = sorted((r.path, r.value) for r in redact.literal_hits(files, purge, ["path"], limit=limit).collect())
+    assert got == sorted((i, v) for i, t in enumerate(texts) for v in values if t and v in t)
+    want = []
+    for text in texts:
+        for v in sorted(values, key=lambda v: (-len(v), v)):
+            text = text and text.replace(v, "")
+        want.append(text)
+    clean = {r.path: r.content for r in redact.redact_everywhere(files, purge, limit=limit).collect()}
+    assert [clean[i] for i in range(len(texts))] == want
+    assert redact.redact_everywhere(files, purge.limit(0)).count() == len(texts)
+    assert redact.redact_everywhere(files.limit(0), purge).count() == 0
+
+
+def test_a_hundred_thousand_values_stay_off_the_driver(spark):
+    values = spark.range(100_000).select(F.concat(F.lit("https://h/"), F.sha2(F.col("id").cast("string"), 256)).alias("value"))
+    files = spark.range(2_000).select(
+        F.col("id").alias("path"),
+        F.concat(F.lit("see https://h/"), F.sha2((F.col("id") * 75).cast("string"), 256), F.lit(" https://h/none end")).alias("content"),
+    )
+    texts = files.select(F.sha2("content", 256).alias("key"), F.col("content").alias("body"))
+    hits = redact.literal_hits(files, values, ["path"])
+    assert hits.count() == files.where("path * 75 < 100000").count() == 1_334
+    assert hits.select("value").distinct().join(values, "value").count() == 1_334
+    found = redact.occurrences(texts, redact._listed(values), limit=0)
+    assert found.count() == 1_334
+    for df in (hits, found):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "InArrow" not in plan
+        assert not any("Exchange" in line and ("body" in line or "content" in line) for line in plan.splitlines())
+
+
 def test_repositories_keep_their_own_secrets(spark):
     rows = [("r1", "a.py", "c1", 1, "v"), ("r2", "z.py", "c2", 2, "v"), ("r2", "z.py", "c3", 3, "v")]
     df = spark.createDataFrame(rows, "repo string, path string, commit_hash string, commit_seq int, value string").select(
