@@ -37,7 +37,7 @@ from leakframe.llm.components import components
 from leakframe.llm.memory import hold
 from leakframe.llm.storage import stored
 from leakframe.llm.streams import grouped
-from leakframe.session import small_side
+from leakframe.operators.bloom import Bloom
 
 BANDS, ROWS = 24, 5
 BLOCK = 1024
@@ -161,7 +161,9 @@ def signed(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int,
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """``node`` and its sorted shingles for the ``wanted`` classes (``node``, ``digest``, and ``id``
-    of a document), read again.  Other texts of the ids are told by their digest and left out."""
+    of a document), read again.  A Bloom filter of bounded size picks the texts where they are read, so
+    no text is shuffled, however many are wanted; other texts, also of the same ids, are told by their
+    digest and left out."""
     schema = pa.schema([("digest", pa.binary()), ("shingles", pa.binary())])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +176,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wo
                 ], schema=schema)
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    again = texts.join(small_side(wanted.select("id").distinct()), "id", "left_semi").select("text")
+    again = Bloom(wanted.select("id"), "id").mark(texts, F.col("id"), "may").where("may").select("text")
     found = again.mapInArrow(sets, "digest binary, shingles binary").dropDuplicates(["digest"])
     return found.join(wanted.select("node", "digest"), "digest").select("node", "shingles")
 
