@@ -11,7 +11,7 @@ Then every link that can join two components is decided on the full sets:
 1. each class is compared with the first class of its largest bucket (as many pairs as classes);
 2. buckets whose members lie in one component by now have nothing left to decide.  In each of the
    others all pairs are compared inside tasks, block by block, as products of membership matrices;
-   only links between different components leave a task.
+   only a spanning forest of the links between components leaves a task.
 
 No bucket is cut: a large one is dealt over pairs of blocks of ``BLOCK`` classes.
 
@@ -208,6 +208,19 @@ def _products(sets: list[np.ndarray], rows: int) -> np.ndarray:
     return inter.astype(np.int64)
 
 
+def _roots(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least number reachable from each of 0 to ``size`` - 1 over the links (a, b)."""
+    root = np.arange(size)
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def near_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80,
     bands: int = BANDS, rows: int = ROWS, block: int = BLOCK,
@@ -274,9 +287,12 @@ def near_groups(
             top = int(upper.sum())
             near = linked(_products(sets_, top), n[:top, None] + n[None, :], percent) & (part[:top, None] != part[None, :])
             i, j = np.nonzero(near)
-            if len(i):  # a link for each pair of components, whichever documents give it
-                _, one = np.unique(np.stack([np.minimum(part[i], part[j]), np.maximum(part[i], part[j])]), axis=1, return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(node[i[one]]), pa.array(node[j[one]])], names=["a", "b"])
+            if len(i):
+                # a spanning forest says the same as all links between components: no more rows than members
+                names, first, own = np.unique(part, return_index=True, return_inverse=True)
+                root = _roots(len(names), own[i], own[j])
+                moved = np.flatnonzero(root != np.arange(len(names)))
+                yield pa.RecordBatch.from_arrays([pa.array(node[first[moved]]), pa.array(node[first[root[moved]]])], names=["a", "b"])
 
     more = dealt.select("task", "upper", "node", "part", "shingles").mapInArrow(compare, "a bigint, b bigint")
     joined = components(links.unionByName(more), "a", "b")
