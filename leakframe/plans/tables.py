@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakframe.operators.rules import Rule, ScanConfig
-from leakframe.sources.readers import spread
+from leakframe.sources.readers import SPREAD_ROWS, spread
 
 RULES = [
     Rule("auth_token", "Auth Token", r'\btoken\s*=\s*"([^"]+)"', "auth_token", "high",
@@ -84,7 +84,7 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One configuration file per customer, with keys made from the customer's name."""
-    c = spread(read(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment"))
+    c = spread(read(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment"), SPREAD_ROWS)
     h = F.sha2("c_name", 256)
     k = F.col("c_custkey")
     kinds = F.array(*[F.lit(p) for p in CONFIG_PATHS])

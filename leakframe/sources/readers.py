@@ -66,14 +66,23 @@ def table(spark: SparkSession, path: str, columns: list[str] | None = None) -> D
     return df.select(*columns) if columns else df
 
 
-def spread(scan: DataFrame) -> DataFrame:
+SPREAD_ROWS = 20_000  # rows of a task at most, where rows are few bytes but much work
+
+
+def spread(scan: DataFrame, rows: int | None = None) -> DataFrame:
     """Spread a small scan over all cores before CPU-bound text work.
 
     Only for a plain scan with fewer splits than cores (then its text is at most a few
     splits).  A large table has more splits than cores and is left as it is, unshuffled.
+    With ``rows`` the scan is narrow and a text is built from each row afterwards: splits go by
+    bytes and say nothing about the work, so tasks are dealt that many rows each, at any size.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.isStreaming or scan.rdd.getNumPartitions() >= cores:
+    if scan.isStreaming:
+        return scan
+    if rows is not None:
+        return scan.repartition(max(cores, -(-scan.count() // rows)))
+    if scan.rdd.getNumPartitions() >= cores:
         return scan
     return scan.repartition(cores)
 

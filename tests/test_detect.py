@@ -254,3 +254,14 @@ def test_many_places_in_one_file(spark):
             name = re.search(r'"([^"]+)"\s*:\s*\{', line) or re.search(r'"([^"]+)"\s*:\s*$', above)
             last = name[1] if name else last
     assert got == want and len(got) == 1000
+
+
+def test_narrow_rows_are_dealt_by_number(spark, tmp_path):
+    """One small file with many rows: a task never gets more than its share, however many there are."""
+    from leakframe.sources.readers import spread
+
+    spark.range(5000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    dealt = spread(spark.read.parquet(str(tmp_path / "t")), 100)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert dealt.rdd.getNumPartitions() == 50 and max(sizes) < 200
+    assert sorted(r.id for r in dealt.collect()) == list(range(5000))
