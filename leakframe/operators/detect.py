@@ -240,18 +240,23 @@ def _catalog_hits(content: Column, rules: list[Rule], low: Column, odd: Column)
         named.append(F.when(F.rlike(content, F.lit(rule_ops.any_rule(rules, index.loose))), numbers(index.loose)).otherwise(numbers([])))
     chosen = F.when(odd, numbers(list(range(len(rules))))).otherwise(F.array_sort(F.array_distinct(F.concat(*named))))
     may = lambda r: F.coalesce(F.contains(low, r["literal"]), F.lit(True)) | odd
-    active = F.filter(F.transform(chosen, lambda i: F.get(catalog, i)), lambda r: may(r) & F.rlike(content, r["pattern"]))
+    active = F.filter(F.transform(chosen, lambda i: F.get(catalog, i)), may)
     none = F.array().cast("array<array<string>>")
+    found = F.filter(
+        F.transform(active, lambda r: F.struct(r.alias("rule"), F.regexp_extract_all(content, r["pattern"], F.lit(0)).alias("texts"))),
+        lambda f: F.size(f["texts"]) > 0,
+    )
 
-    def hit(r: Column) -> Column:
+    def hit(f: Column) -> Column:
+        r = f["rule"]
         groups = F.transform(F.sequence(F.lit(1), r["groups"]), lambda g: F.regexp_extract_all(content, r["pattern"], g))
         return F.struct(
             F.lit("rule").alias("detector"), r["rule_id"].alias("rule_id"), r["ord"].alias("rule_ord"),
-            F.regexp_extract_all(content, r["pattern"], F.lit(0)).alias("texts"), F.split(content, r["pattern"], -1).alias("gaps"),
+            f["texts"].alias("texts"), F.split(content, r["pattern"], -1).alias("gaps"),
             F.when(r["groups"] > 0, groups).otherwise(none).alias("groups"),
         )
 
-    return F.transform(active, hit)
+    return F.transform(found, hit)
 
 
 def split_match(matched: Column, groups: Column) -> Column:
@@ -352,9 +357,10 @@ def _barrier(df: DataFrame, **cols: Column) -> DataFrame:
     A filter on these columns is not pushed below it, so expensive values are computed once
     per row instead of once in a filter and again in the output.
     """
-    fresh = F.struct(*[c.alias(n) for n, c in cols.items()])
+    fresh = F.struct(*[c.alias(n) for n, c in cols.items()]).alias("_fresh")
     kept = [c for c in df.columns if c not in cols]
-    return df.select(*kept, F.inline(F.array(fresh)))
+    # a projection is compiled, what stands inside a generator is interpreted
+    return df.select(*kept, fresh).select(*kept, F.inline(F.array("_fresh")))
 
 
 def judge(
@@ -368,10 +374,10 @@ def judge(
     config = config or ScanConfig()
     c = built_once(f"judge {config!r}", lambda: _judge_columns(config))
     parted = _barrier(matches, _split=c["split"])
-    valued = _barrier(
-        parted, **{k: c[k] for k in ("variable_name", "actual_value", "value", "entropy")}
-    ).drop("_split")
-    reasoned = _barrier(valued.where(c["keep"]), fp_reason=c["fp_reason"], _class=c["class"])
+    valued = _barrier(parted, **{k: c[k] for k in ("variable_name", "actual_value", "value")}).drop("_split")
+    # entropy and reason stand in a projection: the filters evaluate them where they ask for them
+    kept = valued.withColumn("entropy", c["entropy"]).where(c["keep"])
+    reasoned = _barrier(kept, _class=c["class"]).withColumn("fp_reason", c["fp_reason"])
     own = [F.col(x) for x in matches.columns if x not in _MATCH_COLUMNS]
     typed = _with_rule(reasoned, rules).withColumn("_type", c["type"])
     where = [F.col(x) for x in ("repo", "branch", "commit_hash") if x in matches.columns]
@@ -438,8 +444,7 @@ def _judge_columns(config: ScanConfig) -> dict[str, Column]:
         "false_positive": F.col("fp_reason").isNotNull().alias("false_positive"),
         "place": place,
     }
-    # entropy needs the value column, so it is added beside it from the same source
-    columns["entropy"] = text.entropy(columns["value"])
+    columns["entropy"] = text.entropy(value)
     columns |= {o: F.col(o[4:]) for o in _OUTPUT if o.startswith("out ")}
     return columns
 
@@ -465,4 +470,6 @@ def scan(files: DataFrame, rules: list[Rule], config: ScanConfig | None = None)
 
 def findings(judged: DataFrame) -> DataFrame:
     """The public view: matches that no family suppressed."""
-    return judged.where(F.col("fp_reason").isNull())
+    kept = judged.where(F.col("fp_reason").isNull())
+    known = {"fp_reason": F.lit(None).cast("string"), "false_positive": F.lit(False)}  # so it is not judged again
+    return kept.select(*[known[x].alias(x) if x in known else F.col(x) for x in kept.columns])

@@ -12,72 +12,88 @@ from pyspark.sql import functions as F
 
 from leakframe import fixed_values as fv
 from leakframe.functions import text
-from leakframe.functions.regex import contains_any, hits, line_hits
+from leakframe.functions.regex import contains_any, has_mark, hits, line_hits, needs_mark
 from leakframe.operators.rules import ScanConfig, usable
 
 
+def _on(value: Column, bare: bool):
+    """``hits`` on the value.  For a bare value, one without marks, patterns that need one are left out."""
+
+    def found(patterns: list[str] | str, ignore_case: bool = True) -> Column:
+        patterns = [patterns] if isinstance(patterns, str) else patterns
+        left = [p for p in patterns if not (bare and needs_mark(p))]
+        return hits(value, left, ignore_case) if left else F.lit(False)
+
+    return found
+
+
+def _value(matched: Column, actual: Column) -> Column:
+    return F.coalesce(F.when(actual != "", actual), matched)
+
+
 def families(
-    path: Column, matched: Column, actual: Column, line: Column, config: ScanConfig
+    path: Column, matched: Column, actual: Column, line: Column, config: ScanConfig, bare: bool = False
 ) -> list[tuple[str, Column]]:
-    """Families of the full profile in the order they are tested."""
-    value = F.coalesce(F.when(actual != "", actual), matched)
+    """Families of the full profile in the order they are tested; ``bare``: for values without marks."""
+    value = _value(matched, actual)
+    found = _on(value, bare)
     low_path = F.lower(path)
     out: list[tuple[str, Column]] = []
 
     def add(name: str, cond: Column) -> None:
         out.append((name, cond))
 
-    add("noisy_file", hits(low_path, fv.FP_PATHS))
-    add("html_text", low_path.endswith(".html") & hits(value, fv.FP_HTML))
+    add("noisy_file", line_hits(low_path, fv.FP_PATHS))
+    add("html_text", low_path.endswith(".html") & found(fv.FP_HTML))
     add(
         "android_xml",
-        low_path.endswith(".xml") & (hits(value, fv.FP_ANDROID) | line_hits(line, fv.FP_ANDROID)),
+        low_path.endswith(".xml") & (found(fv.FP_ANDROID) | line_hits(line, fv.FP_ANDROID)),
     )
-    add("csharp_code", hits(value, fv.FP_CSHARP))
-    add("public_url", hits(value, fv.FP_PUBLIC_URL) & ~hits(value, fv.URL_CREDENTIAL_6))
-    add("log_template", hits(value, fv.FP_LOG))
+    add("csharp_code", found(fv.FP_CSHARP))
+    add("public_url", found(fv.FP_PUBLIC_URL) & ~found(fv.URL_CREDENTIAL_6))
+    add("log_template", found(fv.FP_LOG))
     add(
         "alphabet",
-        (value == fv.FP_ALPHABET_LITERAL) | hits(value, fv.FP_ALPHABET, ignore_case=False),
+        (value == fv.FP_ALPHABET_LITERAL) | found(fv.FP_ALPHABET, ignore_case=False),
     )
     unprintable = F.length(F.regexp_replace(value, r"[\x20-\x7e]", ""))
-    add("unprintable", unprintable > F.length(value) * F.lit(fv.UNPRINTABLE_SHARE))
-    add("minified_js", hits(value, fv.FP_MINIFIED, ignore_case=False))
-    add("js_code", hits(value, fv.FP_JS))
+    add("unprintable", F.rlike(value, F.lit(r"[^\x20-\x7e]")) & (unprintable > F.length(value) * F.lit(fv.UNPRINTABLE_SHARE)))
+    add("minified_js", found(fv.FP_MINIFIED, ignore_case=False))
+    add("js_code", found(fv.FP_JS))
     add(
         "data_uri",
-        hits(value, fv.FP_DATA_URI)
-        | (low_path.endswith(".css") & hits(value, fv.FP_CSS_BASE64, ignore_case=False)),
+        found(fv.FP_DATA_URI)
+        | (low_path.endswith(".css") & found(fv.FP_CSS_BASE64, ignore_case=False)),
     )
-    add("identifier", hits(value, fv.FP_IDENTIFIER, ignore_case=False))
-    add("css", hits(value, fv.FP_CSS))
+    add("identifier", found(fv.FP_IDENTIFIER, ignore_case=False))
+    add("css", found(fv.FP_CSS))
     add(
         "url_template",
-        hits(value, fv.URL_TEMPLATE_START, ignore_case=False)
-        & hits(value, fv.URL_TEMPLATE_SLOT, ignore_case=False)
-        & ~hits(value, fv.URL_CREDENTIAL_1),
+        found(fv.URL_TEMPLATE_START, ignore_case=False)
+        & found(fv.URL_TEMPLATE_SLOT, ignore_case=False)
+        & ~found(fv.URL_CREDENTIAL_1),
     )
-    add("code", hits(value, fv.FP_CODE))
-    add("http_header", hits(value, fv.FP_HEADERS))
+    add("code", found(fv.FP_CODE))
+    add("http_header", found(fv.FP_HEADERS))
     add(
         "cdn_url",
-        hits(value, "https?://", ignore_case=False)
-        & hits(value, fv.FP_CDN)
-        & ~hits(value, fv.URL_CREDENTIAL_8),
+        found("https?://", ignore_case=False)
+        & found(fv.FP_CDN)
+        & ~found(fv.URL_CREDENTIAL_8),
     )
-    add("ui_text", hits(value, fv.FP_UI_TEXT))
-    add("angular", hits(value, fv.FP_ANGULAR))
-    add("function_call", hits(value, fv.FP_CALLS))
+    add("ui_text", found(fv.FP_UI_TEXT))
+    add("angular", found(fv.FP_ANGULAR))
+    add("function_call", found(fv.FP_CALLS))
     add(
         "plain_word",
-        hits(value, fv.ONE_WORD, ignore_case=False)
+        found(fv.ONE_WORD, ignore_case=False)
         & (F.length(value) < fv.ONE_WORD_MAX)
-        & ~hits(value, fv.CREDENTIAL_PREFIXES)
+        & ~found(fv.CREDENTIAL_PREFIXES)
         & (text.entropy(value) < fv.ONE_WORD_ENTROPY),
     )
     catalog = usable(config.false_positive_patterns)
     if catalog:
-        add("catalog_pattern", hits(value, catalog))
+        add("catalog_pattern", found(catalog))
     if config.public_tokens:
         add("public_token", contains_any(F.lower(value), [t.lower() for t in config.public_tokens]))
     for category, patterns in config.exclusions.items():
@@ -93,39 +109,40 @@ def families(
         & F.coalesce(actual != "", F.lit(False))
         & (text.entropy(actual) < fv.TEST_ENTROPY),
     )
-    add("placeholder", hits(value, fv.FP_PLACEHOLDER))
+    add("placeholder", found(fv.FP_PLACEHOLDER))
     add("too_short", F.length(value) < 4)
     domains = fv.FP_DOC_DOMAINS
     if config.strict_doc_domains:
         domains = [d if "*" in d else d.replace(".", r"\.") for d in domains]
-    add("doc_domain", hits(matched, domains))
+    add("doc_domain", line_hits(matched, domains))
     return out
 
 
 def fast_families(
-    path: Column, matched: Column, actual: Column, line: Column, config: ScanConfig
+    path: Column, matched: Column, actual: Column, line: Column, config: ScanConfig, bare: bool = False
 ) -> list[tuple[str, Column]]:
-    """Families of the fast profile, cheap tests first."""
-    value = F.coalesce(F.when(actual != "", actual), matched)
+    """Families of the fast profile, cheap tests first; ``bare``: for values without marks."""
+    value = _value(matched, actual)
+    found = _on(value, bare)
     low_path = F.lower(path)
     script = low_path.endswith(".ts") | low_path.endswith(".js")
     return [
         ("too_short", F.length(value) < 4),
-        ("noisy_file", hits(low_path, fv.FAST_SKIP_PATH)),
+        ("noisy_file", line_hits(low_path, fv.FAST_SKIP_PATH)),
         (
             "android_xml",
-            low_path.endswith(".xml") & (hits(value, fv.FP_ANDROID) | line_hits(line, fv.FP_ANDROID)),
+            low_path.endswith(".xml") & (found(fv.FP_ANDROID) | line_hits(line, fv.FP_ANDROID)),
         ),
-        ("html_text", low_path.endswith(".html") & hits(value, fv.FAST_HTML + fv.FAST_ANGULAR)),
+        ("html_text", low_path.endswith(".html") & found(fv.FAST_HTML + fv.FAST_ANGULAR)),
         (
             "js_code",
-            script & (hits(value, fv.FAST_JS) | hits(value, fv.FAST_MINIFIED)),
+            script & (found(fv.FAST_JS) | found(fv.FAST_MINIFIED)),
         ),
-        ("css", hits(value, fv.FAST_CSS)),
-        ("code", hits(value, fv.FAST_CODE)),
-        ("placeholder", hits(value, fv.FAST_PLACEHOLDER)),
-        ("angular", hits(value, fv.FAST_ANGULAR)),
-        ("android", hits(value, fv.FP_ANDROID)),
+        ("css", found(fv.FAST_CSS)),
+        ("code", found(fv.FAST_CODE)),
+        ("placeholder", found(fv.FAST_PLACEHOLDER)),
+        ("angular", found(fv.FAST_ANGULAR)),
+        ("android", found(fv.FP_ANDROID)),
         ("test_data", contains_any(value, fv.FAST_LITERALS)),
     ]
 
@@ -137,12 +154,17 @@ def fp_reason(
     line: Column,
     config: ScanConfig | None = None,
 ) -> Column:
-    """Name of the first family that fires, NULL for a real finding."""
+    """Name of the first family that fires, NULL for a real finding.
+
+    Most secrets are one bare word, and most patterns need punctuation: one search of the value
+    tells whether they are tried."""
     config = config or ScanConfig()
     build = fast_families if config.profile == "fast" else families
-    return text.first_hit(
-        (cond, name) for name, cond in build(path, matched, actual, line, config)
-    )
+
+    def first(bare: bool) -> Column:
+        return text.first_hit((cond, name) for name, cond in build(path, matched, actual, line, config, bare))
+
+    return F.when(has_mark(_value(matched, actual)), first(False)).otherwise(first(True))
 
 
 def review_hints(value: Column, files_text: Column) -> Column:

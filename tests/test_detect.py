@@ -265,3 +265,45 @@ def test_narrow_rows_are_dealt_by_number(spark, tmp_path):
     sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
     assert dealt.rdd.getNumPartitions() == 50 and max(sizes) < 200
     assert sorted(r.id for r in dealt.collect()) == list(range(5000))
+
+
+def test_judging_waits_until_it_is_asked_for(spark, rules):
+    """Reasons and entropy cost nothing where no result holds them, and public findings know theirs."""
+    judged = detect.scan(files(spark, ("a.py", "k = ghp_" + "a1B2" * 9)), rules, QUIET)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "node_modules" in plan(judged.select("fp_reason")) and "node_modules" not in plan(judged.select("path", "value"))
+    found = detect.findings(judged)
+    assert found.columns == judged.columns and found.schema.simpleString() == judged.schema.simpleString()
+    assert [(r.fp_reason, r.false_positive) for r in found.collect()] == [(None, False)]
+
+
+def test_bare_values_skip_no_family(spark):
+    """A value without marks gets the reason that all patterns together would give it."""
+    from leakframe.functions import text
+    from leakframe.operators import suppress
+
+    rng = random.Random(3)
+    pieces = ["preload", "xxxx", "ABCDEFGHIJKLMNOPQRSTUVWXYZ12", "var a", "your_key", "hello", "é€ü", "<div", "a.b", "x1", "match_parent",
+              "includeSubDomains", " ", "docs.", "http://", "Misafirlerimizi", "\x01\x02\x03", "item", "@x", "ſ", "İ", "😀", "_", "function f("]
+    values = [""] + pieces + ["".join(rng.choices(pieces, k=rng.randint(2, 4))) for _ in range(400)]
+    paths = ["a.py", "a.html", "b/vendor/x.js", "res/v.xml", "x.css", "tests/mock_test.js", "", "a.MIN.JS", "x.ts"]
+    rows = [(rng.choice(paths), v, rng.choice([v, "", None]), v + " xmlns:android=" * (i % 9 == 0)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows + [(None, None, None, None)], "path string, matched string, actual string, line string")
+    args = [F.col(c) for c in df.columns]
+    for profile, build in (("full", suppress.families), ("fast", suppress.fast_families)):
+        config = ScanConfig(profile=profile, false_positive_patterns=["^he.*o$", r"a\.b"])
+        every = text.first_hit((cond, name) for name, cond in build(*args, config))
+        got = df.select(every.alias("want"), suppress.fp_reason(*args, config).alias("got"), "matched").collect()
+        assert [r for r in got if r.want != r.got] == [] and len({r.got for r in got}) > 5
+
+
+def test_entropy_counts_characters(spark):
+    import math
+
+    from leakframe.functions import text
+
+    values = ["", "a", "aaab", "AaAa", "😀😀x", "é́é", "a\nb\n", "\x00a\x00", "+/==" * 9, "  "]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v string")
+    for r in df.select("v", text.entropy(F.col("v")).alias("e")).collect():
+        shares = [r.v.count(c) / len(r.v) for c in set(r.v)] if r.v else []
+        assert r.e == pytest.approx(-sum(p * math.log2(p) for p in shares), abs=1e-12)
