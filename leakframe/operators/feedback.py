@@ -10,7 +10,7 @@ from leakframe.functions import classify, masks, text
 from leakframe.operators.patterns import like_join
 from leakframe.operators.ranking import first_n, prefix_sum
 from leakframe.operators.suppress import review_hints
-from leakframe.session import cut_lineage
+from leakframe.session import BROADCAST_BYTES, cut_lineage, measured
 
 
 def _is_fp() -> Column:
@@ -375,12 +375,17 @@ def held_out(value_hash: Column, part: int = 5) -> Column:
 def fold_features(reviews: DataFrame) -> DataFrame:
     """``held_out``, the ``FEATURES``, ``label`` and ``reviews``.
 
-    Values are counted with their type, file class and verdict before any is shaped; then values with
-    equal features are one row, however many reviews there are."""
+    Values are counted with their type, file class and verdict before any is shaped, so that a task folds
+    what it reads; by path, of which each value has many, nothing would fold.  Paths are classified once
+    each, unless they are too many to be sent around.  Then values with equal features are one row,
+    however many reviews there are."""
     path = F.coalesce(F.col("path"), F.lit(""))
     file_type = F.when(path == "", F.lit("unknown")).otherwise(classify.file_class(path))
-    paths = reviews.groupBy("value", "value_hash", "secret_type", "path", "is_true_positive").agg(F.count(F.lit(1)).alias(REVIEWS))
-    values = paths.groupBy("value", "value_hash", "secret_type", file_type.alias("file_type"), "is_true_positive").agg(F.sum(REVIEWS).alias(REVIEWS))
+    classes, size = measured(reviews.select("path").distinct().select(F.col("path").alias("_path"), file_type.alias("_class")))
+    if size <= BROADCAST_BYTES:
+        reviews = reviews.join(F.broadcast(classes), F.col("path").eqNullSafe(F.col("_path")))
+        file_type = F.col("_class")
+    values = reviews.groupBy("value", "value_hash", "secret_type", file_type.alias("file_type"), "is_true_positive").agg(F.count(F.lit(1)).alias(REVIEWS))
     rows = values.withColumn("value_length", F.length("value")).withColumn("value_pattern", masks.shape(F.col("value")))
     rows = classifier_features(rows.withColumn("held_out", held_out(F.col("value_hash"))))
     return rows.groupBy("held_out", *FEATURES, "label").agg(F.sum(REVIEWS).alias(REVIEWS))

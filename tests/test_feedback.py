@@ -118,3 +118,17 @@ def test_no_precise_threshold_rejects_nothing(spark):
     assert judged.where("rejected").count() == 0 and all(r.caught == 0 and r.precision is None for r in counts.collect())
     table = feedback.confusion(spark.createDataFrame([(0.9, 0.0, 8), (0.9, 1.0, 2), (0.5, 0.0, 2), (0.5, 1.0, 8)], "false_positive_chance double, label double, reviews bigint"))
     assert sorted((r.threshold, r.caught, r.lost, r.precision, r.recall) for r in table.collect()) == [(0.5, 10, 10, 0.5, 1.0), (0.9, 8, 2, 0.8, 0.8)]
+
+
+def test_reviews_fold_before_a_shuffle(spark):
+    """A value at many paths of one class leaves a task as one row, and a null path has a class."""
+    word = F.concat(F.lit("word"), (F.col("id") % 1).cast("string"))
+    reviews = spark.range(4_000, numPartitions=2).select(
+        word.alias("value"), F.sha2(word, 256).alias("value_hash"), F.lit("password").alias("secret_type"),
+        F.when(F.col("id") % 4 > 0, F.concat(F.lit("a/"), F.col("id").cast("string"), F.lit(".py"))).alias("path"), F.lit(True).alias("is_true_positive"),
+    )
+    folded = feedback.fold_features(reviews)
+    assert sorted((r.file_type, r.reviews) for r in folded.collect()) == [("python", 3_000), ("unknown", 1_000)]
+    plan = folded._jdf.queryExecution().optimizedPlan().toString()
+    grouped = [line for line in plan.splitlines() if "Aggregate [value" in line]
+    assert grouped and not any("path" in line.split("]")[0] for line in grouped)
