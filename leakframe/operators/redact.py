@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leakframe import fixed_values as fv
 from leakframe.functions import classify, names, text
 from leakframe.functions.regex import contains_any, escape, flags, to_java
+from leakframe.operators import anchors
 from leakframe.operators.bloom import Bloom
 from leakframe.operators.secrets import drop_covered_partials
 from leakframe.session import BROADCAST_BYTES, cut_lineage, measured, small_side, written
@@ -81,9 +80,8 @@ def replacement_table(findings: DataFrame, prefix: str = "APP_") -> DataFrame:
 
 
 # ------------------------------------------------------------------ redaction
-ANCHOR = 8  # characters that find a value in a text
-HEAD = 128  # characters of a value that are compared where its anchor stands
-PIECE = 512  # least size of the pieces that texts are searched in
+HEAD = 128  # bytes of a value that are compared where its first bytes stand
+PIECE = 512  # tests put values across multiples of it
 
 
 def _listed(purge: DataFrame) -> DataFrame:
@@ -106,40 +104,36 @@ def _held(rows: DataFrame, key: str, side: DataFrame, limit: int, how: str) -> D
     return joined.unionByName(marked.where("NOT _may").drop("_may"), allowMissingColumns=True)
 
 
-def _windows(body: Column, size: int) -> Column:
-    """All windows of ``size`` characters in order, in time linear in the text.  Each match takes a
-    character, since an empty one would also stop inside of surrogate pairs."""
-    return F.regexp_extract_all(body, F.lit(f"(?s)(?=(.{{{size}}}))."), F.lit(1))
+class ValueIndex:
+    """Values by their first bytes, for several searches: ``value``, bytes ``n``, ``head`` and its bytes ``m``."""
+
+    def __init__(self, values: DataFrame):
+        raw = F.col("value").cast("binary")
+        head = F.substring(raw, 1, HEAD)
+        self.heads = cut_lineage(values.select(
+            "value", F.octet_length(raw).alias("n"), head.alias("head"), F.octet_length(head).alias("m"),
+            F.substring(raw, 1, anchors.ANCHOR).alias("anchor"),
+        ))
+        self.most = self.heads.agg(F.max("n")).first()[0]
+        self.anchors = anchors.Anchors(self.heads) if self.most else None
 
 
-def occurrences(texts: DataFrame, values: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+def occurrences(texts: DataFrame, values: DataFrame, limit: int = BROADCAST_BYTES, index: ValueIndex | None = None) -> DataFrame:
     """Distinct ``key`` and ``value``: which of the ``values`` (``value``, ``n``) stand in ``texts`` (``key``, ``body``).
 
-    Neither pairs of texts and values are built nor texts shuffled.  Texts are cut into pieces that
-    overlap.  A window of ``ANCHOR`` characters that begins some value asks for one window of each
+    Neither pairs of texts and values are built nor texts shuffled.  Only places that hold the first
+    bytes of some value leave a text (``anchors.spots``).  Such a place asks for one head of each
     length that values with this beginning have, whatever their number, and those meet the values by
-    equality.  Of long values the first ``HEAD`` characters meet, then the whole value is searched.
-    Values shorter than an anchor are windows themselves."""
-    head = F.substring("value", 1, HEAD)
-    heads = values.select("value", "n", head.alias("head"), F.length(head).alias("m"))
-    sizes = heads.agg(F.max("m").alias("most"), F.collect_set(F.when(F.col("m") < ANCHOR, F.col("m"))).alias("short")).first()
-    most, short = sizes["most"] or 0, sorted(sizes["short"] or [])
-    step = max(PIECE, most)
-    cut = F.regexp_extract_all("body", F.lit(f"(?s)(?=(.{{1,{step + most}}})).{{1,{step}}}"), F.lit(1))
-    pieces = texts.select("key", F.explode(cut).alias("piece"))
-
-    found = [texts.select("key", F.lit("").alias("head")).limit(0)]
-    if most >= ANCHOR:
-        anchors = heads.where(F.col("m") >= ANCHOR).select(F.xxhash64(F.substring("value", 1, ANCHOR)).alias("anchor"), "m").distinct()
-        spots = pieces.select("key", "piece", F.posexplode(_windows(F.col("piece"), ANCHOR)).alias("at", "window"))
-        spots = spots.select("key", "piece", "at", F.xxhash64("window").alias("anchor"))
-        found.append(_held(spots, "anchor", anchors, limit, "inner").select("key", F.substring("piece", F.col("at") + 1, F.col("m")).alias("head")))
-    if short:
-        own = F.concat(*[_windows(F.col("piece"), n) for n in short])
-        wanted = heads.where(F.col("m") < ANCHOR).select("head")
-        found.append(_held(pieces.select("key", F.explode(F.array_distinct(own)).alias("head")), "head", wanted, limit, "inner").select("key", "head"))
-    met = cut_lineage(reduce(DataFrame.unionByName, found).distinct().join(heads, "head").select("key", "value", "n"))
-    if most < HEAD:
+    equality.  Of long values the first ``HEAD`` bytes meet, then the whole value is searched."""
+    index = index or ValueIndex(values)
+    if not index.most:
+        return texts.select("key", F.lit("").alias("value")).limit(0)
+    heads, most = index.heads, index.most
+    places = anchors.spots(texts, index.anchors, HEAD)
+    asked = _held(places, "anchor", heads.select("anchor", "m").distinct(), limit, "inner").where(F.octet_length("tail") >= F.col("m"))
+    found = asked.select("key", F.substring("tail", F.lit(1), F.col("m")).alias("head")).distinct()
+    met = cut_lineage(found.join(heads.select("value", "n", "head"), "head").select("key", "value", "n"))
+    if most <= HEAD:
         return met.select("key", "value")
     long = met.where(F.col("n") > HEAD).select("key", "value")
     whole = _held(texts, "key", long, limit, "inner").where(F.col("body").contains(F.col("value"))).select("key", "value")
@@ -191,14 +185,15 @@ def redact_everywhere(files: DataFrame, purge: DataFrame, content: str = "conten
         return files
     keyed = files.withColumn("_text", F.sha2(content, 256))
     texts = keyed.select(F.col("_text").alias("key"), F.col(content).alias("body"))
-    found = cut_lineage(occurrences(texts, values, limit))
+    index = ValueIndex(values)
+    found = cut_lineage(occurrences(texts, values, limit, index))
     order = F.struct((-F.col("n")).alias("n"), "value", "replacement")
     while True:
         lists = found.join(values, "value").groupBy(F.col("key").alias("_text")).agg(F.array_sort(F.collect_list(order)).alias("_values"))
         done = _held(keyed, "_text", lists, limit, "left").withColumn("_done", _replaced(F.col(content), F.col("_values"), longest))
         clean = written(done.drop("_values"), "redacted")
         around = clean.select(F.col("_text").alias("key"), F.explode("_done.around").alias("body"))
-        more = cut_lineage(occurrences(around, values, limit).join(found, ["key", "value"], "left_anti"))
+        more = cut_lineage(occurrences(around, values, limit, index).join(found, ["key", "value"], "left_anti"))
         if more.isEmpty():
             return clean.select(*[F.col("_done.text").alias(c) if c == content else F.col(c) for c in files.columns])
         found = cut_lineage(found.unionByName(more))

@@ -298,3 +298,22 @@ def test_classifier_learns_a_plain_rule(spark):
     many = [(f"[alpha:{n}]", n, "python", f"kind{n}", n % 2 == 0) for n in range(400)]
     wide = feedback.fp_classifier(spark.createDataFrame(many, df.schema), trees=2)
     assert wide.transform(feedback.classifier_features(df)).count() == df.count()
+
+
+def test_anchors_are_found_at_every_place_and_on_slice_borders(spark, monkeypatch):
+    """The looked up places are those of a search for each anchor, of any size, over several slices."""
+    import numpy as np
+
+    from leakframe.operators import anchors
+
+    monkeypatch.setattr(anchors, "SLICE", 24)
+    rng = random.Random(5)
+    text = bytes(rng.choice(b"abc") for _ in range(300)) + "é😀".encode() * 9
+    known = sorted({text[i:i + n] for i, n in ((0, 8), (21, 8), (23, 3), (150, 5), (280, 8), (len(text) - 8, 8))} | {b"zz", b"zzzzzzzz"})
+    marks = anchors.bitmap(spark.createDataFrame([(bytearray(k),) for k in known], "anchor binary"), anchors.ROW_BITS)
+    data = np.frombuffer(text + bytes(anchors.ANCHOR), np.uint8)
+    sizes = sorted({len(k) for k in known})
+    got = {(size, at) for size, places in anchors._found(data, sizes, marks, anchors.ROW_BITS) for at in places.tolist() if at + size <= len(text)}
+    want = {(len(k), at) for k in known for at in range(len(text)) if text.startswith(k, at)}
+    assert want <= got and {g for g in got - want if text[g[1]:g[1] + g[0]] in known} == set()
+    assert len(got) < len(want) + 20
