@@ -213,6 +213,7 @@ def find_matches(
     return hit.select(*keys, matches["_m"]).select(*keys, "_m.*")
 
 
+_ALONE = 8  # rules with a short literal that run without an alternation before them
 _CATALOG = "array<struct<rule_id:string,ord:int,pattern:string,literal:string,groups:int>>"
 
 
@@ -222,7 +223,8 @@ def _catalog_hits(content: Column, rules: list[Rule], low: Column, odd: Column)
     Catalog and index are folded literals, so the plan does not grow with them.  One search finds
     the anchors that the text holds, each anchor names its rules by a table lookup, and only those
     rules run: the cost follows the text and its hits, not the number of rules.  Rules without an
-    anchor share one alternation, and run where that is found."""
+    anchor share one alternation, and run where that is found; a few with a short literal run where
+    the text holds it."""
     rows = [
         {"rule_id": r.rule_id, "ord": r.ord, "pattern": rule_ops.java_pattern(r), "literal": rule_ops.required_literal(r), "groups": r.compiled().groups}
         for r in rules
@@ -236,8 +238,14 @@ def _catalog_hits(content: Column, rules: list[Rule], low: Column, odd: Column)
         bucket = lambda anchor: F.get(table, F.pmod(F.crc32(anchor.cast("binary")), F.lit(index.size())).cast("int"))
         anchors = F.regexp_extract_all(low, F.lit(index.search()), F.lit(1))
         named.append(F.flatten(F.transform(F.array_distinct(anchors), bucket)))
-    if index.loose:
-        named.append(F.when(F.rlike(content, F.lit(rule_ops.any_rule(rules, index.loose))), numbers(index.loose)).otherwise(numbers([])))
+    # a rule with a short literal is tried where that stands: cheaper than its branch of an alternation
+    short = [i for i in index.loose if rows[i]["literal"]]
+    short = short if len(short) <= _ALONE else []
+    loose = [i for i in index.loose if i not in short]
+    if short:
+        named.append(numbers(short))
+    if loose:
+        named.append(F.when(F.rlike(content, F.lit(rule_ops.any_rule(rules, loose))), numbers(loose)).otherwise(numbers([])))
     chosen = F.when(odd, numbers(list(range(len(rules))))).otherwise(F.array_sort(F.array_distinct(F.concat(*named))))
     may = lambda r: F.coalesce(F.contains(low, r["literal"]), F.lit(True)) | odd
     active = F.filter(F.transform(chosen, lambda i: F.get(catalog, i)), may)

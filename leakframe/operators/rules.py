@@ -94,7 +94,18 @@ def from_table(catalog: DataFrame) -> list[Rule]:
 
 
 def java_pattern(rule: Rule) -> str:
-    return rx.java_rule(rule.regex)
+    return rx.flags(multiline=True) + _java(rule.regex)
+
+
+def _java(regex: str) -> str:
+    """A digit that must follow a word boundary is asked for first: the boundary is dearer to test."""
+    ahead = ""
+    if regex.startswith(r"\b\d"):
+        first = list(re._parser.parse(regex, re.IGNORECASE | re.MULTILINE))[1:2]
+        # a branch or an optional digit does not stand there as such
+        if first and (str(first[0][0]) == "IN" or (str(first[0][0]) == "MAX_REPEAT" and first[0][1][0] > 0)):
+            ahead = rx.to_java(r"(?=\d)")
+    return ahead + rx.to_java(regex)
 
 
 def required_literal(rule: Rule) -> str | None:
@@ -164,7 +175,7 @@ _REFERS = re.compile(r"\\[1-9]|\(\?P=|\(\?\(")
 
 def any_rule(rules: list[Rule], numbers: list[int]) -> str:
     """One Java pattern that finds what any of these rules finds."""
-    parts = [re.sub(r"\(\?<[A-Za-z]\w*>", "(", rx.to_java(rules[i].regex)) for i in numbers]
+    parts = [re.sub(r"\(\?<[A-Za-z]\w*>", "(", _java(rules[i].regex)) for i in numbers]
     return rx.flags(multiline=True) + "|".join(f"(?:{p})" for p in parts)
 
 

@@ -307,3 +307,19 @@ def test_entropy_counts_characters(spark):
     for r in df.select("v", text.entropy(F.col("v")).alias("e")).collect():
         shares = [r.v.count(c) / len(r.v) for c in set(r.v)] if r.v else []
         assert r.e == pytest.approx(-sum(p * math.log2(p) for p in shares), abs=1e-12)
+
+
+def test_rules_with_a_short_literal_run_without_an_alternation(spark):
+    from leakframe.operators import rules as rule_ops
+    from leakframe.plans import tables
+
+    texts = ["a@b.c@d.e_x@y.z", "no mail, 1.2.3.4 and 11.2.3.4.5", "1234567890123456 x12", "no hit.", "K@ſ.x", "", "token = \"abc\""]
+    files = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, content string")
+    matches = detect.find_matches(files, tables.RULES, ScanConfig(entropy_enabled=False, with_context=False))
+    got = sorted((int(r.path), r.rule_id, r.match_start, r.match_text) for r in matches.collect())
+    want = sorted((i, r.rule_id, m.start(), m[0]) for i, t in enumerate(texts) for r in tables.RULES for m in r.compiled().finditer(t))
+    assert got == want
+    plan = matches._jdf.queryExecution().optimizedPlan().toString()
+    assert "]{16}" in plan and r"[a-z0-9._]+@[a-z0-9.]+[a-z0-9])|" not in plan
+    first = rule_ops.java_pattern(Rule("d", "d", r"\b\d?x|\b\d+", "t", "low", ord=1))
+    assert "(?=" not in first and "(?=" in rule_ops.java_pattern(tables.RULES[1])
