@@ -40,6 +40,23 @@ def test_encoder_agrees_with_the_library(name, remembered):
     assert own.encode(pa.array([], pa.string()))[0].tolist() == []
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_a_word_is_remembered_once_for_all_its_spellings(name):
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice("abcdeéöx") for _ in range(9)) for _ in range(800)]
+    plain, own = library(name), Encoder(public_tokenizers.path(name), 900 * 300)  # room for each word once
+    asked = []
+    for step in ("_library", "_joined"):
+        setattr(own, step, lambda found, f=getattr(own, step): asked.extend(found) or f(found))
+    for part in (words[:400], words[400:]):
+        spelled = [[w + tail for w in part] for tail in ("", ",", ".", "!?", "...", ");")]
+        if "word" in name:
+            spelled += [[w.capitalize() for w in part], [w.upper() for w in part]]
+        for text in (" " + " ".join(some) for some in spelled):
+            assert own.encode(pa.array([text]))[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert len(asked) < 850 and own.held <= own.remembered
+
+
 @pytest.mark.parametrize("n", [1, 255, 256, 257, 70_000, 131_072, 131_073, 300_000])
 def test_coding_round_trip(n):
     ids = (np.random.default_rng(n).zipf(1.3, n) % 49_000).astype(np.uint32)
