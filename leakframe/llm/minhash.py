@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakframe.llm.components import components
-from leakframe.llm.memory import hold
+from leakframe.llm.memory import hold, trim
 from leakframe.llm.storage import stored
 from leakframe.llm.streams import grouped
 from leakframe.operators.bloom import Bloom
@@ -153,6 +153,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str, words: int, bands: int,
                     pa.array(map(digest, sets), pa.binary()),
                     pa.ListArray.from_arrays(np.arange(0, bands * len(sets) + 1, bands, dtype=np.int32), pa.array(keys.reshape(-1))),
                 ], schema=schema)
+            trim()
 
     return docs.select(F.col(id_col).cast("bigint"), F.col(text_col), F.xxhash64(text_col)).mapInArrow(
         sign, "id bigint, text_hash bigint, n bigint, digest binary, bands array<bigint>"
@@ -174,6 +175,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wo
                 yield pa.RecordBatch.from_arrays([
                     pa.array(map(digest, found), pa.binary()), pa.array([s.tobytes() for s in found], pa.binary()),
                 ], schema=schema)
+            trim()
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     again = Bloom(wanted.select("id"), "id").mark(texts, F.col("id"), "may").where("may").select("text")

@@ -1,6 +1,8 @@
 import os
 import random
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 import __spark_entry__ as entry
@@ -80,3 +82,20 @@ def test_pipeline_by_brute_force(spark, tmp_path):
 def test_pipeline_of_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_a_stage_by_itself_bounds_its_batches(spark, name):
+    rows = [(i, "the river and the thing " * 4000 + str(i), "en", "s0", 0) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.unset(key)
+    try:
+        dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+        sizes = docs.select("text").mapInArrow(
+            lambda batches: (pa.RecordBatch.from_pydict({"n": [pc.sum(pc.binary_length(b.column(0))).as_py()]}) for b in batches), "n long"
+        ).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sum(s.n for s in sizes) == sum(len(r[1]) for r in rows) and max(s.n for s in sizes) <= 5 << 20

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from leakframe.llm import packing, token_store
+from leakframe.llm import packing, token_store, tokens
 from leakframe.llm.tokens import Encoder
 
 ODD = [
@@ -143,3 +143,14 @@ def test_crossover_keeps_every_piece_once():
     best = packing.evolve(sizes, groups if sum(sizes[490:]) <= 1024 else [], 1024, 5, 4, 10)
     assert sorted(i for b in best.members for i in b) == list(range(500))
     assert all(sum(sizes[i] for i in b) == 1024 - g for b, g in zip(best.members, best.gaps)) and min(best.gaps) >= 0
+
+
+def test_a_part_gives_its_memory_back_and_loses_no_text(monkeypatch):
+    calls = []
+    monkeypatch.setattr(tokens, "trim", lambda: calls.append(1), raising=False)
+    monkeypatch.setattr(tokens, "PART_BYTES", 100)
+    own, plain = Encoder(public_tokenizers.path("byte_bpe_50k.json")), library("byte_bpe_50k.json")
+    found = list(own.parts(pa.array(texts())))
+    assert [f[:2] for f in found] == list(zip([0] + [f[1] for f in found[:-1]], [f[1] for f in found])) and found[-1][1] == len(texts())
+    assert np.concatenate([f[2] for f in found]).tolist() == [i for t in texts() for i in plain.encode(t or "", add_special_tokens=False).ids]
+    assert len(calls) == len(found) > 10
